@@ -50,7 +50,7 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def slices(batch, size: int = 4 << 20):
+def slices(batch, size: int = 2 << 20):
     """A batch in runs of rows whose text column holds about `size` bytes (at least one row each)."""
     import numpy as np
     import pyarrow.compute as pc

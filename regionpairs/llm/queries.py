@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, media, token_files
+from . import bpe, brown_lm, decontaminate, jaccard_join, media, quality, token_files, toxicity, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -16,9 +16,25 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "sniffed", "corrected", "embedded")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
+
+
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), end_id=1)
-    return token_files.digests(token_files.read(spark, folder))
+    return token_files.digests(spark, folder)
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), k=3, pct=90)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,5 +45,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op5_token_files, op7_decontaminate, op9_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_quality, op3_url_filter, op4_brown_lm, op5_token_files, op6_jaccard_join, op7_decontaminate, op9_bpe, op10_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE}

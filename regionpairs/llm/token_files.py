@@ -137,17 +137,31 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, to: str | None = None, s
     return to
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian unsigned 32-bit) of every document in the files."""
-    segments = spark.read.schema(SEGMENT).parquet(f"{folder}/segments")
-    total = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+def segments(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(SEGMENT).parquet(f"{folder}/segments")
+
+
+def starts(spark: SparkSession, folder: str) -> DataFrame:
+    """shard, seg, seg_start: the ids before each segment, from the index alone."""
+    index = segments(spark, folder).select("shard", "seg", "n_tokens")
+    total = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # one row per shard: the only step over all shards
     base = total.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(*BEFORE)), F.lit(0)).alias("base"))
-    within = segments.select("shard", "seg", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("seg").rowsBetween(*BEFORE)), F.lit(0)).alias("inner"))
-    starts = within.join(base, "shard").select("shard", "seg", (F.col("base") + F.col("inner")).alias("seg_start"))
+    within = index.select("shard", "seg", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("seg").rowsBetween(*BEFORE)), F.lit(0)).alias("inner"))
+    return within.join(base, "shard").select("shard", "seg", (F.col("base") + F.col("inner")).alias("seg_start"))
+
+
+def opened(spark: SparkSession, folder: str) -> DataFrame:
+    """shard, seg, doc_id, inner_start (ids before it in its segment), n_tokens, ids (little-endian unsigned 32-bit) of every document in the files."""
     row = spark.read.parquet(f"{folder}/dictionary").first()
-    docs = segments.select("shard", "seg", "doc_ids", "counts", "offsets", "wide", "dict_hash", "payload").mapInArrow(functools.partial(_open, dictionary=bytes(row.dictionary), dict_hash=row.dict_hash), "shard int, seg int, doc_id long, inner_start long, n_tokens long, ids binary")
-    return docs.join(starts, ["shard", "seg"]).select("doc_id", (F.col("seg_start") + F.col("inner_start")).alias("start"), "n_tokens", "ids")
+    held = segments(spark, folder).select("shard", "seg", "doc_ids", "counts", "offsets", "wide", "dict_hash", "payload")
+    return held.mapInArrow(functools.partial(_open, dictionary=bytes(row.dictionary), dict_hash=row.dict_hash), "shard int, seg int, doc_id long, inner_start long, n_tokens long, ids binary")
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of op5, from the files: only digests meet the segments' starts, not the ids."""
+    short = opened(spark, folder).select("shard", "seg", "doc_id", "inner_start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return short.join(starts(spark, folder), ["shard", "seg"]).select("doc_id", (F.col("seg_start") + F.col("inner_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def _open(batches, dictionary, dict_hash):
@@ -180,7 +194,3 @@ def lookup(spark: SparkSession, folder: str, doc_id: int) -> list[int]:
     ends = [*hit.offsets[1:], len(hit.payload)]
     return np.frombuffer(_coder(bytes(row.dictionary))[1].decompress(bytes(hit.payload)[hit.offsets[k] : ends[k]]), "<u4" if hit.wide[k] else "<u2").tolist()
 
-
-def digests(tokens: DataFrame) -> DataFrame:
-    """The columns of op5."""
-    return tokens.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -20,8 +20,8 @@ from .common import fold, slices, texts
 
 #: Labelled rows, by smallest hash of their id, that the lexicon and the weights are learned from.
 SAMPLE = 20_000
-#: Lengths of stems; different contexts that a lexicon entry needs; how many times likelier it is in toxic documents; entries kept at most.
-STEMS, CONTEXTS, LIFT, ENTRIES = (3, 4, 5, 6, 7, 8), 8, 20.0, 5000
+#: Lengths of stems; different contexts that a lexicon entry needs; how many times likelier it is in toxic documents, two deviations to the worse; entries kept at most.
+STEMS, CONTEXTS, LIFT, ENTRIES = (3, 4, 5, 6, 7, 8), 8, 12.0, 5000
 #: Word lists of the grammar (fixed values, four languages).
 TARGETS = frozenset("you your yours u she he they them him her his their these those this people everyone du dich dir dein deine ihr euch sie er tu te toi ton ta vous votre il elle ils eux tú usted ustedes él ella ellos vosotros".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't n't without nicht kein keine nie niemals ohne pas jamais sans ni nunca jamás sin".split())
@@ -150,13 +150,14 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
             clean[r.entry] = r.n
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     odds = max(1, sizes.get(0, 0)) / max(1, sizes.get(1, 0))
-    good = {e: math.log(odds * a / (clean[e] + 0.5)) for e, a in toxic.items() if odds * a / (clean[e] + 0.5) >= LIFT}
-    good = dict(sorted(good.items(), key=lambda x: (-toxic[x[0]], x[0]))[:ENTRIES])
+    sure = {e: odds * (a - 2 * math.sqrt(a)) / (clean[e] + 2 * math.sqrt(clean[e]) + 1) for e, a in toxic.items()}
+    good = sorted((e for e, x in sure.items() if x >= LIFT), key=lambda e: (-sure[e], e))[:ENTRIES]
+    weight = lambda e: math.log(odds * toxic[e] / (clean[e] + 0.5))
     stems: dict[str, float] = {}
-    for e in sorted((e for e in good if e[0] == "^"), key=len):
-        if not any(e[1 : k + 1] in stems for k in range(1, len(e) - 1)):
-            stems[e[1:]] = good[e]
-    words = {e[1:]: x for e, x in good.items() if e[0] == "=" and not any(e[1 : k + 1] in stems for k in range(1, len(e) - 1))}
+    for e in good:  # of stems that begin each other, the surest
+        if e[0] == "^" and not any(e[1:].startswith(x) or x.startswith(e[1:]) for x in stems):
+            stems[e[1:]] = weight(e)
+    words = {e[1:]: weight(e) for e in good if e[0] == "=" and not any(e[1 : k + 1] in stems for k in range(1, len(e) - 1))}
     lex = Lexicon(words, stems)
     got = rows.mapInArrow(functools.partial(_features, words=words, stems=stems), "toxic int, n long, x array<double>").groupBy("toxic", "x").agg(F.sum("n").alias("n")).collect()
     width = len(features("", lex)) + 1
@@ -205,7 +206,7 @@ def _clean(batches, entries):
     for batch in batches:
         n: Counter = Counter()
         for t in batch.column("text").to_pylist():
-            n.update({e for w in set(WORD.findall(t.lower())) for e in _entries(w) if e in entries})
+            n.update(e for w in WORD.findall(t.lower()) for e in _entries(w) if e in entries)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["entry", "n"])
 
 
