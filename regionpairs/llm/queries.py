@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown_lm, decontaminate, jaccard_join, media, quality, token_files, toxicity, url_filter
+from . import bpe, brown_lm, decontaminate, jaccard_join, line_dedup, media, quality, token_files, toxicity, url_filter
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE)))
 
@@ -49,5 +53,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_quality, op3_url_filter, op4_brown_lm, op5_token_files, op6_jaccard_join, op7_decontaminate, op9_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_quality, op3_url_filter, op4_brown_lm, op5_token_files, op6_jaccard_join, op7_decontaminate, op8_line_dedup, op9_bpe, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE}
