@@ -50,6 +50,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def sampled(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """At most n rows, those with the smallest hash of their key; a bound on the hash keeps all others from being moved."""
+    h, total = F.pmod(F.xxhash64(key), F.lit(1 << 30)), df.count()
+    if total > n:
+        df = df.where(h < int(1.2 * n / total * (1 << 30)) + 1)
+    return df.orderBy(h, key).limit(n)
+
+
 def slices(batch, size: int = 2 << 20):
     """A batch in runs of rows whose text column holds about `size` bytes (at least one row each)."""
     import numpy as np

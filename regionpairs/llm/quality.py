@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import sampled, slices, texts
 
 #: Documents, by smallest hash of their id, that the scorer is trained on; its hashed features.
 SAMPLE, DIMS = 8000, 1024
@@ -137,7 +137,7 @@ def train(docs: DataFrame, sample: int = SAMPLE):
     docs = texts(docs)
     counts = docs.mapInArrow(_votes, "votes array<int>").groupBy("votes").count().collect()  # at most 3 ** labellers rows
     prior, table = estimate([(tuple(r.votes), r["count"]) for r in counts])
-    rows = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).mapInArrow(_sample, "votes array<int>, x binary").collect()
+    rows = sampled(docs, sample).mapInArrow(_sample, "votes array<int>, x binary").collect()
     if not rows:
         return 4.0, np.zeros(DIMS), prior, table
     x = np.stack([np.frombuffer(bytes(r.x), np.float32) for r in rows]).astype(np.float64)

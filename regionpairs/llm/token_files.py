@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import shared_dir, slices, texts
+from .common import sampled, shared_dir, slices, texts
 
 #: Documents, by smallest hash of their id, whose ids train the dictionary; pieces of them that it sees; its size.
 SAMPLE_DOCS, PIECE_BYTES, DICTIONARY_BYTES = 500, 4096, 64 * 1024
@@ -35,7 +35,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A dictionary from a bounded sample of whole documents' serialized ids; empty if there is too little to train on."""
     import zstandard
 
-    rows = texts(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).mapInArrow(functools.partial(_ids, path=path, end_id=end_id), "doc_id long, ids binary").collect()
+    rows = sampled(texts(docs), SAMPLE_DOCS).mapInArrow(functools.partial(_ids, path=path, end_id=end_id), "doc_id long, ids binary").collect()
     pieces = [bytes(r.ids)[k : k + PIECE_BYTES] for r in rows for k in range(0, len(r.ids), PIECE_BYTES)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()

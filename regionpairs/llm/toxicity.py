@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, texts
+from .common import fold, sampled, slices, texts
 
 #: Labelled rows, by smallest hash of their id, that the lexicon and the weights are learned from.
 SAMPLE = 20_000
@@ -132,7 +132,8 @@ def features(text: str, lex: Lexicon) -> list[float]:
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int, folds: int) -> DataFrame:
     """toxic and text of the sampled labelled rows outside fold 0. Their ids, at most `sample`, are sent to the tasks."""
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), folds) != 0))
+    ids = sampled(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")), sample)
     return texts(docs).join(F.broadcast(ids), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
 
 
