@@ -172,12 +172,26 @@ def exchange(counts, classes: int = CLASSES, sweeps: int = SWEEPS):
     return of
 
 
+def most_frequent(table: DataFrame, n: int) -> list[tuple[bytes, int]]:
+    """At most n words with their counts, down to a step of the counts' logarithm; only they leave the executors."""
+    words = table.where(F.col("word") != F.lit(bytearray(END))).withColumn("step", F.floor(64 * F.log2("c")))
+    least, have = None, 0
+    for step, k in sorted(words.groupBy("step").agg(F.count("*").alias("k")).collect(), reverse=True):  # a few thousand steps
+        have += k
+        if have > n:
+            break
+        least = step
+    if least is None:
+        return []
+    return sorted(((bytes(r.word), r.c) for r in words.where(F.col("step") >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def fit(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: int = CLASSES):
     """(counts of all words as a table, model): the model holds the bounded rest, see _score."""
     import numpy as np
 
     table = through_table(count_words(docs), "words")
-    top = [(bytes(r.word), r.c) for r in table.where(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("c"), "word").limit(held).collect()]
+    top = most_frequent(table, held)
     total = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(bytearray(END)), F.col("c"))), F.lit(0)).alias("ends"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     units = Units([w for w, _ in top[:frequent]])
     by = {r.ending: (r.n, r.v) for r in table.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
