@@ -1,2 +1,442 @@
+"""Every query by name, with the same question in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from regionpairs.functions import columns as C
+from regionpairs.operators import alignments, evidence, flanks, intervals, nulls, pairs, regions, similarity
+from regionpairs.plans import views as V
+from regionpairs.sources import sinks
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ("RECURSIVE " if any("UNION" in c for c in ctes) else "") + ",\n".join(ctes) + "\n"
+
+
+r6 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 6)
+ORDER, KEEP = ["chrom", "start", "stop", "region_id"], ["chrom", "start", "stop", "region_id"]
+
+
+def _pairs(s, d):
+    return pairs.within_sets(V.regions(s, d), ORDER, KEEP)
+
+
+def _same(s, d):
+    """Pairs of a set on one chromosome, so chromosome is part of the key."""
+    iv = V.regions(s, d)
+    return pairs.within_sets(iv.withColumn("key", F.struct("set_id", "chrom")), ORDER, KEEP, by="key").withColumn("set_id", F.col("key.set_id")).drop("key")
+
+
+PR = "pr AS (SELECT a.set_id, a.chrom, a.start AS a_start, a.stop AS a_stop, a.region_id AS a_region_id, b.start AS b_start, b.stop AS b_stop, b.region_id AS b_region_id FROM iv a JOIN iv b ON a.set_id = b.set_id AND a.chrom = b.chrom AND (a.start, a.stop, a.region_id) < (b.start, b.stop, b.region_id))"
+
+
+@query(with_(V.IV) + "SELECT a.set_id, a.region_id AS a_region_id, b.region_id AS b_region_id FROM iv a JOIN iv b ON a.set_id = b.set_id AND (a.chrom, a.start, a.stop, a.region_id) < (b.chrom, b.start, b.stop, b.region_id)")
+def pairs_in_set(s, d):
+    return _pairs(s, d).select("set_id", "a_region_id", "b_region_id")
+
+
+@query(with_(V.IV, PR) + "SELECT set_id, a_region_id, b_region_id, greatest(greatest(a_start, b_start) - least(a_stop, b_stop), 0) AS gap, greatest(least(a_stop, b_stop) - greatest(a_start, b_start), 0) AS shared FROM pr")
+def pair_gap(s, d):
+    at = [F.col(c) for c in ("a_start", "a_stop", "b_start", "b_stop")]
+    return _same(s, d).select("set_id", "a_region_id", "b_region_id", C.gap(*at).alias("gap"), C.overlap(*at).alias("shared"))
+
+
+@query(with_(V.IV) + "SELECT region_id, chrom, start, stop, 'gene' || set_id AS gene, CASE WHEN region_id % 3 > 0 THEN chrom END AS grp, chrom || '_' || start || '-' || stop AS file FROM iv")
+def region_label_parse(s, d):
+    got = regions.parse_headers(V.headers(s, d), "header")
+    return got.select("region_id", "chrom", "start", "stop", "gene", "grp", C.region_name(F.col("chrom"), F.col("start"), F.col("stop"), "_").alias("file"))
+
+
+@query(with_(V.IV, PR) + "SELECT a_region_id, b_region_id, chrom || '_' || a_start || '-' || left(CAST(a_stop AS VARCHAR), -1) || '_' || chrom || '_' || b_start || '-' || b_stop || '.fa' AS label FROM pr")
+def legacy_label(s, d):
+    name = lambda p: F.concat(C.region_name(F.col(f"{p}_chrom"), F.col(f"{p}_start"), F.col(f"{p}_stop"), "_"), F.lit(".fa"))
+    # the four characters that go are the extension and, as ever, one digit: names come without their dot here
+    return _same(s, d).select("a_region_id", "b_region_id", C.legacy_label(F.concat(C.region_name(F.col("a_chrom"), F.col("a_start"), F.col("a_stop"), "_"), F.lit(".fa")), name("b")).alias("label"))
+
+
+@query(with_(V.IV, "z AS (SELECT set_id, count(DISTINCT (chrom, start, stop)) AS n FROM iv GROUP BY set_id)") + "SELECT CASE WHEN n >= 5 THEN '5+' ELSE CAST(n AS VARCHAR) END AS bin, count(*) AS sets, CAST(sum(n) AS BIGINT) AS memberships, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS pairs FROM z GROUP BY 1")
+def set_size_bins(s, d):
+    return regions.bin_counts(V.regions(s, d))
+
+
+FL = """nb AS (SELECT *, max(stop) OVER (PARTITION BY set_id, chrom ORDER BY start, stop, region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lead(start) OVER (PARTITION BY set_id, chrom ORDER BY start, stop, region_id) AS after FROM iv),
+fl AS (SELECT set_id, region_id, chrom, 'LEFT' AS side, greatest(0, start - 2500, coalesce(before, 0)) AS start, start AS stop FROM nb WHERE greatest(0, start - 2500, coalesce(before, 0)) < start
+UNION ALL SELECT set_id, region_id, chrom, 'RIGHT', stop, least(stop + 2500, coalesce(after, stop + 2500)) FROM nb WHERE least(stop + 2500, coalesce(after, stop + 2500)) > stop)"""
+
+
+@query(with_(V.IV, FL) + "SELECT *, stop - start < 2500 AS clipped FROM fl")
+def flanks_clipped(s, d):
+    return flanks.build(V.regions(s, d))
+
+
+@query(with_(V.IV, PR) + "SELECT a_region_id, b_region_id, b_start - a_stop >= 2500 AND b_start - a_stop < 5000 AS facing_dropped FROM pr")
+def flanks_inner_drop(s, d):
+    return flanks.facing_dropped(_same(s, d)).select("a_region_id", "b_region_id", "facing_dropped")
+
+
+CP = """cp AS (SELECT p.set_id, a_region_id, b_region_id, left(x.side, 1) || left(y.side, 1) AS cls FROM pr p JOIN fl x ON x.region_id = a_region_id JOIN fl y ON y.region_id = b_region_id
+WHERE x.stop - x.start >= 10 AND y.stop - y.start >= 10 AND (x.stop <= y.start OR y.stop <= x.start))"""
+
+
+def _classes(s, d):
+    return flanks.by_class(_same(s, d), flanks.build(V.regions(s, d)))
+
+
+@query(with_(V.IV, PR, FL, CP) + "SELECT * FROM cp")
+def flank_class_pairs(s, d):
+    return _classes(s, d).select("set_id", "a_region_id", "b_region_id", "cls")
+
+
+BD = """bd AS (SELECT set_id, a_region_id, b_region_id, count(*) FILTER (cls = 'LL') AS "LL", count(*) FILTER (cls = 'RR') AS "RR", count(*) FILTER (cls = 'LR') AS "LR", count(*) FILTER (cls = 'RL') AS "RL" FROM cp GROUP BY ALL)"""
+
+
+@query(with_(V.IV, PR, FL, CP, BD) + 'SELECT *, ("LL" > 0 AND "RR" > 0) OR ("LR" > 0 AND "RL" > 0) AS double, NOT (("LL" > 0 AND "RR" > 0) OR ("LR" > 0 AND "RL" > 0)) AS single FROM bd')
+def flank_breakdown(s, d):
+    return flanks.breakdown(_classes(s, d).select("set_id", "a_region_id", "b_region_id", "cls"), ["set_id", "a_region_id", "b_region_id"])
+
+
+@query(with_(V.SQ) + "SELECT set_id, member, length(seq) // 4 AS start, length(seq) - length(seq) // 5 AS stop, substr(seq, length(seq) // 4 + 1, length(seq) - length(seq) // 5 - length(seq) // 4) AS seq FROM sq")
+def flank_extract(s, d):
+    sq = V.sequences(s, d)
+    spans = sq.select("set_id", "member", F.expr("length(seq) div 4").alias("start"), F.expr("length(seq) - length(seq) div 5").alias("stop"))
+    return flanks.extract(spans, flanks.chunks(sq, ["set_id", "member"]), ["set_id", "member"], ["set_id", "member"])
+
+
+def _ab(s, d):
+    a = intervals.prefixed(V.regions(s, d), "a", ["region_id", "chrom", "start", "stop"])
+    b = intervals.prefixed(V.annotations(s, d), "b", ["chrom", "start", "stop", "cls"])
+    return a, b
+
+
+OV = "ov AS (SELECT i.region_id, i.chrom, i.set_id, i.start, i.stop, t.start AS t_start, t.stop AS t_stop, t.cls, least(i.stop, t.stop) - greatest(i.start, t.start) AS bases FROM iv i JOIN te t ON i.chrom = t.chrom AND i.start < t.stop AND t.start < i.stop)"
+
+
+def _bases():
+    return C.overlap(*(F.col(c) for c in ("a_start", "a_stop", "b_start", "b_stop")))
+
+
+@query(with_(V.IV, V.TE, OV) + "SELECT region_id, cls, count(*) AS n, CAST(sum(bases) AS BIGINT) AS bases FROM ov GROUP BY ALL")
+def overlap_join(s, d):
+    met = intervals.overlaps(*_ab(s, d))
+    return met.groupBy(F.col("a_region_id").alias("region_id"), F.col("b_cls").alias("cls")).agg(F.count("*").alias("n"), F.sum(_bases()).alias("bases"))
+
+
+ED = "ed AS (SELECT *, CAST(t_start < start AND t_stop > start AS INT) + CAST(t_start < stop AND t_stop > stop AS INT) AS edges FROM ov)"
+
+
+@query(with_(V.IV, V.TE, OV, ED) + "SELECT region_id, cls, CAST(sum(edges) AS BIGINT) AS edges FROM ed WHERE edges > 0 GROUP BY ALL")
+def boundary_split(s, d):
+    met = intervals.straddles(*_ab(s, d))
+    return met.groupBy(F.col("a_region_id").alias("region_id"), F.col("b_cls").alias("cls")).agg(F.sum("edges").alias("edges"))
+
+
+@query(with_(V.IV, V.TE) + "SELECT region_id, cls, count(*) AS n FROM iv i JOIN te t ON i.chrom = t.chrom AND t.start < i.stop + 1500 AND t.stop > greatest(i.start - 1500, 0) AND (t.stop <= i.start OR t.start >= i.stop) GROUP BY ALL")
+def neighbourhood(s, d):
+    met = intervals.around(*_ab(s, d), reach=1500)
+    return met.groupBy(F.col("a_region_id").alias("region_id"), F.col("b_cls").alias("cls")).agg(F.count("*").alias("n"))
+
+
+@query(
+    with_(V.IV, V.TE, "up AS (SELECT chrom, stop AS pos FROM te GROUP BY ALL)", "down AS (SELECT chrom, start AS pos FROM te GROUP BY ALL)")
+    + "SELECT region_id, u.pos AS up, w.pos AS down FROM iv ASOF LEFT JOIN up u ON iv.chrom = u.chrom AND iv.start >= u.pos ASOF LEFT JOIN down w ON iv.chrom = w.chrom AND iv.stop <= w.pos"
+)
+def nearest(s, d):
+    return intervals.nearest(V.regions(s, d), V.annotations(s, d)).select("region_id", "up", "down")
+
+
+MG = """m1 AS (SELECT chrom, start, stop, max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM te),
+m2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, stop, reach NULLS FIRST ROWS UNBOUNDED PRECEDING) AS island FROM m1),
+mg AS (SELECT chrom, min(start) AS start, max(stop) AS stop, count(*) AS n FROM m2 GROUP BY chrom, island)"""
+
+
+@query(with_(V.TE, MG) + "SELECT * FROM mg")
+def merge_intervals(s, d):
+    return intervals.merge(V.annotations(s, d), ["chrom"])
+
+
+@query(with_(V.IV, V.TE, MG) + "SELECT region_id, CAST(coalesce(sum(least(iv.stop, mg.stop) - greatest(iv.start, mg.start)) FILTER (mg.start IS NOT NULL), 0) AS BIGINT) AS covered FROM iv LEFT JOIN mg ON iv.chrom = mg.chrom AND iv.start < mg.stop AND mg.start < iv.stop GROUP BY region_id")
+def covered_bases(s, d):
+    return intervals.covered(*_ab(s, d), ["a_region_id"]).select(F.col("a_region_id").alias("region_id"), "covered")
+
+
+@query(with_(V.IV, V.TE, OV, ED, "ct AS (SELECT chrom, CASE edges WHEN 0 THEN 'inside' WHEN 1 THEN 'one edge' ELSE 'both edges' END AS category FROM ed)") + "SELECT chrom, category, count(*) AS n, round(count(*) / (SELECT count(*) FROM ct), 6) AS fraction FROM ct GROUP BY ROLLUP (chrom, category)")
+def split_fractions(s, d):
+    a, b = _ab(s, d)
+    met = intervals.overlaps(a, b)
+    edge = lambda x: ((F.col("b_start") < F.col(x)) & (F.col("b_stop") > F.col(x))).cast("int")
+    edges = edge("a_start") + edge("a_stop")
+    n = met.select(F.col("a_chrom").alias("chrom"), F.when(edges == 0, "inside").when(edges == 1, "one edge").otherwise("both edges").alias("category")).rollup("chrom", "category").agg(F.count("*").alias("n"))
+    # the grand total is the roll-up's own top row
+    return n.crossJoin(F.broadcast(n.where("chrom is null and category is null").select(F.col("n").alias("t")))).select("chrom", "category", "n", r6(F.col("n") / F.col("t")).alias("fraction"))
+
+
+@query(
+    with_(V.IV, V.TE, "hit AS (SELECT DISTINCT i.region_id, t.cls FROM iv i JOIN te t ON i.chrom = t.chrom AND i.start < t.stop AND t.start < i.stop)", "c AS (SELECT DISTINCT cls FROM te)", "u AS (SELECT c.cls, iv.stop - iv.start >= 260 AS long, hit.region_id IS NOT NULL AS hit FROM iv CROSS JOIN c LEFT JOIN hit ON hit.region_id = iv.region_id AND hit.cls = c.cls)",
+          "n AS (SELECT cls, count(*) FILTER (long AND hit) AS n11, count(*) FILTER (long AND NOT hit) AS n10, count(*) FILTER (NOT long AND hit) AS n01, count(*) FILTER (NOT long AND NOT hit) AS n00 FROM u GROUP BY cls)",
+          "x AS (SELECT *, n11 / ((n11 + n10) * (n11 + n01) / (n11 + n10 + n01 + n00)) AS ratio FROM n)")
+    + "SELECT cls, n11, n10, n01, n00, round(ratio, 6) AS ratio, round(log2(ratio), 6) AS log2_ratio, round(n11::DOUBLE * n00 / (n10::DOUBLE * n01), 6) AS odds FROM x"
+)
+def te_enrichment(s, d):
+    iv = V.regions(s, d).select("region_id", (F.col("stop") - F.col("start") >= 260).alias("long"))
+    hit = intervals.overlaps(*_ab(s, d)).select(F.col("a_region_id").alias("region_id"), F.col("b_cls").alias("cls")).distinct()
+    inside = hit.join(iv, "region_id").groupBy("cls").agg(F.count_if("long").alias("n11"), F.count_if(~F.col("long")).alias("n01"))
+    total = iv.agg(F.count_if("long").alias("l"), F.count_if(~F.col("long")).alias("s"))
+    counts = inside.crossJoin(F.broadcast(total)).select("cls", "n11", (F.col("l") - F.col("n11")).alias("n10"), "n01", (F.col("s") - F.col("n01")).alias("n00"))
+    return intervals.enrichment(counts).select("cls", "n11", "n10", "n01", "n00", r6("ratio").alias("ratio"), r6("log2_ratio").alias("log2_ratio"), r6("odds").alias("odds"))
+
+
+# Local similarity of conversation turns.
+
+SD = """st AS (SELECT set_id, member, '+' AS strand, seq FROM sq UNION ALL SELECT set_id, member, '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM sq),
+km AS (SELECT set_id, member, strand, i - 1 AS pos, substr(seq, i, 10) AS kmer FROM (SELECT *, unnest(range(1, length(seq) - 8)) AS i FROM st)),
+sd AS (SELECT DISTINCT x.set_id, x.member AS a, y.member AS b, y.strand, x.pos - y.pos AS diag FROM km x JOIN km y ON x.set_id = y.set_id AND x.kmer = y.kmer AND x.member < y.member AND x.strand = '+')"""
+SG = """dg AS (SELECT sd.*, p.seq AS a_seq, q.seq AS b_seq, greatest(diag, 0) AS lo, least(length(p.seq), length(q.seq) + diag) AS hi FROM sd JOIN sq p ON p.set_id = sd.set_id AND p.member = a JOIN st q ON q.set_id = sd.set_id AND q.member = b AND q.strand = sd.strand),
+cl AS (SELECT set_id, a, b, strand, diag, lo, i, CASE WHEN substr(a_seq, i + 1, 1) = substr(b_seq, i - diag + 1, 1) THEN 2 ELSE -3 END AS s FROM (SELECT *, unnest(range(lo, hi)) AS i FROM dg)),
+sm AS (SELECT *, sum(s) OVER w AS t FROM cl WINDOW w AS (PARTITION BY set_id, a, b, strand, diag ORDER BY i)),
+mn AS (SELECT *, least(0, coalesce(min(t) OVER (PARTITION BY set_id, a, b, strand, diag ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS m FROM sm),
+be AS (SELECT *, t - m AS score, row_number() OVER (PARTITION BY set_id, a, b, strand, diag ORDER BY t - m DESC, i) AS k FROM mn),
+sg AS (SELECT e.set_id, e.a, e.b, e.strand, e.diag, CAST(e.score AS INT) AS score, coalesce(max(p.i) FILTER (p.t = e.m AND p.i < e.i) + 1, e.lo) AS qstart, e.i + 1 AS qend FROM be e JOIN sm p ON p.set_id = e.set_id AND p.a = e.a AND p.b = e.b AND p.strand = e.strand AND p.diag = e.diag WHERE e.k = 1 GROUP BY e.set_id, e.a, e.b, e.strand, e.diag, e.score, e.lo, e.i, e.m),
+hs AS (SELECT sg.*, qstart - sg.diag AS sstart, qend - sg.diag AS send, length(a_seq) AS a_len, length(b_seq) AS b_len, substr(b_seq, qstart - sg.diag + 1, qend - qstart) AS sseq, (score + 3 * (qend - qstart)) // 5 AS matches FROM sg JOIN dg ON sg.set_id = dg.set_id AND sg.a = dg.a AND sg.b = dg.b AND sg.strand = dg.strand AND sg.diag = dg.diag)"""
+HITS = (V.SQ, SD, SG)
+BH = "bh AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY set_id, a, b ORDER BY score DESC, strand, qstart, sstart) AS k FROM hs) WHERE k = 1)"
+TP = "tp AS (SELECT x.set_id, x.member AS a, y.member AS b FROM sq x JOIN sq y ON x.set_id = y.set_id AND x.member < y.member)"
+SHOWN = ["set_id", "a", "b", "strand", "diag", "score", "qstart", "qend", "sstart", "send", "matches"]
+
+
+def _hits(s, d):
+    sq = V.sequences(s, d)
+    return similarity.segments(similarity.seeds(sq), sq)
+
+
+def _best(s, d):
+    return similarity.best_per_pair(_hits(s, d), ["set_id", "a", "b"])
+
+
+def _turns(s, d):
+    sq = V.sequences(s, d)
+    return pairs.within_sets(sq, ["member"], ["member", "seq"]).withColumnsRenamed({"a_member": "a", "b_member": "b"})
+
+
+@query(with_(V.SQ, SD) + "SELECT * FROM sd")
+def seed_diagonals(s, d):
+    return similarity.seeds(V.sequences(s, d))
+
+
+@query(with_(*HITS) + f"SELECT {', '.join(SHOWN)} FROM hs")
+def best_segment(s, d):
+    return _hits(s, d).select(SHOWN)
+
+
+@query(with_(*HITS) + f"SELECT set_id, a, b, strand, diag, score, round(log10({C.K} * a_len * b_len * exp(-{C.LAMBDA} * score)), 6) AS log_e FROM hs WHERE {C.K} * a_len * b_len * exp(-{C.LAMBDA} * score) <= 0.0001")
+def segment_evalue(s, d):
+    return similarity.with_e_values(_hits(s, d), 1e-4).select("set_id", "a", "b", "strand", "diag", "score", r6(F.log10("evalue")).alias("log_e"))
+
+
+@query(with_(*HITS) + "SELECT set_id, a, b, strand, diag, score FROM hs WHERE score >= 30")
+def score_threshold(s, d):
+    return _hits(s, d).where("score >= 30").select("set_id", "a", "b", "strand", "diag", "score")
+
+
+@query(with_(*HITS, BH) + f"SELECT {', '.join(SHOWN)} FROM bh")
+def best_hit(s, d):
+    return _best(s, d).select(SHOWN)
+
+
+@query(with_(*HITS, BH) + "SELECT set_id, a, b, strand, score FROM bh ORDER BY score DESC, set_id, a, b, strand, qstart, sstart LIMIT 25")
+def top_pairs(s, d):
+    return similarity.top(_best(s, d), 25).select("set_id", "a", "b", "strand", "score")
+
+
+@query(
+    with_(*HITS, BH)
+    + f"""SELECT CAST(set_id AS VARCHAR) AS "Gene Name", a || '_' || b AS "Comparisons", CAST(a AS VARCHAR) AS qseqid, CAST(b AS VARCHAR) AS sseqid, round(100.0 * matches / (qend - qstart), 3) AS pident, CAST(qend - qstart AS INT) AS length, qstart + 1 AS qstart, qend,
+CASE strand WHEN '+' THEN sstart + 1 ELSE b_len - sstart END AS sstart, CASE strand WHEN '+' THEN send ELSE b_len - send + 1 END AS send, round({C.K} * a_len * b_len * exp(-{C.LAMBDA} * score), 6) AS evalue, sseq FROM bh"""
+)
+def collate_hits(s, d):
+    plus = F.col("strand") == "+"
+    hits = similarity.with_e_values(_best(s, d)).select(
+        F.col("set_id").cast("string").alias("set_id"), F.concat_ws("_", "a", "b").alias("comparison"), F.col("a").cast("string").alias("qseqid"), F.col("b").cast("string").alias("sseqid"),
+        F.round(100 * F.col("matches") / (F.col("qend") - F.col("qstart")), 3).alias("pident"), (F.col("qend") - F.col("qstart")).alias("length"), (F.col("qstart") + 1).alias("qstart"), "qend",
+        F.when(plus, F.col("sstart") + 1).otherwise(F.col("b_len") - F.col("sstart")).alias("sstart"), F.when(plus, F.col("send")).otherwise(F.col("b_len") - F.col("send") + 1).alias("send"), r6("evalue").alias("evalue"), "sseq",
+    )
+    return sinks.collated(hits)
+
+
+@query(with_(*HITS, BH, TP) + "SELECT tp.*, bh.score FROM tp LEFT JOIN bh USING (set_id, a, b)")
+def pairs_left_hits(s, d):
+    return pairs.with_hits(_turns(s, d).select("set_id", "a", "b"), _best(s, d).select("set_id", "a", "b", "score"), ["set_id", "a", "b"])
+
+
+@query(with_(V.SQ, SD, TP) + "SELECT * FROM tp WHERE (set_id, a, b) NOT IN (SELECT (set_id, a, b) FROM sd)")
+def pairs_no_hit(s, d):
+    return pairs.without_hits(_turns(s, d).select("set_id", "a", "b"), similarity.seeds(V.sequences(s, d)), ["set_id", "a", "b"])
+
+
+LK = "lk AS (SELECT DISTINCT set_id, a, b FROM hs WHERE score >= 30)"
+CC = """bo AS (SELECT set_id, a, b FROM lk UNION SELECT set_id, b, a FROM lk), wk AS (SELECT DISTINCT set_id, a AS member, a AS seen FROM bo UNION SELECT wk.set_id, wk.member, bo.b FROM wk JOIN bo ON bo.set_id = wk.set_id AND bo.a = wk.seen),
+cc AS (SELECT set_id, member, min(seen) AS component FROM wk GROUP BY ALL)"""
+
+
+def _components(s, d):
+    return evidence.components(_hits(s, d).where("score >= 30").select("set_id", "a", "b").distinct())
+
+
+@query(with_(*HITS, LK, CC) + "SELECT * FROM cc")
+def hit_components(s, d):
+    return _components(s, d)
+
+
+@query(with_(*HITS, LK, CC, "z AS (SELECT set_id, count(*) AS n FROM sq GROUP BY 1)", "e AS (SELECT set_id, component, count(*) - 1 AS extra FROM cc GROUP BY ALL)") + "SELECT CASE WHEN n >= 5 THEN '5+' ELSE CAST(n AS VARCHAR) END AS bin, count(*) AS components, CAST(sum(extra) AS BIGINT) AS extra_copies FROM e JOIN z USING (set_id) GROUP BY 1")
+def extra_copies(s, d):
+    sizes = V.sequences(s, d).groupBy("set_id").agg(F.count("*").alias("n")).select("set_id", C.size_bin(F.col("n")).alias("bin"))
+    return evidence.extra_copies(_components(s, d), sizes)
+
+
+HB = "big AS (SELECT DISTINCT region_id FROM ov WHERE bases >= 200)"
+
+
+def _big(s, d):
+    return intervals.overlaps(*_ab(s, d)).where(_bases() >= 200).select(F.col("a_region_id").alias("region_id")).distinct()
+
+
+@query(with_(V.IV, V.TE, OV, HB, "z AS (SELECT set_id, count(DISTINCT (chrom, start, stop)) AS n FROM iv GROUP BY set_id)", "o AS (SELECT CASE WHEN n >= 5 THEN '5+' ELSE CAST(n AS VARCHAR) END AS bin, chrom, start, stop, max(CAST(big.region_id IS NOT NULL AS INT)) AS hit FROM iv JOIN z USING (set_id) LEFT JOIN big USING (region_id) GROUP BY ALL)") + "SELECT bin, count(*) AS regions, CAST(sum(hit) AS BIGINT) AS hit_regions, round(sum(hit) / count(*), 6) AS share FROM o GROUP BY bin")
+def hits_per_bin(s, d):
+    iv = V.regions(s, d)
+    return evidence.hits_per_bin(iv, iv.join(_big(s, d), "region_id", "left_semi")).withColumn("share", r6("share"))
+
+
+@query(with_(V.IV, V.TE, OV, HB, PR, FL, CP, BD) + 'SELECT set_id, a_region_id, b_region_id FROM pr WHERE a_region_id IN (SELECT * FROM big) AND b_region_id IN (SELECT * FROM big) AND (set_id, a_region_id, b_region_id) IN (SELECT (set_id, a_region_id, b_region_id) FROM bd WHERE ("LL" > 0 AND "RR" > 0) OR ("LR" > 0 AND "RL" > 0))')
+def hit_and_double_flank(s, d):
+    key = ["set_id", "a_region_id", "b_region_id"]
+    same, big = _same(s, d).select(key), _big(s, d)
+    hits = same.join(big.withColumnRenamed("region_id", "a_region_id"), "a_region_id", "left_semi").join(big.withColumnRenamed("region_id", "b_region_id"), "b_region_id", "left_semi")
+    double = flanks.breakdown(_classes(s, d).select(*key, "cls"), key).where("double")
+    return pairs.with_both(same, hits, double, key)
+
+
+@query(with_(V.SQ) + "SELECT set_id, member, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS minus, length(seq) - 3 - length(seq) // 2 AS plus_start FROM sq")
+def revcomp(s, d):
+    sq = V.sequences(s, d).withColumns({"start": F.lit(3), "size": F.expr("length(seq) div 2"), "strand": F.lit("-"), "total": F.length("seq")})
+    return alignments.on_plus(sq).select("set_id", "member", F.md5(C.reverse_complement(F.col("seq"))).alias("minus"), F.col("plus_start").cast("bigint").alias("plus_start"))
+
+
+@query(
+    with_(V.SQ, "al AS (SELECT x.set_id, x.member AS a, y.member AS b, rpad(x.seq, CAST(greatest(length(x.seq), length(y.seq)) AS INT), '-') AS t, rpad(y.seq, CAST(greatest(length(x.seq), length(y.seq)) AS INT), '-') AS q, abs(length(x.seq) - length(y.seq)) AS g FROM sq x JOIN sq y ON x.set_id = y.set_id AND x.member < y.member)",
+          "mx(p, v) AS (VALUES ('AA', 91), ('CC', 100), ('GG', 100), ('TT', 91), ('AC', -114), ('CA', -114), ('AG', -31), ('GA', -31), ('AT', -123), ('TA', -123), ('CG', -125), ('GC', -125), ('CT', -31), ('TC', -31), ('GT', -114), ('TG', -114))",
+          "ch AS (SELECT set_id, a, b, g, unnest(range(1, length(t) + 1)) AS i, t, q FROM al)")
+    + "SELECT set_id, a, b, count(*) FILTER (substr(t, i, 1) = substr(q, i, 1)) AS matches, count(*) - g AS aligned, count(*) AS columns, CAST(coalesce(sum(v), 0) - CASE WHEN g > 0 THEN 400 + 30 * g ELSE 0 END AS BIGINT) AS score FROM ch LEFT JOIN mx ON p = substr(t, i, 1) || substr(q, i, 1) GROUP BY set_id, a, b, g"
+)
+def column_rescore(s, d):
+    two = _turns(s, d)
+    n = F.greatest(F.length("a_seq"), F.length("b_seq"))
+    al = two.select("set_id", "a", "b", F.rpad("a_seq", n, F.lit("-")).alias("t"), F.rpad("b_seq", n, F.lit("-")).alias("q"))
+    return alignments.metrics(al, ["set_id", "a", "b"]).select("set_id", "a", "b", "matches", "aligned", "columns", "score")
+
+
+@query(
+    with_(V.SQ, "ck AS (SELECT set_id, member, c AS chunk, substr(seq, c * 64 + 1, 64) AS part FROM (SELECT *, unnest(range(0, CAST(ceil(length(seq) / 64) AS BIGINT))) AS c FROM sq))", "tr AS (SELECT set_id, member, chunk, substr(part, i, 3) AS t, count(*) AS c FROM (SELECT *, unnest(range(1, length(part) - 1)) AS i FROM ck) GROUP BY ALL)")
+    + "SELECT set_id, member, CAST(chunk AS INT) AS chunk, round(sum(c * (c - 1) / 2) / (sum(c) - 1), 6) AS score FROM tr GROUP BY ALL HAVING sum(c) > 1"
+)
+def low_complexity(s, d):
+    return similarity.low_complexity(V.sequences(s, d)).withColumn("score", r6("score"))
+
+
+@query("WITH x AS (SELECT role, length(text) AS n, length(regexp_replace(text, '[^GCgc]', '', 'g')) AS gc, length(regexp_replace(text, '[^acgt]', '', 'g')) AS masked FROM conversations) SELECT role, count(*) AS turns, CAST(sum(n) AS BIGINT) AS length, CAST(sum(gc) AS BIGINT) AS gc, CAST(sum(masked) AS BIGINT) AS masked FROM x GROUP BY role")
+def seq_composition(s, d):
+    c = regions.composition(V.table(s, d, "conversations"), F.col("text"))
+    return c.groupBy("role").agg(F.count("*").alias("turns"), F.sum("length").cast("bigint").alias("length"), F.sum("gc").cast("bigint").alias("gc"), F.sum("masked").cast("bigint").alias("masked"))
+
+
+@query(with_(V.IV) + "SELECT chrom, count(*) AS n, round(avg(stop - start), 6) AS mean, " + ", ".join(f"round(quantile_cont(stop - start, {q}), 6) AS q{k}" for k, q in enumerate((0, 0.25, 0.5, 0.75, 1))) + " FROM iv GROUP BY chrom")
+def group_summary(s, d):
+    got = regions.five_numbers(V.regions(s, d).withColumn("size", F.col("stop") - F.col("start")), ["chrom"], "size")
+    return got.select("chrom", "n", *(r6(c).alias(c) for c in ("mean", "q0", "q1", "q2", "q3", "q4")))
+
+
+JC = "nn AS (SELECT set_id, member, count(*) AS n FROM ws GROUP BY ALL), sh AS (SELECT x.set_id, x.member AS a, y.member AS b, count(*) AS shared FROM ws x JOIN ws y ON x.set_id = y.set_id AND x.w = y.w AND x.member < y.member GROUP BY ALL)"
+JS = "SELECT sh.*, p.n + q.n - shared AS total, round(shared / (p.n + q.n - shared), 6) AS jaccard, round(shared / least(p.n, q.n), 6) AS containment FROM sh JOIN nn p ON p.set_id = sh.set_id AND p.member = a JOIN nn q ON q.set_id = sh.set_id AND q.member = b"
+
+
+@query(with_(V.SQ, "ws AS (SELECT DISTINCT set_id, member, substr(seq, i, 6) AS w FROM (SELECT *, unnest(range(1, length(seq) - 4)) AS i FROM sq))", JC) + JS)
+def kmer_jaccard(s, d):
+    return similarity.word_jaccard(V.sequences(s, d), 6).withColumns({"jaccard": r6("jaccard"), "containment": r6("containment")})
+
+
+@query(with_(V.MO, "ws AS (SELECT * FROM mo)", JC) + JS)
+def motif_jaccard(s, d):
+    return similarity.motif_jaccard(V.motifs(s, d)).withColumns({"jaccard": r6("jaccard"), "containment": r6("containment")})
+
+
+@query(with_(V.SQ) + "SELECT x.set_id, x.member AS a, y.member AS b, round(1 - levenshtein(x.seq, y.seq) / greatest(length(x.seq), length(y.seq)), 6) AS similarity FROM sq x JOIN sq y ON x.set_id = y.set_id AND x.member < y.member")
+def edit_similarity(s, d):
+    return _turns(s, d).select("set_id", "a", "b", r6(C.edit_similarity(F.col("a_seq"), F.col("b_seq"))).alias("similarity"))
+
+
+# Null controls.
+
+
+@query(with_(V.IV, "h AS (SELECT *, rep, md5(region_id || '|1|' || rep) AS h FROM iv, (SELECT unnest([1, 2, 3]) AS rep))") + "SELECT chrom, CAST(rep AS INT) AS rep, region_id, CAST(k AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY chrom, rep ORDER BY h, region_id) AS k FROM h) WHERE k <= 50")
+def null_sample(s, d):
+    return nulls.sample(V.regions(s, d), "region_id", ["chrom"], 50, 3).select("chrom", "rep", "region_id", "k")
+
+
+@query(with_(V.IV, f"h AS (SELECT *, CAST('0x' || substr(md5(region_id || '|1|0'), 1, 8) AS BIGINT) % ({V.CHROMOSOME} - (stop - start)) AS s FROM iv)") + "SELECT region_id, s AS start, s + stop - start AS stop FROM h")
+def null_shift(s, d):
+    return nulls.shift(V.regions(s, d), "region_id", V.CHROMOSOME).select("region_id", "start", "stop")
+
+
+@query(with_(V.CO) + "SELECT grp, count(*) AS n, round(quantile_cont(score, 0.9), 6) AS q90, round(quantile_cont(score, 0.95), 6) AS q95, round(quantile_cont(score, 0.99), 6) AS q99 FROM co WHERE cohort = 'null' GROUP BY grp")
+def null_cutoffs(s, d):
+    return nulls.cutoffs(V.cohorts(s, d).where("cohort = 'null'"), ["grp"], "score").select("grp", "n", *(r6(c).alias(c) for c in ("q90", "q95", "q99")))
+
+
+@query(with_(V.CO) + "SELECT grp, replicate, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 4) AS sd, round(median(score), 6) AS median FROM co WHERE cohort = 'null' GROUP BY ALL")
+def null_replicates(s, d):
+    got = nulls.replicate_stats(V.cohorts(s, d).where("cohort = 'null'"), ["grp", "replicate"], "score")
+    return got.select("grp", "replicate", "n", r6("mean").alias("mean"), F.round("sd", 4).alias("sd"), r6("median").alias("median"))
+
+
+@query(with_(V.CO, "nu AS (SELECT grp, score FROM co WHERE cohort = 'null')") + "SELECT o.doc_id, o.grp, o.score, round((1 + count(nu.score) FILTER (nu.score >= o.score)) / (1 + count(nu.score)), 6) AS p FROM co o LEFT JOIN nu ON nu.grp = o.grp WHERE o.cohort = 'observed' GROUP BY ALL")
+def empirical_p(s, d):
+    co = V.cohorts(s, d)
+    got = nulls.empirical_p(co.where("cohort = 'observed'").select("doc_id", "grp", "score"), co.where("cohort = 'null'"), ["grp"], "score")
+    return got.select("doc_id", "grp", "score", r6("p").alias("p"))
+
+
+@query(with_(V.CO, "z AS (SELECT grp, cohort, count(*) AS n, avg(score) AS mean, stddev_samp(score) AS sd FROM co GROUP BY ALL)") + "SELECT o.grp, o.n AS obs_n, n.n AS null_n, round(o.mean, 6) AS obs_mean, round(n.mean, 6) AS null_mean, round((o.mean - n.mean) / n.sd, 6) AS z FROM z o LEFT JOIN z n ON n.grp = o.grp AND n.cohort = 'null' WHERE o.cohort = 'observed'")
+def observed_vs_null(s, d):
+    stats = nulls.replicate_stats(V.cohorts(s, d), ["grp", "cohort"], "score")
+    got = nulls.against(stats.where("cohort = 'observed'"), stats.where("cohort = 'null'"), ["grp"])
+    return got.select("grp", "obs_n", "null_n", r6("obs_mean").alias("obs_mean"), r6("null_mean").alias("null_mean"), r6("z").alias("z"))
+
+
+@query(with_(V.IV, V.TE) + "SELECT cohort, chrom, count(*) AS n, CAST(sum(stop - start) AS BIGINT) AS bases FROM (SELECT 'observed' AS cohort, chrom, start, stop FROM iv UNION ALL SELECT 'null', chrom, start, stop FROM te) GROUP BY ALL")
+def cohort_union(s, d):
+    both = regions.union_cohorts(V.regions(s, d), V.annotations(s, d))
+    return both.groupBy("cohort", "chrom").agg(F.count("*").alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bases"))
+
+
+@query(with_(V.TE, "o AS (SELECT chrom, start, stop FROM te WHERE cls = 'O')", "f AS (SELECT chrom, start, stop FROM te WHERE cls = 'F')") + "SELECT 'shared' AS kind, * FROM (SELECT * FROM o INTERSECT SELECT * FROM f) UNION ALL SELECT 'only', * FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM f)")
+def region_setops(s, d):
+    te = V.annotations(s, d)
+    o, f = te.where("cls = 'O'"), te.where("cls = 'F'")
+    return regions.shared(o, f).withColumn("kind", F.lit("shared")).unionByName(regions.only_first(o, f).withColumn("kind", F.lit("only"))).select("kind", "chrom", "start", "stop")
+
+
+@query(with_(V.IV) + "SELECT set_id, count(DISTINCT (chrom, start, stop)) AS n FROM iv GROUP BY set_id ORDER BY set_id")
+def ordered_sets(s, d):
+    return regions.set_sizes(V.regions(s, d)).select("set_id", "n").orderBy("set_id")
