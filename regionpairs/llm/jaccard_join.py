@@ -13,6 +13,7 @@ missed, and groups of near copies aren't expanded into all pairs.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,7 +121,7 @@ def _heads(batches, k, pct):
             ns.append(n)
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
             p = prefix(n, pct)
-            heads.append(s[: min(n, p + p // 2 + 8)] if n else s)
+            heads.append(s[: min(n, p + p // 4 + 4)] if n else s)
             bits = np.bincount((s.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
             sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
         flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
@@ -161,9 +162,9 @@ def _fragments(batches, k):
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of docs per id: ids go to the tasks while they are few, else both sides are shuffled."""
+    """The rows of docs with these ids: ids go to the tasks while they are few, else both sides are shuffled."""
     few = ids.count() <= SENT
-    return docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.node, "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.node, "left_semi")
 
 
 def _meet(batches, pct, again):
@@ -207,8 +208,8 @@ def _meet(batches, pct, again):
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tok)]):
             if hi - lo > 1:
                 found += group(n[lo:hi], pos[lo:hi], node[lo:hi], sketch[lo:hi], comp[lo:hi])
-        found = list(dict.fromkeys((min(p), max(p)) for p in found))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
+        votes = Counter((min(p), max(p)) for p in found)
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in votes], pa.int64()), pa.array([p[1] for p in votes], pa.int64()), pa.array(list(votes.values()), pa.int64())], ["a", "b", "c"])
 
     held = None
     for batch in batches:
@@ -227,16 +228,21 @@ def _meet(batches, pct, again):
 
 
 def _pairs(rows: DataFrame, pct: int, again: bool) -> DataFrame:
+    """First round: for each node the one it meets most often as the earliest that it may resemble; again: all pairs."""
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    return dealt.mapInArrow(functools.partial(_meet, pct=pct, again=again), "a long, b long").distinct()
+    met = dealt.mapInArrow(functools.partial(_meet, pct=pct, again=again), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    if again:
+        return met.select("a", "b")
+    return met.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, pct: int) -> DataFrame:
     """The pairs (a, b) that are similar enough: overlaps counted by fragment and summed."""
-    ids = through_table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ids")
-    parts = _only(docs, ids).mapInArrow(functools.partial(_fragments, k=k), "node long, f int, tokens array<long>")
-    x, y = (parts.select(F.col("node").alias(c), "f", F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-    met = pairs.join(x, "a").join(y, ["b", "f"]).select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long").alias("c"))
+    few = pairs.count() <= SENT
+    side = lambda c: _only(docs, pairs.select(F.col(c).alias("node")).distinct()).mapInArrow(functools.partial(_fragments, k=k), "node long, f int, tokens array<long>").select(F.col("node").alias(c), "f", F.col("tokens").alias(f"{c}_tokens"))
+    # b's fragments learn their partners where they lie; one shuffle brings them to a's
+    theirs = side("b").join(F.broadcast(pairs) if few else pairs, "b")
+    met = theirs.join(side("a"), ["a", "f"]).select("a", "b", F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long").alias("c"))
     both = met.groupBy("a", "b").agg(F.sum("c").alias("c"))
     n = lambda c: sizes.select(F.col("node").alias(c), F.col("n").cast("long").alias(f"n_{c}"))
     return both.join(n("a"), "a").join(n("b"), "b").where(100 * F.col("c") >= pct * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b")
@@ -247,22 +253,34 @@ def link(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     of pct / 100 or more are linked; a component has the smallest doc_id that links reach.
 
     Null, empty and wordless texts have empty sets and link with nothing; copies link with each other whatever their
-    number; repeated rows of a doc_id are kept. A null doc_id keeps a null component_id. An empty table gives an empty
-    result.
+    number; repeated rows of a doc_id are kept, and if their texts differ the one with the smallest hash counts for all. A
+    null doc_id links with nothing and keeps a null component_id. An empty table gives an empty result.
     """
     docs = texts(docs)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _link(docs, k, pct)
+    own = docs.where("doc_id is not null")
+    one = own.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    linked = _link(one.unionByName(docs.where("doc_id is null")), k, pct)
+    return own.select("doc_id").join(linked, "doc_id").unionByName(linked.where("doc_id is null"))
+
+
+def _link(docs: DataFrame, k: int, pct: int) -> DataFrame:
+    """link() of documents with distinct ids."""
     heads = through_table(docs.mapInArrow(functools.partial(_heads, k=k, pct=pct), "doc_id long, key binary, n int, head array<long>, sketch binary"), "heads")
-    nodes = through_table(
-        heads.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("sketch").alias("sketch")), "nodes"
-    )
-    size_of = F.expr(f"n - cast(({pct} * cast(n as bigint) + 99) div 100 as int) + 1")  # prefix()
-    rows = nodes.select("node", "n", F.size("head").alias("h"), F.posexplode("head").alias("rank", "token"))
+    nodes = through_table(heads.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "nodes")
+    # of copies one row has the head
+    first = _only(heads, nodes.select("node")).select(F.col("doc_id").alias("node"), "head", "sketch")
+    size_of_sql = f"n - cast(({pct} * cast(n as bigint) + 99) div 100 as int) + 1"  # prefix()
+    size_of = F.expr(size_of_sql)
+    rows = first.select("node", F.posexplode("head").alias("rank", "token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = through_table(rows.join(counts, "token").select("token", "node", "n", "h", "rank", (F.col("c") > COMMON).alias("common")), "shared")
+    shared = through_table(rows.join(counts, "token").select("token", "node", "rank", (F.col("c") > COMMON).alias("common")), "shared")
+    sized = nodes.select("node", "n").withColumn("h", F.least("n", size_of + F.expr(f"({size_of_sql}) div 4 + 4").cast("int")))
     # common n-grams at the end of the order
     before = F.sum(F.col("common").cast("int")).over(_by_node().orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     all_common = F.sum(F.col("common").cast("int")).over(_by_node())
-    placed = shared.withColumn("pos", F.col("rank") - F.coalesce(before, F.lit(0))).withColumn("short", F.col("h") - all_common < size_of).where((~F.col("common") & (F.col("pos") < size_of)) | F.col("short"))
+    placed = shared.join(sized, "node").withColumn("pos", F.col("rank") - F.coalesce(before, F.lit(0))).withColumn("short", F.col("h") - all_common < size_of).where((~F.col("common") & (F.col("pos") < size_of)) | F.col("short"))
     placed = through_table(placed.select("token", "node", "n", "pos", "short"), "placed")
     light = placed.where("not short").select("token", "node", "n", "pos")
     # nodes whose head is nearly all common: the order of the whole set
@@ -272,9 +290,10 @@ def link(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     order = whole.join(common, "token", "left").select("node", "n", "token", "rank", F.coalesce("common", F.lit(False)).alias("common"))
     heavy = order.withColumn("pos", F.row_number().over(_by_node().orderBy("common", "rank")) - 1).where(F.col("pos") < size_of).select("token", "node", "n", "pos")
     met = light.unionByName(heavy)
+    sketches = first.select("node", "sketch")
     # only n-grams that two prefixes hold
     again = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    met = through_table(met.join(again, "token").join(nodes.select("node", "sketch"), "node"), "met")
+    met = through_table(met.join(again, "token").join(sketches, "node"), "met")
     sizes = nodes.select("node", "n")
     tried = through_table(_pairs(met.withColumn("comp", F.lit(0).cast("long")), pct, False), "tried")
     links = through_table(confirm(docs, tried, sizes, k, pct), "sure")
