@@ -50,6 +50,16 @@ def other_strand(start: Column, size: Column, total: Column) -> Column:
     return total - start - size
 
 
+def local_offset(pos: Column, region_start: Column) -> Column:
+    """Chromosome position to position within a region."""
+    return pos - region_start
+
+
+def genomic(start: Column, size: Column, strand: Column, region_start: Column, region_size: Column) -> Column:
+    """Chromosome start of an alignment side that is given on its own strand within a region."""
+    return region_start + F.when(strand == "-", other_strand(start, size, region_size)).otherwise(start)
+
+
 def gap(start_a: Column, stop_a: Column, start_b: Column, stop_b: Column) -> Column:
     return F.greatest(F.greatest(start_a, start_b) - F.least(stop_a, stop_b), F.lit(0))
 

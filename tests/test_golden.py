@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from regionpairs.functions import columns as C
 from regionpairs.operators import alignments, evidence, flanks, intervals, nulls, pairs, regions, similarity
@@ -27,6 +28,13 @@ def test_column_functions(spark):
     assert {tuple(x.c) for x in odd.select(C.coordinates(odd.h).alias("c")).collect()} == {(None, None, None)}
 
 
+def test_alignment_sides_on_the_chromosome(spark):
+    rows = [(21, 37, "+", 19340770, 200), (334, 36, "-", 19343988, 374)]
+    df = spark.createDataFrame(rows, "start bigint, size bigint, strand string, at bigint, total bigint")
+    got = df.select(C.genomic(df.start, df["size"], df.strand, df.at, df.total).alias("g"), "at").withColumn("back", C.local_offset(F.col("g"), F.col("at"))).collect()
+    assert [(r.g, r.back) for r in got] == [(19340791, 21), (19343992, 4)]
+
+
 def test_flank_windows(spark):
     rows = [("Abd-B", "chr3R", 16920234, 16921056, 1), ("Abd-B", "chr3R", 16921371, 16921858, 2), ("sm", "chr3R", 9393661, 9394054, 3), ("sm", "chr3R", 9394057, 9394430, 4), ("n", "c", 100, 900, 5), ("n", "c", 200, 300, 6), ("n", "c", 950, 990, 7)]
     r = spark.createDataFrame(rows, "set_id string, chrom string, start bigint, stop bigint, region_id bigint")
