@@ -51,7 +51,8 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """a, b, i, size, words, first (place of the first copy): for every line where a run of min_words words or more starts that has an earlier copy, the longest such run."""
     here = F.struct("a", "b", "i")
     every = through_table(lines(docs), "lines")
-    twice = every.groupBy("h").agg(F.count("*").alias("c"), F.min(here).alias("n")).where("c > 1").select("h", "n")
+    # written first, so that the join deals both sides anew and can split a very common line
+    twice = through_table(every.groupBy("h").agg(F.count("*").alias("c"), F.min(here).alias("n")).where("c > 1").select("h", "n"), "twice")
     base = through_table(every.join(twice, "h").select("a", "b", "i", "words", "n").dropDuplicates(["a", "b", "i"]), "repeated")
     # up: names of runs of 2 ** k lines
     levels = [base.select("a", "b", "i", "n")]
@@ -66,7 +67,7 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     for k in reversed(range(len(levels) - 1)):
         at = levels[k].select("a", "b", F.col("i").alias("j"), F.col("n").alias("m"))
         met = state.withColumn("j", F.col("i") + F.col("size")).join(at, ["a", "b", "j"])
-        deeper = met.groupBy("size", "n", "m").agg(F.min(here).alias("f"), F.count("*").alias("c")).where("c > 1").select("size", "n", "m", "f")
+        deeper = through_table(met.groupBy("size", "n", "m").agg(F.min(here).alias("f"), F.count("*").alias("c")).where("c > 1").select("size", "n", "m", "f"), "deeper")
         moved = met.join(deeper, ["size", "n", "m"]).withColumn("later", F.col("own") & (here != F.col("f")))
         moved = through_table(moved.select("a", "b", "i", "size", "n", "f", "later"), "moved")
         gone = moved.where("later").select("a", "b", "i", "size", "n")
