@@ -5,15 +5,14 @@ many nodes hold moved to its end; two sets that are similar enough share an n-gr
 so nodes meet there, and lengths, positions and parity sketches rule out most meetings. To confirm a pair, the n-gram order
 is cut into fragments, the overlap is counted in each fragment separately and summed per pair.
 
-Links are wanted for components, so a meeting first confirms one link per node to the earliest node that it may resemble;
-only pairs of nodes that these links leave in different components are confirmed afterwards. No link between components is
-missed, and groups of near copies aren't expanded into all pairs.
+Links are wanted for components, so at first one link per node is confirmed, to the earlier node whose sketch is nearest;
+then one pair for every two components that meet; at last all pairs that are still in different components. No link between
+components is missed, and groups of near copies aren't expanded into all pairs.
 """
 
 from __future__ import annotations
 
 import functools
-from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +22,8 @@ from .graph import components
 
 #: An n-gram in the prefixes of more nodes than this goes to the end of the order.
 COMMON = 100
-#: Fragments that the order is cut into for counting; bits of a parity sketch.
-FRAGMENTS, SKETCH = 8, 256
+#: Fragments that the order is cut into for counting; bits of a parity sketch, and of the wide one that large sets have besides.
+FRAGMENTS, SKETCH, WIDE = 8, 256, 4096
 #: Rows that meet under one n-gram before the first round compares each with the first and the nearest ones only.
 ALL_BELOW, NEAREST = 2048, 64
 #: Ids that are sent to every task rather than joined by shuffling the texts.
@@ -115,19 +114,20 @@ def _heads(batches, k, pct):
     import xxhash
 
     for part, sets in _sets(batches, k):
-        keys, ns, heads, sketches = [], [], [], []
+        keys, ns, heads, sketches, wides = [], [], [], [], []
         for s in sets:
             n = len(s)
             ns.append(n)
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
             p = prefix(n, pct)
             heads.append(s[: min(n, p + p // 4 + 4)] if n else s)
-            bits = np.bincount((s.view(np.uint64) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
-            sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
+            bits = (np.bincount((s.view(np.uint64) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)
+            sketches.append(np.packbits(np.bitwise_xor.reduce(bits.reshape(-1, SKETCH))).tobytes())
+            wides.append(np.packbits(bits).view(np.int64) if n > SKETCH else None)
         flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sketches, pa.binary())], ["doc_id", "key", "n", "head", "sketch"]
+            [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sketches, pa.binary()), pa.array(wides, pa.list_(pa.int64()))], ["doc_id", "key", "n", "head", "sketch", "wide"]
         )
 
 
@@ -167,49 +167,63 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.node, "left_semi")
 
 
-def _meet(batches, pct, again):
-    """Pairs (a, b) of nodes that meet under an n-gram, from rows sorted by token, n, node. First round: each node with the
-    first that it may resemble; again: all that may be similar and lie in different components."""
+def _meet(batches, pct, mode):
+    """Pairs (a, b) of nodes that meet under an n-gram, from rows sorted by token, n, node, with their components and how
+    far their sketches differ. `near`: each node with the earlier one that it differs from least; `merge`: of two components
+    the pair that differs least; `all`: every pair of different components. All only as far as they may be similar."""
     import numpy as np
     import pyarrow as pa
 
-    def group(n, pos, node, sketch, comp):
+    def group(best, n, pos, node, sketch, comp):
         keep = np.concatenate([[True], node[1:] != node[:-1]])
         n, pos, node, sketch, comp = n[keep], pos[keep], node[keep], sketch[keep], comp[keep]
         m = len(n)
-        if m < 2 or again and (comp == comp[0]).all():
-            return []
-        out = []
+        if m < 2 or mode != "near" and (comp == comp[0]).all():
+            return
         low = np.searchsorted(n, -(-pct * n // 100))  # sizes below can't be similar
         for j in range(1, m):
-            if again or m <= ALL_BELOW:
+            if mode != "near" or m <= ALL_BELOW:
                 i = np.arange(low[j], j)
             else:
                 i = np.unique(np.concatenate([[low[j]], np.arange(max(low[j], j - NEAREST), j)]))
                 i = i[i < j]
-            if again:
+            if mode != "near":
                 i = i[comp[i] != comp[j]]
             if not len(i):
                 continue
-            least = need(n[i] + 0, n[j], pct)
+            least = need(n[i], n[j], pct)
             ok = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
             i, least = i[ok], least[ok]
-            if len(i):
-                differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-                i = i[(n[i] + n[j] - differ) // 2 >= least]
-            if len(i):
-                out += [(node[x], node[j]) for x in (i if again else i[:1])]
-        return out
+            if not len(i):
+                continue
+            differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
+            ok = (n[i] + n[j] - differ) // 2 >= least
+            i, far = i[ok], 10_000 * differ[ok] // (n[i[ok]] + n[j])
+            if not len(i):
+                continue
+            order = np.lexsort((node[i], far))
+            i, far = i[order], far[order]
+            if mode == "near":
+                i, far = i[:1], far[:1]
+            elif mode == "merge":
+                _, first = np.unique(comp[i], return_index=True)
+                i, far = i[first], far[first]
+            for x, d in zip(i.tolist(), far.tolist()):
+                a, b, ca, cb = int(node[x]), int(node[j]), int(comp[x]), int(comp[j])
+                key = b if mode == "near" else (min(ca, cb), max(ca, cb)) if mode == "merge" else (min(a, b), max(a, b))
+                if key not in best or (d, a, b) < best[key]:
+                    best[key] = (d, a, b)
 
     def close(rows):
-        tok, n, pos, node, sketch, comp = rows
+        tok, *rest = rows
         cuts = np.flatnonzero(np.diff(tok)) + 1
-        found = []
+        best: dict = {}
+        comp = dict(zip(rest[2].tolist(), rest[4].tolist()))
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tok)]):
             if hi - lo > 1:
-                found += group(n[lo:hi], pos[lo:hi], node[lo:hi], sketch[lo:hi], comp[lo:hi])
-        votes = Counter((min(p), max(p)) for p in found)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in votes], pa.int64()), pa.array([p[1] for p in votes], pa.int64()), pa.array(list(votes.values()), pa.int64())], ["a", "b", "c"])
+                group(best, *(x[lo:hi] for x in rest))
+        cols = list(zip(*((a, b, min(comp[a], comp[b]), max(comp[a], comp[b]), d) for d, a, b in best.values()))) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["a", "b", "ca", "cb", "far"])
 
     held = None
     for batch in batches:
@@ -227,13 +241,23 @@ def _meet(batches, pct, again):
         yield close(held)
 
 
-def _pairs(rows: DataFrame, pct: int, again: bool) -> DataFrame:
-    """First round: for each node the one it meets most often as the earliest that it may resemble; again: all pairs."""
+def _pairs(rows: DataFrame, pct: int, mode: str) -> DataFrame:
+    """a < b: the pairs that _meet picks, over all n-grams."""
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    met = dealt.mapInArrow(functools.partial(_meet, pct=pct, again=again), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    if again:
-        return met.select("a", "b")
-    return met.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
+    met = dealt.mapInArrow(functools.partial(_meet, pct=pct, mode=mode), "a long, b long, ca long, cb long, far long")
+    if mode != "all":
+        met = met.groupBy(*(["b"] if mode == "near" else ["ca", "cb"])).agg(F.min(F.struct("far", "a", F.col("b").alias("_b"))).alias("m")).select("m.a", F.col("m._b").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _plausible(pairs: DataFrame, first: DataFrame, sizes: DataFrame, pct: int) -> DataFrame:
+    """pairs that the wide sketches don't rule out."""
+    of = lambda c: first.where("wide is not null").select(F.col("node").alias(c), F.col("wide").alias(f"w_{c}")).join(sizes.select(F.col("node").alias(c), F.col("n").cast("long").alias(f"n_{c}")), c)
+    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    differ = F.aggregate(F.zip_with("w_a", "w_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda z, v: z + v)
+    total = F.col("n_a") + F.col("n_b")
+    # 100 * overlap >= pct * union with overlap at most (total - differ) / 2
+    return met.where(F.col("w_a").isNull() | F.col("w_b").isNull() | ((100 + pct) * (total - differ) >= 2 * pct * total)).select("a", "b")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, pct: int) -> DataFrame:
@@ -267,10 +291,10 @@ def link(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
 
 def _link(docs: DataFrame, k: int, pct: int) -> DataFrame:
     """link() of documents with distinct ids."""
-    heads = through_table(docs.mapInArrow(functools.partial(_heads, k=k, pct=pct), "doc_id long, key binary, n int, head array<long>, sketch binary"), "heads")
+    heads = through_table(docs.mapInArrow(functools.partial(_heads, k=k, pct=pct), "doc_id long, key binary, n int, head array<long>, sketch binary, wide array<long>"), "heads")
     nodes = through_table(heads.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n")), "nodes")
     # of copies one row has the head
-    first = _only(heads, nodes.select("node")).select(F.col("doc_id").alias("node"), "head", "sketch")
+    first = _only(heads, nodes.select("node")).select(F.col("doc_id").alias("node"), "head", "sketch", "wide")
     size_of_sql = f"n - cast(({pct} * cast(n as bigint) + 99) div 100 as int) + 1"  # prefix()
     size_of = F.expr(size_of_sql)
     rows = first.select("node", F.posexplode("head").alias("rank", "token"))
@@ -295,12 +319,16 @@ def _link(docs: DataFrame, k: int, pct: int) -> DataFrame:
     again = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     met = through_table(met.join(again, "token").join(sketches, "node"), "met")
     sizes = nodes.select("node", "n")
-    tried = through_table(_pairs(met.withColumn("comp", F.lit(0).cast("long")), pct, False), "tried")
+    tried = through_table(_pairs(met.withColumn("comp", F.col("node")), pct, "near"), "tried")
     links = through_table(confirm(docs, tried, sizes, k, pct), "sure")
     comps = through_table(components(links), "comps")
-    labelled = met.join(comps.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = through_table(_pairs(labelled, pct, True).join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
+    for mode in ("merge", "all"):
+        # first one pair for every two components, then all pairs of components that are still different
+        labelled = met.join(comps.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rest = through_table(_plausible(_pairs(labelled, pct, mode).join(tried, ["a", "b"], "left_anti"), first, sizes, pct), "rest")
+        if rest.isEmpty():
+            continue
+        tried = tried.unionByName(rest)
         links = through_table(links.unionByName(confirm(docs, rest, sizes, k, pct)), "sure")
         comps = through_table(components(links), "comps")
     named = nodes.select("key", "node").join(comps, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
