@@ -29,7 +29,7 @@ LEAF_CHARS = 16_384
 #: ASCII white space, where every tokenizer file of this kind parts its units.
 SPACES = " \t\n\x0b\x0c\r"
 #: Units that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: The normalizer that Encoder can apply to whole texts at once (fixed values of the tokenizer file).
 KNOWN = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 #: Bytes of UTF-8 text for which NFC changes nothing (code points below U+0300) and that no control rule touches.
