@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, slices, texts, through_table
-from .graph import components
+from .graph import forest, merged
 
 #: An n-gram in the prefixes of more nodes than this goes to the end of the order.
 COMMON = 100
@@ -140,6 +140,24 @@ def _whole_sets(batches, k):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["node", "tokens"])
 
 
+def _reordered(batches, k, pct, common):
+    """The prefix of whole sets, n-grams in common (sorted) last."""
+    import numpy as np
+    import pyarrow as pa
+
+    common = np.array(common, np.int64)
+    for part, sets in _sets(batches, k):
+        tok, node, n, pos = [], [], [], []
+        for d, s in zip(part.column("doc_id").to_pylist(), sets):
+            p = prefix(len(s), pct)
+            x = s[np.argsort(np.isin(s, common), kind="stable")][:p]
+            tok.append(x)
+            node += [d] * len(x)
+            n += [len(s)] * len(x)
+            pos += range(len(x))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok)), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(pos, pa.int32())], ["token", "node", "n", "pos"])
+
+
 def _fragments(batches, k):
     """node, fragment of the order, its n-grams."""
     import numpy as np
@@ -242,11 +260,13 @@ def _meet(batches, pct, mode):
 
 
 def _pairs(rows: DataFrame, pct: int, mode: str) -> DataFrame:
-    """a < b: the pairs that _meet picks, over all n-grams."""
+    """The pairs that _meet picks, over all n-grams: in mode `near` b's one a, which is earlier by size and id; else a < b."""
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
     met = dealt.mapInArrow(functools.partial(_meet, pct=pct, mode=mode), "a long, b long, ca long, cb long, far long")
     if mode != "all":
         met = met.groupBy(*(["b"] if mode == "near" else ["ca", "cb"])).agg(F.min(F.struct("far", "a", F.col("b").alias("_b"))).alias("m")).select("m.a", F.col("m._b").alias("b"))
+    if mode == "near":
+        return met
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -309,10 +329,14 @@ def _link(docs: DataFrame, k: int, pct: int) -> DataFrame:
     light = placed.where("not short").select("token", "node", "n", "pos")
     # nodes whose head is nearly all common: the order of the whole set
     short = through_table(placed.where("short").select("node").distinct(), "short")
-    whole = _only(docs, short).mapInArrow(functools.partial(_whole_sets, k=k), "node long, tokens array<long>").select("node", F.size("tokens").alias("n"), F.posexplode("tokens").alias("rank", "token"))
-    common = shared.where("common").select("token").distinct().withColumn("common", F.lit(True))
-    order = whole.join(common, "token", "left").select("node", "n", "token", "rank", F.coalesce("common", F.lit(False)).alias("common"))
-    heavy = order.withColumn("pos", F.row_number().over(_by_node().orderBy("common", "rank")) - 1).where(F.col("pos") < size_of).select("token", "node", "n", "pos")
+    common = through_table(shared.where("common").select("token").distinct(), "common")
+    if common.count() <= SENT:
+        held = sorted(r.token for r in common.collect())
+        heavy = _only(docs, short).mapInArrow(functools.partial(_reordered, k=k, pct=pct, common=held), "token long, node long, n int, pos int")
+    else:
+        whole = _only(docs, short).mapInArrow(functools.partial(_whole_sets, k=k), "node long, tokens array<long>").select("node", F.size("tokens").alias("n"), F.posexplode("tokens").alias("rank", "token"))
+        order = whole.join(common.withColumn("common", F.lit(True)), "token", "left").select("node", "n", "token", "rank", F.coalesce("common", F.lit(False)).alias("common"))
+        heavy = order.withColumn("pos", F.row_number().over(_by_node().orderBy("common", "rank")) - 1).where(F.col("pos") < size_of).select("token", "node", "n", "pos")
     met = light.unionByName(heavy)
     sketches = first.select("node", "sketch")
     # only n-grams that two prefixes hold
@@ -320,8 +344,8 @@ def _link(docs: DataFrame, k: int, pct: int) -> DataFrame:
     met = through_table(met.join(again, "token").join(sketches, "node"), "met")
     sizes = nodes.select("node", "n")
     tried = through_table(_pairs(met.withColumn("comp", F.col("node")), pct, "near"), "tried")
-    links = through_table(confirm(docs, tried, sizes, k, pct), "sure")
-    comps = through_table(components(links), "comps")
+    comps = through_table(forest(confirm(docs, tried, sizes, k, pct).select(F.col("b").alias("node"), F.col("a").alias("parent"))), "comps")
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for mode in ("merge", "all"):
         # first one pair for every two components, then all pairs of components that are still different
         labelled = met.join(comps.select("node", F.col("component").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -329,8 +353,9 @@ def _link(docs: DataFrame, k: int, pct: int) -> DataFrame:
         if rest.isEmpty():
             continue
         tried = tried.unionByName(rest)
-        links = through_table(links.unionByName(confirm(docs, rest, sizes, k, pct)), "sure")
-        comps = through_table(components(links), "comps")
+        links = through_table(confirm(docs, rest, sizes, k, pct), "sure")
+        if not links.isEmpty():
+            comps = through_table(merged(comps, links), "comps")
     named = nodes.select("key", "node").join(comps, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     # a class's smallest id is its node, and a component's smallest node is its smallest id
     out = heads.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles")).join(named, "key", "left")

@@ -52,8 +52,9 @@ def corpus(seed):
     return [(100 + 3 * i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed, k, pct, common, below", [(1, 3, 90, 100, 2048), (2, 3, 90, 2, 2048), (3, 5, 80, 3, 4), (4, 2, 60, 1, 2)])
-def test_components_match_brute_force(spark, monkeypatch, seed, k, pct, common, below):
+@pytest.mark.parametrize("seed, k, pct, common, below, sent", [(1, 3, 90, 100, 2048, 9**9), (2, 3, 90, 2, 2048, 9**9), (3, 5, 80, 3, 4, 9**9), (4, 2, 60, 1, 2, 0)])
+def test_components_match_brute_force(spark, monkeypatch, seed, k, pct, common, below, sent):
+    monkeypatch.setattr(J, "SENT", sent)
     monkeypatch.setattr(J, "COMMON", common)
     monkeypatch.setattr(J, "ALL_BELOW", below)
     monkeypatch.setattr(J, "NEAREST", 1)
