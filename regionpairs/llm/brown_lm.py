@@ -1,8 +1,9 @@
 """Operator 4: language-model scoring with Brown classes.
 
-Words are clustered as units: the most frequent words each are one, all others belong to a unit by their ending. The
-exchange algorithm assigns units to classes from the corpus's unit bigrams, moving a unit where the average mutual
-information of neighbouring classes grows most. A text's probability is the product over its tokens of the class
+Words are clustered as units: every word of LEAST occurrences or more is one, all others belong to a unit by their ending.
+The exchange algorithm assigns units to classes from the corpus's unit bigrams, moving a unit where the average mutual
+information of neighbouring classes grows most: first the most frequent words and the endings on the driver, then all units
+in the tasks, until none moves. A text's probability is the product over its tokens of the class
 transition, the unit within its class, and the word within its unit; a discount in each ending unit pays for unknown words.
 """
 
@@ -18,8 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, fold, slices, texts, through_table
 
-#: Frequent words that are units of their own; ending units; classes; sweeps of the exchange.
+#: Frequent words that the first exchange, on the driver, starts from; ending units; classes; sweeps of that first exchange.
 FREQUENT, ENDINGS, CLASSES, SWEEPS = 1000, 256, 48, 6
+#: Occurrences from which a word is a unit of its own.
+LEAST = 10
+#: Bigrams of one unit that a task holds; those of more frequent units are dealt out by the neighbour.
+SPLIT = 1 << 20
+#: Bigrams that a task gathers before it hands them on; bigrams in a row of their table.
+GATHER, PACK = 4 << 20, 1 << 20
+#: Words whose unit a task remembers.
+REMEMBERED = 200_000
 #: Words, the most frequent, whose counts every task holds; the counts of all others are joined.
 HELD = 150_000
 END = b"\n"  # no word can be this
@@ -78,26 +87,133 @@ class Units:
         return [u if (u := get(w)) is not None else base + ending(w) for w in words]
 
 
-def bigrams(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """unit and the compressed counts of the units that follow it, one row per task and unit; every text starts after an end."""
-    return training(docs).mapInArrow(functools.partial(_bigrams, frequent=frequent), "unit int, counts binary").groupBy("unit").applyInPandas(_sum, "unit int, counts binary")
+class Lookup(dict):
+    """Word to unit, remembered: END, core words, endings, then every other word in own (sorted 64-bit hashes)."""
 
+    def __init__(self, core: list[bytes], own):
+        super().__init__()
+        self.units, self.own = Units(core), own
 
-def _bigrams(batches, frequent):
+    def __missing__(self, w):
+        import numpy as np
+
+        u = self.units.of.get(w)
+        if u is None:
+            h = np.int64(_signed(w))
+            k = int(np.searchsorted(self.own, h))
+            u = self.units.n + k if k < len(self.own) and self.own[k] == h else self.units.base + ending(w)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[w] = u
+        return u
+
+
+def bigrams(docs: DataFrame, sent) -> DataFrame:
+    """Counts of unit bigrams, packed: rows of units with the number of their entries, and per entry the neighbour, its side
+    (0 follows, 1 comes before) and the count; every text starts after an end.
+
+    A unit's rows lie in one partition, in one row of the table; those of units of over SPLIT tokens in several.
+    """
+    dealt = training(docs).mapInArrow(functools.partial(_bigrams, sent=sent), "unit int, slot int, entries binary")
+    packed = dealt.repartition("unit", "slot").sortWithinPartitions("unit").mapInArrow(_pack, "units binary, sizes binary, other binary, n binary")
+    return through_table(packed, "bigrams")
+
+
+def _bigrams(batches, sent):
     import numpy as np
     import pyarrow as pa
 
-    units = Units(frequent)
-    n = units.n
-    total = np.zeros(n * n, np.int64)
+    m = sent.value
+    units, parts = Lookup(m["core"], m["own"]), m["parts"]
+
+    def out(seqs):
+        key = np.concatenate([(a[:-1] << 32) | a[1:] for a in seqs])
+        key, n = np.unique(key, return_counts=True)
+        u, v = key >> 32, key & 0xFFFFFFFF
+        unit, side, other, n = np.concatenate([u, v]), np.repeat([0, 1], len(u)), np.concatenate([v, u]), np.concatenate([n, n])
+        slot = other % parts[unit]
+        order = np.lexsort((slot, unit))
+        unit, slot = unit[order], slot[order]
+        rows = np.stack([2 * other[order] + side[order], n[order]], axis=1).astype(np.int32)
+        cuts = np.flatnonzero((np.diff(unit) != 0) | (np.diff(slot) != 0)) + 1
+        starts = np.concatenate([[0], cuts])
+        for lo in range(0, len(starts), 20_000):
+            some = starts[lo : lo + 20_000]
+            end = starts[lo + 20_000] if lo + 20_000 < len(starts) else len(unit)
+            offsets = np.concatenate([some, [end]]) - some[0]
+            entries = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((8 * offsets).astype(np.int32).tobytes()), pa.py_buffer(rows[some[0] : end].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(unit[some], pa.int32()), pa.array(slot[some], pa.int32()), entries], ["unit", "slot", "entries"])
+
+    held, size = [], 0
     for batch in batches:
         for part in slices(batch):
             seq = [0]
             for b in part.column("text").cast(pa.binary()).to_pylist():
-                seq += units(words_of(b))
+                seq += [units[w] for w in words_of(b)]
                 seq.append(0)
-            a = np.array(seq, np.int64)
-            total += np.bincount(a[:-1] * n + a[1:], minlength=n * n)
+            held.append(np.array(seq, np.int64))
+            size += len(seq)
+            if size >= GATHER:
+                yield from out(held)
+                held, size = [], 0
+    if held:
+        yield from out(held)
+
+
+def _pack(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    def out(units, blobs):
+        sizes = np.array([len(b) // 8 for b in blobs])
+        e = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, 2)
+        u, at = np.unique(np.array(units, np.int64), return_inverse=True)
+        key, inverse = np.unique((np.repeat(at, sizes) << 32) | e[:, 0].astype(np.int64), return_inverse=True)
+        n = np.bincount(inverse, weights=e[:, 1]).astype(np.int32)
+        columns = [u.astype(np.int32), np.bincount(key >> 32, minlength=len(u)).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int32), n]
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["units", "sizes", "other", "n"])
+
+    units, blobs, size = [], [], 0
+    for batch in batches:
+        for u, b in zip(batch.column("unit").to_pylist(), batch.column("entries").to_pylist()):
+            if size >= PACK and u != units[-1]:
+                yield out(units, blobs)
+                units, blobs, size = [], [], 0
+            units.append(u)
+            blobs.append(b)
+            size += len(b) // 8
+    if units:
+        yield out(units, blobs)
+
+
+def _unpacked(batches, only=None):
+    """Units, the place of each entry's unit among them, neighbour, side, count; of all units or those that are True in only."""
+    import numpy as np
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("units", "sizes", "other", "n"))):
+            units, sizes, other, n = (np.frombuffer(x, np.int32) for x in row)
+            if only is not None:
+                some = only[units]
+                if not some.any():
+                    continue
+                k = np.repeat(some, sizes)
+                units, sizes, other, n = units[some], sizes[some], other[k], n[k]
+            yield units, np.repeat(np.arange(len(units)), sizes), other >> 1, other & 1, n
+
+
+def _coarse(batches, sent):
+    """Bigram counts of core words and endings, the words of their own counted with their ending."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = sent.value["n"]
+    to = sent.value["coarse"]
+    total = np.zeros(n * n, np.int64)
+    for units, at, other, side, c in _unpacked(batches):
+        k = side == 0
+        key, inverse = np.unique(to[units][at[k]] * n + to[other[k]], return_inverse=True)
+        total[key] += np.bincount(inverse, weights=c[k]).astype(np.int64)
     rows = [(u, zlib.compress(x.tobytes(), 1)) for u, x in enumerate(total.reshape(n, n)) if x.any()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["unit", "counts"])
 
@@ -110,6 +226,173 @@ def _sum(pdf):
     return pd.DataFrame({"unit": pdf.unit.iloc[:1].to_numpy(), "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
+def _class_pairs(batches, sent):
+    import numpy as np
+    import pyarrow as pa
+
+    of, was, classes = sent.value
+    total, moved = np.zeros(classes * classes), None if was is None else of != was
+    for units, at, other, side, c in _unpacked(batches, moved):
+        u = units[at]
+        # a pair of moved units counts once, where the first of them is
+        k = (side == 0) if was is None else (side == 0) | ~moved[other]
+        first, second, c = np.where(side == 0, u, other)[k], np.where(side == 0, other, u)[k], c[k]
+        for x, sign in ((of, 1), *([] if was is None else [(was, -1)])):
+            total += sign * np.bincount(x[first].astype(np.int64) * classes + x[second], weights=c, minlength=classes * classes)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["pairs"])
+
+
+def class_pairs(packed: DataFrame, of, classes: int, was=None, pair=0):
+    """The square array of class bigram counts; each task sends its own. With classes `was` and their `pair`, from the bigrams of moved units."""
+    import numpy as np
+
+    sent = packed.sparkSession.sparkContext.broadcast((of, was, classes))
+    got = packed.mapInArrow(functools.partial(_class_pairs, sent=sent), "pairs binary").collect()
+    sent.unpersist()
+    return pair + sum((np.frombuffer(bytes(r.pairs)) for r in got), np.zeros(classes * classes)).reshape(classes, classes)
+
+
+def _xlogx(x):
+    import numpy as np
+
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def information(pair) -> float:
+    return float(_xlogx(pair).sum() - _xlogx(pair.sum(1)).sum() - _xlogx(pair.sum(0)).sum())
+
+
+def gains(a, b, own, c, pair):
+    """By how much information() grows if a unit moves from class c to each class, one row per unit. a and b: the counts of
+    the classes after and before it, own: of itself after itself (which a and b don't count)."""
+    import numpy as np
+
+    h, hp, m = _xlogx, _xlogx(pair), np.arange(len(c))
+    left, right, diag = pair.sum(1), pair.sum(0), np.diag(pair)
+    own = own[:, None]
+
+    def added(x, cells, hc):  # sum over d of h(cells[t, d] + x[d]) - hc[t, d]
+        i, d = np.nonzero(x)
+        out = np.zeros(x.shape)
+        if len(i):
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            out[i[starts]] = np.add.reduceat(h(cells.T[d] + x[i, d][:, None]) - hc.T[d], starts, axis=0)
+        return out
+
+    ac, bc = a[m, c][:, None], b[m, c][:, None]
+    row, col, hrow, hcol = pair[c], pair.T[c], hp[c], hp.T[c]  # cells (c, t) and (t, c)
+    less_a, less_b = h(row - a) - hrow, h(col - b) - hcol
+    out = added(a, pair, hp) - (h(col + ac) - hcol) - (h(diag + a) - np.diag(hp))
+    out += added(b, pair.T, hp.T) - (h(row + bc) - hrow) - (h(diag + b) - np.diag(hp))
+    out += (less_a.sum(1) - less_a[m, c])[:, None] - less_a + (less_b.sum(1) - less_b[m, c])[:, None] - less_b
+    out += h(diag[c][:, None] - ac - bc - own) - hp[c, c][:, None] + h(diag + a + b + own) - np.diag(hp)
+    out += h(row - a + bc) - hrow + h(col + ac - b) - hcol
+    for x, total in ((a, left), (b, right)):
+        n = x.sum(1, keepdims=True) + own
+        out -= h(total + n) - h(total) + (h(total[c][:, None] - n) - h(total[c][:, None]))
+    out[m, c] = 0
+    out[:, 0] = -np.inf
+    return out
+
+
+def _choose(units, vectors, of, pair):
+    """(units that gain by a move, their classes): vectors are rows of classes after, classes before, own pair."""
+    import numpy as np
+
+    k, go, to = len(pair), [], []
+    for lo in range(0, len(units), 1024):
+        u, v = units[lo : lo + 1024], vectors[lo : lo + 1024]
+        c, m = of[u].astype(np.int64), np.arange(len(u))
+        a, b, own = v[:, :k].copy(), v[:, k : 2 * k].copy(), v[:, 2 * k]
+        a[m, c] -= own
+        b[m, c] -= own
+        g = gains(a, b, own, c, pair)
+        best = g.argmax(1)
+        # less than rounding errors of the sums is no gain
+        yes = (g[m, best] > 1e-9 * pair.sum() ** 0.5 + 1e-6) & (u > 0)
+        go.append(u[yes])
+        to.append(best[yes])
+    return np.concatenate(go or [np.zeros(0, np.int64)]), np.concatenate(to or [np.zeros(0, np.int64)])
+
+
+def _moves(batches, sent):
+    import numpy as np
+    import pyarrow as pa
+
+    of, parts, pair, only = sent.value
+    k = len(pair)
+    for units, at, other, side, c in _unpacked(batches, only):
+        vectors = np.zeros((len(units), 2 * k + 1))
+        vectors[:, : 2 * k] = np.bincount(at * (2 * k) + side * k + of[other], weights=c, minlength=len(units) * 2 * k).reshape(-1, 2 * k)
+        self_ = (side == 0) & (other == units[at])
+        vectors[at[self_], 2 * k] = c[self_]
+        whole = parts[units] == 1
+        u, to = _choose(units[whole], vectors[whole], of, pair)
+        some = np.flatnonzero(~whole)
+        blobs = [None] * len(u) + [vectors[x].tobytes() for x in some]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, units[some]]), pa.int32()), pa.array(np.concatenate([to, np.zeros(len(some), np.int64)]), pa.int32()), pa.array(blobs, pa.binary())], ["unit", "to", "vector"])
+
+
+def exchange_all(packed: DataFrame, of, parts, classes: int):
+    """Classes of all units and their pair counts, from the start in `of`, when no unit gains by a move.
+
+    Every task finds the moves of its units against the classes as they are; units of over SPLIT tokens, few for any
+    corpus, are summed and moved on the driver. Moves at once may hinder each other: if they lose information, they are
+    taken back and a quarter as many, dealt by chance, are tried, down to a single move, which always gains. Units that gained are
+    looked at again until a quarter of them gains, then all units; the end is a look at all that finds none.
+    """
+    import numpy as np
+
+    sc = packed.sparkSession.sparkContext
+    pair = class_pairs(packed, of, classes)
+    value, share, rnd, rounds, only = information(pair), 1, np.random.default_rng(1), 0, None
+    while True:
+        sent = sc.broadcast((of, parts, pair, only))
+        got = packed.mapInArrow(functools.partial(_moves, sent=sent), "unit int, to int, vector binary").toArrow()
+        sent.unpersist()
+        unit, to = got.column("unit").to_numpy(), got.column("to").to_numpy()
+        hot = np.flatnonzero(~got.column("vector").is_null().to_numpy(zero_copy_only=False))
+        if len(hot):
+            u, at = np.unique(unit[hot], return_inverse=True)
+            vectors = np.zeros((len(u), 2 * classes + 1))
+            for k, blob in zip(at.tolist(), got.column("vector").take(hot).to_pylist()):
+                vectors[k] += np.frombuffer(blob)
+            hu, ht = _choose(u, vectors, of, pair)
+            unit, to = np.concatenate([np.delete(unit, hot), hu]), np.concatenate([np.delete(to, hot), ht])
+        if not len(unit):
+            if only is None:
+                return of, pair
+            only = None
+            continue
+        if only is None:
+            only = np.zeros(len(of), bool)
+            only[unit] = True
+            first = len(unit)
+        order = np.argsort(unit, kind="stable")
+        order = order[rnd.permutation(len(order))]
+        while True:
+            take = order[: -(-len(order) // share)]
+            new = of.copy()
+            new[unit[take]] = to[take]
+            new_pair = class_pairs(packed, new, classes, of, pair)
+            new_value = information(new_pair)
+            rounds += 1
+            if PROGRESS:
+                PROGRESS(rounds, len(unit), len(take), value, new_value)
+            if new_value > value or len(take) == 1:
+                break
+            share = min(4 * share, len(order))
+        if new_value <= value:  # a gain below what the sums can tell
+            return of, pair
+        of, pair, value, share = new, new_pair, new_value, max(1, share // 2)
+        if 4 * len(unit) <= first:
+            only = None
+
+
+#: Called once per round, if set: round, units that would gain, units moved, information before and after.
+PROGRESS = None
+
+
 def exchange(counts, classes: int = CLASSES, sweeps: int = SWEEPS):
     """Class of every unit from the square array of bigram counts; unit 0, the end, keeps class 0 for itself.
 
@@ -187,58 +470,81 @@ def most_frequent(table: DataFrame, n: int) -> list[tuple[bytes, int]]:
 
 
 def fit(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: int = CLASSES):
-    """(counts of all words as a table, model): the model holds the bounded rest, see _score."""
+    """(counts of all words as a table, model): the model holds the rest, see _score; of it only the hashes, classes and
+    shares of the words of LEAST occurrences or more grow with the vocabulary, by 18 bytes each."""
     import numpy as np
 
+    spark = docs.sparkSession
     table = through_table(count_words(docs), "words")
     top = most_frequent(table, held)
     total = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(bytearray(END)), F.col("c"))), F.lit(0)).alias("ends"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    units = Units([w for w, _ in top[:frequent]])
+    core = [w for w, _ in top[:frequent]]
+    units = Units(core)
     by = {r.ending: (r.n, r.v) for r in table.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    # every other word of LEAST occurrences or more, by its hash
+    more = table.where((F.col("c") >= LEAST) & (F.col("word") != F.lit(bytearray(END)))).select(F.xxhash64("word").alias("h"), "c", "ending").toArrow()
+    own, own_c, own_e = (more.column(c).to_numpy() for c in ("h", "c", "ending"))
+    rest = ~np.isin(own, np.array([_signed(w) for w in core], np.int64))
+    own, first = np.unique(own[rest], return_index=True)
+    own_c, own_e = own_c[rest][first], own_e[rest][first]
+    # of an ending unit: tokens and distinct words that aren't units of their own
+    n_e, v_e = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for e, (n, v) in by.items():
+        n_e[e], v_e[e] = n, v
+    for w, c in [*top[:frequent], *([(END, total.ends)] if total.ends else [])]:
+        n_e[ending(w)] -= c
+        v_e[ending(w)] -= 1
+    n_e -= np.bincount(own_e, weights=own_c, minlength=ENDINGS)
+    v_e -= np.bincount(own_e, minlength=ENDINGS)
+    seen = np.concatenate([[total.ends], [c for _, c in top[:frequent]], n_e, own_c]).astype(np.float64)  # every token follows something
+    parts = (1 + seen // SPLIT).astype(np.int64)
+    sent = spark.sparkContext.broadcast({"core": core, "own": own, "parts": parts, "n": units.n, "coarse": np.concatenate([np.arange(units.n), units.base + own_e]).astype(np.int64)})
+    packed = bigrams(docs, sent)
     counts = np.zeros((units.n, units.n), np.int64)
-    for r in bigrams(docs, [w for w, _ in top[:frequent]]).collect():  # at most one row per unit
+    for r in packed.mapInArrow(functools.partial(_coarse, sent=sent), "unit int, counts binary").groupBy("unit").applyInPandas(_sum, "unit int, counts binary").collect():  # at most one row per unit of the start
         counts[r.unit] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
     of = exchange(counts, classes)
     k = int(of.max()) + 1
-    member = np.zeros((units.n, k))
-    member[np.arange(units.n), of] = 1
-    pair = member.T @ counts @ member
-    seen = counts.sum(0)  # every token follows something
-    share = (member.T @ seen + 0.5) / (seen.sum() + 0.5 * k)
+    of, pair = exchange_all(packed, np.concatenate([of, of[units.base + own_e]]).astype(np.int16), parts, k)
+    of = of.astype(np.int64)
+    share = (np.bincount(of, weights=seen, minlength=k) + 0.5) / (seen.sum() + 0.5 * k)
     mass = 5.0  # pseudo-counts of the class's overall share
     trans = (pair + mass * share) / (pair.sum(1, keepdims=True) + mass)
     # a unit within its class: ending units get a pseudo-count, since an unknown word may come first there
-    unit_n = seen + np.concatenate([np.zeros(units.base), np.full(ENDINGS, 0.5)])
-    of_class = member.T @ unit_n
+    unit_n = seen + np.concatenate([np.zeros(units.base), np.full(ENDINGS, 0.5), np.zeros(len(own))])
+    of_class = np.bincount(of, weights=unit_n, minlength=k)
     within = unit_n / np.maximum(of_class[of], 1e-300)
     discount = min(0.95, max(0.05, total.once / max(1, total.once + 2 * total.twice)))
-    # of an ending unit: tokens and distinct words that aren't units of their own
-    n_e, v_e = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for e, (n, v) in by.items():
-        n_e[e], v_e[e] = n, v
-    for w, c in [*top[:frequent], *([(END, total.ends)] if total.ends else [])]:
-        n_e[ending(w)] -= c
-        v_e[ending(w)] -= 1
+    find = Lookup(core, own)
+    held_unit = np.array([0, *(find[w] for w, _ in top)], np.int32)
     log = lambda x: np.log10(np.maximum(x, 1e-300))
     model = {
-        "frequent": [w for w, _ in top[:frequent]], "held": [w for w, _ in top], "held_c": np.array([c for _, c in top], np.int64), "classes": of, "trans": log(trans), "within": log(within), "ends": total.ends, "n": total.n, "v": total.v,
+        "frequent": core, "own": own, "held_unit": held_unit, "held": [w for w, _ in top], "held_c": np.array([c for _, c in top], np.int64), "classes": of.astype(np.int16), "trans": log(trans), "within": log(within), "ends": total.ends, "n": total.n, "v": total.v,
         "discount": discount, "ending_n": n_e, "unknown": np.where(n_e > 0, log(discount * v_e / np.maximum(n_e, 1)), 0.0),
     }
     return table, model
 
 
+def _signed(w: bytes) -> int:
+    """Spark's xxhash64 of a word."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(w, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: int = CLASSES) -> DataFrame:
     """The columns of op4 for every document row.
 
     Null and empty texts have the end token alone. Repeated rows are kept and score alike (rows are told apart by a row
     number, not by doc_id); a null doc_id belongs to training. Without training rows every word is unknown and N is 0.
-    Frequent words are scored where the text lies; each other word of a text is sent once, with its number of
+    Held words are scored where the text lies; each other word of a text is sent once, with its number of
     occurrences, to its count.
     """
     counts, model = fit(docs, frequent, held, classes)
     spark = docs.sparkSession
     rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
-    sent = spark.sparkContext.broadcast(model)  # bounded by the parameters
+    sent = spark.sparkContext.broadcast(model)
     got = through_table(rows.mapInArrow(functools.partial(_score, sent=sent), "doc_id long, row long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,k:bigint>>"), "scored")
     discount, n, v = model["discount"], model["n"], model["v"]
     ending_n = F.lit([float(x) for x in model["ending_n"]])
@@ -249,7 +555,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes:
         "row",
         "k",
         (F.col("k") * (F.log10((F.col("c") + 0.5) / F.lit(0.5)))).alias("base"),
-        (F.col("k") * (F.log10((F.col("c") - discount) / ending_n[F.col("ending")]) - unknown[F.col("ending")])).alias("score"),
+        F.when(F.col("c") >= LEAST, 0.0).otherwise(F.col("k") * (F.log10((F.col("c") - discount) / ending_n[F.col("ending")]) - unknown[F.col("ending")])).alias("score"),  # units of their own have no more to add
     )
     per = known.groupBy("row").agg(F.sum("k").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
     out = got.drop("rest").join(per, "row", "left")
@@ -271,16 +577,17 @@ def _score(batches, sent):
     import pyarrow as pa
 
     m = sent.value
-    units = Units(m["frequent"])
+    units = Lookup(m["frequent"], m["own"])
+    base_unit = units.units.base
     place = {w: k for k, w in enumerate([END, *m["held"]])}
     c = np.concatenate([[m["ends"]], m["held_c"]])
     denominator = math.log10(m["n"] + 0.5 * (m["v"] + 1))
     base = np.append(np.log10(c + 0.5), math.log10(0.5))  # last: not held
-    classes, ends = m["classes"], np.array([ending(w) for w in m["held"]], np.int64)
-    unit = np.concatenate([np.arange(units.base), units.base + ends[units.base - 1 :]]).astype(np.int64)
+    classes = m["classes"]
+    unit = m["held_unit"].astype(np.int64)
     word = np.zeros(len(place))
-    more = slice(units.base, len(place))
-    word[more] = np.log10(np.maximum(c[more] - m["discount"], 1e-300) / np.maximum(m["ending_n"][unit[more] - units.base], 1e-300))
+    more = np.flatnonzero((unit >= base_unit) & (unit < base_unit + ENDINGS))
+    word[more] = np.log10(np.maximum(c[more] - m["discount"], 1e-300) / np.maximum(m["ending_n"][unit[more] - base_unit], 1e-300))
     within, trans, unknown = m["within"], m["trans"], m["unknown"]
     known_end = int(c[0] > 0)
     get, missing = place.get, len(place)
@@ -294,8 +601,9 @@ def _score(batches, sent):
                 out = np.flatnonzero(ids == missing)
                 others = [words[k] for k in out.tolist()]
                 u = unit[np.minimum(ids, missing - 1)]
-                e = np.array([ending(w) for w in others], np.int64)
-                u[out] = units.base + e
+                u[out] = [units[w] for w in others]
+                e = u[out] - base_unit
+                e = e[(e >= 0) & (e < ENDINGS)]
                 g = classes[u]
                 value = trans[np.concatenate([[0], g[:-1]]), g].sum() + within[u].sum() + word[ids[ids < missing]].sum() + unknown[e].sum()
                 n.append(len(ids))

@@ -90,6 +90,63 @@ def test_exchange_finds_the_best_move():
             assert value(other, 4) <= best + 1e-6
 
 
+def test_gains_of_moves():
+    import numpy as np
+
+    rnd, n, k = np.random.default_rng(3), 30, 6
+    counts, of = rnd.integers(0, 4, (n, n)), np.concatenate([[0], rnd.integers(1, k, n - 1)])
+    of[[1, 2, 3, 4, 5]] = [1, 2, 3, 4, 5]
+
+    def pairs(of):
+        member = np.eye(k)[of]
+        return member.T @ counts @ member
+
+    own, m = np.diag(counts).astype(float), np.arange(n)
+    a, b = (counts @ np.eye(k)[of]), (counts.T @ np.eye(k)[of])
+    a[m, of] -= own
+    b[m, of] -= own
+    got = brown_lm.gains(a, b, own, of, pairs(of))
+    for u in range(1, n):
+        for c in range(1, k):
+            other = of.copy()
+            other[u] = c
+            assert got[u, c] == pytest.approx(brown_lm.information(pairs(other)) - brown_lm.information(pairs(of)), abs=1e-6)
+
+
+@pytest.mark.parametrize("split", [1 << 20, 7])
+def test_brown_clusters_words_beyond_the_frequent(spark, monkeypatch, split):
+    """Words of one kind get a class of their own whatever their ending, though only three words are in the first exchange."""
+    monkeypatch.setattr(brown_lm, "SPLIT", split)
+    rnd = random.Random(9)
+    nouns, verbs = [f"n{i}{e}" for i, e in enumerate("abcdefghij" * 4)], [f"v{i}{e}" for i, e in enumerate("abcdefghij" * 4)]
+    rows = [(i, " ".join(f"{rnd.choice(['the', 'a', 'my'])} {rnd.choice(nouns)} {rnd.choice(verbs)}" for _ in range(12))) for i in range(200)]
+    _, m = brown_lm.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 50, 4)
+    find = brown_lm.Lookup(m["frequent"], m["own"])
+    units = {w: find[w.encode()] for w in nouns + verbs}
+    ends = range(brown_lm.Units(m["frequent"]).n)
+    assert sorted(m["frequent"]) == [b"a", b"my", b"the"] and len(m["own"]) == 80 and not set(units.values()) & set(ends)
+    # no single move gains any more
+    train = [w for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1 for w in ["", *t.split()]] + [""]
+    u = [find[w.encode() or brown_lm.END] for w in train]
+    of, k = m["classes"].astype(int), int(m["classes"].max()) + 1
+
+    def value(of):
+        import numpy as np
+
+        pair = np.zeros((k, k))
+        for (x, y), n in Counter(zip(u, u[1:])).items():
+            pair[of[x], of[y]] += n
+        return brown_lm.information(pair)
+
+    best = value(of)
+    for x in rnd.sample(sorted(set(u) - {0}), 12):
+        for c in range(1, k):
+            other = of.copy()
+            other[x] = c
+            assert value(other) <= best + 1e-3
+    assert len({of[units[w]] for w in nouns}) == 1 and len({of[units[w]] for w in verbs}) == 1
+
+
 def test_brown_on_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert brown_lm.score(docs.limit(0)).count() == 0
