@@ -17,24 +17,35 @@ def hits_per_bin(regions: DataFrame, hit_regions: DataFrame) -> DataFrame:
     return once.groupBy("bin").agg(F.count("*").alias("regions"), F.count_if("hit").alias("hit_regions")).withColumn("share", F.col("hit_regions") / F.col("regions"))
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """set_id, member, component (its smallest member) of members with a link (set_id, a, b), by min-label propagation with label jumping.
+def components(links: DataFrame) -> DataFrame:
+    """set_id, member, component (its smallest member) of members with a link (set_id, a, b), by large-star and small-star rounds.
 
-    Each round is checkpointed to the shared folder (spark.checkpoint.dir); rounds end when no label changes.
+    Each round links members to the smallest one of their neighbourhood, so that paths shrink by halves whatever the order
+    of their members. It is checkpointed to the shared folder (spark.checkpoint.dir); rounds end when no link changes.
     """
     from regionpairs.plans.shared import through_table
 
-    both = through_table(links.select("set_id", "a", "b").unionByName(links.select("set_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    now = both.select("set_id", F.col("a").alias("member")).distinct().withColumn("component", F.col("member"))
-    for _ in range(rounds):
-        far = both.join(now.select("set_id", F.col("member").alias("b"), F.col("component").alias("c")), ["set_id", "b"]).groupBy("set_id", F.col("a").alias("member")).agg(F.min("c").alias("c"))
-        low = now.join(far, ["set_id", "member"]).select("set_id", "member", F.least("component", "c").alias("low"), F.col("component").alias("was"))
-        jump = low.select("set_id", F.col("member").alias("low"), F.col("low").alias("lower"))
-        new = through_table(low.join(jump, ["set_id", "low"], "left").select("set_id", "member", F.least("low", F.coalesce("lower", "low")).alias("component"), "was"), "labels")
-        now = new.drop("was")
-        if new.where("component <> was").isEmpty():
+    ends = through_table(links.select("set_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    now, alone = ends.where("u > v"), ends.where("u = v").select("set_id", F.col("u").alias("member"), F.col("u").alias("component"))
+    state = _state(now)
+    while state[0]:
+        both = now.unionByName(now.select("set_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("set_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(low, ["set_id", "u"]).select("set_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("set_id", "u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["set_id", "u"]).select("set_id", F.col("v").alias("u"), F.col("m").alias("v"))
+        now = through_table(small.unionByName(low.select("set_id", "u", F.col("m").alias("v"))).where("u > v").distinct(), "labels")
+        last, state = state, _state(now)
+        if state == last:
             break
-    return now
+    found = now.select("set_id", F.col("u").alias("member"), F.col("v").alias("component"))
+    roots = now.select("set_id", F.col("v").alias("member"), F.col("v").alias("component")).distinct()
+    return found.unionByName(roots).unionByName(alone.join(ends.where("u > v").select("set_id", F.explode(F.array("u", "v")).alias("member")), ["set_id", "member"], "left_anti"))
+
+
+def _state(links: DataFrame) -> tuple:
+    """Number of links and a sum of their hashes; a link set that a round leaves as it is consists of stars."""
+    return tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("set_id", "u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
 
 def extra_copies(labels: DataFrame, sizes: DataFrame) -> DataFrame:

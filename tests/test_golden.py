@@ -66,6 +66,16 @@ def test_component_of_a_whole_set(spark):
     assert {tuple(x) for x in evidence.extra_copies(got, sizes).collect()} == {("4", 1, 3), ("5+", 1, 20)}
 
 
+def test_component_of_a_long_chain(spark):
+    """The chain 0, n - 1, n - 2, ..., 1 beside a shuffled one, a pair linked both ways and a member linked with itself."""
+    n, rnd = 200, random.Random(4)
+    mixed = rnd.sample(range(150), 150)
+    chain = [0, *range(n - 1, 0, -1)]
+    links = [("x", a, b) for a, b in itertools.pairwise(chain)] + [("y", a, b) for a, b in itertools.pairwise(mixed)] + [("z", 1, 2), ("z", 2, 1), ("z", 2, 2), ("z", 7, 7)]
+    got = sorted(tuple(x) for x in evidence.components(spark.createDataFrame(links, "set_id string, a int, b int")).select("set_id", "member", "component").collect())
+    assert got == [("x", k, 0) for k in range(n)] + [("y", k, 0) for k in range(150)] + [("z", 1, 1), ("z", 2, 1), ("z", 7, 7)]
+
+
 def segment(a, b):
     """Best ungapped segment on every diagonal with a common 4-letter word, by trying all."""
     out = {}
