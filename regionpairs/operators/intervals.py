@@ -77,10 +77,14 @@ def covered(a: DataFrame, b: DataFrame, ident: list[str], width: int = BIN) -> D
 
 
 def enrichment(counts: DataFrame) -> DataFrame:
-    """From (cls, n11, n10, n01, n00): observed/expected, its log2, odds ratio and chi-square of the 2x2 table."""
+    """From (cls, n11, n10, n01, n00): observed/expected, its log2, odds ratio and chi-square of the 2x2 table.
+
+    By zero the first three are as in floating-point numbers: 0 / 0 is NaN, other counts / 0 infinite, log2 of 0 -infinite.
+    """
+    over = lambda a, b: F.when(b != 0, F.try_divide(a, b)).when(a == 0, F.lit(float("nan"))).otherwise(F.lit(float("inf")))
     n = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
     row, col = F.col("n11") + F.col("n10"), F.col("n11") + F.col("n01")
     expected = row * col / n
     det = F.col("n11").cast("double") * F.col("n00") - F.col("n10").cast("double") * F.col("n01")
     chi = F.try_divide(n * det * det, row.cast("double") * (n - row) * col * (n - col))
-    return counts.withColumns({"ratio": F.try_divide(F.col("n11"), expected), "odds": F.try_divide(F.col("n11").cast("double") * F.col("n00"), F.col("n10").cast("double") * F.col("n01")), "chi2": chi}).withColumn("log2_ratio", F.log2("ratio"))
+    return counts.withColumns({"ratio": over(F.col("n11"), expected), "odds": over(F.col("n11").cast("double") * F.col("n00"), F.col("n10").cast("double") * F.col("n01")), "chi2": chi}).withColumn("log2_ratio", F.when(F.col("ratio") == 0, F.lit(float("-inf"))).otherwise(F.log2("ratio")))
