@@ -140,18 +140,13 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     window, items without words none; equal items all count. The items' size is checked: up to block_words they go to
     each task, beyond that the documents are searched once per block of items and the blocks' spans united.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where(F.col("item_id").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.length("text") / 2), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // block_words))
+    blocks = _blocks(benchmark, block_words)
     schema = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>"
     docs = texts(docs)
-    if blocks == 1:
-        return docs.mapInArrow(functools.partial(_find, items=_collect(items), window=window), schema)
+    if len(blocks) == 1:
+        return docs.mapInArrow(functools.partial(_find, items=_collect(blocks[0]), window=window), schema)
     docs = docs.withColumn("copy", F.monotonically_increasing_id())
-    parts = [
-        docs.mapInArrow(functools.partial(_find, items=_collect(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)), window=window), schema + ", copy long")
-        for b in range(blocks)
-    ]
+    parts = [docs.mapInArrow(functools.partial(_find, items=_collect(block), window=window), schema + ", copy long") for block in blocks]
     both = functools.reduce(DataFrame.unionByName, parts)
     merged = both.groupBy("doc_id", "copy").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # spans in order, each joined with the one before if they touch
@@ -166,6 +161,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     return merged.withColumn("s", joined).select("doc_id", "n_words", F.col("s.starts").alias("starts"), F.col("s.ends").alias("ends"), "items")
 
 
+def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
+    """item_id, text of the items in blocks of about block_words words, one at least."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where(F.col("item_id").isNotNull())
+    size = items.agg(F.coalesce(F.sum(F.length("text") / 2), F.lit(0))).first()[0]
+    n = max(1, -(-int(size) // block_words))
+    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) for b in range(n)]
+
+
 def _collect(items: DataFrame) -> list[tuple[int, list[bytes]]]:
     return sorted((r.item_id, words_of(bytes(r.text))) for r in items.collect())
 
@@ -191,9 +194,21 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs without the contaminated ones."""
-    return docs.join(found.where(F.size("items") > 0).select(F.col("doc_id").alias("_hit")).distinct(), F.col("doc_id") == F.col("_hit"), "left_anti")
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the rows whose text holds a window of an item; the task that searches a row drops it, so ids, null or repeated, don't matter."""
+    for block in _blocks(benchmark, block_words):
+        docs = docs.mapInArrow(functools.partial(_clean, items=_collect(block), window=window), docs.schema)
+    return docs
+
+
+def _clean(batches, items, window):
+    import pyarrow as pa
+
+    search = Search(items, window)
+    for batch in batches:
+        for part in slices(batch):
+            blobs = [b or b"" for b in part.column("text").cast(pa.binary()).to_pylist()]
+            yield part.filter(pa.array([not x[3] for x in search.run(blobs)], pa.bool_()))
 
 
 def sha_of(items) -> str:

@@ -5,6 +5,7 @@ import zlib
 from array import array
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from regionpairs.llm import decontaminate, media, token_files
@@ -100,3 +101,14 @@ def test_decontamination(spark):
         assert got == want
     assert decontaminate.find(docs.limit(0), bench).count() == 0
     assert {r.n_hit for r in decontaminate.report(decontaminate.find(docs, bench.limit(0))).collect()} == {0}
+
+
+@pytest.mark.parametrize("some", [{}, {"block_words": 20}])
+def test_decontamination_removes_rows_not_ids(spark, some):
+    item = " ".join(f"k{i}" for i in range(30))
+    rows = [(None, f"a {item} b"), (None, "clean"), (1, f"{item}"), (1, "clean twin"), (2, None), (3, ""), (4, "c " + item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, item if k == 3 else f"other {k}") for k in range(8)], "item_id long, text string")
+    left = decontaminate.remove(docs, bench, **some)
+    assert left.columns == docs.columns
+    assert sorted(map(repr, (tuple(r) for r in left.collect()))) == sorted(map(repr, [(None, "clean"), (1, "clean twin"), (2, None), (3, "")]))
