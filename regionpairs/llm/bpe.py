@@ -1,16 +1,18 @@
 """Operator 9: BPE encoding and decoding.
 
-A text is cut where the tokenizer can't look across (ASCII white space), each distinct unit is encoded once per worker and
-remembered. Text that stays unsplit beyond `leaf_chars` is halved into leaves which are encoded in parallel as rows of
-their own; a tree then joins neighbours by re-encoding a growing window around the join until it agrees with both sides.
+Words (text between ASCII white space, across which the tokenizer can't look) are told apart in Arrow; each distinct word of a
+run of texts is encoded by the tokenizers library once. A text of more than `leaf_chars` is
+halved, wherever that cuts, into leaves that are encoded in parallel as rows of their own; a tree then joins neighbours by
+re-encoding a growing window around the join until it agrees with both sides.
 
 Why the join is exact: in byte-pair encoding a sequence of tokens is the encoding of its text if every two neighbours are
 neighbours in some true encoding of a stretch that holds both. The window shares a token with the left side and one with
-the right side, so each pair of neighbours comes from one of three true encodings.
+the right side (or ends at white space there), so each pair of neighbours comes from one of three true encodings.
 """
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import json
@@ -20,119 +22,176 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, texts
+from .common import LOWER, slices, texts, tidy
 
-#: Units longer than this aren't remembered.
+#: Words that aren't of letters alone are remembered if they aren't longer than this.
 UNIT_CHARS = 64
-#: Text without white space beyond this length is split into leaves.
+#: Text beyond this length is halved into leaves.
 LEAF_CHARS = 16_384
 #: ASCII white space, where every tokenizer file of this kind parts its units.
 SPACES = " \t\n\x0b\x0c\r"
-#: Units that a worker remembers.
-REMEMBERED = 200_000
-#: The normalizer that Encoder can apply to whole texts at once (fixed values of the tokenizer file).
+#: How many of them a worker remembers; words that the library gets in one call; bytes of text that are worked on at once.
+REMEMBERED, CALL, AT_ONCE = 50_000, 20_000, 4 << 20
+#: The normalizer and pre-tokenizer that Encoder can apply to whole texts at once (fixed values of the tokenizer file).
 KNOWN = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PIECES = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 #: Bytes of UTF-8 text for which NFC changes nothing (code points below U+0300) and that no control rule touches.
 PLAIN = bytes(b for b in range(256) if b < 0xCC and not 0x1C <= b <= 0x1F and b != 1)
+#: The characters that stand for bytes in byte-level tokenizer files: printable ones for themselves, all others counted from 256; a space stays.
+_SHOWN = {*range(32, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN or b == 32]
+BYTE_LEVEL = "".join(chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in range(256))
+#: Lower-case letters and marks of ASCII: a piece always ends between them.
+LETTER, MARK = (bytes(b in s for b in range(256)) for s in (b"abcdefghijklmnopqrstuvwxyz", b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 
 
 class Encoder:
-    """The tokenizer library with a memory of encoded units; exactly its encode(text, add_special_tokens=False)."""
+    """The tokenizer library, each distinct word encoded once per call; exactly its encode(text, add_special_tokens=False)."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import numpy as np
+        import pyarrow as pa
+        from tokenizers import Tokenizer, pre_tokenizers
 
         spec = json.loads(open(path, encoding="utf-8").read())
-        spec |= {"truncation": None, "padding": None, "post_processor": None}
-        self.whole = Tokenizer.from_str(json.dumps(spec))
+        self.whole = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None, "post_processor": None}))
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.added_low = [t.lower().encode() for t in self.added]
         self.added_re = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
-        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
-        self.known = spec["normalizer"] == KNOWN
-        self.joins_words = self.known and spec.get("decoder") is None
-        mark = self.bare.encode("\x01", add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.words: dict[bytes, bytes] = {}
-        self.raw: dict[bytes, bytes] = {}
-        self.shown: dict[bytes, bytes] = {}
+        # the same model without normalizer and added tokens, and with words as its only pieces
+        self.bare, self.letters = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
+        if self.whole.pre_tokenizer is not None:
+            self.bare.pre_tokenizer = self.whole.pre_tokenizer
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.known = spec["normalizer"] == KNOWN and spec["pre_tokenizer"] == PIECES and bool(suffix)
+        self.joins_words = spec.get("decoder") is None
+        shown = [self.whole.id_to_token(k) or "" for k in range(self.whole.get_vocab_size(with_added_tokens=True))]
+        self.shown = pa.array(shown, pa.string())
+        self.ends_word = np.array([bool(suffix) and t.endswith(suffix) for t in shown])
+        self.words: dict[str, bytes] = {}
+        self.raw: dict[str, bytes] = {}
 
     def ids(self, blobs: list[bytes]) -> list[bytes]:
         """Texts as UTF-8 to ids as little-endian unsigned 32-bit integers."""
-        return [b"".join(x) for x in self.units(blobs)]
+        flat, bounds = self.encode(blobs)
+        data, cuts = flat.tobytes(), (4 * bounds).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def plain(self, blob: bytes) -> bytes | None:
+        """The text in lower case if that is all that the normalizer does to it and it holds no added token."""
+        if blob.translate(None, PLAIN) or b"\xc4\xb0" in blob:
+            return None
+        low = blob.translate(LOWER) if blob.isascii() else blob.decode().lower().encode()
+        return None if any(t in low for t in self.added_low) else low
+
+    def encode(self, blobs: list[bytes]):
+        """(ids of all texts one after the other, where each text's start and end)."""
+        import numpy as np
 
-    def units(self, blobs: list[bytes]) -> list[list[bytes]]:
-        """As ids, in one piece per unit."""
         if not self.known:
-            return [[array("I", e.ids).tobytes()] for e in self.whole.encode_batch_fast([b.decode() for b in blobs], add_special_tokens=False)]
-        out: list = [None] * len(blobs)
-        sets: tuple[list, list] = ([], [])
-        for i, b in enumerate(blobs):
-            plain = not b.translate(None, PLAIN)
-            if plain:
-                low = b.translate(LOWER) if b.isascii() else b.decode().lower().encode()
-                plain = not any(t.lower().encode() in low for t in self.added)
-            sets[plain].append((i, low.split() if plain else b.split()))
-        for plain in (0, 1):
-            self._look_up(sets[plain], out, self.words if plain else self.raw, self.bare if plain else self.whole)
-        return out
-
-    def _look_up(self, docs, out, memory, tokenizer) -> None:
-        get = memory.get
-        found = [(i, words, list(map(get, words))) for i, words in docs]
-        missing = list({w for _, words, v in found if None in v for w, x in zip(words, v) if x is None})
-        new = dict(zip(missing, self._encode(missing, tokenizer)))
-        for i, words, v in found:
-            out[i] = [new[w] if x is None else x for w, x in zip(words, v)] if None in v else v
-        if len(memory) < REMEMBERED:
-            memory.update((w, x) for w, x in new.items() if len(w) <= UNIT_CHARS)
-
-    def _encode(self, units: list[bytes], tokenizer) -> list[bytes]:
-        """Each unit's ids; short ones in one call, parted by a mark that is a token of its own."""
+            found = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast([b.decode() for b in blobs], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([0, *map(len, found)])
+        lows = [self.plain(b) for b in blobs]
+        odd = [k for k, x in enumerate(lows) if x is None]
+        if not odd:
+            return self.encode_words(lows, True)
+        even = [k for k, x in enumerate(lows) if x is not None]
+        found = [None] * len(blobs)
+        for places, some, plain in ((even, [lows[k] for k in even], True), (odd, [blobs[k] for k in odd], False)):
+            flat, bounds = self.encode_words(some, plain)
+            for k, a, b in zip(places, bounds, bounds[1:]):
+                found[k] = flat[a:b]
+        return np.concatenate(found), np.cumsum([0, *map(len, found)])
+
+    def encode_words(self, blobs: list[bytes], plain: bool):
+        """As encode, of texts that are normalized but for their white space (plain) or that need the whole normalizer word by word."""
         import numpy as np
-
-        if tokenizer is self.whole or self.mark is None:
-            # marks would meet neighbours that the whole normalizer can see across
-            short, long = [], list(range(len(units)))
-        else:
-            short = [k for k, u in enumerate(units) if len(u) <= 4 * UNIT_CHARS]
-            long = [k for k, u in enumerate(units) if len(u) > 4 * UNIT_CHARS]
-        out: list = [b""] * len(units)
-        if short:
-            ids = np.array(tokenizer.encode_batch_fast([" \x01 ".join(units[k].decode() for k in short)], add_special_tokens=False)[0].ids, dtype="<u4")
-            data, at = ids.tobytes(), 0
-            for k, to in zip(short, [*(np.flatnonzero(ids == self.mark) * 4).tolist(), len(data)]):
-                out[k] = data[at:to]
-                at = to + 4
-        small = [k for k in long if len(units[k]) <= LEAF_CHARS]
-        for k, e in zip(small, tokenizer.encode_batch_fast([units[k].decode() for k in small], add_special_tokens=False)):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        data, at = np.frombuffer(b"".join(blobs), np.uint8), np.cumsum([0, *map(len, blobs)])
+        if plain and len(data):
+            # a space between a letter and the mark after it leaves the pieces as they are and makes words recur
+            letter = np.frombuffer(LETTER, bool)[data]
+            letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # U+00C0 to U+00FF but the signs of multiplication and division
+            cuts = np.flatnonzero(letter[:-1] & np.frombuffer(MARK, bool)[data[1:]]) + 1
+            data, at = np.insert(data, cuts, 32), at + np.searchsorted(cuts, at)
+        text = pa.Array.from_buffers(pa.string(), len(blobs), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
+        split = pc.ascii_split_whitespace(text)
+        coded = split.values.dictionary_encode()
+        ids, sizes = self._encode(coded.dictionary, plain)
+        pieces = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], sizes]), dtype=np.int32)), pa.array(ids))
+        taken = pieces.take(coded.indices)
+        return taken.flatten().to_numpy(), taken.offsets.to_numpy()[split.offsets.to_numpy()].astype(np.int64)
+
+    def _encode(self, words, plain: bool):
+        """(ids of all words one after the other, how many each has): words of letters in few calls, where word ends part them; all others one by one."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        letters = np.zeros(len(words), bool)
+        if plain:
+            letters = pc.and_(pc.utf8_is_alpha(words), pc.less(pc.binary_length(words), LEAF_CHARS)).to_numpy(zero_copy_only=False)
+        whole, size = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        some = words.filter(pa.array(letters))
+        for lo in range(0, len(some), CALL):
+            part = some.slice(lo, CALL)
+            ids = np.array(self.letters.encode_batch_fast([codecs.charmap_decode(_glued(part), "strict", BYTE_LEVEL)[0]], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer file doesn't part words as expected")
+            whole.append(ids)
+            size.append(np.diff(ends, prepend=-1))
+        rest = self._one_by_one(words.filter(pa.array(~letters)).to_pylist(), plain)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[letters], sizes[~letters] = np.concatenate(size), [len(x) // 4 for x in rest]
+        out = np.zeros(sizes.sum(), "<u4")
+        of_letters = np.repeat(letters, sizes)
+        out[of_letters], out[~of_letters] = np.concatenate(whole), np.frombuffer(b"".join(rest), "<u4")
+        return out, sizes
+
+    def _one_by_one(self, words: list[str], plain: bool) -> list[bytes]:
+        tokenizer, memory = (self.bare, self.words) if plain else (self.whole, self.raw)
+        out = list(map(memory.get, words))
+        missing = [k for k, x in enumerate(out) if x is None]
+        small = [k for k in missing if len(words[k]) <= LEAF_CHARS]
+        for k, e in zip(small, tokenizer.encode_batch_fast([words[k] for k in small], add_special_tokens=False)):
             out[k] = array("I", e.ids).tobytes()
-        for k in long:
-            if len(units[k]) > LEAF_CHARS:
-                parts = list(self.leaves(units[k].decode(), LEAF_CHARS))
-                out[k] = self.assemble([(p, t, self.leaf(t) if p >= 0 else None) for p, t in parts])
+        for k in missing:
+            if len(words[k]) > LEAF_CHARS:
+                out[k] = self.assemble([(p, t, self.leaf(t) if p >= 0 else None) for p, t in self.leaves(words[k], LEAF_CHARS)])
+            if len(memory) < REMEMBERED and len(words[k]) <= UNIT_CHARS:
+                memory[words[k]] = out[k]
         return out
 
-    def shows(self, pieces: list[bytes]) -> bytes:
-        """The decoded text of a document from its units' ids."""
+    def decode(self, flat, bounds):
+        """The decoded texts (Arrow strings) of ids as encode gives them."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if not self.joins_words:
-            return self.show(b"".join(pieces))
-        shown = self.shown
-        missing = [p for p in set(pieces) if p and p not in shown]
-        if missing:
-            lists = [array("I", p).tolist() for p in missing]
-            new = {p: t.encode() for p, t in zip(missing, self.whole.decode_batch(lists, skip_special_tokens=False))}
-            if len(shown) + len(new) > REMEMBERED:
-                return b" ".join(new[p] if p in new else shown[p] for p in pieces if p)
-            shown.update(new)
-        return b" ".join([shown[p] for p in pieces if p])
-
-    def show(self, ids: bytes) -> bytes:
-        return self.whole.decode(array("I", ids).tolist(), skip_special_tokens=False).encode()
-
-    # Long unsplit text: leaves and their tree.
+            return pa.array(self.whole.decode_batch([flat[a:b].tolist() for a, b in zip(bounds, bounds[1:])], skip_special_tokens=False), pa.string())
+        # without a decoder the library puts a space between tokens
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), self.shown.take(pa.array(flat))), " ")
+
+    # Long text: leaves and their tree.
 
     def leaves(self, text: str, leaf: int):
-        """(place, text) of unsplit text: added tokens as (-1, content), the rest normalized and halved; a place counts the leaf in its stretch, 0 the first."""
+        """(place, text) of a text: added tokens as (-1, content), the rest normalized and halved; a place counts the leaf in its stretch, 0 the first."""
+        low = self.plain(text.encode()) if self.known else None
+        if low is not None:
+            norm = low.decode()
+            yield from ((k, norm[lo:hi]) for k, (lo, hi) in enumerate(halves(0, len(norm), leaf)))
+            return
         at = 0
         for m in [*self.added_re.finditer(text), None]:
             part = text[at : m.start() if m else len(text)]
@@ -150,7 +209,7 @@ class Encoder:
         return e.ids, [a for a, _ in e.offsets], [b for _, b in e.offsets]
 
     def assemble(self, parts) -> bytes:
-        """(place, text, leaf) in order to ids."""
+        """(place, text, leaf) in order to ids; a leaf is ids, starts, ends, both None where white space tells where its ends are."""
         out, run = [], []
         for p, t, x in [*parts, (0, "", None)]:
             if p <= 0 and run:
@@ -169,28 +228,53 @@ class Encoder:
             level = [self.join(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
         return level[0][1][0]
 
+    def _last(self, node, w: int):
+        """(place, ids, starts, ends): a node's last tokens, from white space at least w characters before its end or from its start."""
+        text, (ids, starts, ends) = node
+        if starts is not None:
+            return 0, ids, starts, ends
+        p = max(0, *(text.rfind(c, 0, max(0, len(text) - w)) for c in SPACES))
+        ids, starts, ends = self.leaf(text[p:])
+        return p, ids, [x + p for x in starts], [x + p for x in ends]
+
+    def _first(self, node, w: int):
+        """(place, ids, starts, ends): a node's first tokens, up to white space w characters or more after its start or to its end."""
+        text, (ids, starts, ends) = node
+        if starts is not None:
+            return len(text), ids, starts, ends
+        q = min([x for x in (text.find(c, w) for c in SPACES) if x >= 0], default=len(text))
+        return q, *self.leaf(text[:q])
+
     def join(self, left, right):
         (lt, (li, ls, le)), (rt, (ri, rs, re_)) = left, right
-        text, cut, n = lt + rt, len(lt), len(lt) + len(rt)
-        w = 16
+        cut, w = len(lt), 16
         while True:
-            i = max(0, len(li) - w)
-            while i and (ls[i] < le[i - 1] or text[ls[i]] == "'"):
+            p, ti, ts, te = self._last(left, w)
+            q, hi, hs, he = self._first(right, w)
+            i = max(0, len(ti) - w)
+            while i and (ts[i] < te[i - 1] or lt[ts[i]] == "'"):
                 i -= 1
-            j = min(len(ri), w)
-            while j < len(ri) and rs[j] < re_[j - 1]:
+            j = min(len(hi), w)
+            while j < len(hi) and hs[j] < he[j - 1]:
                 j += 1
-            a, b = (ls[i] if i else 0), (cut + re_[j - 1] if j < len(ri) else n)
-            ids, ws, we = self.leaf(text[a:b])
+            a, b = (ts[i] if i else p), (cut + he[j - 1] if j < len(hi) else cut + q)
+            ids, ws, we = self.leaf(lt[a:] + rt[: b - cut])
             ws, we = [x + a for x in ws], [x + a for x in we]
-            ok = not i or bool(ids) and (ids[0], ws[0], we[0]) == (li[i], ls[i], le[i]) and (len(ids) < 2 or ws[1] >= we[0])
-            if ok and b == n:
-                return text, (li[:i] + ids, ls[:i] + ws, le[:i] + we)
-            if ok:
-                theirs = {(ri[k], cut + rs[k], cut + re_[k]): k for k in range(j - 1) if rs[k + 1] >= re_[k] and (not k or rs[k] >= re_[k - 1])}
+            ok = not i or bool(ids) and (ids[0], ws[0], we[0]) == (ti[i], ts[i], te[i]) and (len(ids) < 2 or ws[1] >= we[0])
+            last, rest = len(ids), len(hi) if ok and j == len(hi) else None
+            if ok and rest is None:
+                theirs = {(hi[k], cut + hs[k], cut + he[k]): k for k in range(j - 1) if hs[k + 1] >= he[k] and (not k or hs[k] >= he[k - 1])}
                 for k in range(len(ids) - 2, -1, -1):
                     if we[k] <= b - 4 and we[k] > cut and ws[k + 1] >= we[k] and (not k or ws[k] >= we[k - 1]) and (m := theirs.get((ids[k], ws[k], we[k]))) is not None:
-                        return text, (li[:i] + ids[: k + 1] + ri[m + 1 :], ls[:i] + ws[: k + 1] + [x + cut for x in rs[m + 1 :]], le[:i] + we[: k + 1] + [x + cut for x in re_[m + 1 :]])
+                        last, rest = k + 1, m + 1
+                        break
+            if rest is not None:
+                kept = len(li) - len(ti) + i
+                starts = ends = None
+                if ls is not None and rs is not None:
+                    starts = ls[:kept] + ws[:last] + [x + cut for x in rs[rest:]]
+                    ends = le[:kept] + we[:last] + [x + cut for x in re_[rest:]]
+                return lt + rt, (li[:kept] + ids[:last] + ri[rest:], starts, ends)
             w *= 2
 
 
@@ -204,7 +288,7 @@ def halves(lo: int, hi: int, leaf: int):
         yield from halves(mid, hi, leaf)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     import os
 
@@ -212,90 +296,108 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def pieces_of(text: str, leaf: int, enc: Encoder):
-    """(place, text) of a long text: stretches cut at white space as (-2, text), unsplit text as Encoder.leaves gives it."""
-    at = 0
-    for m in [*re.finditer(r"[^ \t-\r]{%d,}" % (leaf + 1), text), None]:
-        stretch = text[at : m.start() if m else len(text)]
-        while stretch:
-            cut = max(stretch.rfind(c, 1, leaf + 1) for c in SPACES) if len(stretch) > leaf else -1
-            cut = cut if cut > 0 else len(stretch)
-            yield -2, stretch[:cut]
-            stretch = stretch[cut:]
-        if m:
-            yield from enc.leaves(m.group(), leaf)
-            at = m.end()
-
-
 def round_trip(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), decoded (UTF-8) of every text; a null text counts as empty.
 
-    Texts up to leaf_chars are encoded where they lie. Longer ones become rows of pieces that are dealt out anew, encoded
-    in parallel and joined per document. Empty texts have no ids and decode to an empty text; repeated rows are kept.
+    Texts up to leaf_chars are encoded where they lie. Longer ones become rows of leaves that are dealt out anew, encoded
+    in parallel and joined per document. Empty texts have no ids and decode to an empty text; repeated rows and rows with a
+    null doc_id are kept, each by itself.
     """
     docs = texts(docs)
     short = docs.where(F.length("text") <= leaf_chars).mapInArrow(functools.partial(_whole, path=path), "doc_id long, ids binary, decoded binary")
-    pieces = (
+    leaves = (
         docs.where(F.length("text") > leaf_chars)
         .withColumn("copy", F.monotonically_increasing_id())
         .mapInArrow(functools.partial(_cut, path=path, leaf=leaf_chars), "doc_id long, copy long, n int, place int, text string")
-        .repartition("doc_id", "copy", "n")
-        .mapInArrow(functools.partial(_leaves, path=path), "doc_id long, copy long, n int, place int, text string, ids array<long>, starts array<int>, ends array<int>")
+        .repartition("copy", "n")
+        .mapInArrow(functools.partial(_leaves, path=path), "doc_id long, copy long, n int, place int, text string, ids binary, starts binary, ends binary")
     )
-    long = pieces.groupBy("doc_id", "copy").applyInPandas(functools.partial(_grow, path=path), "doc_id long, ids binary, decoded binary")
+    long = leaves.groupBy("copy").applyInPandas(functools.partial(_grow, path=path), "doc_id long, ids binary, decoded binary")
     return short.unionByName(long)
 
 
+def _glued(words) -> bytes:
+    """Arrow strings with a space between each two."""
+    import numpy as np
+
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.insert(data, ends[1:-1] - ends[0], 32).tobytes()
+
+
+def _binary(flat, bounds):
+    """Arrow binary values of the runs of a 32-bit array."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+@tidy
 def _whole(batches, path):
     import pyarrow as pa
 
     enc = encoder(path)
     for batch in batches:
-        for part in slices(batch):
-            units = enc.units(part.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([b"".join(u) for u in units], pa.binary()), pa.array([enc.shows(u) for u in units], pa.binary())], ["doc_id", "ids", "decoded"])
+        for part in slices(batch, AT_ONCE):
+            flat, bounds = enc.encode(part.column("text").cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _binary(flat, bounds), enc.decode(flat, bounds).cast(pa.binary())], ["doc_id", "ids", "decoded"])
 
 
+@tidy
 def _cut(batches, path, leaf):
     import pyarrow as pa
 
     enc = encoder(path)
     for batch in batches:
-        for d, c, t in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "copy", "text"))):
-            got = list(pieces_of(t, leaf, enc)) if enc.known else [(-2, t)]
+        for k in range(batch.num_rows):
+            d, c, t = (batch.column(x)[k].as_py() for x in ("doc_id", "copy", "text"))
+            got = list(enc.leaves(t, leaf)) if enc.known else [(-2, t)]
             yield pa.RecordBatch.from_arrays([pa.array([d] * len(got), pa.int64()), pa.array([c] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array([p for p, _ in got], pa.int32()), pa.array([x for _, x in got], pa.string())], ["doc_id", "copy", "n", "place", "text"])
 
 
+def leaf_rows(enc: Encoder, places: list[int], leaves: list[str]) -> list[tuple]:
+    """ids, starts, ends of each leaf: with offsets where no white space is, by the fast way where it is."""
+    out: list = [([], None, None)] * len(places)
+    spaced = [k for k, p in enumerate(places) if p >= 0 and any(c in leaves[k] for c in SPACES)]
+    if spaced:
+        flat, bounds = enc.encode_words([leaves[k].encode() for k in spaced], True)
+        for k, a, b in zip(spaced, bounds, bounds[1:]):
+            out[k] = (flat[a:b].tolist(), None, None)
+    for k in sorted({k for k, p in enumerate(places) if p >= 0} - set(spaced)):
+        out[k] = enc.leaf(leaves[k])
+    for k, p in enumerate(places):
+        if p == -2:
+            out[k] = (array("I", enc.ids([leaves[k].encode()])[0]).tolist(), None, None)
+    return out
+
+
+@tidy
 def _leaves(batches, path):
     import pyarrow as pa
 
     enc = encoder(path)
     for batch in batches:
         for part in slices(batch):
-            place, text = part.column("place").to_pylist(), part.column("text").to_pylist()
-            plain = [k for k, p in enumerate(place) if p == -2]
-            got: list = [([], [], [])] * len(place)
-            for k, x in zip(plain, enc.ids([text[k].encode() for k in plain])):
-                got[k] = (array("I", x).tolist(), [], [])
-            for k, p in enumerate(place):
-                if p >= 0:
-                    got[k] = enc.leaf(text[k])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in got], pa.list_(pa.int64())), pa.array([x[1] for x in got], pa.list_(pa.int32())), pa.array([x[2] for x in got], pa.list_(pa.int32()))], [*part.schema.names, "ids", "starts", "ends"])
+            got = leaf_rows(enc, part.column("place").to_pylist(), part.column("text").to_pylist())
+            held = [pa.array([None if x[k] is None else array("I", x[k]).tobytes() for x in got], pa.binary()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *held], [*part.schema.names, "ids", "starts", "ends"])
 
 
 def _grow(pdf, path):
+    import numpy as np
     import pandas as pd
 
     enc, out, run = encoder(path), [], []
+    numbers = lambda b: None if b is None else array("I", b).tolist()
     for row in pdf.sort_values("n").itertuples():
         if row.place == -2:
-            out.append(enc.assemble(run))
-            out.append(array("I", row.ids.tolist()).tobytes())
-            run = []
+            out.append(row.ids)
         else:
-            run.append((row.place, row.text, (row.ids.tolist(), row.starts.tolist(), row.ends.tolist())))
+            run.append((row.place, row.text, (numbers(row.ids), numbers(row.starts), numbers(row.ends))))
     ids = b"".join([*out, enc.assemble(run)])
-    return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "ids": [ids], "decoded": [enc.show(ids)]})
+    flat = np.frombuffer(ids, "<u4")
+    return pd.DataFrame({"doc_id": pdf.doc_id.iloc[:1].to_numpy(), "ids": [ids], "decoded": [enc.decode(flat, np.array([0, len(flat)]))[0].as_py().encode()]})
 
 
 def digests(df: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Operator 5: token-ID files.
 
-A folder of two tables. `dictionary`: one row, the shared zstandard dictionary and its sha256. `segments`: rows of about
+A folder of two tables (and `frames`, the compressed arrays before they are dealt out in order). `dictionary`: one row, the shared zstandard dictionary and its sha256. `segments`: rows of about
 segment_bytes in ascending document order, each a run of separately compressed id arrays with the offset index that opens
 one short document alone: doc_ids, offsets, counts, and the hash of the dictionary that they need. An array is stored as
 unsigned 16-bit integers where its ids allow, else as 32-bit (the sign of its offset index entry `wide`).
@@ -15,42 +15,51 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
-from .common import sampled, shared_dir, slices, texts
+from .bpe import AT_ONCE, encoder
+from .common import sampled, shared_dir, slices, texts, tidy
 
 #: Documents, by smallest hash of their id, whose ids train the dictionary; pieces of them that it sees; its size.
 SAMPLE_DOCS, PIECE_BYTES, DICTIONARY_BYTES = 500, 4096, 64 * 1024
 SHARD_DOCS, SEGMENT_BYTES, LEVEL = 16_384, 1 << 20, 3
+#: Pieces that the trainer needs, besides as many bytes as the dictionary has.
+TRAINABLE = 32
 BEFORE = (Window.unboundedPreceding, -1)
 SEGMENT = "shard int, seg int, first_id long, last_id long, n_docs int, n_tokens long, doc_ids array<long>, counts array<long>, offsets array<long>, wide array<boolean>, dict_hash string, payload binary"
 
 
-def pack_ids(ids):
-    """(wide, bytes) of an array of ids."""
-    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return wide, ids.astype("<u4" if wide else "<u2").tobytes()
-
-
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """A dictionary from a bounded sample of whole documents' serialized ids; empty if there is too little to train on."""
+    """A dictionary from a bounded sample of whole documents' serialized ids; where the trainer finds too few of them, the
+    pieces themselves are the dictionary (raw content). Empty without documents."""
     import zstandard
 
     rows = sampled(texts(docs), SAMPLE_DOCS).mapInArrow(functools.partial(_ids, path=path, end_id=end_id), "doc_id long, ids binary").collect()
     pieces = [bytes(r.ids)[k : k + PIECE_BYTES] for r in rows for k in range(0, len(r.ids), PIECE_BYTES)]
-    try:
+    size = sum(map(len, pieces))
+    if len(pieces) >= TRAINABLE and size >= DICTIONARY_BYTES:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
+@tidy
 def _ids(batches, path, end_id):
-    import numpy as np
     import pyarrow as pa
 
     for batch in batches:
-        for part in slices(batch):
-            got = encoder(path).ids(part.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([pack_ids(np.append(np.frombuffer(x, "<u4"), end_id))[1] for x in got], pa.binary())], ["doc_id", "ids"])
+        for part in slices(batch, AT_ONCE):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x[2] for x in _arrays(part, path, end_id)], pa.binary())], ["doc_id", "ids"])
+
+
+def _arrays(part, path, end_id):
+    """(number of ids, wide, bytes) of each text's ids with the end id."""
+    import numpy as np
+    import pyarrow as pa
+
+    flat, bounds = encoder(path).encode(part.column("text").cast(pa.binary()).to_pylist())
+    flat, bounds = np.insert(flat, bounds[1:], end_id), bounds + np.arange(len(bounds))
+    narrow, cuts = flat.astype("<u2").tobytes(), bounds.tolist()
+    for k, top in enumerate(np.maximum.reduceat(flat, bounds[:-1]) if len(bounds) > 1 else ()):
+        a, b = cuts[k], cuts[k + 1]
+        yield b - a, top > 0xFFFF, flat[a:b].tobytes() if top > 0xFFFF else narrow[2 * a : 2 * b]
 
 
 def _coder(dictionary: bytes):
@@ -60,48 +69,50 @@ def _coder(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=True), zstandard.ZstdDecompressor(dict_data=d)
 
 
+@tidy
 def _frames(batches, path, end_id, dictionary):
-    import numpy as np
     import pyarrow as pa
 
     squeeze = _coder(dictionary)[0].compress
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, AT_ONCE):
             ns, wides, frames = [], [], []
-            for x in encoder(path).ids(part.column("text").cast(pa.binary()).to_pylist()):
-                wide, data = pack_ids(np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)))
-                ns.append(len(x) // 4 + 1)
-                wides.append(wide)
+            for n, wide, data in _arrays(part, path, end_id):
+                ns.append(n)
+                wides.append(bool(wide))
                 frames.append(squeeze(data))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("shard"), pa.array(ns, pa.int64()), pa.array(wides, pa.bool_()), pa.array(frames, pa.binary())], ["doc_id", "shard", "n_tokens", "wide", "frame"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ns, pa.int64()), pa.array(wides, pa.bool_()), pa.array(frames, pa.binary())], ["doc_id", "n_tokens", "wide", "frame"])
 
 
+@tidy
 def _segments(batches, dict_hash, segment_bytes):
     import pyarrow as pa
+    from pyspark import TaskContext
 
     names = [x.split()[0] for x in SEGMENT.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.string(), pa.binary()]
+    # partitions are ranges in order, so their numbers are those of the shards
+    shard = TaskContext.get().partitionId()
     rows: list = []
     size, seg = 0, 0
 
     def out():
-        ids, ns, wides, frames = [r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows]
+        ids, ns, wides, frames = (list(x) for x in zip(*rows))
         offsets, at = [], 0
         for f in frames:
             offsets.append(at)
             at += len(f)
         known = [x for x in ids if x is not None]
-        row = [rows[0][1], seg, min(known, default=None), max(known, default=None), len(rows), sum(ns), ids, ns, offsets, wides, dict_hash, b"".join(frames)]
+        row = [shard, seg, min(known, default=None), max(known, default=None), len(rows), sum(ns), ids, ns, offsets, wides, dict_hash, b"".join(frames)]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and (row[1] != rows[0][1] or size >= segment_bytes):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "wide", "frame"))):
+            if rows and size >= segment_bytes:
                 yield out()
-                seg = seg + 1 if row[1] == rows[0][1] else 0
-                rows, size = [], 0
+                rows, size, seg = [], 0, seg + 1
             rows.append(row)
-            size += len(row[4])
+            size += len(row[3])
     if rows:
         yield out()
 
@@ -109,27 +120,25 @@ def _segments(batches, dict_hash, segment_bytes):
 def write(docs: DataFrame, tokenizer: str, end_id: int, to: str | None = None, shard_docs: int = SHARD_DOCS, segment_bytes: int = SEGMENT_BYTES) -> str:
     """Encode every text (null: empty), append end_id and write the files in ascending doc_id order; returns the folder.
 
-    Shards are ranges of doc_id. Documents are encoded and compressed where they lie; only compressed arrays are dealt out.
-    An empty table gives files without segments; repeated doc_ids lie side by side; null doc_ids come first.
+    Documents are encoded and compressed where they lie; only compressed arrays are dealt out, into ranges of doc_id and, so
+    that the copies of one id (or all null ids) don't meet in one, of a hash within it. An empty table gives files
+    without segments; rows that share a doc_id lie side by side, in no stated order; null doc_ids come first.
     """
     spark = docs.sparkSession
     to = to or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     dictionary = train_dictionary(docs, tokenizer, end_id)
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, dictionary, end_id, LEVEL)], "dict_hash string, dictionary binary, end_id long, level int").coalesce(1).write.parquet(f"{to}/dictionary")
-    n = docs.count()
-    shards = -(-n // shard_docs)
-    cuts = (docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / shards for k in range(1, shards)], 20 * shards)).first()[0] or []) if shards > 1 else []
-    cuts = sorted(set(cuts))
-    shard = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    frames = (
-        texts(docs)
-        .withColumn("shard", F.when(F.col("doc_id").isNull(), 0).otherwise(shard).cast("int"))
-        .mapInArrow(functools.partial(_frames, path=tokenizer, end_id=end_id, dictionary=dictionary), "doc_id long, shard int, n_tokens long, wide boolean, frame binary")
-    )
+    kind = "doc_id long, n_tokens long, wide boolean, frame binary"
+    # written once: finding the ranges looks at every row before they are dealt out
+    texts(docs).mapInArrow(functools.partial(_frames, path=tokenizer, end_id=end_id, dictionary=dictionary), kind).write.option("compression", "none").parquet(f"{to}/frames")
+    frames = spark.read.schema(kind).parquet(f"{to}/frames")
+    shards = max(1, -(-frames.count() // shard_docs))
+    salt = F.xxhash64("frame").alias("salt")
     (
-        frames.repartition(max(1, len(cuts) + 1), "shard")
-        .sortWithinPartitions("shard", "doc_id", "frame")
+        frames.select("*", salt)
+        .repartitionByRange(shards, "doc_id", "salt")
+        .sortWithinPartitions("doc_id", "salt")
         .mapInArrow(functools.partial(_segments, dict_hash=name, segment_bytes=segment_bytes), SEGMENT)
         .write.option("compression", "none")
         .parquet(f"{to}/segments")
@@ -164,13 +173,15 @@ def digests(spark: SparkSession, folder: str) -> DataFrame:
     return short.join(starts(spark, folder), ["shard", "seg"]).select("doc_id", (F.col("seg_start") + F.col("inner_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+@tidy
 def _open(batches, dictionary, dict_hash):
     import numpy as np
     import pyarrow as pa
 
     unsqueeze = _coder(dictionary)[1].decompress
     for batch in batches:
-        for row in batch.to_pylist():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1).to_pylist()[0]
             if row["dict_hash"] != dict_hash:
                 raise ValueError("the segment needs another dictionary")
             ends = [*row["offsets"][1:], len(row["payload"])]

@@ -26,8 +26,10 @@ def random_texts(n, seed):
 def test_units_match_the_library():
     enc = bpe.Encoder(PATH)
     for some in (ODD, random_texts(3000, 1), random_texts(500, 1)):
-        for t, u in zip(some, enc.units([t.encode() for t in some])):
-            assert (b"".join(u), enc.shows(u)) == expected(t), repr(t)
+        blobs = [t.encode() for t in some]
+        flat, bounds = enc.encode(blobs)
+        for t, ids, shown in zip(some, enc.ids(blobs), enc.decode(flat, bounds).to_pylist()):
+            assert (ids, shown.encode()) == expected(t), repr(t)
 
 
 @pytest.mark.parametrize("leaf", [1, 3, 7, 40])
@@ -39,11 +41,35 @@ def test_tree_of_unsplit_text(leaf):
         assert got == expected(t)[0], repr(t)
 
 
+@pytest.mark.parametrize("leaf", [1, 5, 40])
+def test_tree_of_any_text(leaf):
+    enc = bpe.Encoder(PATH)
+    for t in [*ODD, *random_texts(600, leaf), "word and, " * 40 + "x" * 300 + " end."]:
+        places, leaves = (list(x) for x in zip(*enc.leaves(t, leaf))) if t else ([], [])
+        got = enc.assemble(list(zip(places, leaves, bpe.leaf_rows(enc, places, leaves))))
+        assert got == expected(t)[0], repr(t)
+
+
+def test_long_documents_go_through_the_tree(monkeypatch):
+    import pyarrow.parquet as pq
+
+    enc, joins, join = bpe.Encoder(PATH), [], bpe.Encoder.join
+    monkeypatch.setattr(bpe.Encoder, "join", lambda self, a, b: joins.append(1) or join(self, a, b))
+    long = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist() if t and len(t) > bpe.LEAF_CHARS]
+    for t in long:
+        places, leaves = zip(*enc.leaves(t, bpe.LEAF_CHARS))
+        before = len(joins)
+        assert enc.assemble(list(zip(places, leaves, bpe.leaf_rows(enc, list(places), list(leaves))))) == expected(t)[0]
+        assert len(joins) - before == len(leaves) - 1 > 0
+    assert long
+
+
 def test_round_trip_of_documents(spark):
     rnd = random.Random(5)
     long = [" ".join(rnd.choices(["the", "of", "qwrtz", "it's", "\n", "x" * 50], k=400)), "ab'c" * 700, "word " * 300 + "zé" * 600 + "<|endoftext|>" + " end" * 90]
-    rows = [(i, t, "x") for i, t in enumerate([*ODD, *random_texts(40, 3), *long, *long])] + [(999, None, "x"), (5, ODD[5], "x")]
+    rows = [(i, t, "x") for i, t in enumerate([*ODD, *random_texts(40, 3), *long, *long])] + [(999, None, "x"), (5, ODD[5], "x"), (None, long[0], "x"), (None, long[0], "x"), (None, "a", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = bpe.round_trip(docs, PATH, leaf_chars=200).collect()
-    assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in got) == sorted((i, *expected(t or "")) for i, t, _ in rows)
+    known = lambda i: -1 if i is None else i
+    assert sorted((known(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in got) == sorted((known(i), *expected(t or "")) for i, t, _ in rows)
     assert bpe.digests(bpe.round_trip(docs.limit(0), PATH)).count() == 0

@@ -112,3 +112,33 @@ def test_decontamination_removes_rows_not_ids(spark, some):
     left = decontaminate.remove(docs, bench, **some)
     assert left.columns == docs.columns
     assert sorted(map(repr, (tuple(r) for r in left.collect()))) == sorted(map(repr, [(None, "clean"), (1, "clean twin"), (2, None), (3, "")]))
+
+
+def test_token_files_with_null_and_repeated_ids(spark, tmp_path):
+    rnd = random.Random(8)
+    text = lambda: " ".join(rnd.choices(["the", "of", "Zebra", "x1", "é", "中"], k=rnd.randrange(0, 60)))
+    rows = [(None, text()) for _ in range(90)] + [(7, text()) for _ in range(150)] + [(7, "same")] * 40 + [(k, text()) for k in range(100)] + [(3, None), (8, "long " * 9000)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, shard string").repartition(5)
+    folder = token_files.write(docs, PATH, 1, to=str(tmp_path / "n"), shard_docs=32, segment_bytes=500)
+    lib = Tokenizer.from_file(PATH)
+    want = []
+    for i, t in rows:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+        want.append((-1 if i is None else i, len(ids), zlib.crc32(array("I", ids).tobytes())))
+    got = sorted((r.start, r.n_tokens, -1 if r.doc_id is None else r.doc_id, r.ids_crc32) for r in token_files.digests(spark, folder).collect())
+    assert sorted((d, n, c) for _, n, d, c in got) == sorted(want)
+    at = 0
+    for k, (start, n, d, _) in enumerate(got):
+        assert start == at and (not k or d >= got[k - 1][2])
+        at += n
+    # all null ids or all copies of one id aren't one shard's
+    per = token_files.segments(spark, folder).groupBy("shard").sum("n_docs").collect()
+    assert max(r[1] for r in per) < 150
+
+
+def test_few_documents_have_a_dictionary_of_their_own(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a few words"), (2, "")], "doc_id long, text string")
+    folder = token_files.write(docs, PATH, 1, to=str(tmp_path / "f"))
+    held = spark.read.parquet(f"{folder}/dictionary").first()
+    assert len(held.dictionary) and {r.dict_hash for r in token_files.segments(spark, folder).collect()} == {held.dict_hash}
+    assert token_files.lookup(spark, folder, 2) == [1]
