@@ -22,7 +22,7 @@ from array import array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, texts, tidy
+from .common import LOWER, glued, slices, texts, tidy
 
 #: Words that aren't of letters alone are remembered if they aren't longer than this.
 UNIT_CHARS = 64
@@ -144,7 +144,7 @@ class Encoder:
         some = words.filter(pa.array(letters))
         for lo in range(0, len(some), CALL):
             part = some.slice(lo, CALL)
-            ids = np.array(self.letters.encode_batch_fast([codecs.charmap_decode(_glued(part), "strict", BYTE_LEVEL)[0]], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.letters.encode_batch_fast([codecs.charmap_decode(glued(part), "strict", BYTE_LEVEL)[0]], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends_word[ids])
             if len(ends) != len(part):
                 raise ValueError("the tokenizer file doesn't part words as expected")
@@ -316,15 +316,6 @@ def round_trip(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS) -> Data
     return short.unionByName(long)
 
 
-def _glued(words) -> bytes:
-    """Arrow strings with a space between each two."""
-    import numpy as np
-
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    return np.insert(data, ends[1:-1] - ends[0], 32).tobytes()
-
-
 def _binary(flat, bounds):
     """Arrow binary values of the runs of a 32-bit array."""
     import numpy as np

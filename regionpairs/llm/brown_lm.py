@@ -3,8 +3,9 @@
 Words are clustered as units: every word of LEAST occurrences or more is one, all others belong to a unit by their ending.
 The exchange algorithm assigns units to classes from the corpus's unit bigrams, moving a unit where the average mutual
 information of neighbouring classes grows most: first the most frequent words and the endings on the driver, then all units
-in the tasks, until none moves. A text's probability is the product over its tokens of the class
-transition, the unit within its class, and the word within its unit; a discount in each ending unit pays for unknown words.
+in the tasks, until a round over all units gains next to nothing. A text's probability is the product over its tokens of
+the class transition, the unit within its class, and the word within its unit. In each ending unit a discount of the seen
+words pays for the unknown ones, among which a model of their bytes divides it.
 """
 
 from __future__ import annotations
@@ -12,100 +13,120 @@ from __future__ import annotations
 import functools
 import math
 import zlib
-from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, slices, texts, through_table
+from .common import fold, slices, split_words, texts, through_table, tidy
 
 #: Frequent words that the first exchange, on the driver, starts from; ending units; classes; sweeps of that first exchange.
 FREQUENT, ENDINGS, CLASSES, SWEEPS = 1000, 256, 48, 6
-#: Occurrences from which a word is a unit of its own.
-LEAST = 10
+#: Occurrences from which a word is a unit of its own; if more than UNITS words have as many, the most frequent ones are:
+#: tasks hold 18 bytes a unit, so 36 MB at most.
+LEAST, UNITS = 10, 2_000_000
+#: The exchange ends when a round over all units gains less than this share of the information that the classes have.
+TOLERANCE = 0.002
+#: Share of all tokens beyond which a unit moves with a smaller chance.
+AT_A_TIME = 0.001
 #: Bigrams of one unit that a task holds; those of more frequent units are dealt out by the neighbour.
 SPLIT = 1 << 20
 #: Bigrams that a task gathers before it hands them on; bigrams in a row of their table.
 GATHER, PACK = 4 << 20, 1 << 20
-#: Words whose unit a task remembers.
-REMEMBERED = 200_000
 #: Words, the most frequent, whose counts every task holds; the counts of all others are joined.
 HELD = 150_000
 END = b"\n"  # no word can be this
-#: Words that a task counts before it hands them on.
-FLUSH = 400_000
+#: Distinct words of runs of texts that a task gathers before it hands them on; bytes of text in a run.
+FLUSH, AT_ONCE = 1_000_000, 4 << 20
+#: Spelling of unknown words: symbols for bytes (0 a word's start and end, 1 any byte that is rare); pseudo-counts of the shorter context.
+SYMBOLS, SPELL = 96, 5.0
+#: Bytes that a word can have.
+BYTES = [b for b in range(256) if not (9 <= b <= 13 or b == 32 or 65 <= b <= 90)]
 
 
 def words_of(blob: bytes) -> list[bytes]:
-    """[^\\x20\\x09-\\x0D]+ after A-Z is lowered: bytes.split parts at exactly these."""
-    return blob.translate(LOWER).split()
+    """[^\\x20\\x09-\\x0D]+ after A-Z is lowered."""
+    words, tokens, _ = split_words([blob])
+    return [words[k] for k in tokens.tolist()]
 
 
 def ending(w: bytes) -> int:
     return zlib.crc32(w[-3:]) % ENDINGS
 
 
+def ending_of(word: Column) -> Column:
+    return F.pmod(F.crc32(F.when(F.length(word) > 3, F.substring(word, -3, 3)).otherwise(word)), F.lit(ENDINGS)).cast("int")
+
+
 def training(docs: DataFrame) -> DataFrame:
     return texts(docs).where(F.coalesce(fold(F.col("doc_id")), F.lit(0)) != 1)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word, ending, c over all training tokens; the end token is END."""
-    counts = training(docs).mapInArrow(_count, "word binary, ending int, c long")
-    return counts.groupBy("word", "ending").agg(F.sum("c").alias("c"))
+    """word, c, ending, h (xxhash64) over all training tokens; the end token is END."""
+    counts = training(docs).mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return counts.select("word", "c", ending_of(F.col("word")).alias("ending"), F.xxhash64("word").alias("h"))
 
 
+@tidy
 def _count(batches):
+    import numpy as np
     import pyarrow as pa
 
-    def out(n):
-        return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array([ending(w) for w in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["word", "ending", "c"])
+    def out():
+        every = pa.table({"word": pa.array([w for part, _ in held for w in part], pa.binary()), "c": np.concatenate([n for _, n in held])})
+        got = every.group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
+        yield from got.filter(pa.compute.greater(got.column("c"), 0)).to_batches()
 
-    n: Counter = Counter()
+    held, size = [], 0
     for batch in batches:
-        for part in slices(batch):
-            for b in part.column("text").cast(pa.binary()).to_pylist():
-                n.update(words_of(b))
-                n[END] += 1
-            if len(n) > FLUSH:
-                yield out(n)
-                n = Counter()
-    if n:
-        yield out(n)
+        for part in slices(batch, AT_ONCE):
+            words, tokens, bounds = split_words(part.column("text").cast(pa.binary()).to_pylist())
+            held.append(([*words, END], np.append(np.bincount(tokens, minlength=len(words)), len(bounds) - 1)))
+            size += len(words)
+            if size > FLUSH:
+                yield from out()
+                held, size = [], 0
+    if held:
+        yield from out()
 
 
-class Units:
-    """Word to unit: frequent words, the end token, then endings."""
+def hashes(words: list[bytes]):
+    """Spark's xxhash64 of words."""
+    import numpy as np
+    import xxhash
 
-    def __init__(self, frequent: list[bytes]):
-        self.of = {w: k for k, w in enumerate([END, *frequent])}
-        self.base = len(self.of)
-        self.n = self.base + ENDINGS
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
 
-    def __call__(self, words: list[bytes]) -> list[int]:
-        get, base = self.of.get, self.base
-        return [u if (u := get(w)) is not None else base + ending(w) for w in words]
 
+class Units:
+    """Words to units: 0 the end token, then the frequent words, then endings, then every other word that is a unit of its own.
+
+    frequent: hashes in that order; own: sorted hashes."""
 
-class Lookup(dict):
-    """Word to unit, remembered: END, core words, endings, then every other word in own (sorted 64-bit hashes)."""
+    def __init__(self, frequent, own):
+        import numpy as np
 
-    def __init__(self, core: list[bytes], own):
-        super().__init__()
-        self.units, self.own = Units(core), own
+        self.base = 1 + len(frequent)
+        self.n = self.base + ENDINGS
+        keys = np.concatenate([np.array(frequent, np.int64), np.array(own, np.int64)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], order.astype(np.int32)
 
-    def __missing__(self, w):
+    def __call__(self, words: list[bytes]):
         import numpy as np
 
-        u = self.units.of.get(w)
-        if u is None:
-            h = np.int64(_signed(w))
-            k = int(np.searchsorted(self.own, h))
-            u = self.units.n + k if k < len(self.own) and self.own[k] == h else self.units.base + ending(w)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[w] = u
-        return u
+        h = hashes(words)
+        if not len(self.keys):
+            return np.array([self.base + ending(w) for w in words], np.int64)
+        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        at = self.at[k].astype(np.int64)
+        unit = np.where(at < self.base - 1, 1 + at, at + 1 + ENDINGS)
+        rest = np.flatnonzero(self.keys[k] != h)
+        unit[rest] = [self.base + ending(words[x]) for x in rest.tolist()]
+        return unit
+
+    def is_ending(self, unit):
+        return (unit >= self.base) & (unit < self.n)
 
 
 def bigrams(docs: DataFrame, sent) -> DataFrame:
@@ -119,12 +140,13 @@ def bigrams(docs: DataFrame, sent) -> DataFrame:
     return through_table(packed, "bigrams")
 
 
+@tidy
 def _bigrams(batches, sent):
     import numpy as np
     import pyarrow as pa
 
     m = sent.value
-    units, parts = Lookup(m["core"], m["own"]), m["parts"]
+    units, parts = Units(m["frequent"], m["own"]), m["parts"]
 
     def out(seqs):
         key = np.concatenate([(a[:-1] << 32) | a[1:] for a in seqs])
@@ -146,12 +168,10 @@ def _bigrams(batches, sent):
 
     held, size = [], 0
     for batch in batches:
-        for part in slices(batch):
-            seq = [0]
-            for b in part.column("text").cast(pa.binary()).to_pylist():
-                seq += [units[w] for w in words_of(b)]
-                seq.append(0)
-            held.append(np.array(seq, np.int64))
+        for part in slices(batch, AT_ONCE):
+            words, tokens, bounds = split_words(part.column("text").cast(pa.binary()).to_pylist())
+            seq = np.insert(units(words)[tokens], bounds, 0)  # an end before the first text and after each
+            held.append(seq)
             size += len(seq)
             if size >= GATHER:
                 yield from out(held)
@@ -160,6 +180,7 @@ def _bigrams(batches, sent):
         yield from out(held)
 
 
+@tidy
 def _pack(batches):
     import numpy as np
     import pyarrow as pa
@@ -252,6 +273,12 @@ def class_pairs(packed: DataFrame, of, classes: int, was=None, pair=0):
     return pair + sum((np.frombuffer(bytes(r.pairs)) for r in got), np.zeros(classes * classes)).reshape(classes, classes)
 
 
+def _parts(seen):
+    import numpy as np
+
+    return (1 + seen // SPLIT).astype(np.int64)
+
+
 def _xlogx(x):
     import numpy as np
 
@@ -319,9 +346,9 @@ def _moves(batches, sent):
     import numpy as np
     import pyarrow as pa
 
-    of, parts, pair, only = sent.value
+    of, parts, pair = sent.value
     k = len(pair)
-    for units, at, other, side, c in _unpacked(batches, only):
+    for units, at, other, side, c in _unpacked(batches):
         vectors = np.zeros((len(units), 2 * k + 1))
         vectors[:, : 2 * k] = np.bincount(at * (2 * k) + side * k + of[other], weights=c, minlength=len(units) * 2 * k).reshape(-1, 2 * k)
         self_ = (side == 0) & (other == units[at])
@@ -333,21 +360,22 @@ def _moves(batches, sent):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, units[some]]), pa.int32()), pa.array(np.concatenate([to, np.zeros(len(some), np.int64)]), pa.int32()), pa.array(blobs, pa.binary())], ["unit", "to", "vector"])
 
 
-def exchange_all(packed: DataFrame, of, parts, classes: int):
-    """Classes of all units and their pair counts, from the start in `of`, when no unit gains by a move.
+def exchange_all(packed: DataFrame, of, seen, classes: int, tolerance: float = TOLERANCE):
+    """Classes of all units and their pair counts, from the start in `of`, when no unit gains by a move or when a round over
+    all units gains no more than `tolerance` of the information that the classes have over one class for all.
 
-    Every task finds the moves of its units against the classes as they are; units of over SPLIT tokens, few for any
-    corpus, are summed and moved on the driver. Moves at once may hinder each other: if they lose information, they are
-    taken back and a quarter as many, dealt by chance, are tried, down to a single move, which always gains. Units that gained are
-    looked at again until a quarter of them gains, then all units; the end is a look at all that finds none.
+    seen: tokens of every unit. Every task finds the moves of its units against the classes as they are; units of over SPLIT
+    tokens, few for any corpus, are summed and moved on the driver. Moves at once may hinder each other, those of frequent
+    units most: a unit moves with a chance that falls with its tokens beyond AT_A_TIME of all. If the moves lose
+    information, they are taken back and the chances fall to a quarter, down to a single move, which always gains.
     """
     import numpy as np
 
     sc = packed.sparkSession.sparkContext
     pair = class_pairs(packed, of, classes)
-    value, share, rnd, rounds, only = information(pair), 1, np.random.default_rng(1), 0, None
+    value, share, rnd, rounds, n, parts = information(pair), 1.0, np.random.default_rng(1), 0, pair.sum(), _parts(seen)
     while True:
-        sent = sc.broadcast((of, parts, pair, only))
+        sent = sc.broadcast((of, parts, pair))
         got = packed.mapInArrow(functools.partial(_moves, sent=sent), "unit int, to int, vector binary").toArrow()
         sent.unpersist()
         unit, to = got.column("unit").to_numpy(), got.column("to").to_numpy()
@@ -360,36 +388,29 @@ def exchange_all(packed: DataFrame, of, parts, classes: int):
             hu, ht = _choose(u, vectors, of, pair)
             unit, to = np.concatenate([np.delete(unit, hot), hu]), np.concatenate([np.delete(to, hot), ht])
         if not len(unit):
-            if only is None:
-                return of, pair
-            only = None
-            continue
-        if only is None:
-            only = np.zeros(len(of), bool)
-            only[unit] = True
-            first = len(unit)
+            return of, pair
         order = np.argsort(unit, kind="stable")
-        order = order[rnd.permutation(len(order))]
         while True:
-            take = order[: -(-len(order) // share)]
+            take = order[rnd.random(len(order)) < np.minimum(1 if share == 1 else 0.5, share * AT_A_TIME * n / np.maximum(seen[unit[order]], 1))]
+            take = take if len(take) else order[[rnd.integers(len(order))]]
             new = of.copy()
             new[unit[take]] = to[take]
             new_pair = class_pairs(packed, new, classes, of, pair)
             new_value = information(new_pair)
             rounds += 1
             if PROGRESS:
-                PROGRESS(rounds, len(unit), len(take), value, new_value)
+                PROGRESS(rounds, len(unit), len(take), value, new_value, value + n * math.log(max(n, 1)))
             if new_value > value or len(take) == 1:
                 break
-            share = min(4 * share, len(order))
+            share /= 4
         if new_value <= value:  # a gain below what the sums can tell
             return of, pair
-        of, pair, value, share = new, new_pair, new_value, max(1, share // 2)
-        if 4 * len(unit) <= first:
-            only = None
+        gain, of, pair, value, share = new_value - value, new, new_pair, new_value, min(1.0, 2 * share)
+        if gain <= tolerance * (value + n * math.log(max(n, 1))):
+            return of, pair
 
 
-#: Called once per round, if set: round, units that would gain, units moved, information before and after.
+#: Called once per round, if set: round, units that would gain, units moved, information before and after, and before above that of one class.
 PROGRESS = None
 
 
@@ -455,57 +476,164 @@ def exchange(counts, classes: int = CLASSES, sweeps: int = SWEEPS):
     return of
 
 
-def most_frequent(table: DataFrame, n: int) -> list[tuple[bytes, int]]:
-    """At most n words with their counts, down to a step of the counts' logarithm; only they leave the executors."""
-    words = table.where(F.col("word") != F.lit(bytearray(END))).withColumn("step", F.floor(64 * F.log2("c")))
-    least, have = None, 0
-    for step, k in sorted(words.groupBy("step").agg(F.count("*").alias("k")).collect(), reverse=True):  # a few thousand steps
-        have += k
+def least_count(words: DataFrame, n: int) -> int:
+    """The smallest count such that at most n words have as many, down to a step of the counts' logarithm."""
+    steps = words.groupBy(F.floor(64 * F.log2("c")).alias("step")).agg(F.count("*").alias("k"), F.min("c").alias("c")).collect()  # a few thousand
+    have, least = 0, None
+    for r in sorted(steps, key=lambda r: -r.step):
+        have += r.k
         if have > n:
             break
-        least = step
-    if least is None:
-        return []
-    return sorted(((bytes(r.word), r.c) for r in words.where(F.col("step") >= least).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+        least = r.c
+    return least if least is not None else max((r.c for r in steps), default=0) + (1 << 30)
+
+
+class Spelling:
+    """Probabilities of words by their bytes, each after the two before it: p over symbols, symbol of each byte, and each
+    byte's share of its symbol."""
+
+    def __init__(self, symbol, share, n):
+        """n: counts of symbol triples."""
+        import numpy as np
 
+        k = len(n)
+        one = n.sum((0, 1)) + 0.5
+        two = n.sum(0) + SPELL * one / one.sum()
+        two[0, 0] = 0
+        two /= two.sum(1, keepdims=True)
+        three = n + SPELL * two
+        three[0, 0, 0] = 0
+        self.symbol, self.share, self.p = symbol, share, three / np.maximum(three.sum(2, keepdims=True), 1e-300)
+        # expected visits of the last two symbols
+        start = np.zeros((k, k))
+        start[0] = self.p[0, 0]
+        step = self.p.copy()
+        step[:, :, 0] = 0
+        step[:, 0] = 0
+        visits = start
+        while True:
+            new = start + np.einsum("xy,xyz->yz", visits, step)
+            if abs(new - visits).max() < 1e-12:
+                break
+            visits = new
+        self.visits = visits
+
+    def ending_shares(self):
+        """The probability that a word is of each ending unit, exactly."""
+        import numpy as np
+
+        step = np.array([_crc_step(b) for b in range(256)], np.uint32)
+        byte = np.array(BYTES, np.uint32)
+        g, w, p = self.symbol[BYTES], self.share[BYTES], self.p
+        unit = lambda crc: (~crc % ENDINGS).ravel()
+        total = lambda crc, x: np.bincount(unit(crc), weights=x.ravel(), minlength=ENDINGS)
+        one = step[(0xFFFFFFFF ^ byte) & 255] ^ np.uint32(0xFFFFFF)
+        shares = total(one, w * p[0, 0, g] * p[0, g, 0])
+        end = p[g[:, None], g[None, :], 0] * w[None, :]  # of the last byte, given the one before it
+        for k in range(len(byte)):
+            two = step[(one[k] ^ byte) & 255] ^ (one[k] >> 8)
+            shares += total(two, w[k] * p[0, 0, g[k]] * p[0, g[k], g] * w * p[g[k], g, 0])
+            three = step[(two[:, None] ^ byte[None, :]) & 255] ^ (two[:, None] >> 8)
+            shares += total(three, w[k] * (self.visits[g[k], g] * w)[:, None] * p[g[k], g][:, g] * end)
+        return shares
+
+    def logs(self, words: list[bytes]):
+        """Logarithm of each word's probability."""
+        import numpy as np
+
+        data = np.frombuffer(b"  " + b"  ".join(words) + b" ", np.uint8)
+        g = self.symbol[data]
+        edge = np.flatnonzero(data == 32)
+        starts = edge[:-1:2]  # of the two before each word
+        with np.errstate(divide="ignore"):
+            each = np.log10(self.p[g[:-2], g[1:-1], g[2:]]) + np.log10(self.share[data[2:]])
+        gap = starts[1:] - 1  # what would lead from one word to the next
+        each[gap] = 0
+        return np.add.reduceat(each, starts)
+
+
+def spelling(words: DataFrame) -> Spelling:
+    """Learned from the words that occur once, which are most like unknown ones."""
+    import numpy as np
+
+    once = words.where("c = 1").select("word")
+    n = np.zeros(256)
+    for r in once.mapInArrow(_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        n[r.byte] = r.n
+    order = sorted(BYTES, key=lambda b: (-n[b], b))[: SYMBOLS - 2]
+    symbol, share = np.ones(256, np.int64), np.zeros(256)
+    symbol[32], share[32] = 0, 1
+    symbol[order], share[order] = 2 + np.arange(len(order)), 1
+    rare = sorted(set(BYTES) - set(order))
+    share[rare] = 1 / len(rare)
+    triples = np.zeros((SYMBOLS, SYMBOLS, SYMBOLS))
+    for r in once.mapInArrow(functools.partial(_triples, symbol=symbol), "triple int, n long").groupBy("triple").agg(F.sum("n").alias("n")).collect():  # at most SYMBOLS ** 3
+        triples.ravel()[r.triple] = r.n
+    return Spelling(symbol, share, triples)
+
+
+def _bytes(batches):
+    import numpy as np
+    import pyarrow as pa
 
-def fit(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: int = CLASSES):
+    for batch in batches:
+        n = np.bincount(np.frombuffer(b"".join(batch.column("word").to_pylist()), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(n)], ["byte", "n"])
+
+
+def _triples(batches, symbol):
+    import numpy as np
+    import pyarrow as pa
+
+    total = np.zeros(SYMBOLS**3, np.int64)
+    for batch in batches:
+        data = np.frombuffer(b"  " + b"  ".join(batch.column("word").to_pylist()) + b" ", np.uint8)
+        g = symbol[data]
+        key = (g[:-2] * SYMBOLS + g[1:-1]) * SYMBOLS + g[2:]
+        # not from a word over its end: an edge follows an edge only before a word
+        total += np.bincount(key[~((g[1:-1] == 0) & ((g[:-2] > 0) | (g[2:] == 0)))], minlength=len(total))
+    k = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k])], ["triple", "n"])
+
+
+def _crc_step(x: int) -> int:
+    for _ in range(8):
+        x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+    return x
+
+
+def fit(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: int = CLASSES, tolerance: float = TOLERANCE):
     """(counts of all words as a table, model): the model holds the rest, see _score; of it only the hashes, classes and
-    shares of the words of LEAST occurrences or more grow with the vocabulary, by 18 bytes each."""
+    shares of the words that are units grow with the vocabulary, by 18 bytes each, and UNITS bounds them."""
     import numpy as np
 
     spark = docs.sparkSession
     table = through_table(count_words(docs), "words")
-    top = most_frequent(table, held)
+    words = table.where(F.col("word") != F.lit(bytearray(END)))
     total = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(bytearray(END)), F.col("c"))), F.lit(0)).alias("ends"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    core = [w for w, _ in top[:frequent]]
-    units = Units(core)
-    by = {r.ending: (r.n, r.v) for r in table.groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    # every other word of LEAST occurrences or more, by its hash
-    more = table.where((F.col("c") >= LEAST) & (F.col("word") != F.lit(bytearray(END)))).select(F.xxhash64("word").alias("h"), "c", "ending").toArrow()
+    least = max(LEAST, least_count(words, UNITS))
+    core = words.where(F.col("c") >= least).orderBy(F.desc("c"), "word").limit(frequent).collect()
+    more = words.where(F.col("c") >= least).select("h", "c", "ending").toArrow()
     own, own_c, own_e = (more.column(c).to_numpy() for c in ("h", "c", "ending"))
-    rest = ~np.isin(own, np.array([_signed(w) for w in core], np.int64))
+    core_h = np.array([r.h for r in core], np.int64)
+    rest = ~np.isin(own, core_h)
     own, first = np.unique(own[rest], return_index=True)
     own_c, own_e = own_c[rest][first], own_e[rest][first]
+    units = Units(core_h, own)
     # of an ending unit: tokens and distinct words that aren't units of their own
     n_e, v_e = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for e, (n, v) in by.items():
-        n_e[e], v_e[e] = n, v
-    for w, c in [*top[:frequent], *([(END, total.ends)] if total.ends else [])]:
-        n_e[ending(w)] -= c
-        v_e[ending(w)] -= 1
-    n_e -= np.bincount(own_e, weights=own_c, minlength=ENDINGS)
-    v_e -= np.bincount(own_e, minlength=ENDINGS)
-    seen = np.concatenate([[total.ends], [c for _, c in top[:frequent]], n_e, own_c]).astype(np.float64)  # every token follows something
-    parts = (1 + seen // SPLIT).astype(np.int64)
-    sent = spark.sparkContext.broadcast({"core": core, "own": own, "parts": parts, "n": units.n, "coarse": np.concatenate([np.arange(units.n), units.base + own_e]).astype(np.int64)})
+    for r in words.where(F.col("c") < least).groupBy("ending").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        n_e[r.ending], v_e[r.ending] = r.n, r.v
+    seen = np.concatenate([[total.ends], [r.c for r in core], n_e, own_c]).astype(np.float64)  # every token follows something
+    parts = _parts(seen)
+    sent = spark.sparkContext.broadcast({"frequent": core_h, "own": own, "parts": parts, "n": units.n, "coarse": np.concatenate([np.arange(units.n), units.base + own_e]).astype(np.int64)})
     packed = bigrams(docs, sent)
     counts = np.zeros((units.n, units.n), np.int64)
     for r in packed.mapInArrow(functools.partial(_coarse, sent=sent), "unit int, counts binary").groupBy("unit").applyInPandas(_sum, "unit int, counts binary").collect():  # at most one row per unit of the start
         counts[r.unit] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
     of = exchange(counts, classes)
     k = int(of.max()) + 1
-    of, pair = exchange_all(packed, np.concatenate([of, of[units.base + own_e]]).astype(np.int16), parts, k)
+    of, pair = exchange_all(packed, np.concatenate([of, of[units.base + own_e]]).astype(np.int16), seen, k, tolerance)
     of = of.astype(np.int64)
     share = (np.bincount(of, weights=seen, minlength=k) + 0.5) / (seen.sum() + 0.5 * k)
     mass = 5.0  # pseudo-counts of the class's overall share
@@ -515,47 +643,50 @@ def fit(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: in
     of_class = np.bincount(of, weights=unit_n, minlength=k)
     within = unit_n / np.maximum(of_class[of], 1e-300)
     discount = min(0.95, max(0.05, total.once / max(1, total.once + 2 * total.twice)))
-    find = Lookup(core, own)
-    held_unit = np.array([0, *(find[w] for w, _ in top)], np.int32)
     log = lambda x: np.log10(np.maximum(x, 1e-300))
+    spelled = spelling(words)
+    kept = words.where(F.col("c") >= least_count(words, held)).select("h", "c").toArrow()
+    held_h, first = np.unique(kept.column("h").to_numpy(), return_index=True)
     model = {
-        "frequent": core, "own": own, "held_unit": held_unit, "held": [w for w, _ in top], "held_c": np.array([c for _, c in top], np.int64), "classes": of.astype(np.int16), "trans": log(trans), "within": log(within), "ends": total.ends, "n": total.n, "v": total.v,
-        "discount": discount, "ending_n": n_e, "unknown": np.where(n_e > 0, log(discount * v_e / np.maximum(n_e, 1)), 0.0),
+        "frequent": core_h, "own": own, "held": held_h, "held_c": kept.column("c").to_numpy()[first], "classes": of.astype(np.int16), "trans": log(trans), "within": log(within), "ends": total.ends, "n": total.n, "v": total.v, "least": least,
+        "discount": discount, "ending_n": n_e, "unknown": np.where(n_e > 0, log(discount * v_e / np.maximum(n_e, 1)), 0.0), "spelled": spelled, "ending_share": log(spelled.ending_shares()),
     }
     return table, model
 
 
-def _signed(w: bytes) -> int:
-    """Spark's xxhash64 of a word."""
-    import xxhash
+def unknown_words(words: list[bytes], m: dict):
+    """Logarithm of each word's probability in its ending unit as an unknown one: the unit's share of unknown words, and the
+    word's spelling among all words of that ending."""
+    import numpy as np
 
-    h = xxhash.xxh64_intdigest(w, 42)
-    return h - (1 << 64) if h >> 63 else h
+    if not words:
+        return np.zeros(0)
+    e = np.array([ending(w) for w in words])
+    return m["unknown"][e] + m["spelled"].logs(words) - m["ending_share"][e]
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: int = CLASSES) -> DataFrame:
+def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: int = CLASSES, tolerance: float = TOLERANCE) -> DataFrame:
     """The columns of op4 for every document row.
 
-    Null and empty texts have the end token alone. Repeated rows are kept and score alike (rows are told apart by a row
-    number, not by doc_id); a null doc_id belongs to training. Without training rows every word is unknown and N is 0.
-    Held words are scored where the text lies; each other word of a text is sent once, with its number of
-    occurrences, to its count.
+    Null and empty texts have the end token alone, and very long ones are like any other. Repeated rows are kept and score
+    alike (rows are told apart by a row number, not by doc_id); a null doc_id belongs to training. Without training rows
+    every word is unknown and N is 0. Held words are scored where the text lies; each other word of a text is sent once,
+    with its number of occurrences, to its count.
     """
-    counts, model = fit(docs, frequent, held, classes)
+    counts, model = fit(docs, frequent, held, classes, tolerance)
     spark = docs.sparkSession
     rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
     sent = spark.sparkContext.broadcast(model)
-    got = through_table(rows.mapInArrow(functools.partial(_score, sent=sent), "doc_id long, row long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,k:bigint>>"), "scored")
+    got = through_table(rows.mapInArrow(functools.partial(_score, sent=sent), "doc_id long, row long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,k:bigint,taken:double>>"), "scored")
     discount, n, v = model["discount"], model["n"], model["v"]
     ending_n = F.lit([float(x) for x in model["ending_n"]])
-    unknown = F.lit([float(x) for x in model["unknown"]])
     # what the task took for unknown is put right by the words that have a count
-    rest = got.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.k").alias("k"))
+    rest = got.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.k", "r.taken")
     known = rest.join(counts, "word").select(
         "row",
         "k",
         (F.col("k") * (F.log10((F.col("c") + 0.5) / F.lit(0.5)))).alias("base"),
-        F.when(F.col("c") >= LEAST, 0.0).otherwise(F.col("k") * (F.log10((F.col("c") - discount) / ending_n[F.col("ending")]) - unknown[F.col("ending")])).alias("score"),  # units of their own have no more to add
+        F.when(F.col("c") >= model["least"], 0.0).otherwise(F.col("k") * (F.log10((F.col("c") - discount) / ending_n[F.col("ending")]) - F.col("taken"))).alias("score"),  # units of their own have no more to add
     )
     per = known.groupBy("row").agg(F.sum("k").alias("k"), F.sum("base").alias("b"), F.sum("score").alias("s"))
     out = got.drop("rest").join(per, "row", "left")
@@ -572,43 +703,46 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes:
     )
 
 
+@tidy
 def _score(batches, sent):
     import numpy as np
     import pyarrow as pa
 
     m = sent.value
-    units = Lookup(m["frequent"], m["own"])
-    base_unit = units.units.base
-    place = {w: k for k, w in enumerate([END, *m["held"]])}
-    c = np.concatenate([[m["ends"]], m["held_c"]])
+    units = Units(m["frequent"], m["own"])
     denominator = math.log10(m["n"] + 0.5 * (m["v"] + 1))
-    base = np.append(np.log10(c + 0.5), math.log10(0.5))  # last: not held
-    classes = m["classes"]
-    unit = m["held_unit"].astype(np.int64)
-    word = np.zeros(len(place))
-    more = np.flatnonzero((unit >= base_unit) & (unit < base_unit + ENDINGS))
-    word[more] = np.log10(np.maximum(c[more] - m["discount"], 1e-300) / np.maximum(m["ending_n"][unit[more] - base_unit], 1e-300))
-    within, trans, unknown = m["within"], m["trans"], m["unknown"]
-    known_end = int(c[0] > 0)
-    get, missing = place.get, len(place)
-    kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
+    classes, within, trans = m["classes"], m["within"], m["trans"]
+    kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64()), ("taken", pa.float64())]))
     for batch in batches:
-        for part in slices(batch):
-            n, known, b, s, rest = [], [], [], [], []
-            for blob in part.column("text").cast(pa.binary()).to_pylist():
-                words = words_of(blob)
-                ids = np.array([get(w, missing) for w in words] + [0], np.int64)
-                out = np.flatnonzero(ids == missing)
-                others = [words[k] for k in out.tolist()]
-                u = unit[np.minimum(ids, missing - 1)]
-                u[out] = [units[w] for w in others]
-                e = u[out] - base_unit
-                e = e[(e >= 0) & (e < ENDINGS)]
-                g = classes[u]
-                value = trans[np.concatenate([[0], g[:-1]]), g].sum() + within[u].sum() + word[ids[ids < missing]].sum() + unknown[e].sum()
-                n.append(len(ids))
-                known.append(len(ids) - len(out) - 1 + known_end)
-                b.append(base[np.minimum(ids, missing)].sum() - len(ids) * denominator)
-                s.append(value)
-                rest.append([{"word": w, "k": k} for w, k in Counter(others).items()])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(b), pa.array(s), pa.array(rest, kind)], ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rest"])
+        for part in slices(batch, AT_ONCE):
+            words, tokens, bounds = split_words(part.column("text").cast(pa.binary()).to_pylist())
+            # by distinct word, the end token last
+            h, unit = hashes(words), np.append(units(words), 0)
+            at = np.minimum(np.searchsorted(m["held"], h), max(0, len(m["held"]) - 1))
+            known = m["held"][at] == h if len(m["held"]) else np.zeros(len(words), bool)
+            c = np.append(np.where(known, m["held_c"][at], 0) if len(m["held"]) else np.zeros(len(words), np.int64), m["ends"])
+            by_ending = units.is_ending(unit)
+            word = np.zeros(len(words) + 1)
+            k = np.flatnonzero(by_ending & (c > 0))
+            word[k] = np.log10((c[k] - m["discount"]) / m["ending_n"][unit[k] - units.base])
+            k = np.flatnonzero(by_ending[:-1] & ~known)
+            word[k] = unknown_words([words[x] for x in k.tolist()], m)
+            base = np.log10(c + 0.5) - denominator
+            seq = np.insert(tokens, bounds[1:], len(words))
+            starts = bounds[:-1] + np.arange(len(bounds) - 1)
+            g = classes[unit[seq]].astype(np.int64)
+            before = np.append(classes[0], g[:-1])
+            before[starts] = classes[0]
+            total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
+            # per text, its distinct words that aren't held
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            out = ~known[tokens]
+            pairs, n = np.unique(text[out] * (len(words) + 1) + tokens[out], return_counts=True)
+            which, of_text = pairs % (len(words) + 1), pairs // (len(words) + 1)
+            rest = pa.StructArray.from_arrays([pa.array([words[x] for x in which.tolist()], pa.binary()), pa.array(n), pa.array(word[which])], fields=list(kind.value_type))
+            offsets = np.searchsorted(of_text, np.arange(len(bounds))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("row"), pa.array(np.diff(bounds) + 1), pa.array(total((c > 0)[seq].astype(np.int64)), pa.int64()), pa.array(total(base[seq]), pa.float64()),
+                 pa.array(total(trans[before, g] + within[unit[seq]] + word[seq]), pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), rest)],
+                ["doc_id", "row", "n_tokens", "n_known", "base", "score", "rest"],
+            )

@@ -59,6 +59,32 @@ def sampled(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return df.orderBy(h, key).limit(n)
 
 
+def split_words(blobs: list[bytes]):
+    """Lower-cased words [^\\x20\\x09-\\x0D]+ of texts, each distinct one once: (words, place in words of every token, where each text's tokens start and end)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    data, at = b"".join(blobs).translate(LOWER), np.cumsum([0, *map(len, blobs)])
+    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(blobs), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]))
+    coded = split.values.dictionary_encode()
+    tokens, bounds = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
+    words = glued(coded.dictionary).split(b" ") if len(coded.dictionary) else []
+    if b"" in words:  # white space at a text's edge
+        keep = tokens != words.index(b"")
+        tokens, bounds = tokens[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+    return words, tokens, bounds
+
+
+def glued(words) -> bytes:
+    """Arrow strings with a space between each two."""
+    import numpy as np
+
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return np.insert(data, ends[1:-1] - ends[0], 32).tobytes()
+
+
 def slices(batch, size: int = 2 << 20):
     """A batch in runs of rows whose text column holds about `size` bytes (at least one row each)."""
     import numpy as np

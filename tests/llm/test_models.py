@@ -45,20 +45,19 @@ def test_brown_scores(spark, frequent, held):
 
 
 def test_brown_model_is_a_distribution(spark):
-    """Summed over all one-word texts and the unknown words, the probability of a token after the start is 1."""
+    """Summed over all known words and the unknown ones of each ending, the probability of a token after the start is 1."""
     rows = corpus(150, 2)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     table, m = brown_lm.fit(docs, 20, 25, 4)
-    units = brown_lm.Units(m["frequent"])
-    total, seen = 0.0, set()
+    units = brown_lm.Units(m["frequent"], m["own"])
+    total = 0.0
     for r in table.collect():
         w = bytes(r.word)
-        u = units([w])[0]
+        u = 0 if w == brown_lm.END else units([w])[0]
         p = 10 ** (m["trans"][m["classes"][0], m["classes"][u]] + m["within"][u])
-        if u >= units.base:
-            e = u - units.base
-            p *= (r.c - m["discount"]) / m["ending_n"][e]
-            seen.add(e)
+        if u >= units.base and u < units.n:
+            assert r.ending == brown_lm.ending(w) == u - units.base
+            p *= (r.c - m["discount"]) / m["ending_n"][u - units.base]
         total += p
     for e in range(brown_lm.ENDINGS):
         u = units.base + e
@@ -66,6 +65,58 @@ def test_brown_model_is_a_distribution(spark):
     assert total == pytest.approx(1, abs=1e-6)
 
 
+def test_brown_spelling_is_a_distribution():
+    """Over all words of an ending, the spelling's probabilities sum to that ending's share; the shares sum to 1."""
+    import itertools
+
+    import numpy as np
+
+    symbol, share = np.ones(256, np.int64), np.zeros(256)
+    symbol[[*b" ab"]], share[[*b" ab"]] = [0, 2, 3], 1
+    share[[*b"cd"]] = 0.5  # of one symbol
+    n = np.zeros((4, 4, 4))
+    for w in ("ab", "abc", "b", "dab", "bb", "cc", "a"):
+        g = [0, 0, *symbol[[*w.encode()]], 0]
+        for k in range(len(g) - 2):
+            n[tuple(g[k : k + 3])] += 3
+    m = brown_lm.Spelling(symbol, share, n)
+    shares = m.ending_shares()
+    assert shares.sum() == pytest.approx(1)
+    words = [bytes(w) for k in range(1, 9) for w in itertools.product(b"abcd", repeat=k)]
+    q = 10 ** m.logs(words)
+    found = np.bincount([brown_lm.ending(w) for w in words], weights=q, minlength=brown_lm.ENDINGS)
+    assert found.sum() > 0.97 and (found <= shares + 1e-9).all() and abs(found - shares).sum() < 0.04
+    for w, x in zip(words[:100], q):
+        g = [0, 0, *symbol[[*w]], 0]
+        assert x == pytest.approx(math.prod(m.p[tuple(g[k : k + 3])] for k in range(len(g) - 2)) * math.prod(share[[*w]]))
+
+
+@pytest.mark.parametrize("frequent, held", [(5, 8), (50, 0), (0, 400)])
+def test_brown_score_token_by_token(spark, frequent, held):
+    rows = corpus(150, 6) + [(None, "the dog qqq läuftx"), (None, "word " * 3000 + "the " * 40_000), (900, "zzz zzz r1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scored = brown_lm.score(docs, frequent, held, classes=4).collect()
+    table, m = brown_lm.fit(docs, frequent, held, classes=4)
+    counts = {bytes(r.word): r.c for r in table.collect()}
+    units = brown_lm.Units(m["frequent"], m["own"])
+    assert m["ending_n"].sum() == sum(c for w, c in counts.items() if w != brown_lm.END and units.is_ending(units([w])[0]))
+
+    def expected(t):
+        total, last = 0.0, 0
+        for w in [*(lower(t).encode().split()), brown_lm.END]:
+            u = 0 if w == brown_lm.END else int(units([w])[0])
+            total += m["trans"][m["classes"][last], m["classes"][u]] + m["within"][u]
+            if units.is_ending(u):
+                c = counts.get(w, 0)
+                total += math.log10((c - m["discount"]) / m["ending_n"][u - units.base]) if c else brown_lm.unknown_words([w], m)[0]
+            last = u
+        return total
+
+    want = sorted((-1 if d is None else d, round(float(expected(t)), 3)) for d, t in rows)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 3)) for r in scored)
+    assert [d for d, _ in got] == [d for d, _ in want] and [x for _, x in got] == pytest.approx([x for _, x in want], abs=0.01)
+
+
 def test_exchange_finds_the_best_move():
     import numpy as np
 
@@ -120,14 +171,13 @@ def test_brown_clusters_words_beyond_the_frequent(spark, monkeypatch, split):
     rnd = random.Random(9)
     nouns, verbs = [f"n{i}{e}" for i, e in enumerate("abcdefghij" * 4)], [f"v{i}{e}" for i, e in enumerate("abcdefghij" * 4)]
     rows = [(i, " ".join(f"{rnd.choice(['the', 'a', 'my'])} {rnd.choice(nouns)} {rnd.choice(verbs)}" for _ in range(12))) for i in range(200)]
-    _, m = brown_lm.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 50, 4)
-    find = brown_lm.Lookup(m["frequent"], m["own"])
-    units = {w: find[w.encode()] for w in nouns + verbs}
-    ends = range(brown_lm.Units(m["frequent"]).n)
-    assert sorted(m["frequent"]) == [b"a", b"my", b"the"] and len(m["own"]) == 80 and not set(units.values()) & set(ends)
+    _, m = brown_lm.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 50, 4, tolerance=0)
+    find = brown_lm.Units(m["frequent"], m["own"])
+    units = {w: int(find([w.encode()])[0]) for w in nouns + verbs}
+    assert sorted(m["frequent"]) == sorted(brown_lm.hashes([b"a", b"my", b"the"])) and len(m["own"]) == 80 and not set(units.values()) & set(range(find.n))
     # no single move gains any more
     train = [w for d, t in rows if zlib.crc32(str(d).encode()) % 5 != 1 for w in ["", *t.split()]] + [""]
-    u = [find[w.encode() or brown_lm.END] for w in train]
+    u = [int(find([w.encode()])[0]) if w else 0 for w in train]
     of, k = m["classes"].astype(int), int(m["classes"].max()) + 1
 
     def value(of):
