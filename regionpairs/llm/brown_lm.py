@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, split_words, texts, through_table, tidy
+from .common import fold, listed, slices, split_words, texts, through_table, tidy
 
 #: Frequent words that the first exchange, on the driver, starts from; ending units; classes; sweeps of that first exchange.
 FREQUENT, ENDINGS, CLASSES, SWEEPS = 1000, 256, 48, 6
@@ -31,24 +31,18 @@ AT_A_TIME = 0.001
 #: Bigrams of one unit that a task holds; those of more frequent units are dealt out by the neighbour.
 SPLIT = 1 << 20
 #: Bigrams that a task gathers before it hands them on; bigrams in a row of their table.
-GATHER, PACK = 4 << 20, 1 << 20
+GATHER, PACK = 2 << 20, 1 << 20
 #: Words, the most frequent, whose counts every task holds; the counts of all others are joined.
 HELD = 150_000
 END = b"\n"  # no word can be this
 #: Distinct words of runs of texts that a task gathers before it hands them on; bytes of text in a run.
-FLUSH, AT_ONCE = 1_000_000, 4 << 20
+FLUSH, AT_ONCE = 400_000, 4 << 20
 #: Spelling of unknown words: symbols for bytes (0 a word's start and end, 1 any byte that is rare); pseudo-counts of the shorter context.
 SYMBOLS, SPELL = 96, 5.0
 #: Bytes that a word can have.
 BYTES = [b for b in range(256) if not (9 <= b <= 13 or b == 32 or 65 <= b <= 90)]
 
 
-def words_of(blob: bytes) -> list[bytes]:
-    """[^\\x20\\x09-\\x0D]+ after A-Z is lowered."""
-    words, tokens, _ = split_words([blob])
-    return [words[k] for k in tokens.tolist()]
-
-
 def ending(w: bytes) -> int:
     return zlib.crc32(w[-3:]) % ENDINGS
 
@@ -73,15 +67,16 @@ def _count(batches):
     import pyarrow as pa
 
     def out():
-        every = pa.table({"word": pa.array([w for part, _ in held for w in part], pa.binary()), "c": np.concatenate([n for _, n in held])})
-        got = every.group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
+        every = pa.table({"word": pa.chunked_array([w for w, _ in held], pa.string()), "c": np.concatenate([n for _, n in held])})
+        got = every.group_by("word", use_threads=False).aggregate([("c", "sum")])
+        got = pa.table({"word": got.column("word").cast(pa.binary()), "c": got.column("c_sum")})
         yield from got.filter(pa.compute.greater(got.column("c"), 0)).to_batches()
 
     held, size = [], 0
     for batch in batches:
         for part in slices(batch, AT_ONCE):
-            words, tokens, bounds = split_words(part.column("text").cast(pa.binary()).to_pylist())
-            held.append(([*words, END], np.append(np.bincount(tokens, minlength=len(words)), len(bounds) - 1)))
+            words, tokens, bounds = split_words(part.column("text"))
+            held += [(words, np.bincount(tokens, minlength=len(words))), (pa.array([END.decode()]), np.array([len(bounds) - 1]))]
             size += len(words)
             if size > FLUSH:
                 yield from out()
@@ -149,7 +144,7 @@ def _bigrams(batches, sent):
     units, parts = Units(m["frequent"], m["own"]), m["parts"]
 
     def out(seqs):
-        key = np.concatenate([(a[:-1] << 32) | a[1:] for a in seqs])
+        key = np.concatenate([(a[:-1].astype(np.int64) << 32) | a[1:] for a in seqs])
         key, n = np.unique(key, return_counts=True)
         u, v = key >> 32, key & 0xFFFFFFFF
         unit, side, other, n = np.concatenate([u, v]), np.repeat([0, 1], len(u)), np.concatenate([v, u]), np.concatenate([n, n])
@@ -169,9 +164,9 @@ def _bigrams(batches, sent):
     held, size = [], 0
     for batch in batches:
         for part in slices(batch, AT_ONCE):
-            words, tokens, bounds = split_words(part.column("text").cast(pa.binary()).to_pylist())
-            seq = np.insert(units(words)[tokens], bounds, 0)  # an end before the first text and after each
-            held.append(seq)
+            words, tokens, bounds = split_words(part.column("text"))
+            seq = np.insert(units(listed(words))[tokens], bounds, 0)  # an end before the first text and after each
+            held.append(seq.astype(np.int32))
             size += len(seq)
             if size >= GATHER:
                 yield from out(held)
@@ -715,7 +710,8 @@ def _score(batches, sent):
     kind = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64()), ("taken", pa.float64())]))
     for batch in batches:
         for part in slices(batch, AT_ONCE):
-            words, tokens, bounds = split_words(part.column("text").cast(pa.binary()).to_pylist())
+            words, tokens, bounds = split_words(part.column("text"))
+            words = listed(words)
             # by distinct word, the end token last
             h, unit = hashes(words), np.append(units(words), 0)
             at = np.minimum(np.searchsorted(m["held"], h), max(0, len(m["held"]) - 1))

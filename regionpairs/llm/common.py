@@ -59,21 +59,30 @@ def sampled(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return df.orderBy(h, key).limit(n)
 
 
-def split_words(blobs: list[bytes]):
-    """Lower-cased words [^\\x20\\x09-\\x0D]+ of texts, each distinct one once: (words, place in words of every token, where each text's tokens start and end)."""
+def split_words(text):
+    """Lower-cased words [^\\x20\\x09-\\x0D]+ of an Arrow column of texts without nulls, each distinct one once: (words as
+    Arrow strings, place in words of every token, where each text's tokens start and end). An empty string may be among
+    the words, without tokens."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    data, at = b"".join(blobs).translate(LOWER), np.cumsum([0, *map(len, blobs)])
-    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(blobs), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]))
+    n = len(text)
+    at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + n + 1]
+    data = memoryview(text.buffers()[2] or b"")[at[0] : at[-1]].tobytes().translate(LOWER)
+    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(at - at[0]), pa.py_buffer(data)]))
     coded = split.values.dictionary_encode()
     tokens, bounds = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64)
-    words = glued(coded.dictionary).split(b" ") if len(coded.dictionary) else []
-    if b"" in words:  # white space at a text's edge
-        keep = tokens != words.index(b"")
+    blank = pc.index(coded.dictionary, "").as_py()
+    if blank >= 0:  # white space at a text's edge
+        keep = tokens != blank
         tokens, bounds = tokens[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
-    return words, tokens, bounds
+    return coded.dictionary, tokens, bounds
+
+
+def listed(words) -> list[bytes]:
+    """Arrow strings without white space as bytes."""
+    return glued(words).split(b" ") if len(words) else []
 
 
 def glued(words) -> bytes:
