@@ -13,25 +13,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import slices, through_table
+from .common import slices, through_table, tidy
 
 #: A run of fewer words stays, however often it occurs.
 MIN_WORDS = 10
-#: Documents with deleted runs that are sent to every task; beyond it texts and runs are shuffled to each other.
-SENT = 500_000
+#: Bytes of deleted runs that are sent to every task; beyond it texts and runs are shuffled to each other.
+SENT = 16 << 20
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with a, b: what orders and names a document, its id and its text's hash."""
-    return docs.withColumns({"_a": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_b": F.xxhash64(F.coalesce("text", F.lit("")))})
+def _key() -> list:
+    """a, b: what orders and names a document, its id and its text's hash."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("a"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("b")]
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """a, b, i (place among the lines that aren't blank), words, h (128-bit hash) of every such line."""
-    return _numbered(docs).select("_a", "_b", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_lines, "a long, b long, i int, words int, h binary")
+    return docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_lines, "a long, b long, i int, words int, h binary")
 
 
+@tidy
 def _lines(batches):
     import numpy as np
     import pyarrow as pa
@@ -43,7 +45,7 @@ def _lines(batches):
             n = np.array([len(x) for x in found], np.int64)
             flat = [x for f in found for x in f]
             place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            a, b = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), n) for c in ("_a", "_b"))
+            a, b = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), n) for c in ("a", "b"))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(place.astype(np.int32)), pa.array([len(x.split()) for x in flat], pa.int32()), pa.array([xxhash.xxh3_128_digest(x) for x in flat], pa.binary())], ["a", "b", "i", "words", "h"])
 
 
@@ -59,7 +61,8 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     while not levels[-1].isEmpty():
         now, step = levels[-1], 1 << (len(levels) - 1)
         pair = now.join(now.select("a", "b", (F.col("i") - step).alias("i"), F.col("n").alias("m")), ["a", "b", "i"])
-        named = pair.groupBy("n", "m").agg(F.min(here).alias("f"), F.count("*").alias("c")).where("c > 1").select("n", "m", "f")
+        pair = through_table(pair, "pairs")
+        named = through_table(pair.groupBy("n", "m").agg(F.min(here).alias("f"), F.count("*").alias("c")).where("c > 1").select("n", "m", "f"), "named")
         levels.append(through_table(pair.join(named, ["n", "m"]).select("a", "b", "i", F.col("f").alias("n")), "names"))
     # down: each suffix to the deepest interval that also holds an earlier one; an interval's first suffix goes along as its witness
     none = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(-1).alias("i"))
@@ -81,10 +84,11 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _with_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """_numbered docs with spans: the deleted stretches of lines."""
-    spans = through_table(runs(docs, min_words).groupBy(F.col("a").alias("_a"), F.col("b").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("i", (F.col("i") + F.col("size")).alias("j")))).alias("_spans")), "spans")
-    few = spans.count() <= SENT
-    return _numbered(docs).join(F.broadcast(spans) if few else spans, ["_a", "_b"], "left")
+    """row (docs' columns but text), text, spans: the deleted stretches of lines, null if there are none."""
+    found = through_table(runs(docs, min_words).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("i") + F.col("size")).alias("j")))).alias("spans")), "spans")
+    size = found.agg(F.coalesce(F.sum(64 + 24 * F.size("spans")), F.lit(0))).first()[0]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text", *_key())
+    return rows.join(F.broadcast(found) if size <= SENT else found, ["a", "b"], "left").select("row", "text", "spans")
 
 
 def cut(blob: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
@@ -121,9 +125,10 @@ def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     stays (null ids come first), within a document the first by place; rows that repeat a document wholly are one document
     and share its result. Overlapping copies within one document count: of a line given n times in a row the first stays.
     """
-    return _with_runs(docs, min_words).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "_spans").mapInArrow(_report, "doc_id long, n_lines long, n_cut long, n_cut_words long, left_bytes long, left_sha256 string")
+    return _with_runs(docs.select("doc_id", "text"), min_words).select("row.doc_id", "text", "spans").mapInArrow(_report, "doc_id long, n_lines long, n_cut long, n_cut_words long, left_bytes long, left_sha256 string")
 
 
+@tidy
 def _report(batches):
     import hashlib
 
@@ -131,26 +136,31 @@ def _report(batches):
 
     for batch in batches:
         for part in slices(batch):
-            got = [cut(b, _merged(s)) for b, s in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("_spans").to_pylist())]
+            got = [cut(b or b"", _merged(s)) for b, s in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist())]
             cols = [*([g[k] for g in got] for k in (1, 2, 3)), [len(g[0]) for g in got]]
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in cols), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got])], ["doc_id", "n_lines", "n_cut", "n_cut_words", "left_bytes", "left_sha256"])
 
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with deleted runs taken out of text (and n_chars, if there, set anew); a document of which only blank lines are left goes."""
+    """docs with deleted runs taken out of text (and n_chars, if there, set anew); a document of which only blank lines are left goes.
+
+    All other rows stay as they are, null and empty texts too; which copies are deleted is as in report. Columns may have any names.
+    """
     marked = _with_runs(docs, min_words)
-    cut_docs = marked.where("_spans is not null").drop("_a", "_b")
-    new = cut_docs.mapInArrow(_cut_text, cut_docs.drop("_spans").schema).where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    left = marked.mapInArrow(_cut_text, StructType([marked.schema["row"], StructField("text", StringType()), StructField("cut", BooleanType())]))
+    left = left.where(~F.col("cut") | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.where("_spans is null").select(docs.columns).unionByName(new.select(docs.columns))
+        new["n_chars"] = F.when(F.col("cut"), F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return left.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
 
 
+@tidy
 def _cut_text(batches):
     import pyarrow as pa
 
     for batch in batches:
         for part in slices(batch):
-            text = [cut(b or b"", _merged(s))[0].decode() for b, s in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("_spans").to_pylist())]
-            names = [c for c in part.schema.names if c != "_spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else part.column(c) for c in names], names)
+            spans = part.column("spans").to_pylist()
+            text = [b if s is None else cut(b or b"", _merged(s))[0] for b, s in zip(part.column("text").cast(pa.binary()).to_pylist(), spans)]
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(text, pa.binary()).cast(pa.string()), pa.array([s is not None for s in spans], pa.bool_())], ["row", "text", "cut"])

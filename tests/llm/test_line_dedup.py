@@ -53,3 +53,13 @@ def test_dedup_keeps_columns_and_drops_what_is_empty(spark):
     got = {r.doc_id: tuple(r)[1:] for r in L.dedup(docs, 3).collect()}
     assert got == {1: ("one two three\nfour five", "en", 23), 3: ("new line", "de", 8), 4: (None, "en", 0), 5: ("", "en", 0)}
     assert L.dedup(docs.limit(0), 3).count() == 0
+
+
+def test_null_ids_clashing_names_and_long_texts(spark):
+    long = "\n".join(f"line number {k} of many lines" for k in range(20_000))
+    rows = [(None, long, 1, 2, "p"), (7, long, 1, 2, "q"), (7, "other words here\nand there", 3, 4, "r"), (None, "other words here\nand there", 5, 6, "s"), (9, "own", 0, 0, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a int, spans int, `x.y` string")
+    got = L.dedup(docs, 4)
+    assert got.columns == docs.columns
+    assert sorted((r.a, r.text) for r in got.collect()) == sorted((r[2], r[1]) for r in rows if r[4] in "pst")
+    assert {(r.doc_id, r.n_lines, r.n_cut) for r in L.report(docs, 4).collect()} == {(None, 20_000, 0), (7, 20_000, 20_000), (None, 2, 0), (7, 2, 2), (9, 1, 0)}
