@@ -84,12 +84,6 @@ def e_value(score: Column, m: Column, n: Column) -> Column:
     return F.lit(K) * m * n * F.exp(-F.lit(LAMBDA) * score)
 
 
-def gap_cost(length: Column) -> Column:
-    from regionpairs.schemas import GAP_EXTEND, GAP_OPEN
-
-    return F.when(length > 0, GAP_OPEN + GAP_EXTEND * length).otherwise(0)
-
-
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - unit-cost global alignment distance / longer length; 1 for two empty strings."""
     most = F.greatest(F.length(a), F.length(b))

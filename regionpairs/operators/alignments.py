@@ -16,11 +16,12 @@ def matrix(spark) -> DataFrame:
 
 
 def metrics(blocks: DataFrame, key: list[str]) -> DataFrame:
-    """From aligned texts t and q (`-` for gaps): score, matches, columns without a gap, all columns, gap runs.
+    """From aligned texts t and q (`-` for gaps): score, matches, columns without a gap, all columns, gap runs. Two empty texts have no row.
 
     Columns are exploded and joined with the score table; a gap run starts where the column before has no gap in that text.
     """
     cols = blocks.select(*key, F.posexplode(F.arrays_zip(F.split(F.upper("t"), "").alias("x"), F.split(F.upper("q"), "").alias("y"))).alias("i", "c"), F.col("t").alias("_t"), F.col("q").alias("_q"))
+    cols = cols.where("c.x <> '' or c.y <> ''")
     before = lambda c: F.when(F.col("i") > 0, F.expr(f"substring(`{c}`, i, 1)")).otherwise("")
     cols = cols.select(*key, F.col("c.x").alias("x"), F.col("c.y").alias("y"), before("_t").alias("px"), before("_q").alias("py"))
     scored = cols.join(F.broadcast(matrix(blocks.sparkSession)), ["x", "y"], "left")
@@ -32,6 +33,13 @@ def metrics(blocks: DataFrame, key: list[str]) -> DataFrame:
     return got.withColumn("score", F.col("subst") - schemas.GAP_OPEN * F.col("gap_runs") - schemas.GAP_EXTEND * F.col("gap_columns")).drop("subst")
 
 
+def ratios(df: DataFrame, t_size: str, q_size: str) -> DataFrame:
+    """identity (matches of columns without a gap), coverage (columns without a gap of the shorter side's letters) and continuity (columns without a gap of all) from metrics' columns; null by zero."""
+    over = lambda a, b: F.try_divide(a.cast("double"), b)
+    aligned = F.col("aligned")
+    return df.withColumns({"identity": over(F.col("matches"), aligned), "coverage": over(aligned, F.least(t_size, q_size)), "continuity": over(aligned, F.col("columns"))})
+
+
 def script_totals(df: DataFrame, script: str) -> DataFrame:
     """Letters per operation of an edit script."""
     ops = C.edit_script(F.col(script))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 2500
@@ -24,22 +24,45 @@ def build(regions: DataFrame, width: int = WIDTH, lengths: DataFrame | None = No
     return wide.select("set_id", "region_id", "chrom", "f.side", "f.start", "f.stop", (F.col("f.stop") - F.col("f.start") < width).alias("clipped")).where("start < stop")
 
 
-def facing_dropped(pairs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Pairs (a_stop, b_start) whose facing flanks would overlap while none is clipped by the other: both are dropped for the pair."""
-    gap = F.col("b_start") - F.col("a_stop")
-    return pairs.withColumn("facing_dropped", (gap >= width) & (gap < 2 * width))
+def _sides(flanks: DataFrame, p: str) -> DataFrame:
+    """One row per region: its chromosome and its flanks as structs L and R, null where it has none."""
+    at = F.struct("start", "stop", "clipped")
+    side = lambda name: F.max(F.when(F.col("side") == name, at)).alias(f"{p}_{name[0]}")
+    return flanks.groupBy("set_id", F.col("region_id").alias(f"{p}_region_id")).agg(F.max("chrom").alias(f"{p}_chrom"), side("LEFT"), side("RIGHT"))
+
+
+def _dropped() -> Column:
+    """Facing flanks (a's right, b's left) that overlap while neither is clipped."""
+    met = (F.col("a_chrom") == F.col("b_chrom")) & (F.col("a_R.start") < F.col("b_L.stop")) & (F.col("b_L.start") < F.col("a_R.stop"))
+    return F.coalesce(met & ~F.col("a_R.clipped") & ~F.col("b_L.clipped"), F.lit(False))
+
+
+def facing_dropped(pairs: DataFrame, flanks: DataFrame) -> DataFrame:
+    """pairs (set_id, a_region_id, b_region_id, a the one before) with facing_dropped: whether their facing flanks overlap while neither is clipped, so that both are dropped for the pair.
+
+    A region between the two clips one of them, so nothing is dropped then.
+    """
+    met = pairs.join(_sides(flanks, "a"), ["set_id", "a_region_id"], "left").join(_sides(flanks, "b"), ["set_id", "b_region_id"], "left")
+    return met.select(*pairs.columns, _dropped().alias("facing_dropped"))
 
 
 def by_class(pairs: DataFrame, flanks: DataFrame, min_length: int = 10) -> DataFrame:
     """Comparable flanks of pairs (set_id, a_region_id, b_region_id): class LL, RR, LR or RL, a's side first.
 
-    Flanks shorter than min_length and comparisons of overlapping intervals (a flank with itself) are left out.
+    Flanks shorter than min_length, comparisons of overlapping intervals (a flank with itself) and facing flanks that are
+    dropped for their pair (see facing_dropped) are left out. A pair meets each region's flanks as one row.
     """
-    long = flanks.where(F.col("stop") - F.col("start") >= min_length)
-    side = lambda p: long.select("set_id", F.col("region_id").alias(f"{p}_region_id"), F.col("chrom").alias(f"{p}_chrom"), F.col("side").alias(f"{p}_side"), F.col("start").alias(f"{p}_from"), F.col("stop").alias(f"{p}_to"))
-    both = pairs.select("set_id", "a_region_id", "b_region_id").join(side("a"), ["set_id", "a_region_id"]).join(side("b"), ["set_id", "b_region_id"])
-    apart = (F.col("a_chrom") != F.col("b_chrom")) | (F.col("a_to") <= F.col("b_from")) | (F.col("b_to") <= F.col("a_from"))
-    return both.where(apart).withColumn("cls", F.concat(F.substring("a_side", 1, 1), F.substring("b_side", 1, 1)))
+    both = pairs.select("set_id", "a_region_id", "b_region_id").join(_sides(flanks, "a"), ["set_id", "a_region_id"]).join(_sides(flanks, "b"), ["set_id", "b_region_id"])
+
+    def one(x, y):
+        f, g = F.col(f"a_{x}"), F.col(f"b_{y}")
+        long = (f["stop"] - f["start"] >= min_length) & (g["stop"] - g["start"] >= min_length)
+        apart = (F.col("a_chrom") != F.col("b_chrom")) | (f["stop"] <= g["start"]) | (g["stop"] <= f["start"])
+        kept = long & apart if (x, y) == ("L", "R") else long & apart & ~F.col("dropped")
+        return F.when(kept, F.struct(F.lit(x + y).alias("cls"), f["start"].alias("a_from"), f["stop"].alias("a_to"), g["start"].alias("b_from"), g["stop"].alias("b_to")))
+
+    every = F.array_compact(F.array(*(one(x, y) for x, y in ("LL", "RR", "LR", "RL"))))
+    return both.withColumn("dropped", _dropped()).select("set_id", "a_region_id", "b_region_id", "a_chrom", "b_chrom", F.explode(every).alias("f")).select("set_id", "a_region_id", "b_region_id", "a_chrom", "b_chrom", "f.*")
 
 
 def breakdown(comparisons: DataFrame, key: list[str]) -> DataFrame:
@@ -63,3 +86,31 @@ def extract(intervals: DataFrame, parts: DataFrame, key: list[str], ident: list[
     till = F.expr(f"least(stop - chunk * {size}, {size})")
     piece = F.col("part").substr((at + 1).cast("int"), (till - at).cast("int"))
     return met.groupBy(*ident, "start", "stop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("seq"))
+
+
+def hits(regions: DataFrame, letters: DataFrame, pairs: DataFrame, width: int, min_score: int, k: int = 10) -> DataFrame:
+    """set_id, a_region_id, b_region_id, cls of every comparison of a pair with a segment of min_score or more: LL, RR, LR, RL of its flanks, B of the bodies.
+
+    letters: chrom, seq. Each flank and body is cut from the chromosome's chunks once and searched once within its set; the
+    seeds are kept where a comparison asks for them, and only those are extended.
+    """
+    from regionpairs.operators import similarity
+
+    around = build(regions, width)
+    code = lambda letter: F.when(letter == "L", 1).otherwise(2)
+    asked = by_class(pairs, around).select("set_id", "a_region_id", "b_region_id", "cls", (F.col("a_region_id") * 4 + code(F.substring("cls", 1, 1))).alias("a"), (F.col("b_region_id") * 4 + code(F.substring("cls", 2, 1))).alias("b"))
+    bodies = pairs.select("set_id", "a_region_id", "b_region_id", F.lit("B").alias("cls"), (F.col("a_region_id") * 4).alias("a"), (F.col("b_region_id") * 4).alias("b"))
+    asked = asked.unionByName(bodies)
+    spans = around.select("set_id", "chrom", "start", "stop", (F.col("region_id") * 4 + code(F.substring("side", 1, 1))).alias("member")).unionByName(regions.select("set_id", "chrom", "start", "stop", (F.col("region_id") * 4).alias("member")))
+    seqs = extract(spans, chunks(letters, ["chrom"]), ["chrom"], ["set_id", "member"]).select("set_id", "member", "seq")
+    diagonals = similarity.seeds(seqs, k).join(asked.select("set_id", "a", "b"), ["set_id", "a", "b"], "left_semi")
+    found = similarity.segments(diagonals, seqs).where(F.col("score") >= min_score).select("set_id", "a", "b").distinct()
+    return asked.join(found, ["set_id", "a", "b"]).select("set_id", "a_region_id", "b_region_id", "cls")
+
+
+def hit_breakdown(found: DataFrame) -> DataFrame:
+    """Per pair with a hit: whether LL, RR, LR, RL and the bodies have one, double (LL and RR, or LR and RL), single (another flank hit), both (a body hit and a double one)."""
+    has = lambda c: (F.count_if(F.col("cls") == c) > 0)
+    n = found.groupBy("set_id", "a_region_id", "b_region_id").agg(*(has(c).alias(c) for c in ("LL", "RR", "LR", "RL")), has("B").alias("body"))
+    double = (F.col("LL") & F.col("RR")) | (F.col("LR") & F.col("RL"))
+    return n.withColumn("double", double).withColumn("single", ~double & (F.col("LL") | F.col("RR") | F.col("LR") | F.col("RL"))).withColumn("both", F.col("body") & F.col("double"))

@@ -36,35 +36,41 @@ def around(a: DataFrame, b: DataFrame, reach: int, width: int = BIN) -> DataFram
     return overlaps(wide, b, width).where("b_stop <= in_start or b_start >= in_stop")
 
 
-def running(df: DataFrame, by: list[str], pos: str, order: list, value: Column, agg, out: str, last: int = -1) -> DataFrame:
-    """agg of value over all earlier rows of a group (last=0: this row too), in two levels: rows within a bucket of positions, then one row per bucket. agg: F.max, F.min or F.sum."""
+def running(df: DataFrame, by: list[str], pos: str, order: list, value: Column, agg, out: str, last: int = -1, bucket: int = BUCKET) -> DataFrame:
+    """agg of value over all earlier rows of a group (last=0: this row too), in two levels: rows within a bucket of positions, then one row per bucket. agg: F.max, F.min or F.sum.
+
+    A task holds the rows of one bucket, so it should be narrow where positions are dense."""
     joined = {F.max: F.greatest, F.min: F.least, F.sum: lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))}[agg]
-    df = df.withColumn("_bucket", F.expr(f"`{pos}` div {BUCKET}")).withColumn("_value", value)
+    df = df.withColumn("_bucket", F.expr(f"`{pos}` div {bucket}")).withColumn("_value", value)
     inner = df.withColumn("_inner", agg("_value").over(Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, last)))
     carry = df.groupBy(*by, "_bucket").agg(agg("_value").alias("_v")).select(*by, "_bucket", agg("_v").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     return inner.join(carry, [*by, "_bucket"]).withColumn(out, joined(F.col("_inner"), F.col("_carry"))).drop("_bucket", "_value", "_inner", "_carry")
 
 
-def nearest(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a with the nearest end of a b row at or before its start (up) and the nearest start at or after its stop (down), null where there is none."""
-    row = lambda df, pos, what, own: df.select("chrom", F.col(pos).alias("pos"), F.lit(what).alias("what"), own.alias("region_id"))
-    none = F.lit(None).cast("bigint")
-    up = row(b, "stop", 0, none).unionByName(row(a, "start", 1, F.col("region_id")))
-    up = running(up, ["chrom"], "pos", ["pos", "what"], F.when(F.col("what") == 0, F.col("pos")), F.max, "up").where("what = 1")
+def nearest(a: DataFrame, b: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """a with the nearest end of a b row at or before its start (up) and the nearest start at or after its stop (down), null where there is none.
+
+    a's rows travel whole, so repeated ones keep their number.
+    """
+    at = a.select(F.struct(*(F.col(f"`{c}`") for c in a.columns)).alias("row"))
+    none = F.lit(None).cast(at.schema["row"].dataType)
+    ends = lambda pos: b.select("chrom", F.col(pos).alias("pos"), F.lit(0).alias("what"), none.alias("row"), F.lit(None).cast("bigint").alias("up"))
+    up = ends("stop").unionByName(at.select("row.chrom", F.col("row.start").alias("pos"), F.lit(1).alias("what"), "row", F.lit(None).cast("bigint").alias("up")))
+    up = running(up.drop("up"), ["chrom"], "pos", ["pos", "what"], F.when(F.col("what") == 0, F.col("pos")), F.max, "up", bucket=bucket).where("what = 1")
     # downwards: the same with positions mirrored
-    down = row(b, "start", 0, none).unionByName(row(a, "stop", 1, F.col("region_id"))).withColumn("back", -F.col("pos"))
-    down = running(down, ["chrom"], "back", ["back", "what"], F.when(F.col("what") == 0, F.col("pos")), F.min, "down").where("what = 1")
-    return a.join(up.select("region_id", "up"), "region_id").join(down.select("region_id", "down"), "region_id")
+    down = ends("start").unionByName(up.select("chrom", F.col("row.stop").alias("pos"), "what", "row", "up")).withColumn("back", -F.col("pos"))
+    down = running(down, ["chrom"], "back", ["back", "what"], F.when(F.col("what") == 0, F.col("pos")), F.min, "down", bucket=bucket).where("what = 1")
+    return down.select("row.*", "up", "down")
 
 
-def merge(df: DataFrame, by: list[str]) -> DataFrame:
+def merge(df: DataFrame, by: list[str], bucket: int = BUCKET) -> DataFrame:
     """by, start, stop, n: maximal runs of overlapping or touching intervals."""
     df = df.where("start < stop").select(*by, "start", "stop")
     order = ["start", "stop"]
-    reach = running(df, by, "start", order, F.col("stop"), F.max, "_reach")
+    reach = running(df, by, "start", order, F.col("stop"), F.max, "_reach", bucket=bucket)
     flagged = reach.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), 1).otherwise(0))
     # equal rows never start an island twice: the second one finds the first's reach
-    island = running(flagged, by, "start", [*order, F.desc("_new")], F.col("_new"), F.sum, "_island", last=0)
+    island = running(flagged, by, "start", [*order, F.desc("_new")], F.col("_new"), F.sum, "_island", last=0, bucket=bucket)
     return island.groupBy(*by, "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n")).drop("_island")
 
 

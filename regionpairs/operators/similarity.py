@@ -19,10 +19,10 @@ def words(seq: Column, k: int) -> Column:
 def seeds(seqs: DataFrame, k: int = WORD) -> DataFrame:
     """set_id, a, b, strand, diag: diagonals of set members (columns set_id, member, seq) on which a k-letter word occurs in both, on either strand of b.
 
-    An equi-join on set and word; case doesn't count. diag is a's position less b's, b's counted on the stated strand.
+    An equi-join on set and word; case doesn't count, and a word with a masked letter (N) is none. diag is a's position less b's, b's counted on the stated strand.
     """
     upper = seqs.withColumn("seq", F.upper("seq"))
-    spots = lambda df: df.select("set_id", "member", F.explode(words(F.col("seq"), k)).alias("w")).select("set_id", "member", F.col("w.pos").alias("pos"), F.col("w.kmer").alias("kmer"))
+    spots = lambda df: df.select("set_id", "member", F.explode(words(F.col("seq"), k)).alias("w")).select("set_id", "member", F.col("w.pos").alias("pos"), F.col("w.kmer").alias("kmer")).where("instr(kmer, 'N') = 0")
     a = spots(upper).select("set_id", "kmer", F.col("member").alias("a"), F.col("pos").alias("a_pos"))
     plus = spots(upper).withColumn("strand", F.lit("+"))
     minus = spots(upper.withColumn("seq", C.reverse_complement(F.col("seq")))).withColumn("strand", F.lit("-"))
@@ -95,9 +95,17 @@ def motif_jaccard(motifs: DataFrame) -> DataFrame:
     return _jaccard(motifs.select("set_id", "member", "w").distinct())
 
 
-def low_complexity(seqs: DataFrame, width: int = 64) -> DataFrame:
-    """set_id, member, chunk, score: sum of c (c - 1) / 2 over the triplets of each width-letter stretch, divided by their number less one."""
-    n = F.greatest(F.ceil(F.length("seq") / width).cast("int"), F.lit(1))
-    cut = seqs.select("set_id", "member", F.upper("seq").alias("seq"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).select("set_id", "member", "chunk", F.expr(f"substring(seq, chunk * {width} + 1, {width})").alias("part"))
+def low_complexity(seqs: DataFrame, width: int = 64, stride: int = 32) -> DataFrame:
+    """set_id, member, chunk, score: sum of c (c - 1) / 2 over the triplets of each width-letter stretch, divided by their number less one; stretches start every stride letters, so they overlap."""
+    n = F.greatest(F.ceil(F.length("seq") / stride).cast("int"), F.lit(1))
+    cut = seqs.select("set_id", "member", F.upper("seq").alias("seq"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).select("set_id", "member", "chunk", F.expr(f"substring(seq, chunk * {stride} + 1, {width})").alias("part"))
     t = cut.select("set_id", "member", "chunk", F.explode(F.transform(words(F.col("part"), 3), lambda w: w["kmer"])).alias("t")).groupBy("set_id", "member", "chunk", "t").agg(F.count("*").alias("c"))
     return t.groupBy("set_id", "member", "chunk").agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("s"), F.sum("c").alias("l")).where("l > 1").select("set_id", "member", "chunk", (F.col("s") / (F.col("l") - 1)).alias("score"))
+
+
+def masked(seqs: DataFrame, level: float = 2.0, width: int = 64, stride: int = 32) -> DataFrame:
+    """seqs with the letters of all stretches whose low-complexity score is above level as N, which no seed may hold."""
+    low = low_complexity(seqs, width, stride).where(F.col("score") > level).groupBy("set_id", "member").agg(F.array_sort(F.collect_list("chunk")).alias("_low"))
+    at = lambda c: c * stride
+    cover = lambda s, c: F.overlay(s, F.repeat(F.lit("N"), F.least(F.lit(width), F.length(s) - at(c))), at(c) + 1)
+    return seqs.join(low, ["set_id", "member"], "left").withColumn("seq", F.coalesce(F.aggregate("_low", F.col("seq"), cover), F.col("seq"))).drop("_low")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regionpairs.functions import columns as C
@@ -73,6 +74,17 @@ def set_size_bins(s, d):
     return regions.bin_counts(V.regions(s, d))
 
 
+@query(with_(V.ORDERS, "z AS (SELECT set_id, count(DISTINCT (chrom, start, stop)) AS n FROM iv GROUP BY set_id)") + "SELECT CASE WHEN n >= 5 THEN '5+' ELSE CAST(n AS VARCHAR) END AS bin, count(*) AS sets, CAST(sum(n) AS BIGINT) AS memberships, CAST(sum(n * (n - 1) / 2) AS BIGINT) AS pairs FROM z GROUP BY 1")
+def order_set_bins(s, d):
+    return regions.bin_counts(V.order_regions(s, d))
+
+
+@query(with_(V.ORDERS, "z AS (SELECT set_id, count(DISTINCT (chrom, start, stop)) AS n FROM iv GROUP BY set_id)", "o AS (SELECT CASE WHEN n >= 5 THEN '5+' ELSE CAST(n AS VARCHAR) END AS bin, chrom, start, stop, bool_or(hit) AS hit FROM iv JOIN z USING (set_id) GROUP BY ALL)") + "SELECT bin, count(*) AS regions, count(*) FILTER (hit) AS hit_regions, round(count(*) FILTER (hit) / count(*), 6) AS share FROM o GROUP BY bin")
+def order_hits_per_bin(s, d):
+    iv = V.order_regions(s, d)
+    return evidence.hits_per_bin(iv.drop("hit"), iv.where("hit")).withColumn("share", r6("share"))
+
+
 FL = """nb AS (SELECT *, max(stop) OVER (PARTITION BY set_id, chrom ORDER BY start, stop, region_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, lead(start) OVER (PARTITION BY set_id, chrom ORDER BY start, stop, region_id) AS after FROM iv),
 fl AS (SELECT set_id, region_id, chrom, 'LEFT' AS side, greatest(0, start - 2500, coalesce(before, 0)) AS start, start AS stop FROM nb WHERE greatest(0, start - 2500, coalesce(before, 0)) < start
 UNION ALL SELECT set_id, region_id, chrom, 'RIGHT', stop, least(stop + 2500, coalesce(after, stop + 2500)) FROM nb WHERE least(stop + 2500, coalesce(after, stop + 2500)) > stop)"""
@@ -83,20 +95,25 @@ def flanks_clipped(s, d):
     return flanks.build(V.regions(s, d))
 
 
-@query(with_(V.IV, PR) + "SELECT a_region_id, b_region_id, b_start - a_stop >= 2500 AND b_start - a_stop < 5000 AS facing_dropped FROM pr")
+FD = """fd AS (SELECT a_region_id, b_region_id FROM pr JOIN fl x ON x.region_id = a_region_id AND x.side = 'RIGHT' JOIN fl y ON y.region_id = b_region_id AND y.side = 'LEFT'
+WHERE x.stop - x.start = 2500 AND y.stop - y.start = 2500 AND b_start - a_stop < 5000)"""
+
+
+@query(with_(V.IV, PR, FL, FD) + "SELECT a_region_id, b_region_id, (a_region_id, b_region_id) IN (SELECT (a_region_id, b_region_id) FROM fd) AS facing_dropped FROM pr")
 def flanks_inner_drop(s, d):
-    return flanks.facing_dropped(_same(s, d)).select("a_region_id", "b_region_id", "facing_dropped")
+    return flanks.facing_dropped(_same(s, d).select("set_id", "a_region_id", "b_region_id"), flanks.build(V.regions(s, d))).select("a_region_id", "b_region_id", "facing_dropped")
 
 
 CP = """cp AS (SELECT p.set_id, a_region_id, b_region_id, left(x.side, 1) || left(y.side, 1) AS cls FROM pr p JOIN fl x ON x.region_id = a_region_id JOIN fl y ON y.region_id = b_region_id
-WHERE x.stop - x.start >= 10 AND y.stop - y.start >= 10 AND (x.stop <= y.start OR y.stop <= x.start))"""
+WHERE x.stop - x.start >= 10 AND y.stop - y.start >= 10 AND (x.stop <= y.start OR y.stop <= x.start)
+AND NOT ((x.side = 'RIGHT' OR y.side = 'LEFT') AND (a_region_id, b_region_id) IN (SELECT (a_region_id, b_region_id) FROM fd)))"""
 
 
 def _classes(s, d):
     return flanks.by_class(_same(s, d), flanks.build(V.regions(s, d)))
 
 
-@query(with_(V.IV, PR, FL, CP) + "SELECT * FROM cp")
+@query(with_(V.IV, PR, FL, FD, CP) + "SELECT * FROM cp")
 def flank_class_pairs(s, d):
     return _classes(s, d).select("set_id", "a_region_id", "b_region_id", "cls")
 
@@ -104,12 +121,12 @@ def flank_class_pairs(s, d):
 BD = """bd AS (SELECT set_id, a_region_id, b_region_id, count(*) FILTER (cls = 'LL') AS "LL", count(*) FILTER (cls = 'RR') AS "RR", count(*) FILTER (cls = 'LR') AS "LR", count(*) FILTER (cls = 'RL') AS "RL" FROM cp GROUP BY ALL)"""
 
 
-@query(with_(V.IV, PR, FL, CP, BD) + 'SELECT *, ("LL" > 0 AND "RR" > 0) OR ("LR" > 0 AND "RL" > 0) AS double, NOT (("LL" > 0 AND "RR" > 0) OR ("LR" > 0 AND "RL" > 0)) AS single FROM bd')
+@query(with_(V.IV, PR, FL, FD, CP, BD) + 'SELECT *, ("LL" > 0 AND "RR" > 0) OR ("LR" > 0 AND "RL" > 0) AS double, NOT (("LL" > 0 AND "RR" > 0) OR ("LR" > 0 AND "RL" > 0)) AS single FROM bd')
 def flank_breakdown(s, d):
     return flanks.breakdown(_classes(s, d).select("set_id", "a_region_id", "b_region_id", "cls"), ["set_id", "a_region_id", "b_region_id"])
 
 
-@query(with_(V.SQ) + "SELECT set_id, member, length(seq) // 4 AS start, length(seq) - length(seq) // 5 AS stop, substr(seq, length(seq) // 4 + 1, length(seq) - length(seq) // 5 - length(seq) // 4) AS seq FROM sq")
+@query(with_(V.SQ) + "SELECT set_id, member, length(seq) // 4 AS start, length(seq) - length(seq) // 5 AS stop, substr(seq, length(seq) // 4 + 1, length(seq) - length(seq) // 5 - length(seq) // 4) AS seq FROM sq WHERE length(seq) > 0")
 def flank_extract(s, d):
     sq = V.sequences(s, d)
     spans = sq.select("set_id", "member", F.expr("length(seq) div 4").alias("start"), F.expr("length(seq) - length(seq) div 5").alias("stop"))
@@ -180,8 +197,9 @@ def split_fractions(s, d):
     edge = lambda x: ((F.col("b_start") < F.col(x)) & (F.col("b_stop") > F.col(x))).cast("int")
     edges = edge("a_start") + edge("a_stop")
     n = met.select(F.col("a_chrom").alias("chrom"), F.when(edges == 0, "inside").when(edges == 1, "one edge").otherwise("both edges").alias("category")).rollup("chrom", "category").agg(F.count("*").alias("n"))
-    # the grand total is the roll-up's own top row
-    return n.crossJoin(F.broadcast(n.where("chrom is null and category is null").select(F.col("n").alias("t")))).select("chrom", "category", "n", r6(F.col("n") / F.col("t")).alias("fraction"))
+    # the grand total is the roll-up's own top row; a handful of rows is left here
+    total = F.max(F.when(F.col("chrom").isNull() & F.col("category").isNull(), F.col("n"))).over(Window.partitionBy(F.lit(1)))
+    return n.select("chrom", "category", "n", r6(F.col("n") / total).alias("fraction"))
 
 
 @query(
@@ -321,7 +339,7 @@ def hits_per_bin(s, d):
     return evidence.hits_per_bin(iv, iv.join(_big(s, d), "region_id", "left_semi")).withColumn("share", r6("share"))
 
 
-@query(with_(V.IV, V.TE, OV, HB, PR, FL, CP, BD) + 'SELECT set_id, a_region_id, b_region_id FROM pr WHERE a_region_id IN (SELECT * FROM big) AND b_region_id IN (SELECT * FROM big) AND (set_id, a_region_id, b_region_id) IN (SELECT (set_id, a_region_id, b_region_id) FROM bd WHERE ("LL" > 0 AND "RR" > 0) OR ("LR" > 0 AND "RL" > 0))')
+@query(with_(V.IV, V.TE, OV, HB, PR, FL, FD, CP, BD) + 'SELECT set_id, a_region_id, b_region_id FROM pr WHERE a_region_id IN (SELECT * FROM big) AND b_region_id IN (SELECT * FROM big) AND (set_id, a_region_id, b_region_id) IN (SELECT (set_id, a_region_id, b_region_id) FROM bd WHERE ("LL" > 0 AND "RR" > 0) OR ("LR" > 0 AND "RL" > 0))')
 def hit_and_double_flank(s, d):
     key = ["set_id", "a_region_id", "b_region_id"]
     same, big = _same(s, d).select(key), _big(s, d)
@@ -330,6 +348,28 @@ def hit_and_double_flank(s, d):
     return pairs.with_both(same, hits, double, key)
 
 
+# Flank and body hits of documents as chromosomes: the whole search from regions to evidence.
+
+SITE_FL, SITE_FD = (x.replace("2500", "60").replace("5000", "120") for x in (FL, FD))
+FH = (
+    V.GENOME, V.SITES, PR, SITE_FL, SITE_FD, CP,
+    "cf AS (SELECT set_id, a_region_id, b_region_id, cls, a_region_id * 4 + CASE left(cls, 1) WHEN 'L' THEN 1 ELSE 2 END AS a, b_region_id * 4 + CASE right(cls, 1) WHEN 'L' THEN 1 ELSE 2 END AS b FROM cp UNION ALL SELECT set_id, a_region_id, b_region_id, 'B', a_region_id * 4, b_region_id * 4 FROM pr)",
+    "sp AS (SELECT set_id, region_id * 4 + CASE side WHEN 'LEFT' THEN 1 ELSE 2 END AS member, start, stop FROM fl UNION ALL SELECT set_id, region_id * 4, start, stop FROM iv)",
+    "sq AS (SELECT sp.set_id, member, substr(seq, start + 1, stop - start) AS seq FROM sp JOIN gn ON gn.set_id = sp.set_id)",
+    SD.replace("sd AS (", "s0 AS ("), "sd AS (SELECT s0.* FROM s0 JOIN cf ON cf.set_id = s0.set_id AND cf.a = s0.a AND cf.b = s0.b)", SG,
+    "fh AS (SELECT DISTINCT cf.* FROM cf JOIN hs ON hs.set_id = cf.set_id AND hs.a = cf.a AND hs.b = cf.b WHERE hs.score >= 24)",
+    """fb AS (SELECT set_id, a_region_id, b_region_id, bool_or(cls = 'LL') AS "LL", bool_or(cls = 'RR') AS "RR", bool_or(cls = 'LR') AS "LR", bool_or(cls = 'RL') AS "RL", bool_or(cls = 'B') AS body FROM fh GROUP BY ALL)""",
+    """fz AS (SELECT *, ("LL" AND "RR") OR ("LR" AND "RL") AS double FROM fb)""",
+)
+
+
+@query(with_(*FH).replace("WITH RECURSIVE", "WITH", 1) + 'SELECT *, NOT double AND ("LL" OR "RR" OR "LR" OR "RL") AS single, body AND double AS both FROM fz')
+def flank_hits(s, d):
+    sites = V.sites(s, d)
+    two = pairs.within_sets(sites, ORDER, KEEP).select("set_id", "a_region_id", "b_region_id")
+    return flanks.hit_breakdown(flanks.hits(sites, V.genome(s, d).select("chrom", "seq"), two, width=60, min_score=24))
+
+
 @query(with_(V.SQ) + "SELECT set_id, member, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS minus, length(seq) - 3 - length(seq) // 2 AS plus_start FROM sq")
 def revcomp(s, d):
     sq = V.sequences(s, d).withColumns({"start": F.lit(3), "size": F.expr("length(seq) div 2"), "strand": F.lit("-"), "total": F.length("seq")})
@@ -350,13 +390,40 @@ def column_rescore(s, d):
 
 
 @query(
-    with_(V.SQ, "ck AS (SELECT set_id, member, c AS chunk, substr(seq, c * 64 + 1, 64) AS part FROM (SELECT *, unnest(range(0, CAST(ceil(length(seq) / 64) AS BIGINT))) AS c FROM sq))", "tr AS (SELECT set_id, member, chunk, substr(part, i, 3) AS t, count(*) AS c FROM (SELECT *, unnest(range(1, length(part) - 1)) AS i FROM ck) GROUP BY ALL)")
+    with_(V.SQ, "al AS (SELECT x.set_id, x.member AS a, y.member AS b, x.seq AS p, y.seq AS q, least(length(x.seq), length(y.seq)) AS lo, greatest(length(x.seq), length(y.seq)) AS hi FROM sq x JOIN sq y ON x.set_id = y.set_id AND x.member < y.member)",
+          "ch AS (SELECT set_id, a, b, p, q, unnest(range(1, lo + 1)) AS i FROM al)",
+          "mt AS (SELECT al.set_id, al.a, al.b, lo, hi, count(*) FILTER (substr(ch.p, i, 1) = substr(ch.q, i, 1)) AS m FROM al LEFT JOIN ch ON ch.set_id = al.set_id AND ch.a = al.a AND ch.b = al.b WHERE hi > 0 GROUP BY ALL)")
+    + "SELECT set_id, a, b, CASE WHEN lo > 0 THEN round(m / lo, 6) END AS identity, CASE WHEN lo > 0 THEN 1.0 END AS coverage, round(lo / hi, 6) AS continuity FROM mt"
+)
+def alignment_ratios(s, d):
+    two = _turns(s, d).withColumns({"t_size": F.length("a_seq"), "q_size": F.length("b_seq")})
+    n = F.greatest("t_size", "q_size")
+    key = ["set_id", "a", "b"]
+    al = two.select(*key, F.rpad("a_seq", n, F.lit("-")).alias("t"), F.rpad("b_seq", n, F.lit("-")).alias("q"))
+    got = alignments.ratios(alignments.metrics(al, key).join(two.select(*key, "t_size", "q_size"), key), "t_size", "q_size")
+    return got.select(*key, r6("identity").alias("identity"), "coverage", r6("continuity").alias("continuity"))
+
+
+@query(
+    with_(V.SQ, "ck AS (SELECT set_id, member, c AS chunk, substr(seq, c * 32 + 1, 64) AS part FROM (SELECT *, unnest(range(0, CAST(ceil(length(seq) / 32) AS BIGINT))) AS c FROM sq))", "tr AS (SELECT set_id, member, chunk, substr(part, i, 3) AS t, count(*) AS c FROM (SELECT *, unnest(range(1, length(part) - 1)) AS i FROM ck) GROUP BY ALL)")
     + "SELECT set_id, member, CAST(chunk AS INT) AS chunk, round(sum(c * (c - 1) / 2) / (sum(c) - 1), 6) AS score FROM tr GROUP BY ALL HAVING sum(c) > 1"
 )
 def low_complexity(s, d):
     return similarity.low_complexity(V.sequences(s, d)).withColumn("score", r6("score"))
 
 
+MK = """ck AS (SELECT set_id, member, c AS chunk, substr(seq, c * 32 + 1, 64) AS part FROM (SELECT *, unnest(range(0, CAST(ceil(length(seq) / 32) AS BIGINT))) AS c FROM s0)),
+tr AS (SELECT set_id, member, chunk, substr(part, i, 3) AS t, count(*) AS c FROM (SELECT *, unnest(range(1, length(part) - 1)) AS i FROM ck) GROUP BY ALL),
+lw AS (SELECT set_id, member, chunk FROM tr GROUP BY ALL HAVING sum(c) > 1 AND sum(c * (c - 1) / 2) / (sum(c) - 1) > 2),
+ps AS (SELECT set_id, member, i, EXISTS (SELECT 1 FROM lw WHERE lw.set_id = l.set_id AND lw.member = l.member AND l.i >= lw.chunk * 32 AND l.i < lw.chunk * 32 + 64) AS low, substr(seq, i + 1, 1) AS x FROM (SELECT *, unnest(range(0, length(seq))) AS i FROM s0) l),
+sq AS (SELECT set_id, member, string_agg(CASE WHEN low THEN 'N' ELSE x END, '' ORDER BY i) AS seq FROM ps GROUP BY ALL)"""
+
+
+@query(with_(V.SQ.replace("sq AS", "s0 AS", 1), MK, SD.replace("AS i FROM st)", "AS i FROM st) WHERE instr(substr(seq, i, 10), 'N') = 0")) + "SELECT * FROM sd")
+def masked_seeds(s, d):
+    return similarity.seeds(similarity.masked(V.sequences(s, d)))
+
+
 @query("WITH x AS (SELECT role, length(text) AS n, length(regexp_replace(text, '[^GCgc]', '', 'g')) AS gc, length(regexp_replace(text, '[^acgt]', '', 'g')) AS masked FROM conversations) SELECT role, count(*) AS turns, CAST(sum(n) AS BIGINT) AS length, CAST(sum(gc) AS BIGINT) AS gc, CAST(sum(masked) AS BIGINT) AS masked FROM x GROUP BY role")
 def seq_composition(s, d):
     c = regions.composition(V.table(s, d, "conversations"), F.col("text"))
@@ -383,7 +450,7 @@ def motif_jaccard(s, d):
     return similarity.motif_jaccard(V.motifs(s, d)).withColumns({"jaccard": r6("jaccard"), "containment": r6("containment")})
 
 
-@query(with_(V.SQ) + "SELECT x.set_id, x.member AS a, y.member AS b, round(1 - levenshtein(x.seq, y.seq) / greatest(length(x.seq), length(y.seq)), 6) AS similarity FROM sq x JOIN sq y ON x.set_id = y.set_id AND x.member < y.member")
+@query(with_(V.SQ) + "SELECT x.set_id, x.member AS a, y.member AS b, CASE WHEN x.seq = y.seq THEN 1.0 ELSE round(1 - levenshtein(x.seq, y.seq) / greatest(length(x.seq), length(y.seq)), 6) END AS similarity FROM sq x JOIN sq y ON x.set_id = y.set_id AND x.member < y.member")
 def edit_similarity(s, d):
     return _turns(s, d).select("set_id", "a", "b", r6(C.edit_similarity(F.col("a_seq"), F.col("b_seq"))).alias("similarity"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionpairs.functions import columns as C
@@ -32,13 +32,41 @@ TE = """te AS (SELECT DISTINCT CASE l_returnflag WHEN 'A' THEN 'click' WHEN 'N'
  (l_partkey * l_suppkey * 131 + l_linenumber * 7919) % 1000000 + CAST(l_quantity AS BIGINT) * 10 AS stop, l_linestatus AS cls FROM lineitem)"""
 
 
+def letters(text: str) -> Column:
+    return F.regexp_replace(F.upper(F.coalesce(F.col(text), F.lit(""))), "[^ACGT]", "")
+
+
 def sequences(spark: SparkSession, d: str) -> DataFrame:
-    """The letters ACGT of whole conversation turns; a conversation is a set."""
-    seq = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("set_id"), F.col("turn").alias("member"), seq.alias("seq")).where("length(seq) >= 10")
+    """The letters ACGT of whole conversation turns, however few; a conversation is a set."""
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("set_id"), F.col("turn").alias("member"), letters("text").alias("seq"))
+
+
+SQ = "sq AS (SELECT conv_id AS set_id, turn AS member, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM conversations)"
+
+
+def genome(spark: SparkSession, d: str) -> DataFrame:
+    """The letters ACGT of whole documents, each a chromosome; copies of an id are one."""
+    return table(spark, d, "documents").groupBy(F.col("doc_id").alias("set_id")).agg(F.min(letters("text")).alias("seq")).withColumn("chrom", F.concat(F.lit("d"), F.col("set_id").cast("string")))
+
+
+def sites(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of 100 letters, one in every 200 of a document; a document is a set."""
+    k = F.explode(F.expr("sequence(0L, length(seq) div 200 - 1)")).alias("k")
+    start = F.col("k") * 200 + 50
+    return genome(spark, d).where("length(seq) >= 200").select("set_id", "chrom", k).select("set_id", "chrom", start.alias("start"), (start + 100).alias("stop"), (F.col("set_id") * 100_000 + F.col("k")).alias("region_id"))
+
+
+GENOME = "gn AS (SELECT doc_id AS set_id, 'd' || doc_id AS chrom, min(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g')) AS seq FROM documents GROUP BY doc_id)"
+SITES = "iv AS (SELECT set_id, chrom, k * 200 + 50 AS start, k * 200 + 150 AS stop, set_id * 100000 + k AS region_id FROM (SELECT set_id, chrom, unnest(range(0, length(seq) // 200)) AS k FROM gn))"
+
+
+def order_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as regions, an order being a set: sets of one to seven."""
+    start = F.expr("(l_partkey * 7919 + l_suppkey * 131) % 1000000")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("set_id"), F.col("l_returnflag").alias("chrom"), start.alias("start"), (start + F.expr("CAST(l_quantity AS BIGINT) * 10")).alias("stop"), F.col("l_linenumber").alias("region_id"), (F.col("l_discount") >= 0.05).alias("hit"))
 
 
-SQ = "sq AS (SELECT conv_id AS set_id, turn AS member, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM conversations WHERE length(regexp_replace(upper(text), '[^ACGT]', '', 'g')) >= 10)"
+ORDERS = "iv AS (SELECT l_orderkey AS set_id, l_returnflag AS chrom, (l_partkey * 7919 + l_suppkey * 131) % 1000000 AS start, (l_partkey * 7919 + l_suppkey * 131) % 1000000 + CAST(l_quantity AS BIGINT) * 10 AS stop, l_linenumber AS region_id, l_discount >= 0.05 AS hit FROM lineitem)"
 
 
 def headers(spark: SparkSession, d: str) -> DataFrame:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from regionpairs import schemas
 
 
-def write_by_set(df: DataFrame, path: str, by: str = "set_id") -> None:
-    """Replaces the folders of the sets in df only; sets without rows keep theirs. One shuffle brings each set's rows together."""
-    spark = df.sparkSession
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
-    finally:
-        spark.conf.set(key, before)
+def write_by_set(df: DataFrame, path: str, by: str = "set_id", sets: DataFrame | None = None) -> None:
+    """Replaces the folders of the sets in df. sets (column `by`): all sets that were worked on; one without rows is
+    written as a single row of nulls, so that its old results go. Without it such sets keep theirs. read_by_set leaves these
+    rows out. One shuffle brings each set's rows together."""
+    if sets is not None:
+        df = sets.select(by).distinct().join(df, by, "left").select(df.columns)
+    df.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def read_by_set(spark: SparkSession, path: str, by: str = "set_id") -> DataFrame:
+    """What write_by_set wrote, without the rows of sets that have no results."""
+    df = spark.read.parquet(path)
+    return df.dropna("all", subset=[c for c in df.columns if c != by])
 
 
 def collated(hits: DataFrame) -> DataFrame:

@@ -53,8 +53,42 @@ def test_flank_windows(spark):
 
 
 def test_facing_flanks(spark):
-    p = spark.createDataFrame([(16879147, 16882506), (0, 2499), (0, 2500), (0, 5000)], "a_stop bigint, b_start bigint")
-    assert [x.facing_dropped for x in flanks.facing_dropped(p).collect()] == [True, False, True, False]
+    """Both facing flanks go only if neither is clipped: not beside a close neighbour, nor with a third region between."""
+    spots = {"far": [(16878885, 16879147), (16882506, 16882728)], "near": [(0, 100), (2599, 2700)], "edge": [(0, 100), (2600, 2700)], "apart": [(0, 100), (5100, 5200)], "third": [(0, 100), (1000, 1100), (3300, 3400)]}
+    rows = [(s, "c", a, b, 10 * k + j) for k, (s, xs) in enumerate(spots.items()) for j, (a, b) in enumerate(xs)]
+    r = spark.createDataFrame(rows, "set_id string, chrom string, start bigint, stop bigint, region_id bigint")
+    two, around = pairs.within_sets(r, ["start", "region_id"], ["start", "stop", "region_id"]), flanks.build(r)
+    got = {(x.set_id, x.a_start, x.b_start): x.facing_dropped for x in flanks.facing_dropped(two, around).collect()}
+    assert got == {("far", 16878885, 16882506): True, ("near", 0, 2599): False, ("edge", 0, 2600): True, ("apart", 0, 5100): False, ("third", 0, 1000): False, ("third", 0, 3300): False, ("third", 1000, 3300): False}
+    classes = {}
+    for x in flanks.by_class(two, around).collect():
+        classes.setdefault((x.set_id, x.a_region_id % 10, x.b_region_id % 10), set()).add(x.cls)
+    assert classes["far", 0, 1] == {"LR"} and classes["apart", 0, 1] == {"RR", "RL"} and classes["third", 0, 2] == {"RR", "RL"}  # a region at 0 has no left flank
+
+
+def test_flank_hits(spark):
+    """Two regions whose left and right flanks are copies: LL and RR, so double; with a body copy, both."""
+    rnd = random.Random(2)
+    piece = lambda n: "".join(rnd.choices("ACGT", k=n))
+    left, right, body = piece(60), piece(60), piece(40)
+    seq = piece(50) + left + body + right + piece(150) + left + body.translate(str.maketrans("ACGT", "TGCA"))[::-1] + right + piece(50)
+    r = spark.createDataFrame([(1, "c", 110, 150, 1), (1, "c", 420, 460, 2)], "set_id bigint, chrom string, start bigint, stop bigint, region_id bigint")
+    two = pairs.within_sets(r, ["start"], ["region_id"])
+    found = flanks.hits(r, spark.createDataFrame([("c", seq)], "chrom string, seq string"), two, width=60, min_score=60)
+    assert sorted(x.cls for x in found.collect()) == ["B", "LL", "RR"]
+    x = flanks.hit_breakdown(found).first()
+    assert (x.LL, x.RR, x.LR, x.RL, x.body, x.double, x.single, x.both) == (True, True, False, False, True, True, False, True)
+
+
+def test_masked_letters_seed_nothing(spark):
+    rnd = random.Random(3)
+    same = "".join(rnd.choices("ACGT", k=30))
+    rows = [(1, 1, "A" * 80 + same), (1, 2, "A" * 80), (1, 3, same), (1, 4, "")]
+    seqs = spark.createDataFrame(rows, "set_id int, member int, seq string")
+    masked = {r.member: r.seq for r in similarity.masked(seqs).collect()}
+    assert masked[2] == "N" * 80 and masked[3] == same and masked[4] == "" and set(masked[1][:64]) == {"N"}
+    assert {(r.a, r.b) for r in similarity.seeds(seqs).collect()} >= {(1, 2), (1, 3)}
+    assert {(r.a, r.b) for r in similarity.seeds(similarity.masked(seqs)).collect()} <= {(1, 3)}
 
 
 def test_component_of_a_whole_set(spark):

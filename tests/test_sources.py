@@ -48,6 +48,8 @@ def test_alignments(spark, tmp_path):
     runs, blocks = readers.read_alignments(spark, str(root))
     assert {(r.set_id, r.pair_id) for r in runs.collect()} == {("g1", "c_1-2__c_5-9"), ("g1", "c_1-2__c_15-19")}
     assert len(runs.first().comments) >= 4
+    params = runs.where("pair_id = 'c_1-2__c_5-9'").first().params
+    assert params["identity"] == "28/36 (77.8%)" and params["cigar"] == "23m1d13m" and params["tool v.1 a[unmask] b[unmask] --strand"] == "both"
     got = blocks.orderBy("block").collect()
     assert [(b.pair_id, b.block, b.score) for b in got] == [("c_1-2__c_5-9", 0, 1633), ("c_1-2__c_5-9", 1, -7)]
     b = got[0]
@@ -73,7 +75,22 @@ def test_intervals_and_set_sink(spark, tmp_path):
     put(tmp_path / "t.bed", "track x\n#c\nchr1\t5\t9\tte1\t3.5\t-\nchr1\t7\t8\n\nchr2\tx\t8\n")
     got = sorted(map(tuple, readers.read_intervals(spark, str(tmp_path / "t.bed")).collect()), key=repr)
     assert got == sorted([("chr1", 5, 9, "te1", 3.5, "-"), ("chr1", 7, 8, None, None, None), ("chr2", None, 8, None, None, None)], key=repr)
+    bad = readers.bad_records(readers.read_intervals(spark, str(tmp_path / "t.bed")), "chrom", ["start", "stop"])
+    assert {tuple(r) for r in bad.collect()} == {("chr1", 2, 0), ("chr2", 1, 1)}
     out = str(tmp_path / "sets")
     sinks.write_by_set(spark.createDataFrame([("a", 1), ("b", 2)], "set_id string, x int"), out)
     sinks.write_by_set(spark.createDataFrame([("b", 3)], "set_id string, x int"), out)
     assert {(r.set_id, r.x) for r in spark.read.parquet(out).collect()} == {("a", 1), ("b", 3)}
+    # a set that was worked on and has no rows any more
+    sinks.write_by_set(spark.createDataFrame([("b", 4)], "set_id string, x int"), out, sets=spark.createDataFrame([("a",), ("b",), ("c",)], "set_id string"))
+    assert {(r.set_id, r.x) for r in sinks.read_by_set(spark, out).collect()} == {("b", 4)}
+
+
+def test_genome_chunks(spark, tmp_path):
+    from regionpairs.operators import flanks
+
+    put(tmp_path / "g.fa", ">chr1 first\nACGT\nacg\n>chr2\nTTTTT\n>chr3\n")
+    parts = readers.read_genome(spark, str(tmp_path / "g.fa"), size=3)
+    assert sorted(tuple(r) for r in parts.collect()) == [("chr1", 0, "ACG"), ("chr1", 1, "Tac"), ("chr1", 2, "g"), ("chr2", 0, "TTT"), ("chr2", 1, "TT"), ("chr3", 0, "")]
+    spans = spark.createDataFrame([(1, "chr1", 2, 7), (2, "chr2", 0, 4)], "id int, chrom string, start bigint, stop bigint")
+    assert {(r.id, r.seq) for r in flanks.extract(spans, parts, ["chrom"], ["id"], size=3).collect()} == {(1, "GTacg"), (2, "TTTT")}
