@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regionpairs.plans.shared import shared_dir, through_table  # noqa: F401
+
 #: ASCII upper case to lower case, for bytes.translate.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -18,25 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is set (tests)."""
-    key = "spark.checkpoint.dir"
-    at = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not at:
-        at = getattr(spark.sparkContext, "_own_shared_dir", None)
-        if at is None:
-            at = spark.sparkContext._own_shared_dir = tempfile.mkdtemp(prefix="spark-")
-    return at.rstrip("/")
-
-
-def through_table(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, n: int = 5) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
