@@ -31,7 +31,7 @@ AT_A_TIME = 0.001
 #: Bigrams of one unit that a task holds; those of more frequent units are dealt out by the neighbour.
 SPLIT = 1 << 20
 #: Bigrams that a task gathers before it hands them on; bigrams in a row of their table.
-GATHER, PACK = 2 << 20, 1 << 20
+GATHER, PACK = 1 << 20, 1 << 20
 #: Words, the most frequent, whose counts every task holds; the counts of all others are joined.
 HELD = 150_000
 END = b"\n"  # no word can be this
@@ -144,14 +144,16 @@ def _bigrams(batches, sent):
     units, parts = Units(m["frequent"], m["own"]), m["parts"]
 
     def out(seqs):
-        key = np.concatenate([(a[:-1].astype(np.int64) << 32) | a[1:] for a in seqs])
-        key, n = np.unique(key, return_counts=True)
-        u, v = key >> 32, key & 0xFFFFFFFF
-        unit, side, other, n = np.concatenate([u, v]), np.repeat([0, 1], len(u)), np.concatenate([v, u]), np.concatenate([n, n])
-        slot = other % parts[unit]
+        key, n = np.unique(np.concatenate([(a[:-1].astype(np.int64) << 32) | a[1:] for a in seqs]), return_counts=True)
+        u, v, n = (key >> 32).astype(np.int32), key.astype(np.int32), n.astype(np.int32)
+        del key
+        unit, other, n = np.concatenate([u, v]), np.concatenate([2 * v, 2 * u + 1]), np.concatenate([n, n])
+        del u, v
+        slot = ((other >> 1) % parts[unit]).astype(np.int32)
         order = np.lexsort((slot, unit))
         unit, slot = unit[order], slot[order]
-        rows = np.stack([2 * other[order] + side[order], n[order]], axis=1).astype(np.int32)
+        rows = np.stack([other[order], n[order]], axis=1)
+        del order, other, n
         cuts = np.flatnonzero((np.diff(unit) != 0) | (np.diff(slot) != 0)) + 1
         starts = np.concatenate([[0], cuts])
         for lo in range(0, len(starts), 20_000):

@@ -1,9 +1,10 @@
 """Operator 10: toxicity by a weighted finite-state pattern grammar.
 
 A lexical transducer maps words to classes: insults (words and stems learned from labelled documents), threats, targets,
-negations, reported speech. Small machines over the classes - insult, threat, target, negation, report - are composed into
-one transducer, which reads clause by clause and emits an event per match: a plain, targeted, negated or reported insult,
-a threat, a targeted threat. Event weights are learned on the same bounded sample and give the document's probability.
+first persons, negations, reporting verbs. Small machines over the classes - insult, threat, target, negation, reported
+speech - are composed into one transducer, which reads clause by clause and emits an event per match: a plain, targeted,
+negated or reported insult, and a threat of a target, plain, negated or reported. A threatening verb without a target after
+it ("kill the process") is none. Event weights are learned on the same bounded sample and give the document's probability.
 """
 
 from __future__ import annotations
@@ -20,23 +21,28 @@ from .common import fold, sampled, slices, texts
 
 #: Labelled rows, by smallest hash of their id, that the lexicon and the weights are learned from.
 SAMPLE = 20_000
-#: Lengths of stems; different contexts that a lexicon entry needs; how many times likelier it is in toxic documents, two deviations to the worse; entries kept at most.
-STEMS, CONTEXTS, LIFT, ENTRIES = (3, 4, 5, 6, 7, 8), 8, 12.0, 5000
+#: Lengths of stems; different contexts that a lexicon entry needs; how many times likelier it is in toxic documents, two deviations to the worse. All entries that meet these are kept; the sample bounds them.
+STEMS, CONTEXTS, LIFT = (3, 4, 5, 6, 7, 8), 8, 12.0
+#: Words after a negation that it reaches.
+SCOPE = 5
 #: Word lists of the grammar (fixed values, four languages).
-TARGETS = frozenset("you your yours u she he they them him her his their these those this people everyone du dich dir dein deine ihr euch sie er tu te toi ton ta vous votre il elle ils eux tú usted ustedes él ella ellos vosotros".split())
-NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't n't without nicht kein keine nie niemals ohne pas jamais sans ni nunca jamás sin".split())
+TARGETS = frozenset("you your yours u she he they them him her his these those this people everyone du dich dir dein deine ihr euch sie er tu te toi ton ta vous votre il elle ils eux tú usted ustedes él ella ellos vosotros".split())
+FIRST = frozenset("i we ich wir je nous yo nosotros".split())
+NEGATIONS = frozenset("not no never cannot n't without nicht kein keine nie niemals ohne pas jamais sans ni nunca jamás sin".split())
 REPORTS = frozenset("said says say called wrote claimed quoted reported told sagte sagt nannte schrieb behauptete dit disait appelé écrit dijo dice llamó escribió".split())
 THREATS = frozenset("kill murder hurt destroy shoot stab burn beat töten umbringen schlagen zerstören tuer frapper détruire brûler matar golpear destruir quemar".split())
-WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"«»„“”]")
-CLAUSE = re.compile(r"[^.!?;:\n]+")
-EVENTS = ("insult", "targeted insult", "negated insult", "reported insult", "threat", "targeted threat", "negated threat", "reported threat")
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"«»„“”]")
+#: A colon ends no clause: what is said may follow it.
+CLAUSE = re.compile(r"[^.!?;\n]+")
+EVENTS = ("insult", "targeted insult", "negated insult", "reported insult", "targeted threat", "negated threat", "reported threat")
 
 # Component machines: state -> class -> state; a class that isn't listed keeps the state. Classes: I insult, H threat,
-# T target, N negation, R report, Q quotation mark, O other.
+# T target, A first person, N negation, R report, Q quotation mark, O other.
+CLASSES = "IHTANRQO"
 TARGET = {0: {"T": 1}, 1: {}}
-NEGATION = {0: {"N": 3}, 3: {"N": 3, "O": 2, "T": 2, "R": 2}, 2: {"N": 3, "O": 1, "T": 1, "R": 1}, 1: {"N": 3, "O": 0, "T": 0, "R": 0}}
-REPORT = {0: {"R": 1}, 1: {"Q": 2}, 2: {"Q": 0}}
-QUOTE = {0: {"Q": 1}, 1: {"Q": 0}}
+NEGATION = {0: {"N": SCOPE}} | {k: {c: SCOPE if c == "N" else k - 1 for c in CLASSES} for k in range(1, SCOPE + 1)}
+# what others say is open after their verb, up to the end of the clause or of the quotation; one's own words (3) are no report
+REPORT = {0: {"R": 1, "A": 3}, 1: {"Q": 2}, 2: {"Q": 0}, 3: {c: 3 if c == "A" else 0 for c in CLASSES}}
 
 
 def compose(*machines) -> dict[tuple, dict[str, tuple]]:
@@ -46,20 +52,20 @@ def compose(*machines) -> dict[tuple, dict[str, tuple]]:
     while todo:
         s = todo.pop()
         if s not in out:
-            out[s] = {c: tuple(m[q].get(c, q) for m, q in zip(machines, s)) for c in "IHTNRQO"}
+            out[s] = {c: tuple(m[q].get(c, q) for m, q in zip(machines, s)) for c in CLASSES}
             todo += out[s].values()
     return out
 
 
-GRAMMAR = compose(TARGET, NEGATION, REPORT, QUOTE)
+GRAMMAR = compose(TARGET, NEGATION, REPORT)
 
 
 def emits(state: tuple, cls: str) -> str | None:
     """The event when an insult or a threat is read in a state; what weakens comes before what strengthens."""
     if cls not in "IH":
         return None
-    target, negation, report, quote = state
-    kind = "negated " if negation else "reported " if report and (report == 2 or quote) else "targeted " if target else ""
+    target, negation, report = state
+    kind = "negated " if negation else "reported " if report in (1, 2) else "targeted " if target else ""
     return kind + ("insult" if cls == "I" else "threat")
 
 
@@ -86,7 +92,7 @@ class Lexicon:
                 return "I", self.stems[w[:n]]
         if w in THREATS:
             return "H", 1.0
-        return ("N" if w in NEGATIONS else "R" if w in REPORTS else "T" if w in TARGETS else "Q" if not w[0].isalpha() else "O"), 0.0
+        return ("N" if w in NEGATIONS or w[-3:] in ("n't", "n’t") else "A" if w in FIRST else "R" if w in REPORTS else "T" if w in TARGETS else "Q" if not w[0].isalpha() else "O"), 0.0
 
     def spots(self, low: str) -> list[int]:
         """Where a lexicon entry starts a word."""
@@ -100,12 +106,12 @@ def matches(text: str, lex: Lexicon) -> tuple[Counter, float, set]:
     spots = lex.spots(low)
     if not spots:
         return events, weight, entries
-    start = (0, 0, 0, 0)
+    start = (0, 0, 0)
     done = -1
     for spot in sorted(spots):
         if spot < done:
             continue
-        lo = max(low.rfind(c, 0, spot) for c in ".!?;:\n") + 1
+        lo = max(low.rfind(c, 0, spot) for c in ".!?;\n") + 1
         clause = CLAUSE.match(low, lo)
         done = clause.end()
         words = WORD.findall(clause.group())
@@ -115,9 +121,11 @@ def matches(text: str, lex: Lexicon) -> tuple[Counter, float, set]:
         for w, (c, x) in zip(words, read):
             after -= c == "T"
             state, event = TRANSDUCER[state, c]
+            if c == "H" and not after:
+                continue  # nobody is threatened
             if event:
-                if event in ("insult", "threat") and after:
-                    event = f"targeted {event}"
+                if event in ("insult", "threat"):
+                    event = f"targeted {event}" if after else event
                 events[event] += 1
                 weight += x
                 entries.add(w)
@@ -144,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     rows = labelled(docs, labels, sample, folds)
     seen = rows.where("toxic = 1").mapInArrow(_contexts, "entry string, form string, context long").distinct()
     known = seen.groupBy("entry").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("form").alias("forms")).where((F.col("contexts") >= CONTEXTS) & (F.col("entry").startswith("=") | (F.col("forms") >= 6)))
-    toxic = {r.entry: r.contexts for r in known.orderBy(F.desc("contexts"), "entry").limit(20 * ENTRIES).collect()}
+    toxic = {r.entry: r.contexts for r in known.collect()}  # of at most `sample` texts
     clean = Counter()
     if toxic:
         for r in rows.where("toxic = 0").mapInArrow(functools.partial(_clean, entries=frozenset(toxic)), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n")).collect():
@@ -152,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     odds = max(1, sizes.get(0, 0)) / max(1, sizes.get(1, 0))
     sure = {e: odds * (a - 2 * math.sqrt(a)) / (clean[e] + 2 * math.sqrt(clean[e]) + 1) for e, a in toxic.items()}
-    good = sorted((e for e, x in sure.items() if x >= LIFT), key=lambda e: (-sure[e], e))[:ENTRIES]
+    good = sorted((e for e, x in sure.items() if x >= LIFT), key=lambda e: (-sure[e], e))
     weight = lambda e: math.log(odds * toxic[e] / (clean[e] + 0.5))
     stems: dict[str, float] = {}
     for e in good:  # of stems that begin each other, the surest
@@ -204,9 +212,9 @@ def _contexts(batches):
 def _clean(batches, entries):
     import pyarrow as pa
 
-    for batch in batches:
+    for part in (part for batch in batches for part in slices(batch)):
         n: Counter = Counter()
-        for t in batch.column("text").to_pylist():
+        for t in part.column("text").to_pylist():
             n.update(e for w in WORD.findall(t.lower()) for e in _entries(w) if e in entries)
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["entry", "n"])
 
@@ -215,8 +223,8 @@ def _features(batches, words, stems):
     import pyarrow as pa
 
     lex = Lexicon(words, stems)
-    for batch in batches:
-        n = Counter((y, tuple(features(t, lex))) for y, t in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()))
+    for part in (part for batch in batches for part in slices(batch)):
+        n = Counter((y, tuple(features(t, lex))) for y, t in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array(list(n.values()), pa.int64()), pa.array([list(k[1]) for k in n], pa.list_(pa.float64()))], ["toxic", "n", "x"])
 
 
@@ -224,11 +232,12 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     """doc_id, held_out, score, predicted of every document row, from its whole text alone.
 
     Null and empty texts match nothing and get the score of a text without matches; repeated rows are kept and score
-    alike. Without labels every text gets one low score. Labels given twice for a document count as their maximum.
+    alike; a row with a null doc_id is scored and not held out. Without labels every text gets one low score. Labels given
+    twice for a document count as their maximum, those without a doc_id not at all.
     """
     lex, w = learn(docs, labels, sample, folds)
     got = texts(docs).mapInArrow(functools.partial(_score, words=lex.words, stems=lex.stems, weights=[float(x) for x in w]), "doc_id long, score double")
-    return got.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return got.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def _score(batches, words, stems, weights):

@@ -230,26 +230,54 @@ def test_toxicity(spark):
         for _ in range(3 * toxic):
             t.insert(rnd.randrange(len(t)), rnd.choice(["scumbag", "moronic", "zorplex", "zorplium", "zorplet", "zorplok", "zorplas", "zorplun", "zorplik"]))
         rows.append((i, " ".join(t) + ".", toxic))
-    docs = spark.createDataFrame([(d, t, "x") for d, t, _ in rows] + [(9000, None, "x"), (9001, "", "x")], "doc_id long, text string, toxic string")
+    docs = spark.createDataFrame([(d, t, "x") for d, t, _ in rows] + [(9000, None, "x"), (9001, "", "x"), (None, "you zorplex " * 20_000, "x")], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(d, 1, y) for d, _, y in rows] + [(3, 1, rows[3][2]), (None, 1, 1), (77777, 0, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
     held = [(got[d].predicted, y) for d, _, y in rows if got[d].held_out]
     assert len(held) > 80 and sum(p == y for p, y in held) >= 0.97 * len(held)
-    assert got[9000].predicted == 0 and 0 <= got[9001].score <= 1
+    assert got[9000].predicted == 0 and 0 <= got[9001].score <= 1 and got[None].held_out is False and got[None].predicted == 1
     assert {r.predicted for r in toxicity.score(docs, labels.limit(0)).collect()} == {0}
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
-def test_grammar():
-    lex = toxicity.Lexicon({"idiot": 5.0}, {"zorpl": 4.0})
-    count = lambda t: dict(toxicity.matches(t, lex)[0])
-    assert count("what an idiot.") == {"insult": 1}
-    assert count("You are an Idiot! Fine.") == {"targeted insult": 1}
-    assert count("he is not an idiot") == {"negated insult": 1}
-    assert count('she said "idiot" and left') == {"reported insult": 1} or count('she said "idiot" and left') == {"targeted insult": 1}
-    assert count("I will kill you") == {"targeted threat": 1}
-    assert count("a zorplok; nidiot skillet") == {"insult": 1}
-    assert count("") == {}
+LEX = lambda: toxicity.Lexicon({"idiot": 5.0}, {"zorpl": 4.0})
+
+
+@pytest.mark.parametrize(
+    "text, events",
+    [
+        ("what an idiot.", {"insult": 1}), ("You are an Idiot! Fine.", {"targeted insult": 1}), ("he is not an idiot", {"negated insult": 1}), ("that is not really such a big idiot", {"negated insult": 1}),
+        ('she said "idiot" and left', {"reported insult": 1}), ('he said: "you idiot"', {"reported insult": 1}), ("he said you are an idiot", {"reported insult": 1}), ("I said you are an idiot", {"targeted insult": 1}),
+        ('he said "go" and you idiot went', {"targeted insult": 1}), ("he said so. You idiot", {"targeted insult": 1}), ("I will kill you", {"targeted threat": 1}), ("I won't kill you", {"negated threat": 1}), ("I can’t kill you", {"negated threat": 1}),
+        ("you didn't kill him", {"negated threat": 1}), ("she wrote that they will hurt him", {"reported threat": 1}), ("kill the process", {}), ("beat the eggs", {}), ("you kill the process", {}), ("a zorplok; nidiot skillet", {"insult": 1}), ("", {}),
+    ],
+)
+def test_grammar(text, events):
+    assert dict(toxicity.matches(text, LEX())[0]) == events
+
+
+def test_grammar_against_a_plain_reading():
+    """Random clauses, read word by word with plain variables."""
+    rnd, lex = random.Random(7), LEX()
+    vocab = ["idiot", "zorplum", "kill", "you", "him", "i", "not", "won't", "said", '"', "the", "tree", "walks", "we"]
+    for _ in range(4000):
+        words = rnd.choices(vocab, k=rnd.randrange(1, 14))
+        want: Counter = Counter()
+        scope, told, quoted, own, target = 0, False, False, False, False
+        for k, w in enumerate(words):
+            after = any(x in toxicity.TARGETS for x in words[k + 1 :])
+            bad = "insult" if w in ("idiot", "zorplum") else "threat" if w == "kill" and after else None
+            if bad:
+                want[("negated " if scope else "reported " if told else "targeted " if target or after else "") + bad] += 1
+            scope = toxicity.SCOPE if w in ("not", "won't") else max(0, scope - 1)
+            if told:
+                if w == '"':
+                    told, quoted = not quoted, not quoted
+            elif w == "said" and not own:
+                told, quoted = True, False
+            own = not told and w in ("i", "we")
+            target = target or w in toxicity.TARGETS
+        assert toxicity.matches(" ".join(words), lex)[0] == want, words
 
 
 def test_urls(spark):
