@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices, texts, through_table, tidy
 
 WINDOW = 10
 #: Item words that one search holds in a task; beyond it the items are searched block by block.
@@ -137,8 +137,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     """doc_id, n_words, starts, ends (word spans [start, end) inside occurring windows), items (ids of items with occurring windows).
 
     Every document row gives one row; null and empty texts have no words. Items of fewer words than a window are one
-    window, items without words none; equal items all count. The items' size is checked: up to block_words they go to
-    each task, beyond that the documents are searched once per block of items and the blocks' spans united.
+    window, items without words or with a null item_id none; equal items all count. The items' size is checked: up to
+    block_words they go to each task, beyond that the documents are searched once per block of items, one block after the
+    other so that the driver holds one at a time, and the blocks' spans united.
     """
     blocks = _blocks(benchmark, block_words)
     schema = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>"
@@ -146,7 +147,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     if len(blocks) == 1:
         return docs.mapInArrow(functools.partial(_find, items=_collect(blocks[0]), window=window), schema)
     docs = docs.withColumn("copy", F.monotonically_increasing_id())
-    parts = [docs.mapInArrow(functools.partial(_find, items=_collect(block), window=window), schema + ", copy long") for block in blocks]
+    docs = through_table(docs, "copies")  # so that all blocks see the same row numbers
+    parts = [through_table(docs.mapInArrow(functools.partial(_find, items=_collect(block), window=window), schema + ", copy long"), "found") for block in blocks]
     both = functools.reduce(DataFrame.unionByName, parts)
     merged = both.groupBy("doc_id", "copy").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # spans in order, each joined with the one before if they touch
@@ -173,6 +175,7 @@ def _collect(items: DataFrame) -> list[tuple[int, list[bytes]]]:
     return sorted((r.item_id, words_of(bytes(r.text))) for r in items.collect())
 
 
+@tidy
 def _find(batches, items, window):
     import pyarrow as pa
 
@@ -195,12 +198,16 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without the rows whose text holds a window of an item; the task that searches a row drops it, so ids, null or repeated, don't matter."""
-    for block in _blocks(benchmark, block_words):
+    """docs without the rows whose text holds a window of an item; the task that searches a row drops it, so ids, null or repeated, don't matter. Rows with null or empty texts stay."""
+    blocks = _blocks(benchmark, block_words)
+    for k, block in enumerate(blocks):
         docs = docs.mapInArrow(functools.partial(_clean, items=_collect(block), window=window), docs.schema)
+        if k + 1 < len(blocks):
+            docs = through_table(docs, "clean")
     return docs
 
 
+@tidy
 def _clean(batches, items, window):
     import pyarrow as pa
 

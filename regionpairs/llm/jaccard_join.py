@@ -17,7 +17,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, texts, through_table
+from .common import LOWER, slices, texts, through_table, tidy
 from .graph import forest, merged
 
 #: An n-gram in the prefixes of more nodes than this goes to the end of the order.
@@ -108,6 +108,7 @@ def _sets(batches, k):
             yield part, shingle_sets(part.column("text").cast(pa.binary()).to_pylist(), k)
 
 
+@tidy
 def _heads(batches, k, pct):
     import numpy as np
     import pyarrow as pa
@@ -131,6 +132,7 @@ def _heads(batches, k, pct):
         )
 
 
+@tidy
 def _whole_sets(batches, k):
     import numpy as np
     import pyarrow as pa
@@ -140,6 +142,7 @@ def _whole_sets(batches, k):
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["node", "tokens"])
 
 
+@tidy
 def _reordered(batches, k, pct, common):
     """The prefix of whole sets, n-grams in common (sorted) last."""
     import numpy as np
@@ -158,6 +161,7 @@ def _reordered(batches, k, pct, common):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok)), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(pos, pa.int32())], ["token", "node", "n", "pos"])
 
 
+@tidy
 def _fragments(batches, k):
     """node, fragment of the order, its n-grams."""
     import numpy as np
@@ -185,6 +189,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, docs.doc_id == ids.node, "left_semi")
 
 
+@tidy
 def _meet(batches, pct, mode):
     """Pairs (a, b) of nodes that meet under an n-gram, from rows sorted by token, n, node, with their components and how
     far their sketches differ. `near`: each node with the earlier one that it differs from least; `merge`: of two components

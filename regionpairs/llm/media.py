@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 #: Magic bytes of the formats (fixed values).
 MAGIC = {b"\x89PNG\r\n\x1a\n": "image/png", b"GIF87a": "image/gif", b"GIF89a": "image/gif", b"\xff\xd8\xff": "image/jpeg", b"BM": "image/bmp", b"RIFF": "audio/wav", b".snd": "audio/basic"}
@@ -201,6 +201,7 @@ def pack(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_pack, "doc_id long, n_bytes long, declared string, media binary")
 
 
+@tidy
 def _pack(batches):
     import pyarrow as pa
 
@@ -227,6 +228,7 @@ def inspect(blobs: DataFrame, keep: list[str]) -> DataFrame:
     return blobs.select(*dict.fromkeys([*keep, "declared", "media"])).mapInArrow(functools.partial(_inspect, keep=keep), schema)
 
 
+@tidy
 def _inspect(batches, keep):
     import pyarrow as pa
 

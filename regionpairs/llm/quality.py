@@ -15,7 +15,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, slices, texts
+from .common import sampled, slices, texts, tidy
 
 #: Documents, by smallest hash of their id, that the scorer is trained on; its hashed features.
 SAMPLE, DIMS = 8000, 1024
@@ -84,6 +84,7 @@ def hashed(blob: bytes, m: dict[str, float]):
     return x
 
 
+@tidy
 def _votes(batches):
     import pyarrow as pa
 
@@ -93,6 +94,7 @@ def _votes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], ["votes"])
 
 
+@tidy
 def _sample(batches):
     import pyarrow as pa
 
@@ -161,6 +163,7 @@ def score(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return texts(docs).mapInArrow(functools.partial(_score, bias=float(b), weights=w), "doc_id long, score double, keep boolean, votes array<int>")
 
 
+@tidy
 def _score(batches, bias, weights):
     import numpy as np
     import pyarrow as pa
@@ -182,6 +185,7 @@ def keep_good(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return docs.mapInArrow(functools.partial(_keep, bias=float(b), weights=w), docs.schema)
 
 
+@tidy
 def _keep(batches, bias, weights):
     import pyarrow as pa
 

@@ -17,7 +17,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sampled, slices, texts
+from .common import fold, sampled, slices, texts, tidy
 
 #: Labelled rows, by smallest hash of their id, that the lexicon and the weights are learned from.
 SAMPLE = 20_000
@@ -192,6 +192,7 @@ def _entries(w: str):
             yield "^" + w[:k]
 
 
+@tidy
 def _contexts(batches):
     import zlib
 
@@ -209,6 +210,7 @@ def _contexts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], ["entry", "form", "context"])
 
 
+@tidy
 def _clean(batches, entries):
     import pyarrow as pa
 
@@ -219,6 +221,7 @@ def _clean(batches, entries):
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["entry", "n"])
 
 
+@tidy
 def _features(batches, words, stems):
     import pyarrow as pa
 
@@ -240,6 +243,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     return got.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@tidy
 def _score(batches, words, stems, weights):
     import pyarrow as pa
 

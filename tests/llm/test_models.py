@@ -206,6 +206,52 @@ def test_brown_on_empty_tables(spark):
     assert r.base_score == pytest.approx(0)
 
 
+def test_quality_estimate_against_plain_em():
+    """Document by document, with dictionaries: the same prior, tables and posteriors as over counted patterns."""
+    import numpy as np
+
+    rnd = random.Random(12)
+    k = len(quality.LABELLERS)
+    docs = []
+    for _ in range(400):
+        good = rnd.random() < 0.75
+        docs.append(tuple((1 if good else -1) * (1 if rnd.random() < 0.8 else -1) if rnd.random() < 0.7 else 0 for _ in range(k)))
+    prior, table = quality.estimate(sorted(Counter(docs).items()), rounds=20)
+    start = {(-1, 0): 0.4, (-1, 1): 0.01, (1, 0): 0.6, (1, 1): 0.99}
+    t, pr = [dict(start) for _ in range(k)], 0.8
+    weight = 0.001 * len(docs) + 1
+
+    def posterior(v):
+        p = [1 - pr, pr]
+        for j, x in enumerate(v):
+            if x:
+                p = [p[c] * t[j][x, c] for c in (0, 1)]
+        return p[1] / (p[0] + p[1])
+
+    for _ in range(20):
+        good = [posterior(v) for v in docs]
+        pr = min(0.99, max(0.01, (sum(good) + 1) / (len(docs) + 2)))
+        new = []
+        for j in range(k):
+            n = {(x, c): weight * start[x, c] + sum((g if c else 1 - g) for v, g in zip(docs, good) if v[j] == x) for x in (-1, 1) for c in (0, 1)}
+            new.append({(x, c): n[x, c] / (n[-1, c] + n[1, c]) for x, c in n})
+        t = new
+    assert prior == pytest.approx(pr)
+    for j in range(k):
+        for x in (-1, 1):
+            assert list(table[j][x + 1]) == pytest.approx([t[j][x, 0], t[j][x, 1]])
+    got = quality._posterior(np.array(docs) + 1, prior, table)
+    assert list(got) == pytest.approx([posterior(v) for v in docs])
+
+
+def test_quality_of_null_ids_and_long_texts(spark):
+    rows = [(None, "the river and the garden of stone " * 50), (None, None), (1, "%%% &&& " * 60_000), (1, "of the and " * 40_000), (2, "")]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, votes string")
+    got = quality.score(docs).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == [-1, -1, 1, 1, 2] and all(0 <= r.score <= 1 for r in got)
+    assert quality.keep_good(docs).columns == docs.columns and quality.keep_good(docs).count() == sum(r.keep for r in got)
+
+
 def test_quality(spark):
     rnd = random.Random(4)
     good = lambda: " ".join(rnd.choices(["the", "of", "and", "house", "river", "walked", "slowly", "in", "garden", "a", "bright", "morning", "was", "stone"], k=90)) + " " + " ".join(f"word{rnd.randrange(900)}" for _ in range(90))
