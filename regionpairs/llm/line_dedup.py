@@ -19,8 +19,6 @@ from .common import slices, through_table, tidy
 
 #: A run of fewer words stays, however often it occurs.
 MIN_WORDS = 10
-#: Bytes of deleted runs that are sent to every task; beyond it texts and runs are shuffled to each other.
-SENT = 16 << 20
 
 
 def _key() -> list:
@@ -86,9 +84,9 @@ def runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _with_runs(docs: DataFrame, min_words: int) -> DataFrame:
     """row (docs' columns but text), text, spans: the deleted stretches of lines, null if there are none."""
     found = through_table(runs(docs, min_words).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("i") + F.col("size")).alias("j")))).alias("spans")), "spans")
-    size = found.agg(F.coalesce(F.sum(64 + 24 * F.size("spans")), F.lit(0))).first()[0]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), "text", *_key())
-    return rows.join(F.broadcast(found) if size <= SENT else found, ["a", "b"], "left").select("row", "text", "spans")
+    # the runs grow with the corpus, so texts and runs are dealt out to each other at every size
+    return rows.join(found.hint("merge"), ["a", "b"], "left").select("row", "text", "spans")
 
 
 def cut(blob: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int, int]:
