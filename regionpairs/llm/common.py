@@ -75,14 +75,14 @@ def glued(words) -> bytes:
     return np.insert(data, ends[1:-1] - ends[0], 32).tobytes()
 
 
-def slices(batch, size: int = 2 << 20):
-    """A batch in runs of rows whose text column holds about `size` bytes (at least one row each)."""
+def slices(batch, size: int = 2 << 20, column: str = "text"):
+    """A batch in runs of rows whose text (or other) column holds about `size` bytes (at least one row each)."""
     import numpy as np
     import pyarrow.compute as pc
 
     if not batch.num_rows:
         return
-    text = batch.column("text")
+    text = batch.column(column)
     ends = np.cumsum(pc.binary_length(text).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     while at < batch.num_rows:

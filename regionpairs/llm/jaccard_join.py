@@ -2,12 +2,14 @@
 
 Texts become sets of hashed word n-grams. Equal sets are one node. The global n-gram order is by hash, with n-grams that
 many nodes hold moved to its end; two sets that are similar enough share an n-gram among the first few of each (the prefix),
-so nodes meet there, and lengths, positions and parity sketches rule out most meetings. To confirm a pair, the n-gram order
-is cut into fragments, the overlap is counted in each fragment separately and summed per pair.
+so nodes meet there, and lengths, positions and parity sketches rule out most meetings. To confirm a pair, the order of the
+hashes is cut into fragments, the overlap is counted in each fragment separately and summed per pair.
 
 Links are wanted for components, so at first one link per node is confirmed, to the earlier node whose sketch is nearest;
 then one pair for every two components that meet; at last all pairs that are still in different components. No link between
-components is missed, and groups of near copies aren't expanded into all pairs.
+components is missed, and groups of near copies aren't expanded into all pairs. An n-gram under which more than BLOCK rows
+meet is dealt out in blocks of nodes: at first each block by itself, later every two blocks, as rows of their own; n-grams
+whose nodes are all of one component are left out before.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ COMMON = 100
 FRAGMENTS, SKETCH, WIDE = 8, 256, 4096
 #: Rows that meet under one n-gram before the first round compares each with the first and the nearest ones only.
 ALL_BELOW, NEAREST = 2048, 64
+#: Rows of one n-gram that a task compares with each other; more are dealt out in blocks of about this size.
+BLOCK = 2048
 #: Ids that are sent to every task rather than joined by shuffling the texts.
 SENT = 1_000_000
 
@@ -191,15 +195,15 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 @tidy
 def _meet(batches, pct, mode):
-    """Pairs (a, b) of nodes that meet under an n-gram, from rows sorted by token, n, node, with their components and how
+    """Pairs (a, b) of nodes that meet in a cell (an n-gram, or two blocks of one), from rows sorted by cell, n, node, with their components and how
     far their sketches differ. `near`: each node with the earlier one that it differs from least; `merge`: of two components
     the pair that differs least; `all`: every pair of different components. All only as far as they may be similar."""
     import numpy as np
     import pyarrow as pa
 
-    def group(best, n, pos, node, sketch, comp):
+    def group(best, n, pos, node, sketch, comp, side):
         keep = np.concatenate([[True], node[1:] != node[:-1]])
-        n, pos, node, sketch, comp = n[keep], pos[keep], node[keep], sketch[keep], comp[keep]
+        n, pos, node, sketch, comp, side = n[keep], pos[keep], node[keep], sketch[keep], comp[keep], side[keep]
         m = len(n)
         if m < 2 or mode != "near" and (comp == comp[0]).all():
             return
@@ -211,7 +215,7 @@ def _meet(batches, pct, mode):
                 i = np.unique(np.concatenate([[low[j]], np.arange(max(low[j], j - NEAREST), j)]))
                 i = i[i < j]
             if mode != "near":
-                i = i[comp[i] != comp[j]]
+                i = i[(comp[i] != comp[j]) & ((side[i] == 0) | (side[i] != side[j]))]
             if not len(i):
                 continue
             least = need(n[i], n[j], pct)
@@ -254,7 +258,7 @@ def _meet(batches, pct, mode):
             continue
         col = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        new = [col("token"), col("n"), col("pos"), col("node"), sketch, col("comp")]
+        new = [col("cell"), col("n"), col("pos"), col("node"), sketch, col("comp"), col("side")]
         held = [np.concatenate(x) for x in zip(held, new)] if held else new
         last = int(np.searchsorted(held[0], held[0][-1]))  # the last n-gram may go on
         if last:
@@ -266,7 +270,7 @@ def _meet(batches, pct, mode):
 
 def _pairs(rows: DataFrame, pct: int, mode: str) -> DataFrame:
     """The pairs that _meet picks, over all n-grams: in mode `near` b's one a, which is earlier by size and id; else a < b."""
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
+    dealt = _cells(rows, mode).select("cell", "n", "pos", "node", "sketch", "comp", "side").repartition("cell").sortWithinPartitions("cell", "n", "node")
     met = dealt.mapInArrow(functools.partial(_meet, pct=pct, mode=mode), "a long, b long, ca long, cb long, far long")
     if mode != "all":
         met = met.groupBy(*(["b"] if mode == "near" else ["ca", "cb"])).agg(F.min(F.struct("far", "a", F.col("b").alias("_b"))).alias("m")).select("m.a", F.col("m._b").alias("b"))
@@ -275,6 +279,21 @@ def _pairs(rows: DataFrame, pct: int, mode: str) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _cells(rows: DataFrame, mode: str) -> DataFrame:
+    """rows (with blocks, the number of blocks that their n-gram is dealt out in) with the cell where they meet, and their
+    side there: 0 in a cell of one block, else 1 or 2. A cell is a hash; two that share one by chance only meet in vain."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    if mode == "near":
+        return rows.withColumn("cell", F.when(F.col("blocks") > 1, F.xxhash64("token", block)).otherwise(F.col("token"))).withColumn("side", F.lit(0))
+    mixed = through_table(rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "mixed")
+    rows = rows.join(mixed, "token")
+    one = rows.where("blocks = 1").withColumn("cell", F.col("token")).withColumn("side", F.lit(0))
+    many = rows.where("blocks > 1").withColumn("own", block).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    cell = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return one.unionByName(many.withColumn("cell", cell).withColumn("side", side).drop("own", "other"))
+
+
 def _plausible(pairs: DataFrame, first: DataFrame, sizes: DataFrame, pct: int) -> DataFrame:
     """pairs that the wide sketches don't rule out."""
     of = lambda c: first.where("wide is not null").select(F.col("node").alias(c), F.col("wide").alias(f"w_{c}")).join(sizes.select(F.col("node").alias(c), F.col("n").cast("long").alias(f"n_{c}")), c)
@@ -345,7 +364,7 @@ def _link(docs: DataFrame, k: int, pct: int) -> DataFrame:
     met = light.unionByName(heavy)
     sketches = first.select("node", "sketch")
     # only n-grams that two prefixes hold
-    again = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    again = met.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token", F.ceil(F.col("c") / BLOCK).alias("blocks"))
     met = through_table(met.join(again, "token").join(sketches, "node"), "met")
     sizes = nodes.select("node", "n")
     tried = through_table(_pairs(met.withColumn("comp", F.col("node")), pct, "near"), "tried")

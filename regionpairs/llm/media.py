@@ -196,7 +196,11 @@ def payload(data: bytes) -> bytes:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, declared (a type that is often wrong), media: every text's payload stored losslessly in a file whose type its checksum picks."""
+    """doc_id, n_bytes, declared (a type that is often wrong), media: every text's payload stored losslessly in a file whose type its checksum picks.
+
+    A null text counts as empty, whose payload is one unit of bytes 255. Repeated rows and rows with a null doc_id are kept,
+    each by itself; equal texts give equal files. A very long text is one file of its own.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return docs.mapInArrow(_pack, "doc_id long, n_bytes long, declared string, media binary")
 
@@ -236,8 +240,7 @@ def _inspect(batches, keep):
     kinds = [pa.string(), pa.int64(), pa.bool_(), kind, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = ["sniffed", "offset", "corrected", "embedded", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     for whole in batches:
-        for k in range(0, whole.num_rows, 500):
-            batch = whole.slice(k, 500)
+        for batch in slices(whole, column="media"):
             rows = []
             for declared, blob in zip(batch.column("declared").to_pylist(), batch.column("media").to_pylist()):
                 found = sniff(blob or b"")

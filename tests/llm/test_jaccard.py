@@ -52,9 +52,10 @@ def corpus(seed):
     return [(100 + 3 * i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed, k, pct, common, below, sent", [(1, 3, 90, 100, 2048, 9**9), (2, 3, 90, 2, 2048, 9**9), (3, 5, 80, 3, 4, 9**9), (4, 2, 60, 1, 2, 0)])
-def test_components_match_brute_force(spark, monkeypatch, seed, k, pct, common, below, sent):
+@pytest.mark.parametrize("seed, k, pct, common, below, sent, block", [(1, 3, 90, 100, 2048, 9**9, 3), (2, 3, 90, 2, 2048, 9**9, 2048), (3, 5, 80, 3, 4, 9**9, 2), (4, 2, 60, 1, 2, 0, 4)])
+def test_components_match_brute_force(spark, monkeypatch, seed, k, pct, common, below, sent, block):
     monkeypatch.setattr(J, "SENT", sent)
+    monkeypatch.setattr(J, "BLOCK", block)
     monkeypatch.setattr(J, "COMMON", common)
     monkeypatch.setattr(J, "ALL_BELOW", below)
     monkeypatch.setattr(J, "NEAREST", 1)
@@ -66,6 +67,10 @@ def test_components_match_brute_force(spark, monkeypatch, seed, k, pct, common,
 
 def test_empty_table_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (7, "a b c d")], "doc_id long, text string")
-    assert sorted(tuple(r)[1:] for r in J.link(docs, 3, 90).collect() if r.doc_id) == [(2, 1), (2, 1), (2, 1)]
+    assert sorted(((r.doc_id or -1), r.n_shingles, r.component_id) for r in J.link(docs, 3, 90).collect()) == [(-1, 2, None), (1, 2, 1), (1, 2, 1), (7, 2, 1)]
+    twins = spark.createDataFrame([(1, "a b c d"), (1, "x y z u v"), (2, "a b c d"), (3, "x y z u v"), (4, "word " * 50_000)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in J.link(twins, 3, 90).collect())
+    # one text counts for all rows of an id
+    assert got in ([(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 3, 3), (4, 1, 4)], [(1, 3, 1), (1, 3, 1), (2, 2, 2), (3, 3, 1), (4, 1, 4)])
     assert J.link(docs.limit(0), 3, 90).count() == 0
     assert sorted(r.doc_id for r in J.one_of_each(docs.where("doc_id is not null"), 3, 90).collect()) == [1, 1]

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 from regionpairs.llm import decontaminate, media, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", "a", "x" * 576, "RIFF BM GIF89a .snd", "ü" * 700, "long " * 9000, None, "a"]
+TEXTS = ["", "a", "x" * 576, "RIFF BM GIF89a .snd", "ü" * 700, "long " * 9000, None, "a", "é" * 1_500_000]
 
 
 def docs_of(spark, texts, start=0):
@@ -29,6 +29,8 @@ def test_media_round_trip(spark):
         assert r.offset == 0 and r.corrected == (r.sniffed != r.declared) and r.feature
     assert got[1].media_sha256 == got[7].media_sha256 and got[1].feature == got[7].feature
     assert media.inspect(media.pack(docs_of(spark, TEXTS).limit(0)), ["doc_id"]).count() == 0
+    twice = spark.createDataFrame([(None, "a"), (None, "a"), (4, "b"), (4, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in media.inspect(media.pack(twice), ["doc_id", "n_bytes"]).collect()) == [(0, 1), (0, 1), (4, 1), (4, 1)]
 
 
 def test_media_is_carved_from_other_bytes():

@@ -74,3 +74,26 @@ def test_stages(spark, tmp_path):
         docs = out
     assert kept == sorted(kept, reverse=True) and kept[0] > kept[1] > kept[2] > kept[3] == kept[4]
     assert P.run(spark, d).count() == kept[-1]
+
+
+def test_edge_tables(spark, tmp_path):
+    """Empty, null and repeated ids, very long texts and columns with clashing names go through every stage."""
+    rnd = random.Random(5)
+    text = lambda n: " ".join(rnd.choices(["the", "of", "and", "river", "stone", "garden", "was", "in", *(f"word{i}" for i in range(300))], k=n))
+    item = text(30)
+    rows = [(k, text(80)) for k in range(30)] + [(None, text(90)), (None, text(20) + " " + item), (3, text(70)), (7, text(40_000)), (8, None), (9, "")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, a int, row int, node int, spans int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 2, 3, 4) for i, t in rows], names)
+    spark.createDataFrame([(1, item), (None, text(20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some in (docs, docs.limit(0)):
+        now = some
+        for name, stage in P.STAGES:
+            now = P.through_table(stage(spark, now, str(tmp_path)), name)
+            assert name == "bpe" or now.columns == docs.columns
+        got = now.collect()
+        assert all(len(r.ids_sha256) == 64 for r in got)
+        if some is docs:
+            ids = [r.doc_id for r in got]
+            assert ids.count(None) == 1 and 7 in ids and len([i for i in ids if i == 3]) == 2
+        else:
+            assert not got
