@@ -29,7 +29,7 @@ FRAGMENTS, SKETCH, WIDE = 8, 256, 4096
 #: Rows that meet under one n-gram before the first round compares each with the first and the nearest ones only.
 ALL_BELOW, NEAREST = 2048, 64
 #: Rows of one n-gram that a task compares with each other; more are dealt out in blocks of about this size.
-BLOCK = 2048
+BLOCK = 1024
 #: Ids that are sent to every task rather than joined by shuffling the texts.
 SENT = 1_000_000
 
