@@ -468,6 +468,14 @@ def null_shift(s, d):
     return nulls.shift(V.regions(s, d), "region_id", V.CHROMOSOME).select("region_id", "start", "stop")
 
 
+@query(with_(V.IV, V.TE, f"h AS (SELECT *, CAST('0x' || substr(md5(region_id || '|1|0'), 1, 8) AS BIGINT) % ({V.CHROMOSOME} - (stop - start)) AS s FROM iv)", "ns AS (SELECT region_id, chrom, s AS start, s + stop - start AS stop FROM h)") + "SELECT cls, count(*) AS n, count(DISTINCT region_id) AS regions, CAST(sum(least(n.stop, t.stop) - greatest(n.start, t.start)) AS BIGINT) AS bases FROM ns n JOIN te t ON n.chrom = t.chrom AND n.start < t.stop AND t.start < n.stop GROUP BY cls")
+def shifted_overlaps(s, d):
+    """The overlap join under the random-position control, per class."""
+    moved = nulls.shift(V.regions(s, d), "region_id", V.CHROMOSOME)
+    met = intervals.overlaps(intervals.prefixed(moved, "a", ["region_id", "chrom", "start", "stop"]), _ab(s, d)[1])
+    return met.groupBy(F.col("b_cls").alias("cls")).agg(F.count("*").alias("n"), F.countDistinct("a_region_id").alias("regions"), F.sum(_bases()).alias("bases"))
+
+
 @query(with_(V.CO) + "SELECT grp, count(*) AS n, round(quantile_cont(score, 0.9), 6) AS q90, round(quantile_cont(score, 0.95), 6) AS q95, round(quantile_cont(score, 0.99), 6) AS q99 FROM co WHERE cohort = 'null' GROUP BY grp")
 def null_cutoffs(s, d):
     return nulls.cutoffs(V.cohorts(s, d).where("cohort = 'null'"), ["grp"], "score").select("grp", "n", *(r6(c).alias(c) for c in ("q90", "q95", "q99")))
