@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, listed, slices, split_words, texts, through_table, tidy
+from .common import batches_of, fold, listed, slices, split_words, texts, through_table, tidy
 
 #: Frequent words that the first exchange, on the driver, starts from; ending units; classes; sweeps of that first exchange.
 FREQUENT, ENDINGS, CLASSES, SWEEPS = 1000, 256, 48, 6
@@ -35,8 +35,10 @@ GATHER, PACK = 1 << 20, 1 << 20
 #: Words, the most frequent, whose counts every task holds; the counts of all others are joined.
 HELD = 150_000
 END = b"\n"  # no word can be this
+#: Rows of a text table and of the bigrams' table (megabytes each) that a task gets at once.
+TEXTS, PACKS = 2000, 2
 #: Distinct words of runs of texts that a task gathers before it hands them on; bytes of text in a run.
-FLUSH, AT_ONCE = 400_000, 4 << 20
+FLUSH, AT_ONCE = 200_000, 2 << 20
 #: Spelling of unknown words: symbols for bytes (0 a word's start and end, 1 any byte that is rare); pseudo-counts of the shorter context.
 SYMBOLS, SPELL = 96, 5.0
 #: Bytes that a word can have.
@@ -626,11 +628,12 @@ def fit(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: in
     sent = spark.sparkContext.broadcast({"frequent": core_h, "own": own, "parts": parts, "n": units.n, "coarse": np.concatenate([np.arange(units.n), units.base + own_e]).astype(np.int64)})
     packed = bigrams(docs, sent)
     counts = np.zeros((units.n, units.n), np.int64)
-    for r in packed.mapInArrow(functools.partial(_coarse, sent=sent), "unit int, counts binary").groupBy("unit").applyInPandas(_sum, "unit int, counts binary").collect():  # at most one row per unit of the start
-        counts[r.unit] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
-    of = exchange(counts, classes)
-    k = int(of.max()) + 1
-    of, pair = exchange_all(packed, np.concatenate([of, of[units.base + own_e]]).astype(np.int16), seen, k, tolerance)
+    with batches_of(spark, PACKS):
+        for r in packed.mapInArrow(functools.partial(_coarse, sent=sent), "unit int, counts binary").groupBy("unit").applyInPandas(_sum, "unit int, counts binary").collect():  # at most one row per unit of the start
+            counts[r.unit] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
+        of = exchange(counts, classes)
+        k = int(of.max()) + 1
+        of, pair = exchange_all(packed, np.concatenate([of, of[units.base + own_e]]).astype(np.int16), seen, k, tolerance)
     of = of.astype(np.int64)
     share = (np.bincount(of, weights=seen, minlength=k) + 0.5) / (seen.sum() + 0.5 * k)
     mass = 5.0  # pseudo-counts of the class's overall share
@@ -670,7 +673,12 @@ def score(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes:
     every word is unknown and N is 0. Held words are scored where the text lies; each other word of a text is sent once,
     with its number of occurrences, to its count.
     """
-    counts, model = fit(docs, frequent, held, classes, tolerance)
+    spark = docs.sparkSession
+    with batches_of(spark, TEXTS):
+        return _scored(docs, *fit(docs, frequent, held, classes, tolerance))
+
+
+def _scored(docs: DataFrame, counts: DataFrame, model: dict) -> DataFrame:
     spark = docs.sparkSession
     rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
     sent = spark.sparkContext.broadcast(model)

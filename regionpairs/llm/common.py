@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import zlib
 
@@ -40,6 +41,18 @@ def sampled(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return df.orderBy(h, key).limit(n)
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int):
+    """Actions within it hand at most so many rows to Python at once: rows of megabytes would else fill a batch of a partition's size. The session's own setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def split_words(text):
     """Lower-cased words [^\\x20\\x09-\\x0D]+ of an Arrow column of texts without nulls, each distinct one once: (words as
     Arrow strings, place in words of every token, where each text's tokens start and end). An empty string may be among
