@@ -23,7 +23,9 @@ COLUMNS = {
     "op8_line_dedup": "doc_id:bigint n_lines:bigint n_cut:bigint",
     "op9_bpe": "doc_id:bigint n_tokens:bigint ids_sha256:string decoded_sha256:string",
     "op10_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
+    "op11_centroids": "vec_id:bigint cluster:int distance:bigint cluster_inertia:bigint inertia:bigint centroid_sha256:string",
 }
+TABLES = {"op3": "pages", "op11": "embeddings"}
 
 
 @pytest.mark.parametrize("name", list(COLUMNS))
@@ -32,7 +34,7 @@ def test_columns(spark, name):
     kinds = [f"{c}:{t}" for c, t in df.dtypes]
     want = COLUMNS[name].split()
     assert kinds[: len(want)] == want
-    assert df.count() == spark.read.parquet(f"{SF_DIR}/{'pages' if name.startswith('op3') else 'documents'}.parquet").count()
+    assert df.count() == spark.read.parquet(f"{SF_DIR}/{TABLES.get(name.split('_')[0], 'documents')}.parquet").count()
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
