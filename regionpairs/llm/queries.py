@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown_lm, centroids, decontaminate, jaccard_join, line_dedup, media, oracles, packing, quality, token_files, toxicity, url_filter
+from . import bpe, brown_lm, centroids, conversations, decontaminate, jaccard_join, line_dedup, media, oracles, packing, quality, token_files, toxicity, url_filter
 from .common import table
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -61,5 +61,9 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE)))
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_quality, op3_url_filter, op4_brown_lm, op5_token_files, op6_jaccard_join, op7_decontaminate, op8_line_dedup, op9_bpe, op10_toxicity, op11_centroids, op12_packing)}
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE, "op6_jaccard_join": oracles.JACCARD, "op7_decontaminate": oracles.DECONTAMINATION, "op11_centroids": centroids.ORACLE}
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_quality, op3_url_filter, op4_brown_lm, op5_token_files, op6_jaccard_join, op7_decontaminate, op8_line_dedup, op9_bpe, op10_toxicity, op11_centroids, op12_packing, op13_conversations)}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.ORACLE, "op6_jaccard_join": oracles.JACCARD, "op7_decontaminate": oracles.DECONTAMINATION, "op11_centroids": centroids.ORACLE, "op13_conversations": conversations.ORACLE}

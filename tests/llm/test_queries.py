@@ -25,8 +25,9 @@ COLUMNS = {
     "op10_toxicity": "doc_id:bigint held_out:boolean score:double predicted:int",
     "op11_centroids": "vec_id:bigint cluster:int distance:bigint cluster_inertia:bigint inertia:bigint centroid_sha256:string",
     "op12_packing": "doc_id:bigint start:bigint length:bigint ids_crc32:bigint doc_tokens:bigint sequence_id:bigint offset:bigint",
+    "op13_conversations": "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint truncated:bigint illegal:bigint cost:bigint audit:string repaired_sha256:string",
 }
-TABLES = {"op3": "pages", "op11": "embeddings"}
+TABLES = {"op3": "pages", "op11": "embeddings", "op13": "conversations"}
 
 
 @pytest.mark.parametrize("name", list(COLUMNS))
@@ -35,8 +36,10 @@ def test_columns(spark, name):
     kinds = [f"{c}:{t}" for c, t in df.dtypes]
     want = COLUMNS[name].split()
     assert kinds[: len(want)] == want
-    rows = df.select("doc_id").distinct() if name.startswith("op12") else df  # op12's rows are pieces
-    assert rows.count() == spark.read.parquet(f"{SF_DIR}/{TABLES.get(name.split('_')[0], 'documents')}.parquet").count()
+    # op12's rows are pieces, those of op13's table are turns
+    key = {"op12": "doc_id", "op13": "conv_id"}.get(name.split("_")[0])
+    rows = lambda df: df.select(key).distinct() if key else df
+    assert rows(df).count() == rows(spark.read.parquet(f"{SF_DIR}/{TABLES.get(name.split('_')[0], 'documents')}.parquet")).count()
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
