@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,16 +140,16 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     Every document row gives one row; null and empty texts have no words. Items of fewer words than a window are one
     window, items without words or with a null item_id none; equal items all count. The items' size is checked: up to
     block_words they go to each task, beyond that the documents are searched once per block of items, one block after the
-    other so that the driver holds one at a time, and the blocks' spans united.
+    other so that the driver holds one at a time, and the blocks' spans united. An item longer than a block is one by itself.
     """
     blocks = _blocks(benchmark, block_words)
     schema = "doc_id long, n_words long, starts array<long>, ends array<long>, items array<long>"
     docs = texts(docs)
     if len(blocks) == 1:
-        return docs.mapInArrow(functools.partial(_find, items=_collect(blocks[0]), window=window), schema)
+        return docs.mapInArrow(functools.partial(_find, held=_sent(blocks[0]), window=window), schema)
     docs = docs.withColumn("copy", F.monotonically_increasing_id())
     docs = through_table(docs, "copies")  # so that all blocks see the same row numbers
-    parts = [through_table(docs.mapInArrow(functools.partial(_find, items=_collect(block), window=window), schema + ", copy long"), "found") for block in blocks]
+    parts = [through_table(docs.mapInArrow(functools.partial(_find, held=_sent(block), window=window), schema + ", copy long"), "found") for block in blocks]
     both = functools.reduce(DataFrame.unionByName, parts)
     merged = both.groupBy("doc_id", "copy").agg(F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # spans in order, each joined with the one before if they touch
@@ -171,15 +172,29 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) for b in range(n)]
 
 
-def _collect(items: DataFrame) -> list[tuple[int, list[bytes]]]:
-    return sorted((r.item_id, words_of(bytes(r.text))) for r in items.collect())
+def _sent(items: DataFrame):
+    """(name, broadcast list of item ids and words) of one block: bounded by block_words, or by one item that is longer."""
+    rows = sorted((r.item_id, words_of(bytes(r.text))) for r in items.collect())
+    return uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast(rows)
+
+
+_tables: dict = {}
+
+
+def _search(held, window: int) -> Search:
+    """A worker builds the tables of a block once and keeps those of the last block."""
+    name, items = held
+    if (name, window) not in _tables:
+        _tables.clear()
+        _tables[name, window] = Search(items.value, window)
+    return _tables[name, window]
 
 
 @tidy
-def _find(batches, items, window):
+def _find(batches, held, window):
     import pyarrow as pa
 
-    search = Search(items, window)
+    search = _search(held, window)
     for batch in batches:
         for part in slices(batch):
             rows = list(zip(*search.run(part.column("text").cast(pa.binary()).to_pylist())))
@@ -201,17 +216,17 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
     """docs without the rows whose text holds a window of an item; the task that searches a row drops it, so ids, null or repeated, don't matter. Rows with null or empty texts stay."""
     blocks = _blocks(benchmark, block_words)
     for k, block in enumerate(blocks):
-        docs = docs.mapInArrow(functools.partial(_clean, items=_collect(block), window=window), docs.schema)
+        docs = docs.mapInArrow(functools.partial(_clean, held=_sent(block), window=window), docs.schema)
         if k + 1 < len(blocks):
             docs = through_table(docs, "clean")
     return docs
 
 
 @tidy
-def _clean(batches, items, window):
+def _clean(batches, held, window):
     import pyarrow as pa
 
-    search = Search(items, window)
+    search = _search(held, window)
     for batch in batches:
         for part in slices(batch):
             blobs = [b or b"" for b in part.column("text").cast(pa.binary()).to_pylist()]

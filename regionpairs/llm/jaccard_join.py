@@ -391,6 +391,7 @@ def _by_node():
 
 
 def one_of_each(docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """docs without the documents that aren't the first of their component."""
-    extra = link(docs, k, pct).where("doc_id <> component_id").select(F.col("doc_id").alias("_extra")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("_extra"), "left_anti")
+    """docs without the documents that aren't the first of their component; other columns may have any names."""
+    extra = link(docs, k, pct).where("doc_id <> component_id").select("doc_id").distinct()
+    # joined by the id's name, so that no helper column can clash; the join puts it first
+    return docs.join(extra, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -3,8 +3,9 @@
 A lexical transducer maps words to classes: insults (words and stems learned from labelled documents), threats, targets,
 first persons, negations, reporting verbs. Small machines over the classes - insult, threat, target, negation, reported
 speech - are composed into one transducer, which reads clause by clause and emits an event per match: a plain, targeted,
-negated or reported insult, and a threat of a target, plain, negated or reported. A threatening verb without a target after
-it ("kill the process") is none. Event weights are learned on the same bounded sample and give the document's probability.
+negated or reported insult, and a threat of a target, plain, negated or reported. A threatening verb without a target
+("kill the process") is none: in English the target follows within a few words, in German, French and Spanish it may also be
+an object pronoun earlier in the clause ("ich werde dich töten", "je vais te tuer", "te voy a matar"). Event weights are learned on the same bounded sample and give the document's probability.
 """
 
 from __future__ import annotations
@@ -17,29 +18,36 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, sampled, slices, texts, tidy
+from .common import fold, sampled, slices, texts, through_table, tidy
 
 #: Labelled rows, by smallest hash of their id, that the lexicon and the weights are learned from.
 SAMPLE = 20_000
 #: Lengths of stems; different contexts that a lexicon entry needs; how many times likelier it is in toxic documents, two deviations to the worse. All entries that meet these are kept; the sample bounds them.
 STEMS, CONTEXTS, LIFT = (3, 4, 5, 6, 7, 8), 8, 12.0
-#: Words after a negation that it reaches.
-SCOPE = 5
+#: Words after a negation that it reaches; words after a threatening verb within which its target stands.
+SCOPE, REACH = 5, 3
 #: Word lists of the grammar (fixed values, four languages).
 TARGETS = frozenset("you your yours u she he they them him her his these those this people everyone du dich dir dein deine ihr euch sie er tu te toi ton ta vous votre il elle ils eux tú usted ustedes él ella ellos vosotros".split())
 FIRST = frozenset("i we ich wir je nous yo nosotros".split())
 NEGATIONS = frozenset("not no never cannot n't without nicht kein keine nie niemals ohne pas jamais sans ni nunca jamás sin".split())
 REPORTS = frozenset("said says say called wrote claimed quoted reported told sagte sagt nannte schrieb behauptete dit disait appelé écrit dijo dice llamó escribió".split())
-THREATS = frozenset("kill murder hurt destroy shoot stab burn beat töten umbringen schlagen zerstören tuer frapper détruire brûler matar golpear destruir quemar".split())
+THREATS = frozenset("kill murder hurt destroy shoot stab burn beat".split())
+#: Threatening verbs of languages that put an object pronoun before them, and these pronouns.
+LATE_THREATS = frozenset("töten umbringen schlagen zerstören tuer frapper détruire brûler matar golpear destruir quemar".split())
+OBJECTS = frozenset("dich dir euch ihn ihm te toi vous os".split())
+#: Targets that are subjects in these languages (du is a French article too), so nobody whom a late verb after them threatens.
+SUBJECTS = frozenset("du er il ils tú".split())
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"«»„“”]")
 #: A colon ends no clause: what is said may follow it.
 CLAUSE = re.compile(r"[^.!?;\n]+")
 EVENTS = ("insult", "targeted insult", "negated insult", "reported insult", "targeted threat", "negated threat", "reported threat")
 
 # Component machines: state -> class -> state; a class that isn't listed keeps the state. Classes: I insult, H threat,
-# T target, A first person, N negation, R report, Q quotation mark, O other.
-CLASSES = "IHTANRQO"
-TARGET = {0: {"T": 1}, 1: {}}
+# L threat whose object may come before it, T target, P target as an object pronoun, A first person, N negation, R report,
+# Q quotation mark, O other.
+CLASSES = "IHLTPANRQO"
+# a target (1), an object pronoun (2) since the clause's start
+TARGET = {0: {"T": 1, "P": 2}, 1: {"P": 2}, 2: {}}
 NEGATION = {0: {"N": SCOPE}} | {k: {c: SCOPE if c == "N" else k - 1 for c in CLASSES} for k in range(1, SCOPE + 1)}
 # what others say is open after their verb, up to the end of the clause or of the quotation; one's own words (3) are no report
 REPORT = {0: {"R": 1, "A": 3}, 1: {"Q": 2}, 2: {"Q": 0}, 3: {c: 3 if c == "A" else 0 for c in CLASSES}}
@@ -62,7 +70,7 @@ GRAMMAR = compose(TARGET, NEGATION, REPORT)
 
 def emits(state: tuple, cls: str) -> str | None:
     """The event when an insult or a threat is read in a state; what weakens comes before what strengthens."""
-    if cls not in "IH":
+    if cls not in "IHL":
         return None
     target, negation, report = state
     kind = "negated " if negation else "reported " if report in (1, 2) else "targeted " if target else ""
@@ -78,7 +86,7 @@ class Lexicon:
         import ahocorasick
 
         self.any = ahocorasick.Automaton()
-        for w in {*words, *stems, *THREATS}:
+        for w in {*words, *stems, *THREATS, *LATE_THREATS}:
             self.any.add_word(w, w)
         self.any.make_automaton()
         self.lengths = sorted({len(s) for s in stems})
@@ -90,8 +98,10 @@ class Lexicon:
         for n in self.lengths:
             if w[:n] in self.stems and len(w) > n:
                 return "I", self.stems[w[:n]]
-        if w in THREATS:
-            return "H", 1.0
+        if w in THREATS or w in LATE_THREATS:
+            return "H" if w in THREATS else "L", 1.0
+        if w in OBJECTS:
+            return "P", 0.0
         return ("N" if w in NEGATIONS or w[-3:] in ("n't", "n’t") else "A" if w in FIRST else "R" if w in REPORTS else "T" if w in TARGETS else "Q" if not w[0].isalpha() else "O"), 0.0
 
     def spots(self, low: str) -> list[int]:
@@ -117,15 +127,17 @@ def matches(text: str, lex: Lexicon) -> tuple[Counter, float, set]:
         words = WORD.findall(clause.group())
         state = start
         read = [lex.read(w) for w in words]
-        after = sum(c == "T" for c, _ in read)  # a target may also follow what is said of it
-        for w, (c, x) in zip(words, read):
-            after -= c == "T"
+        after = sum(c in "TP" for c, _ in read)  # a target may also follow what is said of it
+        for k, (w, (c, x)) in enumerate(zip(words, read)):
+            after -= c in "TP"
+            met = state[0] == 2
             state, event = TRANSDUCER[state, c]
-            if c == "H" and not after:
+            near = any(d == "P" or d == "T" and (c == "H" or v not in SUBJECTS) for v, (d, _) in zip(words[k + 1 : k + 1 + REACH], read[k + 1 :]))
+            if c in "HL" and not near and not (c == "L" and met):
                 continue  # nobody is threatened
             if event:
                 if event in ("insult", "threat"):
-                    event = f"targeted {event}" if after else event
+                    event = f"targeted {event}" if after or event == "threat" else event
                 events[event] += 1
                 weight += x
                 entries.add(w)
@@ -149,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int =
     """(lexicon, weights) from labelled rows outside fold 0."""
     import numpy as np
 
-    rows = labelled(docs, labels, sample, folds)
+    rows = through_table(labelled(docs, labels, sample, folds), "labelled")  # read five times
     seen = rows.where("toxic = 1").mapInArrow(_contexts, "entry string, form string, context long").distinct()
     known = seen.groupBy("entry").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("form").alias("forms")).where((F.col("contexts") >= CONTEXTS) & (F.col("entry").startswith("=") | (F.col("forms") >= 6)))
     toxic = {r.entry: r.contexts for r in known.collect()}  # of at most `sample` texts

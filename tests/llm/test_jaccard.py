@@ -74,3 +74,11 @@ def test_empty_table_and_repeats(spark):
     assert got in ([(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 3, 3), (4, 1, 4)], [(1, 3, 1), (1, 3, 1), (2, 2, 2), (3, 3, 1), (4, 1, 4)])
     assert J.link(docs.limit(0), 3, 90).count() == 0
     assert sorted(r.doc_id for r in J.one_of_each(docs.where("doc_id is not null"), 3, 90).collect()) == [1, 1]
+
+
+def test_one_of_each_with_clashing_names(spark):
+    """Helper names of any kind in the documents, and the order of their columns."""
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([("x", 1, text, 0, 5, "a.b"), ("y", 2, text, 1, 6, "c"), ("z", None, text, 2, 7, "d")], "_extra string, doc_id long, text string, component_id int, n_shingles int, `key.x` string")
+    got = jaccard_join.one_of_each(df)
+    assert got.columns == df.columns and sorted(r["_extra"] for r in got.collect()) == ["x", "z"]

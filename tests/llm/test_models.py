@@ -305,16 +305,17 @@ def test_grammar(text, events):
 def test_grammar_against_a_plain_reading():
     """Random clauses, read word by word with plain variables."""
     rnd, lex = random.Random(7), LEX()
-    vocab = ["idiot", "zorplum", "kill", "you", "him", "i", "not", "won't", "said", '"', "the", "tree", "walks", "we"]
+    vocab = ["idiot", "zorplum", "kill", "töten", "dich", "you", "him", "i", "not", "won't", "said", '"', "the", "tree", "walks", "we"]
     for _ in range(4000):
         words = rnd.choices(vocab, k=rnd.randrange(1, 14))
         want: Counter = Counter()
         scope, told, quoted, own, target = 0, False, False, False, False
         for k, w in enumerate(words):
-            after = any(x in toxicity.TARGETS for x in words[k + 1 :])
-            bad = "insult" if w in ("idiot", "zorplum") else "threat" if w == "kill" and after else None
+            after = any(x in ("you", "him", "dich") for x in words[k + 1 :])
+            near = any(x in ("you", "him", "dich") for x in words[k + 1 : k + 4])
+            bad = "insult" if w in ("idiot", "zorplum") else "threat" if (w == "kill" and near) or (w == "töten" and (near or "dich" in words[:k])) else None
             if bad:
-                want[("negated " if scope else "reported " if told else "targeted " if target or after else "") + bad] += 1
+                want[("negated " if scope else "reported " if told else "targeted " if target or after or bad == "threat" else "") + bad] += 1
             scope = toxicity.SCOPE if w in ("not", "won't") else max(0, scope - 1)
             if told:
                 if w == '"':
@@ -322,7 +323,7 @@ def test_grammar_against_a_plain_reading():
             elif w == "said" and not own:
                 told, quoted = True, False
             own = not told and w in ("i", "we")
-            target = target or w in toxicity.TARGETS
+            target = target or w in ("you", "him", "dich")
         assert toxicity.matches(" ".join(words), lex)[0] == want, words
 
 
@@ -338,3 +339,21 @@ def test_urls(spark):
     assert got == sorted(map(repr, con.execute(url_filter.ORACLE).fetchall()))
     assert url_filter.judge(pages.limit(0), url_filter.rules_table(spark)).count() == 0
     assert {r.verdict for r in url_filter.judge(pages, url_filter.rules_table(spark).limit(0)).collect()} == {"allow"}
+
+
+@pytest.mark.parametrize("text", [
+    "I will kill you", "we are going to hurt all of you", "Ich werde dich töten", "ich werde euch alle umbringen", "ich will dich schlagen", "je vais te tuer", "je vais vous détruire", "je vais tuer toi", "Te voy a matar",
+    "os vamos a golpear", "te quiero destruir",
+])
+def test_threats_in_four_languages(text):
+    assert dict(toxicity.matches(text, LEX())[0]) == {"targeted threat": 1}
+
+
+@pytest.mark.parametrize("text", ["kill the process", "beat the eggs for her", "Ich will die Zeit töten", "Sie schlagen Eier", "je vais tuer le temps", "voy a matar el tiempo", "quemar la leña", "brûler du bois", "Te veo. Voy a matar el tiempo"])
+def test_no_threats_in_four_languages(text):
+    assert not toxicity.matches(text, LEX())[0]
+
+
+@pytest.mark.parametrize("text, event", [("je ne vais pas te tuer", "negated"), ("ich werde dich nicht töten", "negated"), ("Sie sagte, sie werde dich töten", "reported"), ("dijo te voy a matar", "reported")])
+def test_weakened_threats(text, event):
+    assert dict(toxicity.matches(text, LEX())[0]) == {f"{event} threat": 1}
