@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,12 +21,12 @@ from .common import slices, texts, tidy
 
 #: Ids that wait in a task's pool before windows are filled; sequences handed on at once; bytes of text worked on at once.
 HOLD, HANDED, AT_ONCE = 2 << 20, 1024, 4 << 20
-#: Distinct units that a worker remembers, and their longest.
-REMEMBERED, UNIT_BYTES = 100_000, 64
+#: Distinct units that a worker remembers, and their longest; units that the library gets as one text.
+REMEMBERED, UNIT_BYTES, CALL = 200_000, 64, 4096
 SEQUENCE = "sequence_id long, ids binary, padded_to int, pieces array<struct<doc_id:long,start:long,length:int,doc_tokens:long,offset:int>>"
 #: White space beyond ASCII as UTF-8 (fixed values of Unicode): texts with it go to the library whole.
 ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-SPACE = bytes(b in b" \t\n\x0b\x0c\r" for b in range(256))
+SPACE, LETTER, MARK = (bytes(b in s for b in range(256)) for s in (b" \t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 #: What a tokenizer file must state so that its units can be encoded apart (fixed values of the file).
 KNOWN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
@@ -33,31 +34,44 @@ KNOWN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "
 class Encoder:
     """Exactly the tokenizers library's encode(text, add_special_tokens=False), each distinct unit of a call encoded once.
 
-    A unit is a run of white space with the text up to the next one: no piece of the pre-tokenizer, no look-ahead and no
-    added token crosses its ends.
+    A unit is a run of white space with the text up to the next one, to a mark after a letter or, for a lone line end, none: no piece of the
+    pre-tokenizer and no look-ahead crosses its ends. Texts with an added token or odd white space go to the library whole.
     """
 
     def __init__(self, path: str):
         import json
 
+        import numpy as np
         from tokenizers import Tokenizer
 
         spec = json.loads(open(path, encoding="utf-8").read())
         self.whole = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None, "post_processor": None}))
-        plain = all(not re.search(r"\s", t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec.get("added_tokens", []))
-        self.by_units = spec["pre_tokenizer"] == KNOWN and spec["normalizer"] is None and plain
+        self.by_units = spec["pre_tokenizer"] == KNOWN and spec["normalizer"] is None
+        self.led = np.array([(self.whole.id_to_token(k) or "").startswith("Ġ") for k in range(self.whole.get_vocab_size(with_added_tokens=True))])
+        self.odd = re.compile(b"|".join([ODD_SPACE.pattern, *(re.escape(t["content"].encode()) for t in spec.get("added_tokens", []))]))
         self.held: dict[bytes, bytes] = {}
 
     def library(self, blobs: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch_fast([b.decode() for b in blobs], add_special_tokens=False)]
+
+    def _led(self, units: list[bytes]) -> list[bytes]:
+        """Ids of units that start with a space and hold no other white space: many in one text, where each one's first token shows the space."""
         import numpy as np
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast([b.decode() for b in blobs], add_special_tokens=False)]
+        out: list[bytes] = []
+        for k in range(0, len(units), CALL):
+            ids = np.frombuffer(self.library([b"".join(units[k : k + CALL])])[0], "<u4")
+            at, data = np.append(4 * np.flatnonzero(self.led[ids]), 4 * len(ids)).tolist(), ids.tobytes()
+            out += [data[a:b] for a, b in zip(at, at[1:])]
+        if len(out) != len(units):
+            raise ValueError("a unit's first token doesn't show its space")
+        return out
 
     def encode(self, blobs: list[bytes]):
         """(ids of all texts one after the other, where each text's start and end)."""
         import numpy as np
 
-        odd = {k for k, b in enumerate(blobs) if not self.by_units or ODD_SPACE.search(b)}
+        odd = {k for k, b in enumerate(blobs) if not self.by_units or self.odd.search(b)}
         flat, bounds = self._units([b"" if k in odd else b for k, b in enumerate(blobs)])
         if not odd:
             return flat, bounds
@@ -71,10 +85,12 @@ class Encoder:
         import pyarrow as pa
 
         data, at = np.frombuffer(b"".join(blobs), np.uint8), np.cumsum([0, *map(len, blobs)])
-        space = np.frombuffer(SPACE, bool)[data]
-        starts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-        # every text starts a unit; those of empty texts are empty
-        cuts = np.union1d(starts, at[:-1][np.diff(at) > 0]) if len(data) else np.zeros(0, np.int64)
+        space, letter, mark = (np.frombuffer(x, bool)[data] for x in (SPACE, LETTER, MARK))
+        start = np.zeros(len(data), bool)
+        start[1:] = (space[1:] & ~space[:-1]) | (mark[1:] & letter[:-1])
+        start[2:] |= ~space[2:] & (data[1:-1] == 10) & ~space[:-2]  # after a line's end that stands alone
+        start[at[:-1][np.diff(at) > 0]] = True  # every text but the empty ones
+        cuts = np.flatnonzero(start)
         units = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(data)])
         coded = units.dictionary_encode()
         ids = self._known(coded.dictionary.to_pylist())
@@ -86,10 +102,13 @@ class Encoder:
 
     def _known(self, units: list[bytes]) -> list[bytes]:
         new = [u for u in units if u not in self.held]
-        found = dict(zip(new, self.library(new)))
-        if len(self.held) > REMEMBERED:
-            self.held = {}
-        out = [found[u] if u in found else self.held[u] for u in units] if self.held else [found[u] if u in found else self.library([u])[0] for u in units]
+        led = [u for u in new if u[0] == 32 and len(u) > 1 and not SPACE[u[1]]]
+        found = dict(zip(led, self._led(led)))
+        rest = [u for u in new if u not in found]
+        found.update(zip(rest, self.library(rest)))
+        out = [found.get(u) or self.held[u] for u in units]
+        if len(self.held) + len(found) > REMEMBERED:  # the units of this call are likelier than older ones
+            self.held = dict(zip(units, out)) if len(units) <= REMEMBERED else {}
         self.held.update((u, b) for u, b in found.items() if len(u) <= UNIT_BYTES)
         return out
 
