@@ -6,16 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH = 2500
+#: Positions per bucket in which neighbours are looked for.
+BUCKET = 1_000_000
 
 
-def build(regions: DataFrame, width: int = WIDTH, lengths: DataFrame | None = None) -> DataFrame:
+def build(regions: DataFrame, width: int = WIDTH, lengths: DataFrame | None = None, bucket: int = BUCKET) -> DataFrame:
     """set_id, region_id, chrom, side, start, stop, clipped: LEFT up to the furthest end of earlier regions of the set, RIGHT up to the next region's start.
 
-    Empty flanks give no row. lengths (chrom, total) clips at chromosome ends where given. The window is one set's regions
-    on one chromosome.
+    Empty flanks give no row. lengths (chrom, total) clips at chromosome ends where given. Neighbours are looked for among
+    the regions that start in one bucket of positions, then one row per bucket carries the furthest end and the first start
+    on to the others; so no task holds a large set's chromosome, and a set within one bucket costs one window.
     """
-    w = Window.partitionBy("set_id", "chrom").orderBy("start", "stop", "region_id")
-    near = regions.select("set_id", "region_id", "chrom", "start", "stop", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("start").over(w).alias("after"))
+    group = ["set_id", "chrom", "_bucket"]
+    w = Window.partitionBy(*group).orderBy("start", "stop", "region_id")
+    own = regions.select("set_id", "region_id", "chrom", "start", "stop", F.expr(f"start div {bucket}").alias("_bucket"))
+    near = own.select("*", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.lead("start").over(w).alias("_after"))
+    v = Window.partitionBy("_set", "_chrom").orderBy("_at")
+    ends = own.groupBy(*(F.col(c).alias(d) for c, d in zip(group, ("_set", "_chrom", "_at")))).agg(F.max("stop").alias("_stop"), F.min("start").alias("_start"))
+    ends = ends.select("_set", "_chrom", "_at", F.max("_stop").over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("_far"), F.lead("_start").over(v).alias("_next"))
+    met = F.col("set_id").eqNullSafe(F.col("_set")) & F.col("chrom").eqNullSafe(F.col("_chrom")) & F.col("_bucket").eqNullSafe(F.col("_at"))
+    near = near.join(ends, met).select("set_id", "region_id", "chrom", "start", "stop", F.greatest("_before", "_far").alias("before"), F.coalesce("_after", "_next").alias("after"))
     if lengths is not None:
         near = near.join(lengths, "chrom", "left").withColumn("after", F.least("after", "total"))
     left = F.struct(F.lit("LEFT").alias("side"), F.greatest(F.lit(0), F.col("start") - width, F.coalesce("before", F.lit(0))).alias("start"), F.col("start").alias("stop"))
@@ -73,9 +83,9 @@ def breakdown(comparisons: DataFrame, key: list[str]) -> DataFrame:
 
 
 def chunks(sequences: DataFrame, key: list[str], size: int = 64) -> DataFrame:
-    """A sequence table as (key, chunk, part)."""
-    n = F.greatest(F.ceil(F.length("seq") / size).cast("int"), F.lit(1))
-    return sequences.select(*key, F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"), "seq").select(*key, "chunk", F.expr(f"substring(seq, chunk * {size} + 1, {size})").alias("part"))
+    """A sequence table as (key, chunk, part), each sequence cut in one walk from its start to its end. One without letters has one empty chunk, a null one a null chunk."""
+    parts = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return sequences.select(*key, F.posexplode(F.when(F.length("seq") > 0, parts).otherwise(F.array("seq"))).alias("chunk", "part"))
 
 
 def extract(intervals: DataFrame, parts: DataFrame, key: list[str], ident: list[str], size: int = 64) -> DataFrame:
@@ -88,24 +98,27 @@ def extract(intervals: DataFrame, parts: DataFrame, key: list[str], ident: list[
     return met.groupBy(*ident, "start", "stop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))), lambda x: x["p"]), "").alias("seq"))
 
 
-def hits(regions: DataFrame, letters: DataFrame, pairs: DataFrame, width: int, min_score: int, k: int = 10) -> DataFrame:
-    """set_id, a_region_id, b_region_id, cls of every comparison of a pair with a segment of min_score or more: LL, RR, LR, RL of its flanks, B of the bodies.
+def hits(regions: DataFrame, letters: DataFrame, pairs: DataFrame, width: int, min_score: int | None = None, max_e: float | None = None, k: int = 10, masked: bool = False) -> DataFrame:
+    """set_id, a_region_id, b_region_id, cls of every comparison of a pair with a segment of min_score or more, or of an e-value of at most max_e: LL, RR, LR, RL of its flanks, B of the bodies.
 
-    letters: chrom, seq. Each flank and body is cut from the chromosome's chunks once and searched once within its set; the
-    seeds are kept where a comparison asks for them, and only those are extended.
+    letters: chrom, seq. Each flank and body is cut from the chromosome's chunks once, written once, masked if asked for
+    (low complexity gives no seeds) and searched once within its set; runs of words meet only for what a comparison asks.
     """
     from regionpairs.operators import similarity
+    from regionpairs.plans.shared import through_table
 
     around = build(regions, width)
     code = lambda letter: F.when(letter == "L", 1).otherwise(2)
     asked = by_class(pairs, around).select("set_id", "a_region_id", "b_region_id", "cls", (F.col("a_region_id") * 4 + code(F.substring("cls", 1, 1))).alias("a"), (F.col("b_region_id") * 4 + code(F.substring("cls", 2, 1))).alias("b"))
     bodies = pairs.select("set_id", "a_region_id", "b_region_id", F.lit("B").alias("cls"), (F.col("a_region_id") * 4).alias("a"), (F.col("b_region_id") * 4).alias("b"))
-    asked = asked.unionByName(bodies)
+    asked = through_table(asked.unionByName(bodies), "asked")
     spans = around.select("set_id", "chrom", "start", "stop", (F.col("region_id") * 4 + code(F.substring("side", 1, 1))).alias("member")).unionByName(regions.select("set_id", "chrom", "start", "stop", (F.col("region_id") * 4).alias("member")))
-    seqs = extract(spans, chunks(letters, ["chrom"]), ["chrom"], ["set_id", "member"]).select("set_id", "member", "seq")
-    diagonals = similarity.seeds(seqs, k).join(asked.select("set_id", "a", "b"), ["set_id", "a", "b"], "left_semi")
-    found = similarity.segments(diagonals, seqs).where(F.col("score") >= min_score).select("set_id", "a", "b").distinct()
-    return asked.join(found, ["set_id", "a", "b"]).select("set_id", "a_region_id", "b_region_id", "cls")
+    seqs = through_table(extract(spans, chunks(letters, ["chrom"]), ["chrom"], ["set_id", "member"]).select("set_id", "member", "seq"), "members")
+    diagonals = similarity.seeds(similarity.masked(seqs) if masked else seqs, k, asked=asked.select("set_id", "a", "b"))
+    found = similarity.with_e_values(similarity.segments(diagonals, seqs), max_e)
+    if min_score is not None:
+        found = found.where(F.col("score") >= min_score)
+    return asked.join(found.select("set_id", "a", "b").distinct(), ["set_id", "a", "b"]).select("set_id", "a_region_id", "b_region_id", "cls")
 
 
 def hit_breakdown(found: DataFrame) -> DataFrame:

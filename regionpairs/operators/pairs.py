@@ -6,11 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def within_sets(items: DataFrame, order: list[str], keep: list[str], by: str = "set_id") -> DataFrame:
-    """Every unordered pair of a set once, as columns a_* and b_*, the smaller by `order` first. An equi-join on the set; the comparison is its residual."""
-    a = items.select(F.col(by), *(F.col(c).alias(f"a_{c}") for c in keep), F.struct(*order).alias("_a"))
-    b = items.select(F.col(by), *(F.col(c).alias(f"b_{c}") for c in keep), F.struct(*order).alias("_b"))
-    return a.join(b, by).where(F.col("_a") < F.col("_b")).drop("_a", "_b")
+#: Items of a set that make a block; a task compares the items of two blocks at most.
+BLOCK = 4096
+
+
+def block_pairs(items: DataFrame, by: str, ident: list[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """items for the first and for the second side of all pairs within sets, with the key columns _first and _second that both sides join on besides `by`.
+
+    A set of more than `block` items is dealt out in blocks by a hash of ident: an item goes to each block of the other side,
+    and every ordered pair of items meets under one key. Sets without such a size keep one key. Items without a set have no pairs.
+    """
+    n = items.groupBy(by).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    dealt = items.join(n, by).withColumn("_own", F.pmod(F.xxhash64(*ident), F.col("_n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_n") - 1))
+    return dealt.withColumn("_second", every).withColumnRenamed("_own", "_first").drop("_n"), dealt.withColumn("_first", every).withColumnRenamed("_own", "_second").drop("_n")
+
+
+def within_sets(items: DataFrame, order: list[str], keep: list[str], by: str = "set_id", block: int = BLOCK) -> DataFrame:
+    """Every unordered pair of a set once, as columns a_* and b_*, the smaller by `order` first. An equi-join on the set and its blocks; the comparison is its residual."""
+    first, second = block_pairs(items, by, order, block)
+    a = first.select(F.col(by), "_first", "_second", *(F.col(c).alias(f"a_{c}") for c in keep), F.struct(*order).alias("_a"))
+    b = second.select(F.col(by), "_first", "_second", *(F.col(c).alias(f"b_{c}") for c in keep), F.struct(*order).alias("_b"))
+    return a.join(b, [by, "_first", "_second"]).where(F.col("_a") < F.col("_b")).drop("_a", "_b", "_first", "_second")
 
 
 def with_hits(pairs: DataFrame, hits: DataFrame, key: list[str]) -> DataFrame:

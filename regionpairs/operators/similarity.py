@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionpairs.functions import columns as C
+from regionpairs.operators.pairs import BLOCK, block_pairs
 
 WORD = 10
 
@@ -16,18 +17,52 @@ def words(seq: Column, k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("pos"), seq.substr(i + 1, F.lit(k)).alias("kmer")))).otherwise(F.expr("cast(array() as array<struct<pos:int,kmer:string>>)"))
 
 
-def seeds(seqs: DataFrame, k: int = WORD) -> DataFrame:
+def runs(seqs: DataFrame, k: int) -> DataFrame:
+    """set_id, member, kmer, lo, step, n: the places of every k-letter word of a sequence, those at equal distances as one run (lo, lo + step, ... n places).
+
+    Words are sorted within the row; a run ends where the word or the distance changes, so poly-A is one run and a repeated
+    unit one run per word of it, however long. Words with a masked letter (N) are none.
+    """
+    at = seqs.select("set_id", "member", F.filter(words(F.col("seq"), k), lambda w: ~F.contains(w["kmer"], F.lit("N"))).alias("_w"))
+    at = at.withColumn("_once", F.size(F.array_distinct(F.transform("_w", lambda w: w["kmer"]))) == F.size("_w"))
+    at = at.withColumn("_s", F.when(~F.col("_once"), F.array_sort(F.transform("_w", lambda w: F.struct(w["kmer"].alias("kmer"), w["pos"].alias("pos"))))))
+    same = lambda i: f"coalesce(get(_s, {i}).kmer = get(_s, {i} - 1).kmer, false)"
+    gap = lambda i: f"get(_s, {i}).pos - get(_s, {i} - 1).pos"
+    # the first of a run: another word, or another distance than the one before
+    begins = lambda i: f"(not {same(i)} or ({same(f'{i} - 1')} and {gap(i)} <> {gap(f'{i} - 1')}))"
+    edge = lambda test: F.expr(f"array_compact(transform(_s, (x, i) -> if({test}, struct(x.kmer as kmer, x.pos as pos, i as i), null)))")
+    some = at.where("not _once").select("set_id", "member", F.explode(F.arrays_zip(edge(begins("i")).alias("a"), edge(begins("(i + 1)")).alias("b"))).alias("r"))
+    n = F.col("r.b.i") - F.col("r.a.i") + 1
+    step = F.when(n > 1, ((F.col("r.b.pos") - F.col("r.a.pos")) / (n - 1)).cast("int")).otherwise(1)
+    some = some.select("set_id", "member", F.col("r.a.kmer").alias("kmer"), F.col("r.a.pos").alias("lo"), step.alias("step"), n.alias("n"))
+    single = at.where("_once").select("set_id", "member", F.explode("_w").alias("w")).select("set_id", "member", "w.kmer", F.col("w.pos").alias("lo"), F.lit(1).alias("step"), F.lit(1).alias("n"))
+    return single.unionByName(some)
+
+
+def seeds(seqs: DataFrame, k: int = WORD, asked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """set_id, a, b, strand, diag: diagonals of set members (columns set_id, member, seq) on which a k-letter word occurs in both, on either strand of b.
 
-    An equi-join on set and word; case doesn't count, and a word with a masked letter (N) is none. diag is a's position less b's, b's counted on the stated strand.
+    An equi-join on set, word and the set's blocks of members (pairs.block_pairs); case doesn't count, and a word with a
+    masked letter (N) is none. diag is a's position less b's, b's counted on the stated strand. Runs of a word meet as
+    intervals of diagonals, so a word that fills two sequences is one row of the join; no word is left out however
+    frequent. asked (set_id, a, b): only these pairs.
     """
-    upper = seqs.withColumn("seq", F.upper("seq"))
-    spots = lambda df: df.select("set_id", "member", F.explode(words(F.col("seq"), k)).alias("w")).select("set_id", "member", F.col("w.pos").alias("pos"), F.col("w.kmer").alias("kmer")).where("instr(kmer, 'N') = 0")
-    a = spots(upper).select("set_id", "kmer", F.col("member").alias("a"), F.col("pos").alias("a_pos"))
-    plus = spots(upper).withColumn("strand", F.lit("+"))
-    minus = spots(upper.withColumn("seq", C.reverse_complement(F.col("seq")))).withColumn("strand", F.lit("-"))
-    b = plus.unionByName(minus).select("set_id", "kmer", "strand", F.col("member").alias("b"), F.col("pos").alias("b_pos"))
-    return a.join(b, ["set_id", "kmer"]).where("a < b").select("set_id", "a", "b", "strand", (F.col("a_pos") - F.col("b_pos")).alias("diag")).distinct()
+    upper = seqs.select("set_id", "member", F.upper("seq").alias("seq"))
+    first, second = block_pairs(upper, "set_id", ["member"], block)
+    # the block numbers travel with the member
+    held = lambda df, both: runs(df.select(F.struct("set_id", "_first", "_second").alias("set_id"), "member", "seq"), k).select("set_id.*", "member", "kmer", "lo", "step", "n", *both)
+    a = held(first, []).select("set_id", "_first", "_second", "kmer", F.col("member").alias("a"), F.col("lo").alias("a_lo"), F.col("step").alias("a_step"), F.col("n").alias("a_n"))
+    minus = second.withColumn("seq", C.reverse_complement(F.col("seq")))
+    b = held(second, [F.lit("+").alias("strand")]).unionByName(held(minus, [F.lit("-").alias("strand")])).select("set_id", "_first", "_second", "kmer", "strand", F.col("member").alias("b"), F.col("lo").alias("b_lo"), F.col("step").alias("b_step"), F.col("n").alias("b_n"))
+    met = a.join(b, ["set_id", "_first", "_second", "kmer"]).where("a < b")
+    if asked is not None:
+        met = met.join(asked, ["set_id", "a", "b"], "left_semi")
+    zero, step = F.col("a_lo") - F.col("b_lo"), F.when(F.col("a_n") > 1, F.col("a_step")).otherwise(F.col("b_step"))
+    along = F.sequence(zero - (F.col("b_n") - 1) * step, zero + (F.col("a_n") - 1) * step, step)
+    # runs of different steps: all their places, which differ by other numbers
+    each = F.flatten(F.transform(F.sequence(F.lit(0), F.col("a_n") - 1), lambda i: F.transform(F.sequence(F.lit(0), F.col("b_n") - 1), lambda j: zero + i * F.col("a_step") - j * F.col("b_step"))))
+    met = met.select("set_id", "a", "b", "strand", F.when((F.col("a_n") == 1) | (F.col("b_n") == 1) | (F.col("a_step") == F.col("b_step")), along).otherwise(each).alias("_d"))
+    return met.select("set_id", "a", "b", "strand", F.explode("_d").alias("diag")).distinct()
 
 
 def segments(diagonals: DataFrame, seqs: DataFrame) -> DataFrame:

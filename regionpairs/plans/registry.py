@@ -95,18 +95,18 @@ def flanks_clipped(s, d):
     return flanks.build(V.regions(s, d))
 
 
-FD = """fd AS (SELECT a_region_id, b_region_id FROM pr JOIN fl x ON x.region_id = a_region_id AND x.side = 'RIGHT' JOIN fl y ON y.region_id = b_region_id AND y.side = 'LEFT'
+FD = """fd AS (SELECT a_region_id, b_region_id, true AS gone FROM pr JOIN fl x ON x.region_id = a_region_id AND x.side = 'RIGHT' JOIN fl y ON y.region_id = b_region_id AND y.side = 'LEFT'
 WHERE x.stop - x.start = 2500 AND y.stop - y.start = 2500 AND b_start - a_stop < 5000)"""
 
 
-@query(with_(V.IV, PR, FL, FD) + "SELECT a_region_id, b_region_id, (a_region_id, b_region_id) IN (SELECT (a_region_id, b_region_id) FROM fd) AS facing_dropped FROM pr")
+@query(with_(V.IV, PR, FL, FD) + "SELECT a_region_id, b_region_id, fd.gone IS NOT NULL AS facing_dropped FROM pr LEFT JOIN fd USING (a_region_id, b_region_id)")
 def flanks_inner_drop(s, d):
     return flanks.facing_dropped(_same(s, d).select("set_id", "a_region_id", "b_region_id"), flanks.build(V.regions(s, d))).select("a_region_id", "b_region_id", "facing_dropped")
 
 
-CP = """cp AS (SELECT p.set_id, a_region_id, b_region_id, left(x.side, 1) || left(y.side, 1) AS cls FROM pr p JOIN fl x ON x.region_id = a_region_id JOIN fl y ON y.region_id = b_region_id
+CP = """cp AS (SELECT p.set_id, a_region_id, b_region_id, left(x.side, 1) || left(y.side, 1) AS cls FROM pr p JOIN fl x ON x.region_id = a_region_id JOIN fl y ON y.region_id = b_region_id LEFT JOIN fd USING (a_region_id, b_region_id)
 WHERE x.stop - x.start >= 10 AND y.stop - y.start >= 10 AND (x.stop <= y.start OR y.stop <= x.start)
-AND NOT ((x.side = 'RIGHT' OR y.side = 'LEFT') AND (a_region_id, b_region_id) IN (SELECT (a_region_id, b_region_id) FROM fd)))"""
+AND (fd.gone IS NULL OR (x.side = 'LEFT' AND y.side = 'RIGHT')))"""
 
 
 def _classes(s, d):
@@ -357,7 +357,7 @@ FH = (
     "sp AS (SELECT set_id, region_id * 4 + CASE side WHEN 'LEFT' THEN 1 ELSE 2 END AS member, start, stop FROM fl UNION ALL SELECT set_id, region_id * 4, start, stop FROM iv)",
     "sq AS (SELECT sp.set_id, member, substr(seq, start + 1, stop - start) AS seq FROM sp JOIN gn ON gn.set_id = sp.set_id)",
     SD.replace("sd AS (", "s0 AS ("), "sd AS (SELECT s0.* FROM s0 JOIN cf ON cf.set_id = s0.set_id AND cf.a = s0.a AND cf.b = s0.b)", SG,
-    "fh AS (SELECT DISTINCT cf.* FROM cf JOIN hs ON hs.set_id = cf.set_id AND hs.a = cf.a AND hs.b = cf.b WHERE hs.score >= 24)",
+    f"fh AS (SELECT DISTINCT cf.* FROM cf JOIN hs ON hs.set_id = cf.set_id AND hs.a = cf.a AND hs.b = cf.b WHERE {C.K} * hs.a_len * hs.b_len * exp(-{C.LAMBDA} * hs.score) <= 0.0001)",
     """fb AS (SELECT set_id, a_region_id, b_region_id, bool_or(cls = 'LL') AS "LL", bool_or(cls = 'RR') AS "RR", bool_or(cls = 'LR') AS "LR", bool_or(cls = 'RL') AS "RL", bool_or(cls = 'B') AS body FROM fh GROUP BY ALL)""",
     """fz AS (SELECT *, ("LL" AND "RR") OR ("LR" AND "RL") AS double FROM fb)""",
 )
@@ -367,7 +367,7 @@ FH = (
 def flank_hits(s, d):
     sites = V.sites(s, d)
     two = pairs.within_sets(sites, ORDER, KEEP).select("set_id", "a_region_id", "b_region_id")
-    return flanks.hit_breakdown(flanks.hits(sites, V.genome(s, d).select("chrom", "seq"), two, width=60, min_score=24))
+    return flanks.hit_breakdown(flanks.hits(sites, V.genome(s, d).select("chrom", "seq"), two, width=60, max_e=1e-4))
 
 
 @query(with_(V.SQ) + "SELECT set_id, member, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS minus, length(seq) - 3 - length(seq) // 2 AS plus_start FROM sq")
