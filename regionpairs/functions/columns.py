@@ -79,9 +79,22 @@ def edit_script(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+[a-zA-Z])"), F.lit(1)), lambda x: F.struct(F.regexp_extract(x, r"\d+", 0).cast("int").alias("len"), F.regexp_extract(x, r"[a-zA-Z]", 0).alias("op")))
 
 
-def e_value(score: Column, m: Column, n: Column) -> Column:
-    """Karlin-Altschul expectation of an ungapped segment score, without length adjustment."""
-    return F.lit(K) * m * n * F.exp(-F.lit(LAMBDA) * score)
+def e_value(score: Column, m: Column, n: Column, scale: Column | None = None) -> Column:
+    """Karlin-Altschul expectation of an ungapped segment score, without length adjustment; scale: lambda, else that of uniform bases."""
+    return F.lit(K) * m * n * F.exp(-(F.lit(LAMBDA) if scale is None else scale) * score)
+
+
+def karlin_lambda(match: Column, steps: int = 60) -> Column:
+    """The scale of scores: the positive root of match e^(2x) + (1 - match) e^(-3x) = 1, where match is the probability that two random letters are equal.
+
+    By bisection within the row, between 0 and where the first term alone is 1. Null where the expected score isn't
+    negative (match of 0.6 or more) or match isn't positive: there is no root.
+    """
+    over = lambda x: match * F.exp(MATCH * x) + (1 - match) * F.exp(MISMATCH * x) > 1
+    mid = lambda z: (z["lo"] + z["hi"]) / 2
+    start = F.struct(F.lit(0.0).alias("lo"), (-F.ln(match) / MATCH).alias("hi"))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda z, _: F.when(over(mid(z)), F.struct(z["lo"].alias("lo"), mid(z).alias("hi"))).otherwise(F.struct(mid(z).alias("lo"), z["hi"].alias("hi"))))
+    return F.when((match > 0) & (match * MATCH + (1 - match) * MISMATCH < -1e-12), mid(end))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:

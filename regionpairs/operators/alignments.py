@@ -28,7 +28,7 @@ def metrics(blocks: DataFrame, key: list[str]) -> DataFrame:
     gap = (F.col("x") == "-") | (F.col("y") == "-")
     opens = ((F.col("x") == "-") & (F.col("px") != "-")).cast("int") + ((F.col("y") == "-") & (F.col("py") != "-")).cast("int")
     got = scored.groupBy(*key).agg(
-        F.coalesce(F.sum("s"), F.lit(0)).alias("subst"), F.sum((F.col("x") == F.col("y")).cast("int")).alias("matches"), F.sum((~gap).cast("int")).alias("aligned"), F.count("*").alias("columns"), F.sum(opens).alias("gap_runs"), F.sum(gap.cast("int")).alias("gap_columns")
+        F.coalesce(F.sum("s"), F.lit(0)).alias("subst"), F.sum(((F.col("x") == F.col("y")) & ~gap).cast("int")).alias("matches"), F.sum((~gap).cast("int")).alias("aligned"), F.count("*").alias("columns"), F.sum(opens).alias("gap_runs"), F.sum(gap.cast("int")).alias("gap_columns")
     )
     return got.withColumn("score", F.col("subst") - schemas.GAP_OPEN * F.col("gap_runs") - schemas.GAP_EXTEND * F.col("gap_columns")).drop("subst")
 

@@ -43,6 +43,9 @@ def composition(df: DataFrame, seq: Column) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """Count, mean and exact quartiles per group."""
-    q = F.percentile(x, F.array(*(F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0))))
-    return df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), q.alias("q")).select(*by, "n", "mean", *(F.col("q")[k].alias(f"q{k}") for k in range(5)))
+    """Count, mean and exact quartiles per group that has a value; see nulls.quantiles."""
+    from regionpairs.operators import nulls
+
+    mean = df.groupBy(F.struct(*by).alias("_g")).agg(F.avg(x).alias("mean"))
+    got = nulls.quantiles(df, by, x, (0.0, 0.25, 0.5, 0.75, 1.0)).withColumn("_g", F.struct(*by)).drop(*by)
+    return got.join(mean, "_g").select(*(F.col(f"_g.{c}").alias(c) for c in by), "n", "mean", *(F.col("q")[k].alias(f"q{k}") for k in range(5)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionpairs.functions import columns as C
 from regionpairs.operators.pairs import BLOCK, block_pairs
+from regionpairs.plans.shared import through_table
 
 WORD = 10
 
@@ -39,6 +41,13 @@ def runs(seqs: DataFrame, k: int) -> DataFrame:
     return single.unionByName(some)
 
 
+def spots(seqs: DataFrame, ident: list[str], k: int = WORD) -> DataFrame:
+    """ident, strand, kmer, lo, step, n: the runs of words of every sequence (ident, seq) on both strands; case doesn't count."""
+    upper = seqs.select(F.struct(*ident).alias("set_id"), F.lit(0).alias("member"), F.upper("seq").alias("seq"))
+    minus = upper.withColumn("seq", C.reverse_complement(F.col("seq")))
+    return runs(upper, k).withColumn("strand", F.lit("+")).unionByName(runs(minus, k).withColumn("strand", F.lit("-"))).select("set_id.*", "strand", "kmer", "lo", "step", "n")
+
+
 def seeds(seqs: DataFrame, k: int = WORD, asked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """set_id, a, b, strand, diag: diagonals of set members (columns set_id, member, seq) on which a k-letter word occurs in both, on either strand of b.
 
@@ -47,14 +56,22 @@ def seeds(seqs: DataFrame, k: int = WORD, asked: DataFrame | None = None, block:
     intervals of diagonals, so a word that fills two sequences is one row of the join; no word is left out however
     frequent. asked (set_id, a, b): only these pairs.
     """
-    upper = seqs.select("set_id", "member", F.upper("seq").alias("seq"))
-    first, second = block_pairs(upper, "set_id", ["member"], block)
-    # the block numbers travel with the member
-    held = lambda df, both: runs(df.select(F.struct("set_id", "_first", "_second").alias("set_id"), "member", "seq"), k).select("set_id.*", "member", "kmer", "lo", "step", "n", *both)
-    a = held(first, []).select("set_id", "_first", "_second", "kmer", F.col("member").alias("a"), F.col("lo").alias("a_lo"), F.col("step").alias("a_step"), F.col("n").alias("a_n"))
-    minus = second.withColumn("seq", C.reverse_complement(F.col("seq")))
-    b = held(second, [F.lit("+").alias("strand")]).unionByName(held(minus, [F.lit("-").alias("strand")])).select("set_id", "_first", "_second", "kmer", "strand", F.col("member").alias("b"), F.col("lo").alias("b_lo"), F.col("step").alias("b_step"), F.col("n").alias("b_n"))
-    met = a.join(b, ["set_id", "_first", "_second", "kmer"]).where("a < b")
+    first, second = block_pairs(seqs.select("set_id", "member", "seq"), "set_id", ["member"], block)
+    ident = ["set_id", "_first", "_second", "member"]
+    plus = runs(first.select(F.struct(*ident[:3]).alias("set_id"), "member", F.upper("seq").alias("seq")), k).select("set_id.*", "member", "kmer", "lo", "step", "n")
+    return _diagonals(plus, spots(second, ident, k), asked)
+
+
+def seeds_in(members: DataFrame, words_of: DataFrame, ident: str, asked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """As seeds, for sets (set_id, member, ident) of sequences whose runs of words (spots: ident, strand, ...) are there already; so all replicates of a control share them."""
+    first, second = block_pairs(members.select("set_id", "member", ident), "set_id", ["member"], block)
+    return _diagonals(first.join(words_of.where("strand = '+'").drop("strand"), ident), second.join(words_of, ident), asked)
+
+
+def _diagonals(first: DataFrame, second: DataFrame, asked: DataFrame | None) -> DataFrame:
+    key = ["set_id", "_first", "_second", "kmer"]
+    side = lambda df, p, more: df.select(*key, F.col("member").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("lo", "step", "n")), *more)
+    met = side(first, "a", []).join(side(second, "b", ["strand"]), key).where("a < b")
     if asked is not None:
         met = met.join(asked, ["set_id", "a", "b"], "left_semi")
     zero, step = F.col("a_lo") - F.col("b_lo"), F.when(F.col("a_n") > 1, F.col("a_step")).otherwise(F.col("b_step"))
@@ -96,12 +113,24 @@ def segments(diagonals: DataFrame, seqs: DataFrame) -> DataFrame:
     return out
 
 
-def with_e_values(hits: DataFrame, cutoff: float | None = None) -> DataFrame:
-    """Score-to-expectation; a cutoff is applied to the score first, where it needs no exponential."""
-    out = hits.withColumn("evalue", C.e_value(F.col("score"), F.col("a_len"), F.col("b_len")))
+def with_e_values(hits: DataFrame, cutoff: float | None = None, scales: DataFrame | None = None) -> DataFrame:
+    """Score-to-expectation, optionally cut off. scales (set_id, scale): each set's own scale; a set without one has null expectations."""
+    scale = None
+    if scales is not None:
+        hits, scale = hits.join(scales.select("set_id", "scale"), "set_id", "left"), F.col("scale")
+    out = hits.withColumn("evalue", C.e_value(F.col("score"), F.col("a_len"), F.col("b_len"), scale))
     return out if cutoff is None else out.where(F.col("evalue") <= cutoff)
 
 
+def score_scales(seqs: DataFrame) -> DataFrame:
+    """set_id, letters (A, C, G and T of all members), match (that two of them are equal), scale (lambda) for the set's own base composition; null without letters or where there is none."""
+    n = [F.sum(F.regexp_count(F.upper("seq"), F.lit(x))).cast("double").alias(x) for x in "ACGT"]
+    got = seqs.groupBy("set_id").agg(*n)
+    total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
+    match = F.try_divide(F.col("A") * F.col("A") + F.col("C") * F.col("C") + F.col("G") * F.col("G") + F.col("T") * F.col("T"), total * total)
+    return got.select("set_id", total.cast("bigint").alias("letters"), match.alias("match")).withColumn("scale", C.karlin_lambda(F.col("match")))
+
+
 def best_per_pair(hits: DataFrame, key: list[str]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(F.desc("score"), "strand", "qstart", "sstart")
     return hits.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
@@ -125,8 +154,32 @@ def _jaccard(sets: DataFrame) -> DataFrame:
     return both.select("set_id", "a", "b", "shared", total.alias("total"), (F.col("shared") / total).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("containment"))
 
 
-def motif_jaccard(motifs: DataFrame) -> DataFrame:
-    """As word_jaccard, of the distinct motif groups (set_id, member, w)."""
+def minhash_links(seqs: DataFrame, k: int, least: float = 0.5, bands: int = 24, rows: int = 2) -> DataFrame:
+    """set_id, a, b, shared, total, jaccard, containment of the members of a set whose distinct k-letter words have a Jaccard similarity of `least` or more, found by MinHash.
+
+    A sequence keeps bands * rows minima of salted hashes of its words; pairs that agree in a band's `rows` minima are
+    candidates, which are then compared exactly. So no word is joined, however frequent; a pair of similarity s is found
+    with probability 1 - (1 - s^rows)^bands. Sequences shorter than a word have none. Candidates of a band that many
+    members share are as many as their pairs.
+    """
+    sets = seqs.select("set_id", "member", F.array_distinct(F.transform(words(F.upper("seq"), k), lambda w: w["kmer"])).alias("ws")).where("size(ws) > 0")
+    one = lambda j: F.array_min(F.transform("ws", lambda w: F.md5(F.concat(F.lit(f"{j}|"), w).cast("binary"))))
+    mins = sets.select("set_id", "member", "ws", F.array(*(F.concat_ws("|", F.lit(str(b)), *(one(b * rows + r) for r in range(rows))) for b in range(bands))).alias("_bands"))
+    mins = through_table(mins, "minima")
+    keys = mins.select("set_id", "member", F.explode("_bands").alias("_band"))
+    a, b = keys.withColumnRenamed("member", "a"), keys.withColumnRenamed("member", "b")
+    near = a.join(b, ["set_id", "_band"]).where("a < b").select("set_id", "a", "b").distinct()
+    both = near.join(mins.select("set_id", F.col("member").alias("a"), F.col("ws").alias("_x")), ["set_id", "a"]).join(mins.select("set_id", F.col("member").alias("b"), F.col("ws").alias("_y")), ["set_id", "b"])
+    both = both.select("set_id", "a", "b", F.size(F.array_intersect("_x", "_y")).cast("bigint").alias("shared"), F.size("_x").alias("_m"), F.size("_y").alias("_n"))
+    total = (F.col("_m") + F.col("_n") - F.col("shared")).cast("bigint")
+    out = both.select("set_id", "a", "b", "shared", total.alias("total"), (F.col("shared") / total).alias("jaccard"), (F.col("shared") / F.least("_m", "_n")).alias("containment"))
+    return out.where(F.col("jaccard") >= least)
+
+
+def motif_jaccard(motifs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """As word_jaccard, of the distinct motif groups of members (set_id, member, w). groups (w, grp) maps motifs to groups, several if need be; a motif that isn't in it counts for none."""
+    if groups is not None:
+        motifs = motifs.join(groups.select("w", "grp"), "w").select("set_id", "member", F.col("grp").alias("w"))
     return _jaccard(motifs.select("set_id", "member", "w").distinct())
 
 
@@ -144,3 +197,57 @@ def masked(seqs: DataFrame, level: float = 2.0, width: int = 64, stride: int = 3
     at = lambda c: c * stride
     cover = lambda s, c: F.overlay(s, F.repeat(F.lit("N"), F.least(F.lit(width), F.length(s) - at(c))), at(c) + 1)
     return seqs.join(low, ["set_id", "member"], "left").withColumn("seq", F.coalesce(F.aggregate("_low", F.col("seq"), cover), F.col("seq"))).drop("_low")
+
+
+#: Letters of a piece that one step of `dusted` works on; a sequence's length isn't bounded.
+PIECE = 1 << 20
+
+
+def dusted(seqs: DataFrame, level: float = 2.0, width: int = 64) -> DataFrame:
+    """seqs with the letters of all perfect intervals as N: stretches of at most `width` letters whose low-complexity score (see low_complexity) is above level and beaten by that of no stretch within them.
+
+    The rest of a low-complexity region's surroundings stays, unlike in masked, which takes whole windows. Other letters than
+    A, C, G, T form triplets of their own; null stays null. Scores of all windows of one length are computed at once.
+    """
+    @F.pandas_udf("string")
+    def mask(column: pd.Series) -> pd.Series:
+        return column.map(lambda s: s if s is None else _dust(s, level, width))
+
+    return seqs.withColumn("seq", mask("seq"))
+
+
+def _dust(seq: str, level: float, width: int) -> str:
+    import numpy as np
+
+    letters = np.array([seq]).view(np.uint32) if seq else np.zeros(0, np.uint32)
+    low = np.zeros(len(letters) + 1, np.int32)
+    for at in range(0, len(letters), PIECE):
+        # intervals that start in this piece or within a width before it, with all that they hold
+        lo = max(0, at - width)
+        for a, b in _perfect(letters[lo : at + PIECE + width], level, width):
+            np.add.at(low, lo + a, 1)
+            np.add.at(low, lo + b, -1)
+    hidden = np.cumsum(low[:-1]) > 0
+    if not hidden.any():
+        return seq
+    return np.where(hidden, np.uint32(ord("N")), letters).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _perfect(letters, level: float, width: int):
+    """(starts, ends) of the perfect intervals, per length."""
+    import numpy as np
+
+    upper = np.where((letters >= 97) & (letters <= 122), letters - 32, letters).astype(np.int64)
+    t = (upper[:-2] << 42) + (upper[1:-1] << 21) + upper[2:] if len(letters) > 2 else np.zeros(0, np.int64)
+    n = len(t)
+    equal, pairs_, best = np.zeros(n, np.int32), np.zeros(n, np.int64), np.full(n, -1.0)
+    for size in range(2, min(width - 2, n) + 1):  # triplets of an interval
+        far = size - 1
+        equal[far:] += t[far:] == t[:-far]  # earlier equal triplets among the last `far`
+        pairs_ = pairs_[: n - far] + equal[far:]  # of intervals by their start
+        score = pairs_ / far
+        inner = np.maximum(best[:-1], best[1:])  # of both intervals one shorter
+        at = np.flatnonzero((score > level) & (score >= inner))
+        if len(at):
+            yield at, at + size + 2
+        best = np.maximum(score, inner)

@@ -65,7 +65,7 @@ def region_label_parse(s, d):
 @query(with_(V.IV, PR) + "SELECT a_region_id, b_region_id, chrom || '_' || a_start || '-' || left(CAST(a_stop AS VARCHAR), -1) || '_' || chrom || '_' || b_start || '-' || b_stop || '.fa' AS label FROM pr")
 def legacy_label(s, d):
     name = lambda p: F.concat(C.region_name(F.col(f"{p}_chrom"), F.col(f"{p}_start"), F.col(f"{p}_stop"), "_"), F.lit(".fa"))
-    # the four characters that go are the extension and, as ever, one digit: names come without their dot here
+    # the four characters that go are the extension and, as ever, one digit of the coordinate
     return _same(s, d).select("a_region_id", "b_region_id", C.legacy_label(F.concat(C.region_name(F.col("a_chrom"), F.col("a_start"), F.col("a_stop"), "_"), F.lit(".fa")), name("b")).alias("label"))
 
 
@@ -206,7 +206,7 @@ def split_fractions(s, d):
     with_(V.IV, V.TE, "hit AS (SELECT DISTINCT i.region_id, t.cls FROM iv i JOIN te t ON i.chrom = t.chrom AND i.start < t.stop AND t.start < i.stop)", "c AS (SELECT DISTINCT cls FROM te)", "u AS (SELECT c.cls, iv.stop - iv.start >= 260 AS long, hit.region_id IS NOT NULL AS hit FROM iv CROSS JOIN c LEFT JOIN hit ON hit.region_id = iv.region_id AND hit.cls = c.cls)",
           "n AS (SELECT cls, count(*) FILTER (long AND hit) AS n11, count(*) FILTER (long AND NOT hit) AS n10, count(*) FILTER (NOT long AND hit) AS n01, count(*) FILTER (NOT long AND NOT hit) AS n00 FROM u GROUP BY cls)",
           "x AS (SELECT *, n11 / ((n11 + n10) * (n11 + n01) / (n11 + n10 + n01 + n00)) AS ratio FROM n)")
-    + "SELECT cls, n11, n10, n01, n00, round(ratio, 6) AS ratio, round(log2(ratio), 6) AS log2_ratio, round(n11::DOUBLE * n00 / (n10::DOUBLE * n01), 6) AS odds FROM x"
+    + "SELECT cls, n11, n10, n01, n00, round(ratio, 6) AS ratio, round(log2(ratio), 6) AS log2_ratio, round(n11::DOUBLE * n00 / (n10::DOUBLE * n01), 6) AS odds, round((n11 + n10 + n01 + n00) * pow(n11::DOUBLE * n00 - n10::DOUBLE * n01, 2) / nullif((n11 + n10)::DOUBLE * (n01 + n00) * (n11 + n01) * (n10 + n00), 0), 6) AS chi2 FROM x"
 )
 def te_enrichment(s, d):
     iv = V.regions(s, d).select("region_id", (F.col("stop") - F.col("start") >= 260).alias("long"))
@@ -216,7 +216,7 @@ def te_enrichment(s, d):
     inside = V.annotations(s, d).select("cls").distinct().join(met, "cls", "left").fillna(0, ["n11", "n01"])
     total = iv.agg(F.count_if("long").alias("l"), F.count_if(~F.col("long")).alias("s"))
     counts = inside.crossJoin(F.broadcast(total)).select("cls", "n11", (F.col("l") - F.col("n11")).alias("n10"), "n01", (F.col("s") - F.col("n01")).alias("n00"))
-    return intervals.enrichment(counts).select("cls", "n11", "n10", "n01", "n00", r6("ratio").alias("ratio"), r6("log2_ratio").alias("log2_ratio"), r6("odds").alias("odds"))
+    return intervals.enrichment(counts).select("cls", "n11", "n10", "n01", "n00", r6("ratio").alias("ratio"), r6("log2_ratio").alias("log2_ratio"), r6("odds").alias("odds"), r6("chi2").alias("chi2"))
 
 
 # Local similarity of conversation turns.
@@ -517,3 +517,169 @@ def region_setops(s, d):
 @query(with_(V.IV) + "SELECT set_id, count(DISTINCT (chrom, start, stop)) AS n FROM iv GROUP BY set_id ORDER BY set_id")
 def ordered_sets(s, d):
     return regions.set_sizes(V.regions(s, d)).select("set_id", "n").orderBy("set_id")
+
+
+# Controls: permuted intervals, matched random sets, and the search run on them.
+
+REPS = 4
+PERMUTED = f"""gp AS (SELECT chrom, coalesce(lag(stop) OVER (PARTITION BY chrom ORDER BY start), 0) AS a, start AS b FROM il UNION ALL SELECT chrom, max(stop), {V.CHROMOSOME} FROM il GROUP BY chrom),
+el AS (SELECT chrom, CAST(start AS VARCHAR) AS id, island, stop - start AS n FROM il UNION ALL SELECT chrom, 'gap' || a, NULL, b - a FROM gp WHERE b > a),
+pm AS (SELECT CAST(rep AS INT) AS rep, chrom, island, CAST(s AS BIGINT) AS start, CAST(s + n AS BIGINT) AS stop FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY chrom, rep ORDER BY md5(chrom || '|' || id || '|1|' || rep), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM el, (SELECT unnest(range(1, {REPS} + 1)) AS rep)) WHERE island IS NOT NULL)"""
+
+
+def _permuted(s, d):
+    il = V.islands(s, d)
+    return il, nulls.permute(il, "island", il.select("chrom").distinct().withColumn("total", F.lit(V.CHROMOSOME)), REPS)
+
+
+def plain(sql: str) -> str:
+    """A UNION that isn't recursive."""
+    return sql.replace("WITH RECURSIVE", "WITH", 1)
+
+
+@query(plain(with_(V.IV, V.ISLANDS, PERMUTED) + "SELECT * FROM pm"))
+def null_permute(s, d):
+    """Islands of regions and the gaps between them in another order, so that none overlap."""
+    return _permuted(s, d)[1].select("rep", "chrom", "island", "start", "stop")
+
+
+@query(
+    plain(with_(V.IV, V.TE, V.ISLANDS, PERMUTED, "al AS (SELECT 0 AS rep, chrom, start, stop FROM il UNION ALL SELECT rep, chrom, start, stop FROM pm)", "nn AS (SELECT t.cls, a.rep, count(*) AS n FROM al a JOIN te t ON a.chrom = t.chrom AND a.start < t.stop AND t.start < a.stop GROUP BY ALL)",
+          f"ev AS (SELECT cls, rep, coalesce(n, 0) AS n FROM (SELECT cls, rep FROM (SELECT DISTINCT cls FROM nn), (SELECT unnest(range({REPS} + 1)) AS rep)) LEFT JOIN nn USING (cls, rep))")
+    + f"SELECT e.cls, o.n AS observed, round(avg(e.n), 6) AS null_mean, round(stddev_samp(e.n), 6) AS null_sd, round((o.n - avg(e.n)) / stddev_samp(e.n), 6) AS z, round((1 + count(*) FILTER (e.n >= o.n)) / (1 + {REPS}), 6) AS p FROM ev e JOIN ev o ON o.cls = e.cls AND o.rep = 0 WHERE e.rep > 0 GROUP BY e.cls, o.n")
+)
+def te_permutation_test(s, d):
+    """Overlaps of regions with annotations per class against permuted regions: all replicates in one overlap join."""
+    il, pm = _permuted(s, d)
+    every = il.select(F.lit(0).alias("rep"), "chrom", "start", "stop").unionByName(pm.select("rep", "chrom", "start", "stop"))
+    met = intervals.overlaps(intervals.prefixed(every, "a", ["rep", "chrom", "start", "stop"]), _ab(s, d)[1])
+    counts = met.groupBy(F.col("b_cls").alias("cls"), F.col("a_rep").alias("rep")).agg(F.count("*").alias("n"))
+    got = nulls.permutation_test(counts, "cls", REPS)
+    return got.select("cls", "observed", *(r6(c).alias(c) for c in ("null_mean", "null_sd", "z", "p")))
+
+
+SLOTS = """sl AS (SELECT set_id, chrom, row_number() OVER (PARTITION BY chrom ORDER BY md5('slot|' || set_id || '|' || {member} || '|1|0'), set_id, {member}) - 1 AS slot FROM {members}),
+sz AS (SELECT chrom, count(*) AS size FROM {pool} GROUP BY chrom),
+dr AS (SELECT chrom, rep, {ident}, row_number() OVER (PARTITION BY chrom, rep ORDER BY md5({ident} || '|1|' || rep), {ident}) - 1 AS k FROM {pool}, (SELECT unnest(range(1, {reps} + 1)) AS rep)),
+ms AS (SELECT CAST(dr.rep AS INT) AS rep, sl.set_id, sl.chrom, sl.slot, dr.{ident} FROM sl JOIN sz ON sz.chrom = sl.chrom JOIN dr ON dr.chrom = sl.chrom AND dr.k = sl.slot % sz.size)"""
+
+
+@query(with_(V.IV, V.ISLANDS, SLOTS.format(member="region_id", members="iv", pool="il", ident="island", reps=2)) + "SELECT * FROM ms")
+def null_matched_sets(s, d):
+    """Random sets of islands with the sizes and chromosomes of the observed sets."""
+    members = V.regions(s, d).withColumnRenamed("region_id", "island")
+    return nulls.matched_sets(members, V.islands(s, d), "island", ["chrom"], 2).select("rep", "set_id", "chrom", "slot", "island")
+
+
+# the observed sets are replicate 0; null sets have the sizes and roles of the observed ones
+CONTROL = (
+    V.TURNS, SLOTS.format(member="name", members="tn", pool="tn", ident="name", reps=2),
+    "sq AS (SELECT '0|' || set_id AS set_id, CAST(member AS VARCHAR) AS member, seq FROM tn UNION ALL SELECT ms.rep || '|' || ms.set_id, ms.chrom || ':' || ms.slot, tn.seq FROM ms JOIN tn ON tn.name = ms.name)", SD, SG, BH,
+    "zb AS (SELECT CAST(set_id AS VARCHAR) AS own, CASE WHEN count(*) >= 5 THEN '5+' ELSE CAST(count(*) AS VARCHAR) END AS bin FROM tn GROUP BY set_id)",
+    "sc AS (SELECT CAST(split_part(bh.set_id, '|', 1) AS INT) AS rep, zb.own, zb.bin, bh.a, bh.b, bh.score FROM bh JOIN zb ON zb.own = split_part(bh.set_id, '|', 2))",
+)
+
+
+def _control_scores(s, d):
+    """rep (0: observed), set_id, bin, a, b, score of the best hit of every pair that has one, in observed and in matched random sets; words are looked for once for all replicates."""
+    turns = V.turns(s, d)
+    null = nulls.matched_sets(turns.select("set_id", "chrom", "name"), turns.select("chrom", "name"), "name", ["chrom"], 2)
+    members = turns.select(F.struct(F.lit(0).alias("rep"), "set_id").alias("set_id"), F.col("member").cast("string").alias("member"), "name")
+    members = members.unionByName(null.select(F.struct("rep", "set_id").alias("set_id"), F.concat_ws(":", "chrom", F.col("slot").cast("string")).alias("member"), "name"))
+    seqs = turns.select("name", "seq")
+    words = similarity.spots(seqs, ["name"])
+    found = similarity.segments(similarity.seeds_in(members, words, "name"), members.join(seqs, "name").select("set_id", "member", "seq"))
+    best = similarity.best_per_pair(found, ["set_id", "a", "b"]).select("set_id.rep", "set_id.set_id", "a", "b", "score")
+    bins = turns.groupBy("set_id").agg(F.count("*").alias("n")).select("set_id", C.size_bin(F.col("n")).alias("bin"))
+    return best.join(bins, "set_id")
+
+
+@query(plain(with_(*CONTROL)) + "SELECT rep, bin, count(*) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 4) AS sd, round(median(score), 6) AS median, round(quantile_cont(score, 0.9), 6) AS q90, round(quantile_cont(score, 0.95), 6) AS q95, round(quantile_cont(score, 0.99), 6) AS q99 FROM sc GROUP BY ALL")
+def search_controls(s, d):
+    """Distribution and cutoffs of best scores per replicate (0: observed) and set-size bin."""
+    scores, by = _control_scores(s, d), ["rep", "bin"]
+    stats, cut = nulls.replicate_stats(scores, by, "score"), nulls.cutoffs(scores, by, "score").drop("n")
+    return stats.join(cut, by).select(*by, "n", r6("mean").alias("mean"), F.round("sd", 4).alias("sd"), *(r6(c).alias(c) for c in ("median", "q90", "q95", "q99")))
+
+
+@query(plain(with_(*CONTROL, "nu AS (SELECT bin, score FROM sc WHERE rep > 0)")) + "SELECT CAST(o.own AS BIGINT) AS set_id, o.a, o.b, o.bin, o.score, round((1 + count(nu.score) FILTER (nu.score >= o.score)) / (1 + count(nu.score)), 6) AS p FROM sc o LEFT JOIN nu ON nu.bin = o.bin WHERE o.rep = 0 GROUP BY ALL")
+def search_p(s, d):
+    """Every observed pair's best score against those of all pairs of random sets of its bin."""
+    scores = _control_scores(s, d)
+    got = nulls.empirical_p(scores.where("rep = 0").drop("rep"), scores.where("rep > 0").select("bin", "score"), ["bin"], "score")
+    return got.select("set_id", "a", "b", "bin", "score", r6("p").alias("p"))
+
+
+# Scale of scores by composition, minima of words, mapped motifs, real gaps, perfect low-complexity intervals.
+
+LAMBDA = """cm AS (SELECT set_id, sum(length(seq)) AS letters, sum(length(replace(seq, 'A', ''))) AS na, sum(length(replace(seq, 'C', ''))) AS nc, sum(length(replace(seq, 'G', ''))) AS ng, sum(length(replace(seq, 'T', ''))) AS nt FROM sq GROUP BY set_id),
+mt AS (SELECT set_id, letters, (pow(letters - na, 2) + pow(letters - nc, 2) + pow(letters - ng, 2) + pow(letters - nt, 2)) / nullif(pow(letters, 2), 0) AS m FROM cm),
+la AS (SELECT set_id, CAST(letters AS BIGINT) AS letters, m, CASE WHEN m > 0 AND 2 * m - 3 * (1 - m) < 0 THEN list_reduce(list_transform(range(61), lambda i: {'lo': CAST(0 AS DOUBLE), 'hi': -ln(m) / 2}),
+ lambda z, x: CASE WHEN m * exp(z.lo + z.hi) + (1 - m) * exp(-1.5 * (z.lo + z.hi)) > 1 THEN {'lo': z.lo, 'hi': (z.lo + z.hi) / 2} ELSE {'lo': (z.lo + z.hi) / 2, 'hi': z.hi} END) END AS z FROM mt),
+sa AS (SELECT set_id, letters, m, (z.lo + z.hi) / 2 AS scale FROM la)"""
+
+
+@query(with_(V.SQ, LAMBDA) + "SELECT set_id, letters, round(m, 6) AS match, round(scale, 6) AS scale FROM sa")
+def score_scales(s, d):
+    return similarity.score_scales(V.sequences(s, d)).select("set_id", "letters", r6("match").alias("match"), r6("scale").alias("scale"))
+
+
+@query(with_(*HITS, LAMBDA) + f"SELECT hs.set_id, a, b, strand, diag, score, round(log10({C.K} * a_len * b_len * exp(-scale * score)), 5) AS log_e FROM hs JOIN sa USING (set_id) WHERE {C.K} * a_len * b_len * exp(-scale * score) <= 1")
+def segment_evalue_by_set(s, d):
+    """E-values with each set's own scale."""
+    sq = V.sequences(s, d)
+    found = similarity.with_e_values(_hits(s, d), 1.0, similarity.score_scales(sq))
+    return found.select("set_id", "a", "b", "strand", "diag", "score", F.round(F.log10("evalue"), 5).alias("log_e"))
+
+
+@query(
+    with_(V.SQ, "ws AS (SELECT DISTINCT set_id, member, substr(seq, i, 6) AS w FROM (SELECT *, unnest(range(1, length(seq) - 4)) AS i FROM sq))",
+          "mi AS (SELECT set_id, member, j, min(md5(j || '|' || w)) AS h FROM ws, (SELECT unnest(range(48)) AS j) GROUP BY ALL)", "bd AS (SELECT set_id, member, j // 2 AS band, string_agg(h, '|' ORDER BY j) AS h FROM mi GROUP BY ALL)",
+          "cd AS (SELECT DISTINCT x.set_id, x.member AS a, y.member AS b FROM bd x JOIN bd y ON x.set_id = y.set_id AND x.band = y.band AND x.h = y.h AND x.member < y.member)", JC)
+    + JS + " JOIN cd ON cd.set_id = sh.set_id AND cd.a = sh.a AND cd.b = sh.b WHERE shared / (p.n + q.n - shared) >= 0.3"
+)
+def kmer_minhash(s, d):
+    """Pairs of a set with a Jaccard similarity of 0.3 or more that 24 bands of two minima find, compared exactly."""
+    return similarity.minhash_links(V.sequences(s, d), 6, 0.3).withColumns({"jaccard": r6("jaccard"), "containment": r6("containment")})
+
+
+@query(with_(V.WD, "gr AS (SELECT w, 'starts ' || left(w, 1) AS grp FROM (SELECT DISTINCT w FROM wd) UNION ALL SELECT w, 'ends ' || right(w, 1) FROM (SELECT DISTINCT w FROM wd))", "ws AS (SELECT DISTINCT set_id, member, grp AS w FROM wd JOIN gr USING (w))", JC).replace("WITH RECURSIVE", "WITH", 1) + JS)
+def motif_group_jaccard(s, d):
+    """Jaccard similarity of motif groups, motifs mapped to them by a table."""
+    return similarity.motif_jaccard(V.words(s, d), V.motif_groups(s, d)).withColumns({"jaccard": r6("jaccard"), "containment": r6("containment")})
+
+
+@query(
+    with_(V.SQ, "gg AS (SELECT x.set_id, x.member AS a, y.member AS b, length(x.seq) AS m, length(y.seq) AS n, left(x.seq, length(x.seq) // 2) || '---' || substr(x.seq, length(x.seq) // 2 + 1) AS t, y.seq AS q FROM sq x JOIN sq y ON x.set_id = y.set_id AND x.member < y.member)",
+          "al AS (SELECT set_id, a, b, m, n, rpad(t, CAST(greatest(length(t), length(q)) AS INT), '-') AS t, rpad(q, CAST(greatest(length(t), length(q)) AS INT), '-') AS q FROM gg)", "ch AS (SELECT set_id, a, b, m, n, unnest(range(1, length(t) + 1)) AS i, t, q FROM al)",
+          "mt AS (SELECT set_id, a, b, m, n, count(*) AS columns, count(*) FILTER (substr(t, i, 1) <> '-' AND substr(q, i, 1) <> '-') AS aligned, count(*) FILTER (substr(t, i, 1) <> '-' AND substr(t, i, 1) = substr(q, i, 1)) AS matches, count(*) FILTER (substr(t, i, 1) = '-' AND (i = 1 OR substr(t, i - 1, 1) <> '-')) + count(*) FILTER (substr(q, i, 1) = '-' AND (i = 1 OR substr(q, i - 1, 1) <> '-')) AS gap_runs FROM ch GROUP BY ALL)")
+    + "SELECT set_id, a, b, gap_runs, columns, CASE WHEN aligned > 0 THEN round(matches / aligned, 6) END AS identity, CASE WHEN least(m, n) > 0 THEN round(aligned / least(m, n), 6) END AS coverage, round(aligned / columns, 6) AS continuity FROM mt"
+)
+def gapped_ratios(s, d):
+    """Metrics of alignments with a gap inside: letters opposite a gap aren't covered."""
+    key = ["set_id", "a", "b"]
+    two = _turns(s, d).withColumns({"t_size": F.length("a_seq"), "q_size": F.length("b_seq")})
+    t = F.concat(F.expr("left(a_seq, cast(t_size div 2 as int))"), F.lit("---"), F.expr("substring(a_seq, cast(t_size div 2 as int) + 1)"))
+    n = F.greatest(F.col("t_size") + 3, F.col("q_size"))
+    al = two.select(*key, F.rpad(t, n, F.lit("-")).alias("t"), F.rpad("b_seq", n, F.lit("-")).alias("q"))
+    got = alignments.ratios(alignments.metrics(al, key).join(two.select(*key, "t_size", "q_size"), key), "t_size", "q_size")
+    return got.select(*key, F.col("gap_runs").cast("bigint").alias("gap_runs"), "columns", *(r6(c).alias(c) for c in ("identity", "coverage", "continuity")))
+
+
+DUST = """tp AS (SELECT set_id, member, seq, i, substr(seq, i, 3) AS t FROM (SELECT *, unnest(range(1, length(seq) - 1)) AS i FROM sq)),
+eq AS (SELECT x.set_id, x.member, x.i AS e, d, CASE WHEN substr(x.seq, CAST(x.i - d AS INT), 3) = x.t THEN 1 ELSE 0 END AS same FROM tp x, (SELECT unnest(range(1, 62)) AS d) WHERE x.i > d),
+ec AS (SELECT set_id, member, e, d, sum(same) OVER (PARTITION BY set_id, member, e ORDER BY d) AS c FROM eq),
+np AS (SELECT set_id, member, e - d AS i, e, sum(c) OVER (PARTITION BY set_id, member, e - d ORDER BY e) / d AS score FROM ec),
+p1 AS (SELECT *, max(score) OVER (PARTITION BY set_id, member, i ORDER BY e) AS p FROM np),
+p2 AS (SELECT *, max(p) OVER (PARTITION BY set_id, member, e ORDER BY i DESC) AS best FROM p1),
+pf AS (SELECT set_id, member, i, max(e) AS e FROM p2 WHERE score > 2 AND score >= best GROUP BY ALL),
+ps AS (SELECT set_id, member, i, substr(seq, i, 1) AS x FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM sq)),
+hi AS (SELECT DISTINCT set_id, member, unnest(range(i, e + 3)) AS i FROM pf),
+mk AS (SELECT set_id, member, string_agg(CASE WHEN hi.i IS NULL THEN x ELSE 'N' END, '' ORDER BY ps.i) AS seq, count(hi.i) AS hidden FROM ps LEFT JOIN hi USING (set_id, member, i) GROUP BY ALL)"""
+
+
+@query(with_(V.SQ, DUST) + "SELECT sq.set_id, sq.member, coalesce(mk.hidden, 0) AS hidden, md5(coalesce(mk.seq, '')) AS masked FROM sq LEFT JOIN mk USING (set_id, member)")
+def dust_masked(s, d):
+    """Letters in perfect low-complexity intervals of turns, and the masked sequence's digest."""
+    got = similarity.dusted(V.sequences(s, d))
+    return got.select("set_id", "member", F.regexp_count("seq", F.lit("N")).cast("bigint").alias("hidden"), F.md5("seq").alias("masked"))

@@ -90,3 +90,37 @@ def motifs(spark: SparkSession, d: str) -> DataFrame:
 
 
 MO = "mo AS (SELECT DISTINCT set_id, member, substr(w, 1, 2) AS w FROM (SELECT conv_id AS set_id, turn AS member, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM conversations) WHERE length(w) >= 2)"
+
+
+def motif_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A mapping table of motifs (words of turns) to groups: a word's first letter and its last one, so most words are in two."""
+    w = table(spark, d, "conversations").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("w")).where("length(w) >= 2").distinct()
+    return w.select("w", F.explode(F.array(F.concat(F.lit("starts "), F.substring("w", 1, 1)), F.concat(F.lit("ends "), F.expr("right(w, 1)")))).alias("grp"))
+
+
+def words(spark: SparkSession, d: str) -> DataFrame:
+    w = F.explode(F.split(F.lower("text"), r"[^a-z]+"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("set_id"), F.col("turn").alias("member"), w.alias("w")).where("length(w) >= 2")
+
+
+WD = "wd AS (SELECT DISTINCT set_id, member, w FROM (SELECT conv_id AS set_id, turn AS member, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM conversations) WHERE length(w) >= 2)"
+
+
+def islands(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of overlapping or touching regions: disjoint intervals, named by their start."""
+    from regionpairs.operators import intervals
+
+    return intervals.merge(regions(spark, d), ["chrom"]).select("chrom", "start", "stop", F.col("start").alias("island"))
+
+
+ISLANDS = """i1 AS (SELECT chrom, start, stop, max(stop) OVER (PARTITION BY chrom ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
+i2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start, stop, reach NULLS FIRST ROWS UNBOUNDED PRECEDING) AS run FROM i1),
+il AS (SELECT chrom, min(start) AS start, max(stop) AS stop, min(start) AS island FROM i2 GROUP BY chrom, run)"""
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences with the role of their turn, which stands for a chromosome, and a name of their own."""
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("set_id"), F.col("turn").alias("member"), F.coalesce("role", F.lit("")).alias("chrom"), F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("name"), letters("text").alias("seq"))
+
+
+TURNS = "tn AS (SELECT conv_id AS set_id, turn AS member, coalesce(role, '') AS chrom, conv_id || ':' || turn AS name, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM conversations)"

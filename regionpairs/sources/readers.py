@@ -17,8 +17,9 @@ def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
 
 
 def discover_sets(spark: SparkSession, root: str, glob: str = "*.fa") -> DataFrame:
-    """set_id and path of each folder right below root that holds a matching file at any depth; Spark's readers see files only, so a folder without one isn't a set."""
-    return _files(spark, root, glob).select(*_set_and_path("src_path", root)).distinct()
+    """set_id and path of each folder right below root that holds a matching file at any depth, from the files' names alone; Spark's readers see files only, so a folder without one isn't a set."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob).load(root).select("path")
+    return files.where(~F.element_at(F.split("path", "/"), -1).startswith(".")).select(*_set_and_path("path", root)).distinct()
 
 
 def _set_and_path(path: str, root: str):

@@ -69,6 +69,12 @@ def test_hits_and_collated_file(spark, tmp_path):
     lines = list(csv.reader(part.open(newline="")))
     assert lines[0][:3] == ["Gene Name", "Comparisons", "qseqid"] and len(lines) == 3 and len(lines[1]) == 12
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
+    raw = part.read_bytes()
+    assert raw.count(b"\r\n") == raw.count(b"\n") == 3
+    # one file from all parts in order: one header
+    sinks.write_collated(hits.repartition(3), str(tmp_path / "one"), one_header=True)
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "one").glob("part-*")))
+    assert whole.split(b"\r\n")[0] == raw.split(b"\r\n")[0] and sorted(whole.split(b"\r\n")) == sorted(raw.split(b"\r\n"))
 
 
 def test_intervals_and_set_sink(spark, tmp_path):
@@ -83,7 +89,11 @@ def test_intervals_and_set_sink(spark, tmp_path):
     assert {(r.set_id, r.x) for r in spark.read.parquet(out).collect()} == {("a", 1), ("b", 3)}
     # a set that was worked on and has no rows any more
     sinks.write_by_set(spark.createDataFrame([("b", 4)], "set_id string, x int"), out, sets=spark.createDataFrame([("a",), ("b",), ("c",)], "set_id string"))
-    assert {(r.set_id, r.x) for r in sinks.read_by_set(spark, out).collect()} == {("b", 4)}
+    assert {(r.set_id, r.x) for r in sinks.read_by_set(spark, out).collect()} == {("b", 4)} == {(r.set_id, r.x) for r in spark.read.parquet(out).collect()}
+    # a row of nulls is a row; names of folders are escaped
+    sinks.write_by_set(spark.createDataFrame([("x/y=1", None), (None, 1)], "set_id string, x int"), out)
+    sinks.write_by_set(spark.createDataFrame([("b", 5)], "set_id string, x int"), out, sets=spark.createDataFrame([("x/y=1",)], "set_id string"))
+    assert {(r.set_id, r.x) for r in spark.read.parquet(out).collect()} == {("b", 5), (None, 1)}
 
 
 def test_genome_chunks(spark, tmp_path):
