@@ -26,19 +26,18 @@ def runs(seqs: DataFrame, k: int) -> DataFrame:
     unit one run per word of it, however long. Words with a masked letter (N) are none.
     """
     at = seqs.select("set_id", "member", F.filter(words(F.col("seq"), k), lambda w: ~F.contains(w["kmer"], F.lit("N"))).alias("_w"))
-    at = at.withColumn("_once", F.size(F.array_distinct(F.transform("_w", lambda w: w["kmer"]))) == F.size("_w"))
-    at = at.withColumn("_s", F.when(~F.col("_once"), F.array_sort(F.transform("_w", lambda w: F.struct(w["kmer"].alias("kmer"), w["pos"].alias("pos"))))))
+    once = F.size(F.array_distinct(F.transform("_w", lambda w: w["kmer"]))) == F.size("_w")
+    at = at.withColumn("_s", F.when(~once, F.sort_array(F.transform("_w", lambda w: F.struct(w["kmer"].alias("kmer"), w["pos"].alias("pos"))))))
     same = lambda i: f"coalesce(get(_s, {i}).kmer = get(_s, {i} - 1).kmer, false)"
     gap = lambda i: f"get(_s, {i}).pos - get(_s, {i} - 1).pos"
     # the first of a run: another word, or another distance than the one before
     begins = lambda i: f"(not {same(i)} or ({same(f'{i} - 1')} and {gap(i)} <> {gap(f'{i} - 1')}))"
-    edge = lambda test: F.expr(f"array_compact(transform(_s, (x, i) -> if({test}, struct(x.kmer as kmer, x.pos as pos, i as i), null)))")
-    some = at.where("not _once").select("set_id", "member", F.explode(F.arrays_zip(edge(begins("i")).alias("a"), edge(begins("(i + 1)")).alias("b"))).alias("r"))
-    n = F.col("r.b.i") - F.col("r.a.i") + 1
-    step = F.when(n > 1, ((F.col("r.b.pos") - F.col("r.a.pos")) / (n - 1)).cast("int")).otherwise(1)
-    some = some.select("set_id", "member", F.col("r.a.kmer").alias("kmer"), F.col("r.a.pos").alias("lo"), step.alias("step"), n.alias("n"))
-    single = at.where("_once").select("set_id", "member", F.explode("_w").alias("w")).select("set_id", "member", "w.kmer", F.col("w.pos").alias("lo"), F.lit(1).alias("step"), F.lit(1).alias("n"))
-    return single.unionByName(some)
+    edge = lambda test: f"array_compact(transform(_s, (x, i) -> if({test}, struct(x.kmer as kmer, x.pos as pos, i as i), null)))"
+    run = "struct(a.kmer as kmer, a.pos as lo, cast(if(b.i > a.i, (b.pos - a.pos) / (b.i - a.i), 1) as int) as step, b.i - a.i + 1 as n)"
+    runs_ = F.expr(f"zip_with({edge(begins('i'))}, {edge(begins('(i + 1)'))}, (a, b) -> {run})")
+    single = F.expr("transform(_w, w -> struct(w.kmer as kmer, w.pos as lo, 1 as step, 1 as n))")
+    # the outer form: for the other one Spark would work the words out a second time, to leave rows without any out
+    return at.select("set_id", "member", F.explode_outer(F.when(F.col("_s").isNull(), single).otherwise(runs_)).alias("r")).where("r is not null").select("set_id", "member", "r.kmer", "r.lo", "r.step", "r.n")
 
 
 def spots(seqs: DataFrame, ident: list[str], k: int = WORD) -> DataFrame:
@@ -79,7 +78,7 @@ def _diagonals(first: DataFrame, second: DataFrame, asked: DataFrame | None) ->
     # runs of different steps: all their places, which differ by other numbers
     each = F.flatten(F.transform(F.sequence(F.lit(0), F.col("a_n") - 1), lambda i: F.transform(F.sequence(F.lit(0), F.col("b_n") - 1), lambda j: zero + i * F.col("a_step") - j * F.col("b_step"))))
     met = met.select("set_id", "a", "b", "strand", F.when((F.col("a_n") == 1) | (F.col("b_n") == 1) | (F.col("a_step") == F.col("b_step")), along).otherwise(each).alias("_d"))
-    return met.select("set_id", "a", "b", "strand", F.explode("_d").alias("diag")).distinct()
+    return met.select("set_id", "a", "b", "strand", F.explode_outer("_d").alias("diag")).distinct()
 
 
 def segments(diagonals: DataFrame, seqs: DataFrame) -> DataFrame:
