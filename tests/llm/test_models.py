@@ -357,3 +357,64 @@ def test_no_threats_in_four_languages(text):
 @pytest.mark.parametrize("text, event", [("je ne vais pas te tuer", "negated"), ("ich werde dich nicht töten", "negated"), ("Sie sagte, sie werde dich töten", "reported"), ("dijo te voy a matar", "reported")])
 def test_weakened_threats(text, event):
     assert dict(toxicity.matches(text, LEX())[0]) == {f"{event} threat": 1}
+
+
+def plain_inputs(text):
+    """The scorer's inputs, worked out letter by letter and word by word: {bucket: value}."""
+    blob, x = text.encode(), Counter()
+    if len(blob) > 1:
+        pairs = Counter((((a * 256 + b) * 2654435761) % 2**32) >> 22 for a, b in zip(blob, blob[1:]))
+        x.update({k: math.sqrt(n / (len(blob) - 1)) for k, n in pairs.items()})
+    words, size = blob.split(), max(1, len(blob))
+    n = max(1, len(words))
+    letters = sum(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in blob) + (not blob)
+    capitals = sum(65 <= b <= 90 for b in blob) + (not blob)
+    symbols = sum(33 <= b <= 126 and not chr(b).isalnum() and chr(b) not in ".,'\"-()" for b in blob) + (not blob)
+    runs = [words[k : k + 400] for k in range(0, max(1, len(words)), 400)]
+    lines = [x for x in blob.split(b"\n") if x.strip()]
+    m = {
+        "words": len(words), "symbols": symbols / size, "capitals": capitals / max(1, letters), "function_words": sum(w in quality.FUNCTION_WORDS for w in words) / n,
+        "variety": sum(len(set(r)) / max(1, len(r)) for r in runs) / len(runs), "stutter": sum(a == b for a, b in zip(words, words[1:])) / n,
+        "bare_tokens": sum(w in (b"|", b"-", b"*", b"#") for w in words) / n, "word_length": size / n, "lines": 1 - len(set(lines)) / max(1, len(lines)),
+    }
+    length = "few" if len(words) < 20 else "some" if len(words) < 60 else "many"
+    for k, v in m.items():
+        step = int(math.log2(v + 1)) if k == "words" else int(v) if k == "word_length" else int(min(0.999, v) * 20)
+        x[zlib.crc32(f"{length} {k}={step}".encode()) % 1024] += 1
+    return m, x
+
+
+def test_quality_scorer_against_a_plain_one(spark):
+    """Posterior labels, the trained scorer and what it keeps, with Python's numbers on dictionaries."""
+    rnd = random.Random(9)
+    texts = ["", None, "A", "!!!! #### $$$$ | | |", "the the the the", "x\n" * 90]
+    texts += [" ".join(rnd.choices(["the", "of", "and", "tree", "walks", "BIG", "##", "|", "é"], weights=[3, 2, 2, 2, 2, *rnd.choice([(0, 0, 0, 1), (5, 9, 9, 0)])], k=rnd.randrange(1, 90))) for _ in range(70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [plain_inputs(t or "") for t in texts]
+    votes = [quality.votes(m) for m, _ in rows]
+    prior, table = quality.estimate(sorted(Counter(votes).items()))
+    y = []
+    for v in votes:
+        bad, good = 1 - prior, prior
+        for j, x in enumerate(v):
+            bad, good = bad * table[j][x + 1][0], good * table[j][x + 1][1]
+        y.append(good / (bad + good))
+    w, vw, b, vb, n = [0.0] * 1024, [0.0] * 1024, 0.0, 0.0, len(rows)
+    used = sorted({k for _, x in rows for k in x})
+    for _ in range(400):
+        e = [1 / (1 + math.exp(-(sum(w[k] * a for k, a in x.items()) + b))) - t for (_, x), t in zip(rows, y)]
+        grad = Counter()
+        for (_, x), d in zip(rows, e):
+            for k, a in x.items():
+                grad[k] += a * d / n
+        for k in used:
+            vw[k] = 0.9 * vw[k] - 0.5 * (grad[k] + 1e-4 * w[k])
+            w[k] += vw[k]
+        vb = 0.9 * vb - 0.5 * sum(e) / n
+        b += vb
+    want = [1 / (1 + math.exp(-(sum(w[k] * a for k, a in x.items()) + b))) for _, x in rows]
+    got = {r.doc_id: r for r in quality.score(docs).collect()}
+    assert [got[k].score for k in range(n)] == pytest.approx(want, abs=1e-3) and [tuple(got[k].votes) for k in range(n)] == votes
+    clear = [k for k in range(n) if abs(want[k] - 0.5) > 2e-3]
+    assert {k for k in clear if got[k].keep} == {k for k in clear if want[k] >= 0.5} and 0 < sum(got[k].keep for k in clear) < len(clear)
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {k for k in range(n) if got[k].keep}
