@@ -141,8 +141,9 @@ def top(hits: DataFrame, k: int) -> DataFrame:
 
 def word_jaccard(seqs: DataFrame, k: int) -> DataFrame:
     """set_id, a, b, shared, total, jaccard, containment (of the smaller set) of the distinct k-letter words of set members that share any."""
-    sets = seqs.select("set_id", "member", F.explode(F.array_distinct(F.transform(words(F.upper("seq"), k), lambda w: w["kmer"]))).alias("w"))
-    return _jaccard(sets)
+    upper = seqs.select("set_id", "member", F.upper("seq").alias("seq"))  # once a sequence, not once a word
+    sets = upper.select("set_id", "member", F.explode_outer(F.array_distinct(F.transform(words(F.col("seq"), k), lambda w: w["kmer"]))).alias("w"))  # the outer form: see runs
+    return _jaccard(sets.where("w is not null"))
 
 
 def _jaccard(sets: DataFrame) -> DataFrame:
@@ -161,7 +162,8 @@ def minhash_links(seqs: DataFrame, k: int, least: float = 0.5, bands: int = 24,
     with probability 1 - (1 - s^rows)^bands. Sequences shorter than a word have none. Candidates of a band that many
     members share are as many as their pairs.
     """
-    sets = seqs.select("set_id", "member", F.array_distinct(F.transform(words(F.upper("seq"), k), lambda w: w["kmer"])).alias("ws")).where("size(ws) > 0")
+    upper = seqs.select("set_id", "member", F.upper("seq").alias("seq"))
+    sets = upper.where(F.length("seq") >= k).select("set_id", "member", F.array_distinct(F.transform(words(F.col("seq"), k), lambda w: w["kmer"])).alias("ws"))
     one = lambda j: F.array_min(F.transform("ws", lambda w: F.md5(F.concat(F.lit(f"{j}|"), w).cast("binary"))))
     mins = sets.select("set_id", "member", "ws", F.array(*(F.concat_ws("|", F.lit(str(b)), *(one(b * rows + r) for r in range(rows))) for b in range(bands))).alias("_bands"))
     mins = through_table(mins, "minima")

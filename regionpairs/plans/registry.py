@@ -683,3 +683,18 @@ def dust_masked(s, d):
     """Letters in perfect low-complexity intervals of turns, and the masked sequence's digest."""
     got = similarity.dusted(V.sequences(s, d))
     return got.select("set_id", "member", F.regexp_count("seq", F.lit("N")).cast("bigint").alias("hidden"), F.md5("seq").alias("masked"))
+
+
+# Whole documents as sequences.
+
+DOC_WORDS = "ws AS (SELECT DISTINCT set_id, member, substr(seq, i, 10) AS w FROM (SELECT *, unnest(range(1, length(seq) - 8)) AS i FROM sq))"
+
+
+@query(plain(with_(V.GENOME, V.DOCUMENTS, DOC_WORDS, JC)) + JS)
+def doc_kmer_jaccard(s, d):
+    return similarity.word_jaccard(V.documents(s, d), 10).withColumns({"jaccard": r6("jaccard"), "containment": r6("containment")})
+
+
+@query(with_(V.GENOME, V.DOCUMENTS, LAMBDA) + "SELECT set_id, letters, round(m, 6) AS match, round(scale, 6) AS scale FROM sa")
+def doc_score_scales(s, d):
+    return similarity.score_scales(V.documents(s, d)).select("set_id", "letters", r6("match").alias("match"), r6("scale").alias("scale"))

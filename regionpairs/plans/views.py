@@ -124,3 +124,11 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 TURNS = "tn AS (SELECT conv_id AS set_id, turn AS member, coalesce(role, '') AS chrom, conv_id || ':' || turn AS name, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM conversations)"
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """The letters ACGT of whole documents, five neighbouring ids a set."""
+    return genome(spark, d).select(F.expr("set_id div 5").alias("set_id"), F.col("set_id").alias("member"), "seq")
+
+
+DOCUMENTS = "sq AS (SELECT set_id // 5 AS set_id, set_id AS member, seq FROM gn)"
