@@ -15,10 +15,12 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sampled, slices, texts, tidy
+from .common import give_back, sampled, slices, texts, tidy
 
 #: Documents, by smallest hash of their id, that the scorer is trained on; its hashed features.
 SAMPLE, DIMS = 8000, 1024
+#: Rows of the sample that the driver makes double-precision numbers of at a time.
+BLOCK = 1000
 #: Frequent function words of four languages (fixed values).
 FUNCTION_WORDS = frozenset(
     b"the of and to in a is that it for on was be with as at by this from are or an have not de la le les des et un une que qui dans en du el los las y del se por con para der die das und den von zu mit ist im auf nicht ein eine".split()
@@ -101,7 +103,7 @@ def _sample(batches):
     for batch in batches:
         for part in slices(batch):
             ms = [(b, measures(b)) for b in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([list(votes(m)) for _, m in ms], pa.list_(pa.int32())), pa.array([hashed(b, m).tobytes() for b, m in ms], pa.binary())], ["votes", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([list(votes(m)) for _, m in ms], pa.list_(pa.int32())), pa.array([zlib.compress(hashed(b, m).tobytes(), 1) for b, m in ms], pa.binary())], ["votes", "x"])
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50):
@@ -139,17 +141,25 @@ def train(docs: DataFrame, sample: int = SAMPLE):
     docs = texts(docs)
     counts = docs.mapInArrow(_votes, "votes array<int>").groupBy("votes").count().collect()  # at most 3 ** labellers rows
     prior, table = estimate([(tuple(r.votes), r["count"]) for r in counts])
-    rows = sampled(docs, sample).mapInArrow(_sample, "votes array<int>, x binary").collect()
-    if not rows:
+    rows = sampled(docs, sample).mapInArrow(_sample, "votes array<int>, x binary").toArrow()
+    if not rows.num_rows:
         return 4.0, np.zeros(DIMS), prior, table
-    x = np.stack([np.frombuffer(bytes(r.x), np.float32) for r in rows]).astype(np.float64)
-    y = _posterior(np.array([r.votes for r in rows], np.int64) + 1, prior, table)
+    y = _posterior(np.array(rows.column("votes").to_pylist(), np.int64) + 1, prior, table)
+    x = np.empty((len(y), DIMS), np.float32)  # 32 MB at most
+    for k, packed in enumerate(rows.column("x")):
+        x[k] = np.frombuffer(zlib.decompress(packed.as_py()), np.float32)
     w, b, vw, vb = np.zeros(DIMS), 0.0, np.zeros(DIMS), 0.0
     for _ in range(400):  # full-batch gradient descent with momentum on logistic loss
-        e = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        vw = 0.9 * vw - 0.5 * (x.T @ e / len(y) + 1e-4 * w)
-        vb = 0.9 * vb - 0.5 * e.mean()
+        slope, off = np.zeros(DIMS), 0.0
+        for k in range(0, len(y), BLOCK):
+            part = x[k : k + BLOCK].astype(np.float64)
+            e = 1 / (1 + np.exp(-np.clip(part @ w + b, -30, 30))) - y[k : k + BLOCK]
+            slope, off = slope + part.T @ e, off + e.sum()
+        vw = 0.9 * vw - 0.5 * (slope / len(y) + 1e-4 * w)
+        vb = 0.9 * vb - 0.5 * off / len(y)
         w, b = w + vw, b + vb
+    del x, rows
+    give_back()  # the driver lives on
     return b, w, prior, table
 
 
