@@ -17,7 +17,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, fold, listed, slices, split_words, texts, through_table, tidy
+from .common import batches_of, fold, give_back, listed, slices, split_words, texts, through_table, tidy
 
 #: Frequent words that the first exchange, on the driver, starts from; ending units; classes; sweeps of that first exchange.
 FREQUENT, ENDINGS, CLASSES, SWEEPS = 1000, 256, 48, 6
@@ -386,6 +386,8 @@ def exchange_all(packed: DataFrame, of, seen, classes: int, tolerance: float = T
                 vectors[k] += np.frombuffer(blob)
             hu, ht = _choose(u, vectors, of, pair)
             unit, to = np.concatenate([np.delete(unit, hot), hu]), np.concatenate([np.delete(to, hot), ht])
+        del got
+        give_back()
         if not len(unit):
             return of, pair
         order = np.argsort(unit, kind="stable")
@@ -633,6 +635,8 @@ def fit(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD, classes: in
             counts[r.unit] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
         of = exchange(counts, classes)
         k = int(of.max()) + 1
+        del counts, core, more, own_c
+        give_back()  # the driver lives on
         of, pair = exchange_all(packed, np.concatenate([of, of[units.base + own_e]]).astype(np.int16), seen, k, tolerance)
     of = of.astype(np.int64)
     share = (np.bincount(of, weights=seen, minlength=k) + 0.5) / (seen.sum() + 0.5 * k)
