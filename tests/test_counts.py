@@ -92,3 +92,9 @@ def test_split_fractions_of_dense_regions(spark, dense):
     over = [(s < AT < e) + (s < AT + LONG < e) for s, e, _ in dense[1] if s < AT + LONG and AT < e]
     got = {(r.chrom, r.category): r.n for r in _run(spark, dense, "split_fractions")}
     assert got == {(None, None): N * len(over), ("click", None): N * len(over)} | {("click", c): N * over.count(k) for k, c in enumerate(("inside", "one edge", "both edges"))}
+
+
+def test_boundary_split_of_dense_regions(spark, dense):
+    want = {c: sum((s < AT < e) + (s < AT + LONG < e) for s, e, x in dense[1] if x == c) for c in "FO"}
+    rows = _run(spark, dense, "boundary_split")
+    assert len(rows) == 2 * N and {(r.cls, r.edges) for r in rows} == set(want.items())
