@@ -98,3 +98,7 @@ def test_boundary_split_of_dense_regions(spark, dense):
     want = {c: sum((s < AT < e) + (s < AT + LONG < e) for s, e, x in dense[1] if x == c) for c in "FO"}
     rows = _run(spark, dense, "boundary_split")
     assert len(rows) == 2 * N and {(r.cls, r.edges) for r in rows} == set(want.items())
+
+
+def test_enrichment_of_dense_regions(spark, dense):
+    assert {(r.cls, r.n11, r.n10, r.n01, r.n00) for r in _run(spark, dense, "te_enrichment")} == {(c, N, 0, 0, 0) for c in "FO"}
