@@ -102,3 +102,10 @@ def test_boundary_split_of_dense_regions(spark, dense):
 
 def test_enrichment_of_dense_regions(spark, dense):
     assert {(r.cls, r.n11, r.n10, r.n01, r.n00) for r in _run(spark, dense, "te_enrichment")} == {(c, N, 0, 0, 0) for c in "FO"}
+
+
+def test_shifted_overlaps_of_dense_regions(spark, dense, monkeypatch):
+    """Regions that the control leaves at one place."""
+    monkeypatch.setattr(registry.nulls, "shift", lambda df, *_: df)
+    want = {c: [min(e, AT + LONG) - max(s, AT) for s, e, x in dense[1] if x == c and s < AT + LONG and AT < e] for c in "FO"}
+    assert {(r.cls, r.n, r.regions, r.bases) for r in _run(spark, dense, "shifted_overlaps")} == {(c, N * len(w), N, N * sum(w)) for c, w in want.items()}
