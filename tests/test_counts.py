@@ -115,3 +115,7 @@ def test_overlap_join_of_dense_regions(spark, dense):
     want = {c: [min(e, AT + LONG) - max(s, AT) for s, e, x in dense[1] if x == c and s < AT + LONG and AT < e] for c in "FO"}
     rows = _run(spark, dense, "overlap_join")
     assert len(rows) == 2 * N and {(r.cls, r.n, r.bases) for r in rows} == {(c, len(w), sum(w)) for c, w in want.items()}
+
+
+def test_hits_of_dense_regions(spark, dense):
+    assert [(r.bin, r.regions, r.hit_regions) for r in _run(spark, dense, "hits_per_bin")] == [("1", 1, 1)]
