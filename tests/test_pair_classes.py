@@ -41,3 +41,10 @@ def test_flank_breakdown_sums_once(spark):
     """One sum over pairs, after the join that makes them; no pivot."""
     plan = _plan(spark, "flank_breakdown")
     assert "pivotfirst" not in plan.lower() and plan.splitlines()[0].lstrip().startswith(("Aggregate", "Project"))
+
+
+def test_hit_and_double_flank_joins_no_pairs(spark):
+    """Pairs are made by the last join."""
+    plan = _plan(spark, "hit_and_double_flank")
+    top = next(line for line in plan.splitlines() if "Join" in line)
+    assert "LeftSemi" not in top and "_first" in top
