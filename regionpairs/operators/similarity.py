@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from regionpairs.functions import columns as C
 from regionpairs.operators.pairs import BLOCK, block_pairs
@@ -84,32 +85,81 @@ def _diagonals(first: DataFrame, second: DataFrame, asked: DataFrame | None) ->
 def segments(diagonals: DataFrame, seqs: DataFrame) -> DataFrame:
     """Best ungapped segment of every diagonal: score, qstart, qend, sstart, send (from 0, half-open, b's on the stated strand), matches.
 
-    One pass over the diagonal's columns inside the row, so nothing is shuffled but the sequences to their diagonals.
+    One pass over the diagonal's columns, those of many diagonals at a time in numpy; nothing is shuffled but the sequences
+    to their diagonals. Of equal segments the one that ends first counts, of those the shortest.
     """
     s = seqs.select("set_id", "member", F.upper("seq").alias("seq"))
     met = diagonals.join(s.select("set_id", F.col("member").alias("a"), F.col("seq").alias("a_seq")), ["set_id", "a"]).join(s.select("set_id", F.col("member").alias("b"), F.col("seq").alias("b_own")), ["set_id", "b"])
     met = met.withColumn("b_seq", F.when(F.col("strand") == "-", C.reverse_complement(F.col("b_own"))).otherwise(F.col("b_own")))
-    met = met.withColumn("from", F.greatest(F.col("diag"), F.lit(0))).withColumn("n", F.least(F.length("a_seq"), F.length("b_seq") + F.col("diag")) - F.col("from"))
-    met = met.withColumn("x", F.expr("split(substring(a_seq, from + 1, n), '')")).withColumn("y", F.expr("split(substring(b_seq, from - diag + 1, n), '')"))
-    step = F.zip_with("x", "y", lambda p, q: F.when(p == q, F.lit(C.MATCH)).otherwise(F.lit(C.MISMATCH)))
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(0).alias("since"), F.lit(0).alias("best"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-
-    def fold(z, v):
-        run = F.when(z["run"] > 0, z["run"] + v).otherwise(v)
-        since = F.when(z["run"] > 0, z["since"]).otherwise(z["i"])
-        better = run > z["best"]
-        return F.struct(
-            (z["i"] + 1).alias("i"), run.alias("run"), since.alias("since"), F.when(better, run).otherwise(z["best"]).alias("best"), F.when(better, since).otherwise(z["lo"]).alias("lo"), F.when(better, z["i"] + 1).otherwise(z["hi"]).alias("hi")
-        )
-
-    best = met.withColumn("z", F.aggregate(step, zero, fold))
-    q = F.col("from") + F.col("z.lo")
-    out = best.select(
-        "set_id", "a", "b", "strand", "diag", F.col("z.best").alias("score"), q.alias("qstart"), (F.col("from") + F.col("z.hi")).alias("qend"), (q - F.col("diag")).alias("sstart"), (F.col("from") + F.col("z.hi") - F.col("diag")).alias("send"),
-        F.expr("aggregate(zip_with(slice(x, z.lo + 1, z.hi - z.lo), slice(y, z.lo + 1, z.hi - z.lo), (p, q) -> if(p = q, 1, 0)), 0, (s, v) -> s + v)").alias("matches"), F.length("a_seq").alias("a_len"), F.length("b_seq").alias("b_len"),
-        F.expr("substring(b_seq, from - diag + z.lo + 1, z.hi - z.lo)").alias("sseq"),
+    met = met.withColumns({"a_len": F.length("a_seq"), "b_len": F.length("b_seq"), "from": F.greatest(F.col("diag"), F.lit(0))}).withColumn("n", F.least("a_len", F.col("b_len") + F.col("diag")) - F.col("from"))
+    met = met.select("set_id", "a", "b", "strand", "diag", "from", "a_len", "b_len", F.expr("substring(a_seq, from + 1, n)").alias("x"), F.expr("substring(b_seq, from - diag + 1, n)").alias("y"))
+    given = [f for f in met.schema.fields if f.name != "x"]
+    # a map of rows, so that no later filter on scores works them out a second time
+    best = met.mapInArrow(_best_columns, StructType([*given, *(StructField(c, IntegerType()) for c in ("score", "lo", "hi"))]))
+    q, size = F.col("from") + F.col("lo"), F.col("hi") - F.col("lo")
+    return best.select(
+        "set_id", "a", "b", "strand", "diag", "score", q.alias("qstart"), (F.col("from") + F.col("hi")).alias("qend"), (q - F.col("diag")).alias("sstart"), (F.col("from") + F.col("hi") - F.col("diag")).alias("send"),
+        ((F.col("score") - C.MISMATCH * size) / (C.MATCH - C.MISMATCH)).cast("int").alias("matches"), "a_len", "b_len", F.expr("substring(y, lo + 1, hi - lo)").alias("sseq"),
     )
-    return out
+
+
+#: Columns of diagonals that one step of `segments` works on; a longer diagonal is a step of its own.
+COLUMNS = 1 << 20
+
+
+def _best_columns(batches):
+    """Batches with x and y (strings of equal length) as batches without x, with score, lo and hi of the best segment of their columns."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        at = batch.schema.get_field_index("x")
+        x, y = _letters(batch.column("x")), _letters(batch.column("y"))
+        ends, n = x[1], batch.num_rows
+        found, k = np.zeros((3, n), np.int32), 0
+        while k < n:
+            m = max(k + 1, int(np.searchsorted(ends, ends[k] + COLUMNS, "right")) - 1)
+            lo, hi = ends[k], ends[m]
+            found[:, k:m] = _best_of(x[0][lo:hi] == y[0][lo:hi], np.diff(ends[k : m + 1]))
+            k = m
+        kept = [i for i in range(batch.num_columns) if i != at]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *map(pa.array, found)], names=[*(batch.schema.names[i] for i in kept), "score", "lo", "hi"])
+
+
+def _letters(column):
+    """Letters of a column of strings one after the other, and where each string begins, with the end of the last."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.cast(pa.large_string())
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)
+    text = "".join(column.drop_null().to_pylist())
+    letters = np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return letters, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _best_of(same, sizes):
+    """score, lo, hi of the best segment of each of several runs of columns (whether letters agree), `sizes` columns each."""
+    import numpy as np
+
+    n, first = len(sizes), np.cumsum(sizes) - sizes + np.arange(len(sizes))  # each run's sums begin with an empty one
+    own = np.repeat(np.arange(n), sizes + 1)
+    total = np.zeros(len(own), np.int64)
+    step = np.ones(len(own), bool)
+    step[first] = False
+    total[step] = np.where(same, C.MATCH, C.MISMATCH)
+    total = np.cumsum(total)
+    total -= total[first][own]
+    # runs lie so far below each other that none sees the least sum of the one before
+    apart = own * ((C.MATCH - C.MISMATCH) * (int(sizes.max(initial=0)) + 1))
+    low = np.minimum.accumulate(total - apart) + apart
+    since = np.maximum.accumulate(np.where(total == low, np.arange(len(own)), 0))
+    gain = total - low
+    best = np.maximum.reduceat(gain, first)
+    at = np.flatnonzero(gain == best[own])
+    hi = at[np.searchsorted(at, first)]  # the first of a run that is its best
+    return best, since[hi] - first, hi - first
 
 
 def with_e_values(hits: DataFrame, cutoff: float | None = None, scales: DataFrame | None = None) -> DataFrame:

@@ -98,3 +98,36 @@ def test_seeds_of_asked_pairs(spark):
     df = spark.createDataFrame([("s", k, "ACGTACGTTGCA") for k in range(4)], "set_id string, member int, seq string")
     asked = spark.createDataFrame([("s", 1, 3), ("t", 0, 1)], "set_id string, a int, b int")
     assert {(r.a, r.b) for r in similarity.seeds(df, asked=asked).collect()} == {(1, 3)}
+
+
+def test_segments_of_many_long_diagonals(spark):
+    """Nine million columns of 5,981 diagonals: folded letter by letter they took minutes."""
+    n = 3000
+    df = spark.createDataFrame([("s", 1, "A" * n), ("s", 2, "A" * n)], "set_id string, member int, seq string")
+    began = time.time()
+    rows = similarity.segments(similarity.seeds(df), df).select("diag", "score", "qstart", "qend", "sstart", "matches").collect()
+    assert time.time() - began < 15
+    assert sorted(map(tuple, rows)) == [(d, 2 * (n - abs(d)), max(d, 0), min(n, n + d), max(-d, 0), n - abs(d)) for d in range(-n + 10, n - 9)]
+
+
+@pytest.mark.parametrize("columns", [1, 50, 1 << 20])
+def test_best_columns(monkeypatch, columns):
+    """Many diagonals at a time give what a fold of each one gives, in steps of any size, of any letters, without columns too."""
+    import pyarrow as pa
+
+    def fold(x, y):
+        run = since = best = lo = hi = 0
+        for i, (p, q) in enumerate(zip(x, y)):
+            v = 2 if p == q else -3
+            run, since = (run + v, since) if run > 0 else (v, i)
+            if run > best:
+                best, lo, hi = run, since, i + 1
+        return best, lo, hi
+
+    monkeypatch.setattr(similarity, "COLUMNS", columns)
+    rnd = random.Random(5)
+    rows = [tuple("".join(rnd.choices(letters, k=n)) for _ in "xy") for letters in ("AC", "ACGT", "Aé😀") for n in range(40) for _ in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), *(pa.array(x) for x in zip(*rows))], names=["k", "x", "y"])
+    got = next(similarity._best_columns([batch, batch]))
+    assert got.schema.names == ["k", "y", "score", "lo", "hi"] and next(similarity._best_columns([batch.slice(0, 0)])).num_rows == 0
+    assert list(zip(*(got.column(c).to_pylist() for c in ("score", "lo", "hi")))) == [fold(*r) for r in rows]
