@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from regionpairs.functions import columns as C
 from regionpairs.operators.pairs import BLOCK, block_pairs
 from regionpairs.plans.shared import through_table
 
 WORD = 10
+#: Letters of sequences, or columns of diagonals, that one step in numpy works on; a longer one is a step of its own.
+COLUMNS = 1 << 20
 
 
 def words(seq: Column, k: int) -> Column:
@@ -23,29 +27,94 @@ def words(seq: Column, k: int) -> Column:
 def runs(seqs: DataFrame, k: int) -> DataFrame:
     """set_id, member, kmer, lo, step, n: the places of every k-letter word of a sequence, those at equal distances as one run (lo, lo + step, ... n places).
 
-    Words are sorted within the row; a run ends where the word or the distance changes, so poly-A is one run and a repeated
-    unit one run per word of it, however long. Words with a masked letter (N) are none.
+    Words of many sequences are sorted at a time; a run ends where the word or the distance changes, so poly-A is one run and
+    a repeated unit one run per word of it, however long. Words with a masked letter (N) are none.
     """
-    at = seqs.select("set_id", "member", F.filter(words(F.col("seq"), k), lambda w: ~F.contains(w["kmer"], F.lit("N"))).alias("_w"))
-    once = F.size(F.array_distinct(F.transform("_w", lambda w: w["kmer"]))) == F.size("_w")
-    at = at.withColumn("_s", F.when(~once, F.sort_array(F.transform("_w", lambda w: F.struct(w["kmer"].alias("kmer"), w["pos"].alias("pos"))))))
-    same = lambda i: f"coalesce(get(_s, {i}).kmer = get(_s, {i} - 1).kmer, false)"
-    gap = lambda i: f"get(_s, {i}).pos - get(_s, {i} - 1).pos"
-    # the first of a run: another word, or another distance than the one before
-    begins = lambda i: f"(not {same(i)} or ({same(f'{i} - 1')} and {gap(i)} <> {gap(f'{i} - 1')}))"
-    edge = lambda test: f"array_compact(transform(_s, (x, i) -> if({test}, struct(x.kmer as kmer, x.pos as pos, i as i), null)))"
-    run = "struct(a.kmer as kmer, a.pos as lo, cast(if(b.i > a.i, (b.pos - a.pos) / (b.i - a.i), 1) as int) as step, b.i - a.i + 1 as n)"
-    runs_ = F.expr(f"zip_with({edge(begins('i'))}, {edge(begins('(i + 1)'))}, (a, b) -> {run})")
-    single = F.expr("transform(_w, w -> struct(w.kmer as kmer, w.pos as lo, 1 as step, 1 as n))")
-    # the outer form: for the other one Spark would work the words out a second time, to leave rows without any out
-    return at.select("set_id", "member", F.explode_outer(F.when(F.col("_s").isNull(), single).otherwise(runs_)).alias("r")).where("r is not null").select("set_id", "member", "r.kmer", "r.lo", "r.step", "r.n")
+    return _runs(seqs, ["set_id", "member"], k)
+
+
+def _runs(seqs: DataFrame, ident: list[str], k: int) -> DataFrame:
+    own = seqs.select(*ident, "seq")
+    return own.mapInArrow(functools.partial(_word_runs, k=k), StructType([*own.schema.fields[:-1], StructField("kmer", StringType()), *(StructField(c, IntegerType()) for c in ("lo", "step", "n"))]))
+
+
+def _word_runs(batches, k: int, distinct: bool = False):
+    """Batches whose last column holds sequences as batches of the runs of their words; distinct: of their distinct words, masked ones too."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        letters, ends = _letters(batch.column(batch.num_columns - 1))
+        for m, n in _steps(ends):
+            part, sizes = letters[ends[m] : ends[n]], np.diff(ends[m : n + 1])
+            first, own = ends[m:n] - ends[m], np.repeat(np.arange(n - m), np.maximum(sizes - k + 1, 0))
+            at = np.arange(len(own)) + (np.cumsum(sizes) - sizes - np.cumsum(np.maximum(sizes - k + 1, 0)) + np.maximum(sizes - k + 1, 0))[own]
+            if not distinct:
+                hidden = np.concatenate([[0], np.cumsum(part == ord("N"))])
+                free = hidden[at + k] == hidden[at]
+                own, at = own[free], at[free]
+            code, size = _codes(part, at, k)
+            order = np.argsort(own * size + code, kind="stable")
+            own, at, code = own[order], at[order], code[order]
+            same = np.zeros(len(at) + 1, bool)
+            same[1:-1] = (own[1:] == own[:-1]) & (code[1:] == code[:-1])
+            if distinct:
+                lo = np.flatnonzero(~same[:-1])
+                more = []
+            else:
+                gap = np.diff(at, prepend=0, append=0)
+                begins = ~same
+                begins[1:] |= same[:-1] & (gap[1:] != gap[:-1])
+                lo, hi = np.flatnonzero(begins[:-1]), np.flatnonzero(begins[1:])
+                more = [at[lo] - first[own[lo]], np.where(hi > lo, (at[hi] - at[lo]) // np.maximum(hi - lo, 1), 1), hi - lo + 1]
+            for c in range(0, len(lo), COLUMNS):
+                cut = slice(c, c + COLUMNS)
+                ident = [batch.column(i).slice(m, n - m).take(pa.array(own[lo[cut]])) for i in range(batch.num_columns - 1)]
+                spelt, places = _words_at(part, at[lo[cut]], k), [pa.array(x[cut].astype(np.int32)) for x in more]
+                yield pa.RecordBatch.from_arrays([*ident, spelt, *places], names=[*batch.schema.names[:-1], "w" if distinct else "kmer", *(("lo", "step", "n") if more else ())])
+
+
+def _steps(ends):
+    """Ranges of strings with some COLUMNS letters together, or of one longer string."""
+    import numpy as np
+
+    k = 0
+    while k < len(ends) - 1:
+        m = max(k + 1, int(np.searchsorted(ends, ends[k] + COLUMNS, "right")) - 1)
+        yield k, m
+        k = m
+
+
+def _codes(letters, at, k: int):
+    """A number below the returned size for each k-letter word that starts at `at`; equal for equal words only."""
+    import numpy as np
+
+    names, ranks = np.unique(letters, return_inverse=True)
+    code, size = np.zeros(len(at), np.int64), 1
+    for j in range(k):
+        if size * len(names) >= 1 << 40:  # leaves room for the sequence's number
+            names_, code = np.unique(code, return_inverse=True)
+            size = len(names_)
+        code, size = code * len(names) + ranks[at + j], size * len(names)
+    return code, max(size, 1)
+
+
+def _words_at(letters, at, k: int):
+    """The words as a column of strings."""
+    import numpy as np
+    import pyarrow as pa
+
+    spelt = letters[at[:, None] + np.arange(k)]
+    if letters.dtype == np.uint8:
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer((np.arange(len(at) + 1) * k).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(spelt)))
+    return pa.array([w.tobytes().decode("utf-32-le") for w in spelt], pa.string())
 
 
 def spots(seqs: DataFrame, ident: list[str], k: int = WORD) -> DataFrame:
     """ident, strand, kmer, lo, step, n: the runs of words of every sequence (ident, seq) on both strands; case doesn't count."""
-    upper = seqs.select(F.struct(*ident).alias("set_id"), F.lit(0).alias("member"), F.upper("seq").alias("seq"))
-    minus = upper.withColumn("seq", C.reverse_complement(F.col("seq")))
-    return runs(upper, k).withColumn("strand", F.lit("+")).unionByName(runs(minus, k).withColumn("strand", F.lit("-"))).select("set_id.*", "strand", "kmer", "lo", "step", "n")
+    upper = seqs.select(*ident, F.upper("seq").alias("seq"))
+    both = F.array(F.struct(F.lit("+").alias("strand"), "seq"), F.struct(F.lit("-").alias("strand"), C.reverse_complement(F.col("seq")).alias("seq")))
+    return _runs(upper.select(*ident, F.explode(both).alias("_s")).select(*ident, "_s.*"), [*ident, "strand"], k)
 
 
 def seeds(seqs: DataFrame, k: int = WORD, asked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -58,7 +127,7 @@ def seeds(seqs: DataFrame, k: int = WORD, asked: DataFrame | None = None, block:
     """
     first, second = block_pairs(seqs.select("set_id", "member", "seq"), "set_id", ["member"], block)
     ident = ["set_id", "_first", "_second", "member"]
-    plus = runs(first.select(F.struct(*ident[:3]).alias("set_id"), "member", F.upper("seq").alias("seq")), k).select("set_id.*", "member", "kmer", "lo", "step", "n")
+    plus = _runs(first.select(*ident, F.upper("seq").alias("seq")), ident, k)
     return _diagonals(plus, spots(second, ident, k), asked)
 
 
@@ -103,10 +172,6 @@ def segments(diagonals: DataFrame, seqs: DataFrame) -> DataFrame:
     )
 
 
-#: Columns of diagonals that one step of `segments` works on; a longer diagonal is a step of its own.
-COLUMNS = 1 << 20
-
-
 def _best_columns(batches):
     """Batches with x and y (strings of equal length) as batches without x, with score, lo and hi of the best segment of their columns."""
     import numpy as np
@@ -115,13 +180,9 @@ def _best_columns(batches):
     for batch in batches:
         at = batch.schema.get_field_index("x")
         x, y = _letters(batch.column("x")), _letters(batch.column("y"))
-        ends, n = x[1], batch.num_rows
-        found, k = np.zeros((3, n), np.int32), 0
-        while k < n:
-            m = max(k + 1, int(np.searchsorted(ends, ends[k] + COLUMNS, "right")) - 1)
-            lo, hi = ends[k], ends[m]
-            found[:, k:m] = _best_of(x[0][lo:hi] == y[0][lo:hi], np.diff(ends[k : m + 1]))
-            k = m
+        ends, found = x[1], np.zeros((3, batch.num_rows), np.int32)
+        for k, m in _steps(ends):
+            found[:, k:m] = _best_of(x[0][ends[k] : ends[m]] == y[0][ends[k] : ends[m]], np.diff(ends[k : m + 1]))
         kept = [i for i in range(batch.num_columns) if i != at]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *map(pa.array, found)], names=[*(batch.schema.names[i] for i in kept), "score", "lo", "hi"])
 
@@ -191,9 +252,8 @@ def top(hits: DataFrame, k: int) -> DataFrame:
 
 def word_jaccard(seqs: DataFrame, k: int) -> DataFrame:
     """set_id, a, b, shared, total, jaccard, containment (of the smaller set) of the distinct k-letter words of set members that share any."""
-    upper = seqs.select("set_id", "member", F.upper("seq").alias("seq"))  # once a sequence, not once a word
-    sets = upper.select("set_id", "member", F.explode_outer(F.array_distinct(F.transform(words(F.col("seq"), k), lambda w: w["kmer"]))).alias("w"))  # the outer form: see runs
-    return _jaccard(sets.where("w is not null"))
+    upper = seqs.select("set_id", "member", F.upper("seq").alias("seq"))
+    return _jaccard(upper.mapInArrow(functools.partial(_word_runs, k=k, distinct=True), StructType([*upper.schema.fields[:-1], StructField("w", StringType())])))
 
 
 def _jaccard(sets: DataFrame) -> DataFrame:
