@@ -131,3 +131,16 @@ def test_best_columns(monkeypatch, columns):
     got = next(similarity._best_columns([batch, batch]))
     assert got.schema.names == ["k", "y", "score", "lo", "hi"] and next(similarity._best_columns([batch.slice(0, 0)])).num_rows == 0
     assert list(zip(*(got.column(c).to_pylist() for c in ("score", "lo", "hi")))) == [fold(*r) for r in rows]
+
+
+def test_words_of_long_sequences(spark):
+    """Words are cut in one walk: cut one by one each took a walk from the sequence's start, minutes for these."""
+    rnd = random.Random(7)
+    x = "".join(rnd.choices("ACGT", k=500_000))
+    y = x[:250_000] + "N" + x[250_000:].replace("AAAA", "AACA")
+    df = spark.createDataFrame([("s", 1, x), ("s", 2, y.lower()), ("s", 3, None), ("s", 4, "ACG"), ("t", 1, "é" * 12), ("t", 2, "É" * 15 + "N")], "set_id string, member int, seq string")
+    began = time.time()
+    got = {(r.set_id, r.a, r.b): (r.shared, r.total) for r in similarity.word_jaccard(df, 10).collect()}
+    assert time.time() - began < 30
+    p, q = ({z[i : i + 10] for i in range(len(z) - 9)} for z in (x, y))
+    assert got == {("s", 1, 2): (len(p & q), len(p | q)), ("t", 1, 2): (1, 2)}
