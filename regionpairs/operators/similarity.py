@@ -7,10 +7,10 @@ import functools
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from regionpairs.functions import columns as C
-from regionpairs.operators.pairs import BLOCK, block_pairs
+from regionpairs.operators.pairs import BLOCK, block_groups, block_pairs
 from regionpairs.plans.shared import through_table
 
 WORD = 10
@@ -38,40 +38,57 @@ def _runs(seqs: DataFrame, ident: list[str], k: int) -> DataFrame:
     return own.mapInArrow(functools.partial(_word_runs, k=k), StructType([*own.schema.fields[:-1], StructField("kmer", StringType()), *(StructField(c, IntegerType()) for c in ("lo", "step", "n"))]))
 
 
-def _word_runs(batches, k: int, distinct: bool = False):
-    """Batches whose last column holds sequences as batches of the runs of their words; distinct: of their distinct words, masked ones too."""
+def _word_runs(batches, k: int):
+    """Batches whose last column holds sequences as batches of the runs of their words."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         letters, ends = _letters(batch.column(batch.num_columns - 1))
         for m, n in _steps(ends):
-            part, sizes = letters[ends[m] : ends[n]], np.diff(ends[m : n + 1])
-            first, own = ends[m:n] - ends[m], np.repeat(np.arange(n - m), np.maximum(sizes - k + 1, 0))
-            at = np.arange(len(own)) + (np.cumsum(sizes) - sizes - np.cumsum(np.maximum(sizes - k + 1, 0)) + np.maximum(sizes - k + 1, 0))[own]
-            if not distinct:
-                hidden = np.concatenate([[0], np.cumsum(part == ord("N"))])
-                free = hidden[at + k] == hidden[at]
-                own, at = own[free], at[free]
+            part, first = letters[ends[m] : ends[n]], ends[m : n + 1] - ends[m]
+            own, at = _unmasked(part, *_places(first, k), k)
             code, size = _codes(part, at, k)
             order = np.argsort(own * size + code, kind="stable")
             own, at, code = own[order], at[order], code[order]
-            same = np.zeros(len(at) + 1, bool)
-            same[1:-1] = (own[1:] == own[:-1]) & (code[1:] == code[:-1])
-            if distinct:
-                lo = np.flatnonzero(~same[:-1])
-                more = []
-            else:
-                gap = np.diff(at, prepend=0, append=0)
-                begins = ~same
-                begins[1:] |= same[:-1] & (gap[1:] != gap[:-1])
-                lo, hi = np.flatnonzero(begins[:-1]), np.flatnonzero(begins[1:])
-                more = [at[lo] - first[own[lo]], np.where(hi > lo, (at[hi] - at[lo]) // np.maximum(hi - lo, 1), 1), hi - lo + 1]
+            lo, *more = _equal_runs(own, at, code)
+            more = [at[lo] - first[own[lo]], *more]
             for c in range(0, len(lo), COLUMNS):
                 cut = slice(c, c + COLUMNS)
                 ident = [batch.column(i).slice(m, n - m).take(pa.array(own[lo[cut]])) for i in range(batch.num_columns - 1)]
                 spelt, places = _words_at(part, at[lo[cut]], k), [pa.array(x[cut].astype(np.int32)) for x in more]
-                yield pa.RecordBatch.from_arrays([*ident, spelt, *places], names=[*batch.schema.names[:-1], "w" if distinct else "kmer", *(("lo", "step", "n") if more else ())])
+                yield pa.RecordBatch.from_arrays([*ident, spelt, *places], names=[*batch.schema.names[:-1], "kmer", "lo", "step", "n"])
+
+
+def _places(ends, k: int):
+    """Sequence and place in the letters of every k-letter word."""
+    import numpy as np
+
+    n = np.maximum(np.diff(ends) - k + 1, 0)
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) + (ends[:-1] - np.cumsum(n) + n)[own]
+
+
+def _unmasked(letters, own, at, k: int):
+    """Those words that hold no N."""
+    import numpy as np
+
+    hidden = np.concatenate([[0], np.cumsum(letters == ord("N"))])
+    free = hidden[at + k] == hidden[at]
+    return own[free], at[free]
+
+
+def _equal_runs(own, at, code):
+    """Of words by sequence and code (either first), then place: the first word of each run of equal distances, its step and its number of words."""
+    import numpy as np
+
+    same = np.zeros(len(at) + 1, bool)
+    same[1:-1] = (own[1:] == own[:-1]) & (code[1:] == code[:-1])
+    gap = np.diff(at, prepend=0, append=0)
+    begins = ~same
+    begins[1:] |= same[:-1] & (gap[1:] != gap[:-1])
+    lo, hi = np.flatnonzero(begins[:-1]), np.flatnonzero(begins[1:])
+    return lo, np.where(hi > lo, (at[hi] - at[lo]) // np.maximum(hi - lo, 1), 1), hi - lo + 1
 
 
 def _steps(ends):
@@ -120,15 +137,139 @@ def spots(seqs: DataFrame, ident: list[str], k: int = WORD) -> DataFrame:
 def seeds(seqs: DataFrame, k: int = WORD, asked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """set_id, a, b, strand, diag: diagonals of set members (columns set_id, member, seq) on which a k-letter word occurs in both, on either strand of b.
 
-    An equi-join on set, word and the set's blocks of members (pairs.block_pairs); case doesn't count, and a word with a
-    masked letter (N) is none. diag is a's position less b's, b's counted on the stated strand. Runs of a word meet as
-    intervals of diagonals, so a word that fills two sequences is one row of the join; no word is left out however
-    frequent. asked (set_id, a, b): only these pairs.
+    Sequences, not words, are shuffled: to their set's pairs of blocks (pairs.block_groups), whose words meet in numpy, those of
+    many small sets at a time. Case doesn't count, and a word with a masked letter (N) is none. diag is a's position less b's,
+    b's counted on the stated strand. Runs of a word meet as intervals of diagonals, so a word that fills two sequences is one
+    meeting; no word is left out however frequent. asked (set_id, a, b): only these pairs.
     """
-    first, second = block_pairs(seqs.select("set_id", "member", "seq"), "set_id", ["member"], block)
-    ident = ["set_id", "_first", "_second", "member"]
-    plus = _runs(first.select(*ident, F.upper("seq").alias("seq")), ident, k)
-    return _diagonals(plus, spots(second, ident, k), asked)
+    fields = [StructField("a", seqs.schema["member"].dataType), StructField("b", seqs.schema["member"].dataType), StructField("strand", StringType()), StructField("diag", IntegerType())]
+    met = _grouped(seqs, block).mapInArrow(functools.partial(_by_groups, of=functools.partial(_seed_diagonals, k=k)), StructType([seqs.schema["set_id"], *fields])).distinct()
+    return met if asked is None else met.join(asked, ["set_id", "a", "b"], "left_semi")
+
+
+def _grouped(seqs: DataFrame, block: int) -> DataFrame:
+    """set_id, member, _new (a group's first row), _rank (that of its member), _own (its block), seq in capitals: groups of two blocks of a set, each whole in one task and by member."""
+    own = seqs.select("set_id", "member", F.upper("seq").alias("seq")).where("member is not null and seq is not null")
+    groups = block_groups(own, "set_id", ["member"], F.length("seq"), block, COLUMNS)
+    w = Window.partitionBy("set_id", "_low", "_high").orderBy("member")
+    return groups.select("set_id", "member", (F.row_number().over(w) == 1).alias("_new"), F.rank().over(w).alias("_rank"), F.when(F.col("_low") == F.col("_high"), -1).otherwise(F.col("_own")).alias("_own"), "seq")
+
+
+def _by_groups(batches, of):
+    """What `of` makes of the rows, whole groups at a time with some COLUMNS letters together, or one larger group."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def done(rows):
+        letters, ends = _letters(rows.column("seq"))
+        first = np.append(np.flatnonzero(rows.column("_new").to_numpy(zero_copy_only=False)), rows.num_rows)
+        for m, n in _steps(ends[first]):
+            m, n = int(first[m]), int(first[n])
+            yield from of(rows.slice(m, n - m), letters[ends[m] : ends[n]], ends[m : n + 1] - ends[m])
+
+    held, size = [], 0
+    for batch in batches:
+        batch = batch.set_column(batch.num_columns - 1, "seq", batch.column("seq").cast(pa.large_string()))
+        at = batch.column("_new").to_numpy(zero_copy_only=False).nonzero()[0]
+        if size >= COLUMNS and len(at):
+            # all groups but the last are whole
+            yield from done(pa.Table.from_batches([*held, batch.slice(0, int(at[-1]))]).combine_chunks().to_batches(None)[0])
+            batch, held, size = batch.slice(int(at[-1])), [], 0
+        held.append(batch)
+        size += pc.sum(pc.utf8_length(batch.column("seq"))).as_py() or 0
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches(None)
+        yield from done(whole[0]) if whole else ()
+
+
+def _own_rows(rows):
+    """Of every row: its group's first row, the first row of its member there, and its block, or -1 where the group is one block."""
+    import numpy as np
+
+    first = np.maximum.accumulate(np.where(rows.column("_new").to_numpy(zero_copy_only=False), np.arange(rows.num_rows), 0))
+    return first, first + rows.column("_rank").to_numpy() - 1, rows.column("_own").to_numpy()
+
+
+def _meetings(ends, first):
+    """For items numbered along their groups: every item of `first` with each later one of its group, some COLUMNS pairs at a time. ends: where each item's group ends."""
+    import numpy as np
+
+    n = ends[first] - first - 1
+    for p, q in _steps(np.concatenate([[0], np.cumsum(n)])):
+        i = np.repeat(first[p:q], n[p:q])
+        yield i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[p:q]) - n[p:q], n[p:q])
+
+
+def _stretches(key):
+    """Where the stretch of equal keys of each item ends."""
+    import numpy as np
+
+    last = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)) if len(key) else np.zeros(0, np.int64)
+    return np.repeat(last, np.diff(last, prepend=0))
+
+
+def _seed_diagonals(rows, letters, ends, k: int):
+    """set_id, a, b, strand, diag of the groups of `rows`."""
+    import numpy as np
+    import pyarrow as pa
+
+    m, (group, who, block) = rows.num_rows, _own_rows(rows)
+    other = letters.copy()
+    for x, y in zip(b"ACGT", b"TGCA"):
+        other[letters == x] = y
+    # the other strand: all letters backwards, so the sequences in reverse
+    text, row = np.concatenate([letters, other[::-1]]), np.concatenate([np.arange(m), np.arange(m)[::-1]])
+    begin = np.concatenate([ends, 2 * ends[-1] - ends[-2::-1]])
+    own, at = _unmasked(text, *_places(begin, k), k)
+    code, size = _codes(text, at, k)
+    key = group[row][own] * size + code
+    order = np.argsort(key, kind="stable")
+    own, at, key = own[order], at[order], key[order]
+    lo, step, n = _equal_runs(own, at, key)
+    own, at, till = own[lo], at[lo] - begin[own[lo]], _stretches(key[lo])
+    for i, j in _meetings(till, np.flatnonzero(own < m)):
+        x, y = row[own[i]], row[own[j]]
+        met = (who[x] < who[y]) & ((block[x] < 0) | (block[x] != block[y]))
+        i, j, x, y = i[met], j[met], x[met], y[met]
+        zero, even = at[i] - at[j], (n[i] == 1) | (n[j] == 1) | (step[i] == step[j])
+        along = np.where(n[i] > 1, step[i], step[j])
+        # runs of different steps: all their places, which differ by other numbers
+        many = np.where(even, n[i] + n[j] - 1, n[i] * n[j])
+        for p, q in _steps(np.concatenate([[0], np.cumsum(many)])):
+            r = np.repeat(np.arange(p, q), many[p:q])
+            t = np.arange(len(r)) - np.repeat(np.cumsum(many[p:q]) - many[p:q], many[p:q])
+            diag = zero[r] + np.where(even[r], (t - n[j][r] + 1) * along[r], t // n[j][r] * step[i][r] - t % n[j][r] * step[j][r])
+            pair = (x[r] * m + y[r]) * 2 + (own[j][r] >= m)
+            order = np.lexsort((diag, pair))
+            pair, diag = pair[order], diag[order]
+            new = np.append(True, (pair[1:] != pair[:-1]) | (diag[1:] != diag[:-1]))[: len(pair)]
+            pair, diag = pair[new], diag[new].astype(np.int32)
+            a, b = pa.array(pair // 2 // m), pa.array(pair // 2 % m)
+            strand = pa.array(["+", "-"]).take(pa.array(pair % 2))
+            yield pa.RecordBatch.from_arrays([rows.column("set_id").take(a), rows.column("member").take(a), rows.column("member").take(b), strand, pa.array(diag)], names=["set_id", "a", "b", "strand", "diag"])
+
+
+def _shared_words(rows, letters, ends, k: int):
+    """set_id, a, b, shared, na, nb of the groups of `rows`: the distinct words of two members, masked ones too, and of each."""
+    import numpy as np
+    import pyarrow as pa
+
+    m, (group, who, block) = rows.num_rows, _own_rows(rows)
+    own, at = _places(ends, k)
+    code, size = _codes(letters, at, k)
+    key = group[own] * size + code
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], who[own[order]]
+    new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)]
+    key, own = key[new], own[new]
+    n = np.bincount(own, minlength=m)
+    for i, j in _meetings(_stretches(key), np.arange(len(key))):
+        x, y = own[i], own[j]
+        met = (block[x] < 0) | (block[x] != block[y])
+        pair, shared = np.unique(x[met] * m + y[met], return_counts=True)
+        a, b = pair // m, pair % m
+        yield pa.RecordBatch.from_arrays([rows.column("set_id").take(pa.array(a)), *(rows.column("member").take(pa.array(z)) for z in (a, b)), *map(pa.array, (shared, n[a], n[b]))], names=["set_id", "a", "b", "shared", "na", "nb"])
 
 
 def seeds_in(members: DataFrame, words_of: DataFrame, ident: str, asked: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -250,16 +391,20 @@ def top(hits: DataFrame, k: int) -> DataFrame:
     return hits.orderBy(F.desc("score"), "set_id", "a", "b", "strand", "qstart", "sstart").limit(k)
 
 
-def word_jaccard(seqs: DataFrame, k: int) -> DataFrame:
-    """set_id, a, b, shared, total, jaccard, containment (of the smaller set) of the distinct k-letter words of set members that share any."""
-    upper = seqs.select("set_id", "member", F.upper("seq").alias("seq"))
-    return _jaccard(upper.mapInArrow(functools.partial(_word_runs, k=k, distinct=True), StructType([*upper.schema.fields[:-1], StructField("w", StringType())])))
+def word_jaccard(seqs: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """set_id, a, b, shared, total, jaccard, containment (of the smaller set) of the distinct k-letter words of set members that share any; words meet as those of seeds do."""
+    of = seqs.schema["member"].dataType
+    met = _grouped(seqs, block).mapInArrow(functools.partial(_by_groups, of=functools.partial(_shared_words, k=k)), StructType([seqs.schema["set_id"], StructField("a", of), StructField("b", of), *(StructField(c, LongType()) for c in ("shared", "na", "nb"))]))
+    return _ratios(met.groupBy("set_id", "a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb")))
 
 
 def _jaccard(sets: DataFrame) -> DataFrame:
     n = sets.groupBy("set_id", "member").agg(F.count("*").alias("n"))
     met = sets.withColumnRenamed("member", "a").join(sets.withColumnRenamed("member", "b"), ["set_id", "w"]).where("a < b").groupBy("set_id", "a", "b").agg(F.count("*").alias("shared"))
-    both = met.join(n.select("set_id", F.col("member").alias("a"), F.col("n").alias("na")), ["set_id", "a"]).join(n.select("set_id", F.col("member").alias("b"), F.col("n").alias("nb")), ["set_id", "b"])
+    return _ratios(met.join(n.select("set_id", F.col("member").alias("a"), F.col("n").alias("na")), ["set_id", "a"]).join(n.select("set_id", F.col("member").alias("b"), F.col("n").alias("nb")), ["set_id", "b"]))
+
+
+def _ratios(both: DataFrame) -> DataFrame:
     total = F.col("na") + F.col("nb") - F.col("shared")
     return both.select("set_id", "a", "b", "shared", total.alias("total"), (F.col("shared") / total).alias("jaccard"), (F.col("shared") / F.least("na", "nb")).alias("containment"))
 

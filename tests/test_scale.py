@@ -144,3 +144,33 @@ def test_words_of_long_sequences(spark):
     assert time.time() - began < 30
     p, q = ({z[i : i + 10] for i in range(len(z) - 9)} for z in (x, y))
     assert got == {("s", 1, 2): (len(p & q), len(p | q)), ("t", 1, 2): (1, 2)}
+
+
+@pytest.mark.parametrize("columns", [1, 200, 1 << 20])
+def test_seeds_by_groups(monkeypatch, columns):
+    """Groups that come in several batches, many or one a step, give the diagonals of each pair once more or less often, and no other; equal members aren't paired."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "COLUMNS", columns)
+    rnd = random.Random(11)
+    rows, want = [], set()
+    for s in range(8):
+        own = [(k, m, rnd.randrange(2) if s % 2 else -1, "".join(rnd.choices("ACGTNé" if s == 3 else "ACT", k=rnd.randrange(25)))) for k, m in enumerate(sorted(rnd.choices("abcdef", k=6)))]
+        rows += [(s, m, k == 0, min(x[0] for x in own if x[1] == m) + 1, o, x) for k, m, o, x in own]
+        for _, m, o, x in own:
+            for _, n, p, y in own:
+                for strand, z in (("+", y), ("-", y[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+                    want |= {(s, m, n, strand, d) for d in diagonals(x, z, 4) if m < n and (o < 0 or o != p)}
+    kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["set_id", "member", "_new", "_rank", "_own", "seq"])
+    batches = [batch.slice(k, 5) for k in range(0, len(rows), 5)]
+    got = [tuple(r.values()) for b in similarity._by_groups(iter(batches), lambda *x: similarity._seed_diagonals(*x, k=4)) for r in b.to_pylist()]
+    assert set(got) == want
+    assert list(similarity._by_groups(iter([]), None)) == []
+
+
+def test_seeds_shuffle_sequences(spark):
+    """What is sorted by set is a row a sequence; before, each of the 991 words of a sequence was one."""
+    df = spark.range(4).select(F.lit("s").alias("set_id"), "id", F.repeat(F.lit("ACGTTGCAAC"), 100).alias("seq")).withColumnRenamed("id", "member")
+    plan = similarity.seeds(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "kmer" not in plan and "Window" in plan
