@@ -174,3 +174,11 @@ def test_seeds_shuffle_sequences(spark):
     df = spark.range(4).select(F.lit("s").alias("set_id"), "id", F.repeat(F.lit("ACGTTGCAAC"), 100).alias("seq")).withColumnRenamed("id", "member")
     plan = similarity.seeds(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "kmer" not in plan and "Window" in plan
+
+
+def test_control_scores_are_written_once(spark):
+    """Observed and null scores are read several times: from a table, not by searching again."""
+    from regionpairs.plans import registry
+
+    files = registry._control_scores(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "conversations" in f]
