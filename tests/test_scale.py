@@ -182,3 +182,14 @@ def test_control_scores_are_written_once(spark):
 
     files = registry._control_scores(spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not [f for f in files if "conversations" in f]
+
+
+def test_flank_hits_cut_letters_once(spark, monkeypatch):
+    """The letters of documents are worked out once, not for regions, flanks and members each."""
+    from regionpairs.plans import registry
+
+    real, asked, seen = flanks.hits, [], []
+    monkeypatch.setattr(registry.V, "genome", lambda *x, of=registry.V.genome: asked.append(of(*x)) or asked[-1])
+    monkeypatch.setattr(flanks, "hits", lambda regions, letters, *x, **y: seen.extend([*regions.inputFiles(), *letters.inputFiles()]) or real(regions, letters, *x, **y))
+    assert registry.flank_hits(spark, "/root/testdata/sf0.001").columns[:3] == ["set_id", "a_region_id", "b_region_id"]
+    assert len(asked) == 1 and seen and not [f for f in seen if "documents" in f]
