@@ -193,3 +193,14 @@ def test_flank_hits_cut_letters_once(spark, monkeypatch):
     monkeypatch.setattr(flanks, "hits", lambda regions, letters, *x, **y: seen.extend([*regions.inputFiles(), *letters.inputFiles()]) or real(regions, letters, *x, **y))
     assert registry.flank_hits(spark, "/root/testdata/sf0.001").columns[:3] == ["set_id", "a_region_id", "b_region_id"]
     assert len(asked) == 1 and seen and not [f for f in seen if "documents" in f]
+
+
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_shared_words_in_blocks(spark, block):
+    """Sets of any number of blocks give the same pairs; rows that repeat a member are one member."""
+    rnd = random.Random(13)
+    rows = [(s, m, "".join(rnd.choices("ACGTN", k=rnd.randrange(90)))) for s in "st" for m in (1, 1, 2, 3, 4, 5)] + [("s", None, "ACGTACGT"), (None, 1, "ACGTACGT"), ("s", 9, None)]
+    got = {(r.set_id, r.a, r.b): (r.shared, r.total, round(r.containment, 9)) for r in similarity.word_jaccard(spark.createDataFrame(rows, "set_id string, member int, seq string"), 3, block=block).collect()}
+    words = {(s, m): {x[i : i + 3] for t, n, x in rows if (t, n) == (s, m) and x for i in range(len(x) - 2)} for s, m, _ in rows if s and m}
+    want = {(s, a, b): (len(x & y), len(x | y), round(len(x & y) / min(len(x), len(y)), 9)) for (s, a), x in words.items() for (t, b), y in words.items() if s == t and a < b and x & y}
+    assert got == want
