@@ -91,13 +91,13 @@ def _equal_runs(own, at, code):
     return lo, np.where(hi > lo, (at[hi] - at[lo]) // np.maximum(hi - lo, 1), 1), hi - lo + 1
 
 
-def _steps(ends):
-    """Ranges of strings with some COLUMNS letters together, or of one longer string."""
+def _steps(ends, share: int = 1):
+    """Ranges of strings with some COLUMNS // share letters together, or of one longer string."""
     import numpy as np
 
     k = 0
     while k < len(ends) - 1:
-        m = max(k + 1, int(np.searchsorted(ends, ends[k] + COLUMNS, "right")) - 1)
+        m = max(k + 1, int(np.searchsorted(ends, ends[k] + COLUMNS // share, "right")) - 1)
         yield k, m
         k = m
 
@@ -142,11 +142,25 @@ def seeds(seqs: DataFrame, k: int = WORD, asked: DataFrame | None = None, block:
     b's counted on the stated strand. Runs of a word meet as intervals of diagonals, so a word that fills two sequences is one
     meeting; no word is left out however frequent. asked (set_id, a, b): only these pairs.
     """
-    fields = [StructField("a", seqs.schema["member"].dataType), StructField("b", seqs.schema["member"].dataType), StructField("strand", StringType()), StructField("diag", IntegerType())]
-    met = _grouped(seqs, block).mapInArrow(functools.partial(_by_groups, of=functools.partial(_seed_diagonals, k=k)), StructType([seqs.schema["set_id"], *fields])).distinct()
+    met = _grouped(seqs, block).mapInArrow(functools.partial(_by_groups, of=functools.partial(_seed_diagonals, k=k)), StructType([seqs.schema["set_id"], *_pair_fields(seqs)])).distinct()
     return met if asked is None else met.join(asked, ["set_id", "a", "b"], "left_semi")
 
 
+def search(seqs: DataFrame, k: int = WORD, max_e: float | None = None, block: int = BLOCK) -> DataFrame:
+    """segments of all seeds of seqs, in the tasks that find them: no diagonal is shuffled nor joined with its sequences. max_e: only those of an e-value of at most max_e."""
+    ints = lambda *names: [StructField(c, IntegerType()) for c in names]
+    fields = [seqs.schema["set_id"], *_pair_fields(seqs), *ints("score", "lo", "hi", "a_len", "b_len"), StructField("sseq", StringType())]
+    found = _grouped(seqs, block).mapInArrow(functools.partial(_by_groups, of=functools.partial(_seed_segments, k=k, max_e=max_e)), StructType(fields))
+    found = _shown(found.withColumn("from", F.greatest(F.col("diag"), F.lit(0))), F.col("sseq"))
+    # a diagonal of several parts of a group comes from each
+    return (found if max_e is None else with_e_values(found, max_e)).distinct()
+
+
+def _pair_fields(seqs: DataFrame) -> list[StructField]:
+    of = seqs.schema["member"].dataType
+    return [StructField("a", of), StructField("b", of), StructField("strand", StringType()), StructField("diag", IntegerType())]
+
+
 def _grouped(seqs: DataFrame, block: int) -> DataFrame:
     """set_id, member, _new (a group's first row), _rank (that of its member), _own (its block), seq in capitals: groups of two blocks of a set, each whole in one task and by member."""
     own = seqs.select("set_id", "member", F.upper("seq").alias("seq")).where("member is not null and seq is not null")
@@ -156,7 +170,7 @@ def _grouped(seqs: DataFrame, block: int) -> DataFrame:
 
 
 def _by_groups(batches, of):
-    """What `of` makes of the rows, whole groups at a time with some COLUMNS letters together, or one larger group."""
+    """What `of` makes of the rows, whole groups at a time with some COLUMNS / 4 letters together, or one larger group."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -164,7 +178,7 @@ def _by_groups(batches, of):
     def done(rows):
         letters, ends = _letters(rows.column("seq"))
         first = np.append(np.flatnonzero(rows.column("_new").to_numpy(zero_copy_only=False)), rows.num_rows)
-        for m, n in _steps(ends[first]):
+        for m, n in _steps(ends[first], 4):
             m, n = int(first[m]), int(first[n])
             yield from of(rows.slice(m, n - m), letters[ends[m] : ends[n]], ends[m : n + 1] - ends[m])
 
@@ -209,10 +223,9 @@ def _stretches(key):
     return np.repeat(last, np.diff(last, prepend=0))
 
 
-def _seed_diagonals(rows, letters, ends, k: int):
-    """set_id, a, b, strand, diag of the groups of `rows`."""
+def _met_diagonals(rows, letters, ends, k: int):
+    """Of the groups of `rows`, some at a time: letters of all sequences on both strands, where each begins (those of the other strand in reverse), then a's number, b's among both strands, and the diagonal, each once in one part."""
     import numpy as np
-    import pyarrow as pa
 
     m, (group, who, block) = rows.num_rows, _own_rows(rows)
     other = letters.copy()
@@ -229,9 +242,9 @@ def _seed_diagonals(rows, letters, ends, k: int):
     lo, step, n = _equal_runs(own, at, key)
     own, at, till = own[lo], at[lo] - begin[own[lo]], _stretches(key[lo])
     for i, j in _meetings(till, np.flatnonzero(own < m)):
-        x, y = row[own[i]], row[own[j]]
+        x, y = own[i], row[own[j]]
         met = (who[x] < who[y]) & ((block[x] < 0) | (block[x] != block[y]))
-        i, j, x, y = i[met], j[met], x[met], y[met]
+        i, j, pair = i[met], j[met], x[met] * (2 * m) + own[j[met]]
         zero, even = at[i] - at[j], (n[i] == 1) | (n[j] == 1) | (step[i] == step[j])
         along = np.where(n[i] > 1, step[i], step[j])
         # runs of different steps: all their places, which differ by other numbers
@@ -240,14 +253,65 @@ def _seed_diagonals(rows, letters, ends, k: int):
             r = np.repeat(np.arange(p, q), many[p:q])
             t = np.arange(len(r)) - np.repeat(np.cumsum(many[p:q]) - many[p:q], many[p:q])
             diag = zero[r] + np.where(even[r], (t - n[j][r] + 1) * along[r], t // n[j][r] * step[i][r] - t % n[j][r] * step[j][r])
-            pair = (x[r] * m + y[r]) * 2 + (own[j][r] >= m)
-            order = np.lexsort((diag, pair))
-            pair, diag = pair[order], diag[order]
-            new = np.append(True, (pair[1:] != pair[:-1]) | (diag[1:] != diag[:-1]))[: len(pair)]
-            pair, diag = pair[new], diag[new].astype(np.int32)
-            a, b = pa.array(pair // 2 // m), pa.array(pair // 2 % m)
-            strand = pa.array(["+", "-"]).take(pa.array(pair % 2))
-            yield pa.RecordBatch.from_arrays([rows.column("set_id").take(a), rows.column("member").take(a), rows.column("member").take(b), strand, pa.array(diag)], names=["set_id", "a", "b", "strand", "diag"])
+            order = np.lexsort((diag, pair[r]))
+            both, diag = pair[r][order], diag[order]
+            new = np.append(True, (both[1:] != both[:-1]) | (diag[1:] != diag[:-1]))[: len(both)]
+            yield text, begin, both[new] // (2 * m), both[new] % (2 * m), diag[new]
+
+
+def _named(rows, a, b, diag) -> dict:
+    """set_id, a, b, strand, diag of diagonals as columns."""
+    import numpy as np
+    import pyarrow as pa
+
+    m = rows.num_rows
+    member = rows.column("member")
+    strand = pa.array(["+", "-"]).take(pa.array((b >= m).astype(np.int64)))
+    return {"set_id": rows.column("set_id").take(pa.array(a)), "a": member.take(pa.array(a)), "b": member.take(pa.array(np.where(b < m, b, 2 * m - 1 - b))), "strand": strand, "diag": pa.array(diag.astype(np.int32))}
+
+
+def _seed_diagonals(rows, letters, ends, k: int):
+    """set_id, a, b, strand, diag of the groups of `rows`."""
+    import pyarrow as pa
+
+    for _, _, a, b, diag in _met_diagonals(rows, letters, ends, k):
+        yield pa.RecordBatch.from_pydict(_named(rows, a, b, diag))
+
+
+def _seed_segments(rows, letters, ends, k: int, max_e: float | None = None):
+    """As _seed_diagonals, with score, lo, hi (of the best segment of a diagonal's columns), a_len, b_len, sseq; max_e: scores that are too low for it may be left out."""
+    import numpy as np
+    import pyarrow as pa
+
+    for text, begin, a, b, diag in _met_diagonals(rows, letters, ends, k):
+        size = np.diff(begin)
+        since = np.maximum(diag, 0)
+        n = np.minimum(size[a], size[b] + diag) - since
+        x, y = begin[a] + since, begin[b] + since - diag
+        found = np.zeros((3, len(n)), np.int64)
+        for p, q in _steps(np.concatenate([[0], np.cumsum(n)]), 16):
+            t = np.arange(n[p:q].sum()) - np.repeat(np.cumsum(n[p:q]) - n[p:q], n[p:q])
+            found[:, p:q] = _best_of(text[np.repeat(x[p:q], n[p:q]) + t] == text[np.repeat(y[p:q], n[p:q]) + t], n[p:q])
+        if max_e is not None:
+            # a point of score beside rounding; the exact comparison is the caller's
+            kept = found[0] >= np.log(C.K * size[a] * size[b].astype(float) / max_e) / C.LAMBDA - 1
+            a, b, diag, y, found = a[kept], b[kept], diag[kept], y[kept], found[:, kept]
+        score, lo, hi = found
+        for p, q in _steps(np.concatenate([[0], np.cumsum(hi - lo)])):
+            own = [pa.array(z[p:q].astype(np.int32)) for z in (score, lo, hi, size[a], size[b])]
+            yield pa.RecordBatch.from_pydict(_named(rows, a[p:q], b[p:q], diag[p:q]) | dict(zip(("score", "lo", "hi", "a_len", "b_len"), own)) | {"sseq": _spelt(text, (y + lo)[p:q], (hi - lo)[p:q])})
+
+
+def _spelt(letters, at, n):
+    """Stretches of letters as a column of strings."""
+    import numpy as np
+    import pyarrow as pa
+
+    ends = np.concatenate([[0], np.cumsum(n)])
+    own = letters[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])]
+    if letters.dtype == np.uint8:
+        return pa.StringArray.from_buffers(len(n), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(own))
+    return pa.array([own[p:q].tobytes().decode("utf-32-le") for p, q in zip(ends[:-1], ends[1:])], pa.string())
 
 
 def _shared_words(rows, letters, ends, k: int):
@@ -306,10 +370,14 @@ def segments(diagonals: DataFrame, seqs: DataFrame) -> DataFrame:
     given = [f for f in met.schema.fields if f.name != "x"]
     # a map of rows, so that no later filter on scores works them out a second time
     best = met.mapInArrow(_best_columns, StructType([*given, *(StructField(c, IntegerType()) for c in ("score", "lo", "hi"))]))
+    return _shown(best, F.expr("substring(y, lo + 1, hi - lo)"))
+
+
+def _shown(best: DataFrame, sseq: Column) -> DataFrame:
     q, size = F.col("from") + F.col("lo"), F.col("hi") - F.col("lo")
     return best.select(
         "set_id", "a", "b", "strand", "diag", "score", q.alias("qstart"), (F.col("from") + F.col("hi")).alias("qend"), (q - F.col("diag")).alias("sstart"), (F.col("from") + F.col("hi") - F.col("diag")).alias("send"),
-        ((F.col("score") - C.MISMATCH * size) / (C.MATCH - C.MISMATCH)).cast("int").alias("matches"), "a_len", "b_len", F.expr("substring(y, lo + 1, hi - lo)").alias("sseq"),
+        ((F.col("score") - C.MISMATCH * size) / (C.MATCH - C.MISMATCH)).cast("int").alias("matches"), "a_len", "b_len", sseq.alias("sseq"),
     )
 
 

@@ -204,3 +204,17 @@ def test_shared_words_in_blocks(spark, block):
     words = {(s, m): {x[i : i + 3] for t, n, x in rows if (t, n) == (s, m) and x for i in range(len(x) - 2)} for s, m, _ in rows if s and m}
     want = {(s, a, b): (len(x & y), len(x | y), round(len(x & y) / min(len(x), len(y)), 9)) for (s, a), x in words.items() for (t, b), y in words.items() if s == t and a < b and x & y}
     assert got == want
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_search_is_segments_of_seeds(spark, block):
+    """Segments found where words meet are those of the diagonals joined with their sequences, of any letters, each once; so with a bound on e-values."""
+    rnd = random.Random(17)
+    rows = [(s, m, "".join(rnd.choices("ACGTé" if s == "u" else "AC", k=rnd.randrange(70)))) for s in "stu" for m in range(7)] + [("v", 1, "A" * 50), ("v", 2, "a" * 70), ("v", 3, None), (None, 1, "A" * 20)]
+    df = spark.createDataFrame(rows, "set_id string, member int, seq string")
+    want = similarity.segments(similarity.seeds(df, 5), df)
+    got = similarity.search(df, 5, block=block)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    want = similarity.with_e_values(want, 1e-4)
+    assert sorted(map(tuple, similarity.search(df, 5, 1e-4, block).collect())) == sorted(map(tuple, want.collect())) != []
