@@ -218,3 +218,11 @@ def test_search_is_segments_of_seeds(spark, block):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
     want = similarity.with_e_values(want, 1e-4)
     assert sorted(map(tuple, similarity.search(df, 5, 1e-4, block).collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_hits_join_no_sequences(spark):
+    """The hits of turns, as extra_copies and others take them, need one join, for the sizes of sets; before, words and diagonals were joined, these with both sequences."""
+    from regionpairs.plans import registry
+
+    plan = registry._hits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
