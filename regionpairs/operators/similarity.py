@@ -106,14 +106,16 @@ def _codes(letters, at, k: int):
     """A number below the returned size for each k-letter word that starts at `at`; equal for equal words only."""
     import numpy as np
 
-    names, ranks = np.unique(letters, return_inverse=True)
-    code, size = np.zeros(len(at), np.int64), 1
+    names = np.unique(letters)
+    ranks = np.searchsorted(names, letters)
+    n = max(len(letters) - k + 1, 0)
+    code, size = np.zeros(n, np.int64), 1
     for j in range(k):
         if size * len(names) >= 1 << 40:  # leaves room for the sequence's number
             names_, code = np.unique(code, return_inverse=True)
             size = len(names_)
-        code, size = code * len(names) + ranks[at + j], size * len(names)
-    return code, max(size, 1)
+        code, size = code * len(names) + ranks[j : j + n], size * len(names)
+    return code[at], max(size, 1)
 
 
 def _words_at(letters, at, k: int):
@@ -322,13 +324,16 @@ def _shared_words(rows, letters, ends, k: int):
     m, (group, who, block) = rows.num_rows, _own_rows(rows)
     own, at = _places(ends, k)
     code, size = _codes(letters, at, k)
-    key = group[own] * size + code
-    order = np.argsort(key, kind="stable")
-    key, own = key[order], who[own[order]]
-    new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))[: len(key)]
-    key, own = key[new], own[new]
-    n = np.bincount(own, minlength=m)
-    for i, j in _meetings(_stretches(key), np.arange(len(key))):
+    wide = int((who - group).max(initial=0)) + 1
+    if m * size * wide >= 1 << 63:
+        names, code = np.unique(code, return_inverse=True)
+        size = len(names)
+    # group, word and member in one number, so that numbers are sorted, not places of them
+    key = np.sort((group[own] * size + code) * wide + (who - group)[own])
+    key, own = np.divmod(key[np.append(True, key[1:] != key[:-1])[: len(key)]], wide)
+    own += key // size
+    n, till = np.bincount(own, minlength=m), _stretches(key)
+    for i, j in _meetings(till, np.flatnonzero(till - np.arange(len(key)) > 1)):
         x, y = own[i], own[j]
         met = (block[x] < 0) | (block[x] != block[y])
         pair, shared = np.unique(x[met] * m + y[met], return_counts=True)

@@ -1,5 +1,6 @@
 """Forms that keep hot sets, frequent words and long sequences apart give what the plain ones give."""
 
+import collections
 import random
 import time
 
@@ -206,6 +207,34 @@ def test_shared_words_in_blocks(spark, block):
     assert got == want
 
 
+def test_shared_words_of_many_letters_and_members():
+    """Group, word and member make one number, also where that many of each would not fit it."""
+    import pyarrow as pa
+
+    rnd = random.Random(19)
+    pool = ["".join(rnd.choices([chr(0x4E00 + i) for i in range(640)], k=6)) for _ in range(2000)]
+    seqs = ["", *rnd.choices(pool, k=9_500)]
+    rows = pa.table({"set_id": ["s"] * len(seqs), "member": range(len(seqs)), "_new": [i == 0 for i in range(len(seqs))], "_rank": range(1, len(seqs) + 1), "_own": [-1] * len(seqs), "seq": seqs})
+    got = [tuple(r.values()) for b in similarity._by_groups(rows.to_batches(), lambda *x: similarity._shared_words(*x, k=4)) for r in b.to_pylist()]
+    holders = {}
+    for i, x in enumerate(seqs):
+        for w in {x[j : j + 4] for j in range(len(x) - 3)}:
+            holders.setdefault(w, []).append(i)
+    shared = collections.Counter((i, j) for own in holders.values() for n, j in enumerate(own) for i in own[:n])
+    assert sorted(got) == sorted(("s", i, j, n, 3, 3) for (i, j), n in shared.items())
+
+
+def test_documents_sorted_as_letters(spark):
+    """What is sorted by id is the letters of documents; before, whole texts were, and letters cut after that."""
+    from regionpairs.plans import views as V
+
+    plan = V.genome(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [x for x in plan if "Aggregate" in x] and not [x for x in plan if "Aggregate" in x and ("regexp_replace" in x or "text" in x)]
+    texts = [None, "", "acgt", "xAx", "Ünder Gärten\n\tTT\u2028c", "😀a😀😀gßt", "N" * 50 + "c", "...", "AC" * 30]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", V.letters("text").alias("seq")).orderBy("k").collect()
+    assert [r.seq for r in got] == ["".join(c for c in (t or "").upper() if c in "ACGT") for t in texts]
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_search_is_segments_of_seeds(spark, block):
     """Segments found where words meet are those of the diagonals joined with their sequences, of any letters, each once; so with a bound on e-values."""
